@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import decontaminate, licenses, line_dedup, mixing
+from wavecohort.llm import decontaminate, licenses, line_dedup, mixing, neardup
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op4_near_dedup": neardup.op4_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
 }
 
 ORACLE_SQL = {
     "op2_mixing": mixing.SQL,
+    "op4_near_dedup": neardup.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op8_licenses": licenses.SQL,
 }

@@ -3,8 +3,8 @@
 DataFrame functions only. A line is a set of tokens (words between white space, A-Z lower-cased). Lines with equal text
 are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the join.
 The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
-documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, lines meet in a posted token under the length and
-the positional filter, and every pair is verified on its real tokens. The class table has ``BUCKETS`` numbers whatever
+documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, lines meet in a posted token under the length, the
+positional and a bitmap filter, and every pair is verified on its real tokens. The class table has ``BUCKETS`` bytes whatever
 the input; the order only steers the work, so hashing tokens into buckets costs no exactness.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from wavecohort.functions.scratch import written
 from wavecohort.llm.common import ascii_lower, table
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 20
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
 MAX_BROADCAST_ROWS = 300_000
 _LOW56 = (1 << 56) - 1
@@ -44,24 +44,35 @@ def _few(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row, ``classes array<long>``: by bucket of token hashes, a frequency class in the top byte."""
+    """One row, ``classes array<tinyint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class."""
+    spark = docs.sparkSession
     words = docs.select(F.explode(F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("w"))
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("b")).count()
-    high = F.least(F.floor(F.log2(F.col("count").cast("double")) * 3), F.lit(120)).cast("long")
-    folded = counts.groupBy(F.shiftright("b", 8).alias("hi")).agg(
-        F.map_from_entries(F.collect_list(F.struct(F.col("b").bitwiseAND(255), F.shiftleft(high, 56)))).alias("m")
-    )
-    zero = F.lit(0).cast("long")
-    cell = folded.select("hi", F.transform(F.sequence(F.lit(0), F.lit(255)), lambda k: F.coalesce(F.try_element_at("m", k), zero)).alias("c"))
-    row = cell.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("hi", "c"))).alias("m"))  # 256 rows
-    none = F.array_repeat(zero, 256)
-    return row.select(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(BUCKETS // 256 - 1)), lambda k: F.coalesce(F.try_element_at("m", k), none))).alias("classes"))
-
-
-def _keys(line: Column) -> Column:
+    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
+    cls = F.least(F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) * 3), F.lit(120)).cast("tinyint")
+    low = F.col("b").bitwiseAND(1023)
+    rows = counts.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.array_sort(F.collect_list(F.struct(low.alias("lo"), cls.alias("c")))).alias("cells"))
+    rows = rows.select("hi", F.col("cells.c").alias("c"))
+    return rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("hi", "c"))).alias("r")).select(F.flatten("r.c").alias("classes"))  # BUCKETS / 1024 rows
+
+
+def _bucket(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+
+
+def _keys(line: Column, classes: Column) -> Column:
     """Distinct token keys of a line, rare ones first: frequency class in the top byte, hash in the rest."""
-    key = lambda w: F.element_at("classes", (F.pmod(F.xxhash64(w), F.lit(BUCKETS)) + 1).cast("int")) + F.xxhash64(w).bitwiseAND(F.lit(_LOW56))
-    return F.sort_array(F.array_distinct(F.transform(_tokens(line), key)))
+    hashes = F.transform(_tokens(line), lambda w: F.xxhash64(w))
+    place = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
+    key = lambda h: F.shiftleft(F.get(classes, place(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56)))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+
+
+def _bitmap(keys: Column) -> Column:
+    """64 bits, one set for each token's hash: two sets differ in as many tokens at least as their bitmaps in bits."""
+    bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -81,16 +92,19 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     seen = _hashed(lines).join(again, ["h1", "h2"], "left")
     same = seen.filter(F.col("first").isNotNull() & (place != F.col("first"))).select("d", "i")
     heads = seen.filter(F.col("first").isNull() | (place == F.col("first"))).select("d", "i", "line")
-    keyed = heads.crossJoin(F.broadcast(_rarity(docs, text_col))).select("d", "i", _keys(F.col("line")).alias("k"))  # one row
+    classes = written(_rarity(docs, text_col), "rarity").scalar()
+    keyed = heads.withColumn("classes", classes).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("k"))
     n = F.size("k")
-    posts = keyed.select("d", "i", n.alias("n"), F.posexplode(F.slice("k", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("p", "k"))
-    a = posts.select("k", *[F.col(c).alias(f"{c}1") for c in ("d", "i", "n", "p")])
-    b = posts.select("k", *[F.col(c).alias(f"{c}2") for c in ("d", "i", "n", "p")])
+    keyed = keyed.withColumn("m", _bitmap(F.col("k")))
+    posts = keyed.select("d", "i", "m", n.alias("n"), F.posexplode(F.slice("k", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("p", "k"))
+    a = posts.select("k", *[F.col(c).alias(f"{c}1") for c in ("d", "i", "m", "n", "p")])
+    b = posts.select("k", *[F.col(c).alias(f"{c}2") for c in ("d", "i", "m", "n", "p")])
     earlier = F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)")
     length = (F.col("n1") >= F.col("n2") * t - 1e-9) & (F.col("n2") >= F.col("n1") * t - 1e-9)
     most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     position = most >= (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
-    pairs = a.join(b, "k").filter(earlier & length & position).select("d1", "i1", "d2", "i2").distinct()
+    apart = F.bit_count(F.col("m1").bitwiseXOR(F.col("m2"))) <= (F.col("n1") + F.col("n2")) * ((1 - t) / (1 + t)) + 1e-9
+    pairs = a.join(b, "k").filter(earlier & length & apart & position).select("d1", "i1", "d2", "i2").distinct()
     pairs = written(pairs, "line-pairs")
 
     # Verification on the real tokens of the lines named.

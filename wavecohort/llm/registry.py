@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import decontaminate, licenses, line_dedup, mixing, neardup
+from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, quality
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
+    "op3_quality": quality.op3_quality,
     "op4_near_dedup": neardup.op4_near_dedup,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
+    "op9_language_id": langid.op9_language_id,
 }
 
 ORACLE_SQL = {

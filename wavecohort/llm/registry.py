@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, quality
+from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, quality, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -12,6 +12,7 @@ QUERIES = {
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
     "op9_language_id": langid.op9_language_id,
+    "op10_topk": topk.op10_topk,
 }
 
 ORACLE_SQL = {
@@ -19,4 +20,5 @@ ORACLE_SQL = {
     "op4_near_dedup": neardup.SQL,
     "op7_decontamination": decontaminate.SQL,
     "op8_licenses": licenses.SQL,
+    "op10_topk": topk.SQL,
 }

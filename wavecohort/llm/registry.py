@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, quality, topk
+from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, pages, quality, tokens, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
     "op2_mixing": mixing.op2_mixing,
     "op3_quality": quality.op3_quality,
     "op4_near_dedup": neardup.op4_near_dedup,
+    "op5_token_output": tokens.op5_token_output,
+    "op6_html_text": pages.op6_html_text,
     "op7_decontamination": decontaminate.op7_decontamination,
     "op8_licenses": licenses.op8_licenses,
     "op9_language_id": langid.op9_language_id,

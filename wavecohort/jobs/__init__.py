@@ -1 +1,6 @@
-"""Part of wavecohort."""
+"""The queries of the library, by name."""
+
+from wavecohort.jobs import base, group_tests
+
+QUERIES, SQL = base.QUERIES, base.SQL
+__all__ = ["QUERIES", "SQL", "base", "group_tests"]

@@ -5,9 +5,11 @@
    register holds the leading-zero count and ``MANTISSA`` further bits of the smallest hash that chose it. Empty
    registers borrow from a register picked by a fixed hash sequence.
 2. Texts with equal digests are one node, named by its smallest document: exact copies never meet in a join.
-3. Bands of ``ROWS`` registers deal the nodes into buckets. Each bucket first links its members with its smallest node
-   alone (a star), so a bucket of thousands of copies costs thousands of pairs. Buckets whose members are then not all
-   in one component give every pair of members of different components that was not tried yet.
+3. Bands of ``ROWS`` registers deal the nodes into buckets. Each bucket first links its members with its hub alone (a
+   star), the member with the most bucket mates over all bands, so a bucket of thousands of copies of a text costs
+   thousands of pairs. Buckets whose members are then not all in one component give the pairs of members of different
+   components that were not tried yet, but for those that the shingles which a text shares with any other text of such
+   buckets are too few for: an exact bound.
 4. A pair must pass the length bound and, if both sets are large, a collision-corrected Jaccard estimate from the
    registers that is not more than ``MARGIN`` below the threshold; what is left is verified on the full sets.
 5. Components come from alternating star rounds on the verified edges.
@@ -123,26 +125,41 @@ def _estimates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("a"), batch.column("b"), batch.column("n1"), batch.column("n2"), pa.array(e, pa.float64())], names=["a", "b", "n1", "n2", "e"])
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, threshold: int) -> DataFrame:
-    """The pairs ``a, b`` whose full sets have 100 * intersection >= threshold * union."""
+def _likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` that pass the length bound and the estimate."""
     left = nodes.select(F.col("id").alias("a"), F.col("n").alias("n1"), F.col("sig").alias("sig1"))
     right = nodes.select(F.col("id").alias("b"), F.col("n").alias("n2"), F.col("sig").alias("sig2"))
     got = pairs.join(left, "a").join(right, "b")
     got = got.filter(f"100 * least(n1, n2) >= {threshold} * greatest(n1, n2)").select("a", "b", "n1", "n2", "sig1", "sig2")
     got = got.mapInArrow(_estimates, "a long, b long, n1 long, n2 long, e double")
     got = got.filter((F.col("e") >= threshold / 100 - MARGIN) | (F.least("n1", "n2") < ESTIMATE_FROM)).select("a", "b")
-    got = written(got, "pairs")
-    named = got.select(F.col("a").alias("id")).unionByName(got.select(F.col("b").alias("id"))).distinct()
-    few = named.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
-    texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").select("id", "t")
+    return written(got, "pairs")
+
+
+def _full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """``id, s``: the shingle sets of the nodes named, made anew from their texts."""
+    few = ids.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
+    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "t")
     sets = texts.mapInArrow(_sets, "id long, lo long, s array<long>").join(nodes.select("id", "lo"), ["id", "lo"], "left_semi")
-    sets = written(sets, "sets")
+    return written(sets.select("id", "s"), "sets")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a, b`` whose full sets have 100 * intersection >= threshold * union."""
     one, two = sets.select(F.col("id").alias("a"), F.col("s").alias("s1")), sets.select(F.col("id").alias("b"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2")).cast("long")
-    true = got.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("s1") + F.size("s2") - both) * threshold)
+    true = pairs.join(one, "a").join(two, "b").filter(both * 100 >= (F.size("s1") + F.size("s2") - both) * threshold)
     return written(true.select("a", "b").distinct(), "links")
 
 
+def _shared(sets: DataFrame) -> DataFrame:
+    """``id, n, sh``: the size of each set, and how many of its shingles another of the sets holds too."""
+    one = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
+    alone = one.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
+    size = sets.select("id", F.size("s").cast("long").alias("n")).join(alone, "id", "left")
+    return size.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("sh"))
+
+
 def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, n_shingles, component_id, kept``.
 
@@ -160,25 +177,37 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
     nodes = sketch.join(classes, ["id", "lo", "hi", "n"], "left_semi").dropDuplicates(["id"])
     nodes = written(nodes, "nodes")
     rows = nodes.select("id", F.explode("bands").alias("k"))
-    stars = rows.groupBy("k").agg(F.min("id").alias("low"), F.count("*").alias("m")).filter("m > 1").select("k", "low")
-    stars = written(stars, "stars")  # read back, so that the join on a hot bucket can be split
-    members = written(rows.join(stars, "k").select("k", "low", "id"), "members")
-    tried = members.filter("id <> low").select(F.col("low").alias("a"), F.col("id").alias("b")).distinct()
+    sizes = written(rows.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
+    members = written(rows.join(sizes, "k").select("k", "id", "m"), "members")
+    degree = members.groupBy("id").agg(F.sum("m").alias("d"))
+    hub = members.select("k", "id").join(degree, "id").groupBy("k").agg(F.max(F.struct("d", (-F.col("id")).alias("i"))).alias("h"))
+    hub = written(hub.select("k", (-F.col("h.i")).alias("a")), "hubs")  # read back, so that the join on a hot bucket can be split
+    members = members.select("k", "id")
+    tried = members.join(hub, "k").filter("id <> a").select("a", F.col("id").alias("b")).distinct()
+    tried = written(tried, "stars")
     plain = base.filter("id IS NOT NULL")
-    links = _verified(tried, nodes, plain, threshold)
+    likely = _likely(tried, nodes, threshold)
+    named = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
+    links = _verified(likely, _full_sets(named, nodes, plain), threshold)
     comp = written(connected_components(links, "a", "b"), "comp")
 
-    # Buckets with members of more than one component: every pair across components.
-    known = members.select("k", "id").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    # Buckets with members of more than one component: pairs across components, if they can reach the threshold. A link
+    # takes an intersection of t / (100 + t) of the two sizes, and no shingle that one text alone holds is in it.
+    known = members.join(comp.withColumnRenamed("node", "id"), "id", "left")
     known = known.withColumn("c", F.coalesce("component", "id")).select("k", "id", "c")
     open_ = known.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("k")
     open_ = written(open_, "open-buckets")
     left = written(known.join(open_, "k", "left_semi"), "open")
-    one, two = left.select("k", F.col("id").alias("a"), F.col("c").alias("c1")), left.select("k", F.col("id").alias("b"), F.col("c").alias("c2"))
-    more = one.join(two, "k").filter("a < b AND c1 <> c2").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = written(more, "across")
+    sets = _full_sets(left.select("id").distinct(), nodes, plain)
+    able = written(_shared(sets).filter(f"100 * sh >= {threshold} * n"), "able")
+    left = written(left.join(able, "id"), "open-able")
+    side = lambda x, y: left.select("k", F.col("id").alias(x), *[F.col(c).alias(f"{c}{y}") for c in ("c", "n", "sh")])
+    can = f"{100 + threshold} * least(sh1, sh2) >= {threshold} * (n1 + n2) AND 100 * least(n1, n2) >= {threshold} * greatest(n1, n2)"
+    more = side("a", 1).join(side("b", 2), "k").filter(f"a < b AND c1 <> c2 AND {can}").select("a", "b").distinct()
+    done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    more = written(more.join(done, ["a", "b"], "left_anti"), "across")
     if more.limit(1).count():
-        links = links.unionByName(_verified(more, nodes, plain, threshold))
+        links = links.unionByName(_verified(_likely(more, nodes, threshold), sets, threshold))
         forget(docs.sparkSession, comp)
         comp = written(connected_components(links, "a", "b"), "comp")
     of_class = classes.join(comp, classes["id"] == comp["node"], "left").select("lo", "hi", "n", F.coalesce("component", "id").alias("component"))

@@ -4,13 +4,14 @@ DataFrame functions only. A line is a set of tokens (words between white space,
 are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the join.
 The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
 documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, lines meet in a posted token under the length, the
-positional and a bitmap filter, and every pair is verified on its real tokens. The class table has ``BUCKETS`` bytes whatever
+positional and a bitmap filter, and every pair is verified on its real tokens. Families of copies are thinned
+first: a line that matches the earliest line of one of its rarest tokens is gone and need not meet the others. The class table has ``BUCKETS`` bytes whatever
 the input; the order only steers the work, so hashing tokens into buckets costs no exactness.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecohort.functions.scratch import written
@@ -18,24 +19,32 @@ from wavecohort.llm.common import ascii_lower, table
 
 BUCKETS = 1 << 20
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
-MAX_BROADCAST_ROWS = 300_000
+MAX_BROADCAST_ROWS = 1_000_000
 _LOW56 = (1 << 56) - 1
 
 
-def _tokens(line: Column) -> Column:
-    return F.array_remove(F.split(ascii_lower(line), r"[\x20\x09-\x0D]+"), "")
+#: Postings of a line that take part in the first pass.
+STARS = 3
+
+
+def _folded(text: Column) -> Column:
+    """A-Z lower-cased and white space within lines as spaces; texts of ASCII alone take the faster functions."""
+    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
+    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
+
+
+def _tokens(folded: Column) -> Column:
+    return F.array_remove(F.split(folded, " "), "")
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d, i, line``: lines with a token, numbered from 0 in their document."""
-    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    got = base.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line"))
-    return got.filter(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """``d, i, line``: folded lines with a token, numbered from 0 in their document."""
+    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), _folded(F.col(text_col)).alias("t"))
+    return base.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line")).filter(F.trim("line") != "")
 
 
 def _hashed(lines: DataFrame) -> DataFrame:
-    low = ascii_lower(F.col("line"))
-    return lines.withColumns({"h1": F.xxhash64(low), "h2": F.xxhash64(F.lit(1), low)})
+    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
 
 
 def _few(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
@@ -46,7 +55,7 @@ def _few(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row, ``classes array<tinyint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(ascii_lower(F.col(text_col)), r"[\x20\x09-\x0D]+")).alias("w"))
+    words = docs.select(F.explode(F.split(_folded(F.col(text_col)), "[ \n]")).alias("w")).filter("w <> ''")
     counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
@@ -97,25 +106,46 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     n = F.size("k")
     keyed = keyed.withColumn("m", _bitmap(F.col("k")))
     posts = keyed.select("d", "i", "m", n.alias("n"), F.posexplode(F.slice("k", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("p", "k"))
-    a = posts.select("k", *[F.col(c).alias(f"{c}1") for c in ("d", "i", "m", "n", "p")])
-    b = posts.select("k", *[F.col(c).alias(f"{c}2") for c in ("d", "i", "m", "n", "p")])
-    earlier = F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)")
+    posts = written(posts, "postings")
+
+    # First pass: against the earliest line that posts one of the line's rarest tokens. Lines of one family of copies
+    # go here, a comparison or a few each, however many they are.
+    stars = posts.filter(F.col("p") < STARS).withColumn("h", F.first(F.struct("d", "i", "m", "n", "p")).over(Window.partitionBy("k").orderBy("d", "i")))
+    stars = stars.filter((F.col("h.d") != F.col("d")) | (F.col("h.i") != F.col("i")))
+    one = [F.col(f"h.{c}").alias(f"{c}1") for c in _POST]
+    star_pairs = stars.select(*one, *[F.col(c).alias(f"{c}2") for c in _POST]).filter(_may_match(t))
+    gone = written(_verified(star_pairs, lines, t), "gone")
+
+    # Second pass: the lines that are left, against all earlier lines.
+    rest = posts.join(_few(gone), ["d", "i"], "left_anti")
+    a = posts.select("k", *[F.col(c).alias(f"{c}1") for c in _POST])
+    b = rest.select("k", *[F.col(c).alias(f"{c}2") for c in _POST])
+    pairs = a.join(b, "k").filter(F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)") & _may_match(t))
+    return same.unionByName(gone).unionByName(_verified(pairs, lines, t)).distinct()
+
+
+_POST = ("d", "i", "m", "n", "p")
+
+
+def _may_match(t: float) -> Column:
+    """The length, bitmap and positional filters on a pair of postings; none loses a pair of similarity ``t``."""
     length = (F.col("n1") >= F.col("n2") * t - 1e-9) & (F.col("n2") >= F.col("n1") * t - 1e-9)
-    most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    position = most >= (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
     apart = F.bit_count(F.col("m1").bitwiseXOR(F.col("m2"))) <= (F.col("n1") + F.col("n2")) * ((1 - t) / (1 + t)) + 1e-9
-    pairs = a.join(b, "k").filter(earlier & length & apart & position).select("d1", "i1", "d2", "i2").distinct()
-    pairs = written(pairs, "line-pairs")
+    most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    return length & apart & (most >= (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9)
+
 
-    # Verification on the real tokens of the lines named.
+def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+    """``d, i`` of the later lines of the pairs whose real tokens have the similarity ``t``."""
+    pairs = written(pairs.select("d1", "i1", "d2", "i2").distinct(), "line-pairs")
     named = pairs.select(F.col("d1").alias("d"), F.col("i1").alias("i")).unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
     sets = lines.join(_few(named), ["d", "i"], "left_semi").select("d", "i", F.array_distinct(_tokens(F.col("line"))).alias("s"))
-    sets = written(sets.dropDuplicates(["d", "i"]), "line-sets")
+    sets = written(sets, "line-sets")
     one = sets.select(F.col("d").alias("d1"), F.col("i").alias("i1"), F.col("s").alias("s1"))
     two = sets.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("s").alias("s2"))
     both = F.size(F.array_intersect("s1", "s2"))
     true = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"]).filter(both >= (F.size("s1") + F.size("s2") - both) * F.lit(t) - 1e-9)
-    return same.unionByName(true.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
+    return true.select(F.col("d2").alias("d"), F.col("i2").alias("i")).distinct()
 
 
 def _removed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """The queries of the library, by name."""
 
-from wavecohort.jobs import base, group_tests
+from wavecohort.jobs import base, group_tests, tables
 
 QUERIES, SQL = base.QUERIES, base.SQL
-__all__ = ["QUERIES", "SQL", "base", "group_tests"]
+__all__ = ["QUERIES", "SQL", "base", "group_tests", "tables"]

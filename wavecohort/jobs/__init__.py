@@ -1,6 +1,6 @@
 """The queries of the library, by name."""
 
-from wavecohort.jobs import base, group_tests, tables
+from wavecohort.jobs import base, group_tests, signals, tables
 
 QUERIES, SQL = base.QUERIES, base.SQL
-__all__ = ["QUERIES", "SQL", "base", "group_tests", "tables"]
+__all__ = ["QUERIES", "SQL", "base", "group_tests", "signals", "tables"]

@@ -5,31 +5,32 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wavecohort.functions import special
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _normal2(z: pd.Series) -> pd.Series:
     return pd.Series(2 * special.normal_sf(z.abs()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _chi2(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(special.chi2_sf(x, df))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _f(x: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return pd.Series(special.f_sf(x.to_numpy(), d1.to_numpy(), d2.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _t(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(special.t_two_sided(t.to_numpy(), df.to_numpy()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(special.studentized_range_sf(q.to_numpy(), k.to_numpy(), df.to_numpy()))
 

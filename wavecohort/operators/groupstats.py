@@ -12,6 +12,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from wavecohort.functions import special
 from wavecohort.functions.pvalues import chi2_p, f_p, normal_p, range_p, t_p
@@ -274,7 +275,7 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, g1: str
     got = got.withColumn("u", u)
     z = over(F.greatest(F.col("u"), n1 * n2 - F.col("u")) - n1 * n2 / 2 - 0.5, sd)
 
-    @F.pandas_udf("double")
+    @F.pandas_udf(DoubleType())
     def exact(u: pd.Series, n1: pd.Series, n2: pd.Series) -> pd.Series:
         return pd.Series([special.mann_whitney_exact(*x) if min(x[1], x[2]) < exact_below else None for x in zip(u, n1, n2, strict=True)], dtype=float)
 

@@ -7,9 +7,8 @@
 2. Texts with equal digests are one node, named by its smallest document: exact copies never meet in a join.
 3. Bands of ``ROWS`` registers deal the nodes into buckets. Each bucket first links its members with its hub alone (a
    star), the member with the most bucket mates over all bands, so a bucket of thousands of copies of a text costs
-   thousands of pairs. Buckets whose members are then not all in one component give the pairs of members of different
-   components that were not tried yet, but for those that the shingles which a text shares with any other text of such
-   buckets are too few for: an exact bound.
+   thousands of pairs. The members of buckets that are then not all in one component meet once more, across components
+   alone, in an exact prefix join on their rarest shingles, which leaves out pairs that cannot reach the threshold.
 4. A pair must pass the length bound and, if both sets are large, a collision-corrected Jaccard estimate from the
    registers that is not more than ``MARGIN`` below the threshold; what is left is verified on the full sets.
 5. Components come from alternating star rounds on the verified edges.
@@ -152,12 +151,28 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return written(true.select("a", "b").distinct(), "links")
 
 
-def _shared(sets: DataFrame) -> DataFrame:
-    """``id, n, sh``: the size of each set, and how many of its shingles another of the sets holds too."""
-    one = sets.select("id", F.explode("s").alias("h")).groupBy("h").agg(F.count("*").alias("c"), F.min("id").alias("id"))
-    alone = one.filter("c = 1").groupBy("id").agg(F.count("*").alias("alone"))
-    size = sets.select("id", F.size("s").cast("long").alias("n")).join(alone, "id", "left")
-    return size.select("id", "n", (F.col("n") - F.coalesce("alone", F.lit(0))).alias("sh"))
+def _across(sets: DataFrame, comp: DataFrame, threshold: int) -> DataFrame:
+    """The pairs ``a < b`` of sets of different components that can reach the threshold: an exact prefix join.
+
+    Shingles are ordered from rare to frequent among these sets. A link takes an intersection of t / (100 + t) of the two
+    sizes, so two linked sets share a shingle in their prefixes, and the first one that they share leaves enough behind
+    it in both. A pair comes out once, at that shingle.
+    """
+    cell = sets.select("id", F.explode("s").alias("h"))
+    df = cell.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
+    ranked = cell.join(df, "h").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("df", "h"))).alias("r"))  # a text's own
+    size = sets.join(comp.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.size("s").alias("n"))
+    # Shingles that one set alone holds come first: they only move the others back.
+    ranked = ranked.join(size, "id").withColumn("p0", F.col("n") - F.size("r"))
+    reach = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int") + 1 - F.col("p0")
+    ranked = ranked.filter(reach > 0).select("id", "c", "n", "p0", F.transform(F.slice("r", F.lit(1), F.greatest(reach, F.lit(0))), lambda x: x["h"]).alias("pre"))
+    posts = ranked.select("id", "c", "n", "p0", "pre", F.posexplode("pre").alias("i", "h"))
+    posts = written(posts, "prefixes")
+    side = lambda x, k: posts.select("h", F.col("id").alias(x), *[F.col(v).alias(f"{v}{k}") for v in ("c", "n", "p0", "pre", "i")])
+    can = f"""a < b AND c1 <> c2 AND 100 * least(n1, n2) >= {threshold} * greatest(n1, n2)
+        AND {100 + threshold} * least(n1 - p01 - i1, n2 - p02 - i2) >= {threshold} * (n1 + n2)
+        AND NOT arrays_overlap(slice(pre1, 1, i1), slice(pre2, 1, i2))"""
+    return side("a", 1).join(side("b", 2), "h").filter(can).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,19 +206,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
     links = _verified(likely, _full_sets(named, nodes, plain), threshold)
     comp = written(connected_components(links, "a", "b"), "comp")
 
-    # Buckets with members of more than one component: pairs across components, if they can reach the threshold. A link
-    # takes an intersection of t / (100 + t) of the two sizes, and no shingle that one text alone holds is in it.
+    # Members of buckets with more than one component: the pairs across components that can reach the threshold.
     known = members.join(comp.withColumnRenamed("node", "id"), "id", "left")
     known = known.withColumn("c", F.coalesce("component", "id")).select("k", "id", "c")
     open_ = known.groupBy("k").agg(F.min("c").alias("c1"), F.max("c").alias("c2")).filter("c1 <> c2").select("k")
     open_ = written(open_, "open-buckets")
-    left = written(known.join(open_, "k", "left_semi"), "open")
-    sets = _full_sets(left.select("id").distinct(), nodes, plain)
-    able = written(_shared(sets).filter(f"100 * sh >= {threshold} * n"), "able")
-    left = written(left.join(able, "id"), "open-able")
-    side = lambda x, y: left.select("k", F.col("id").alias(x), *[F.col(c).alias(f"{c}{y}") for c in ("c", "n", "sh")])
-    can = f"{100 + threshold} * least(sh1, sh2) >= {threshold} * (n1 + n2) AND 100 * least(n1, n2) >= {threshold} * greatest(n1, n2)"
-    more = side("a", 1).join(side("b", 2), "k").filter(f"a < b AND c1 <> c2 AND {can}").select("a", "b").distinct()
+    sets = _full_sets(known.join(open_, "k", "left_semi").select("id").distinct(), nodes, plain)
+    more = _across(sets, comp, threshold)
     done = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = written(more.join(done, ["a", "b"], "left_anti"), "across")
     if more.limit(1).count():

@@ -1,8 +1,8 @@
 """Exact top-k inner-product search with dual cover trees.
 
 Vectors are dealt into cells by their nearest pivot and each cell into blocks of at most ``BLOCK`` rows by a hash, so
-that a vector that a third of all rows repeat fills many blocks of the usual size. Queries are dealt likewise into
-blocks of at most ``QUERY_BLOCK``. A pair of a query block and a data block is searched only if its bound, from the
+that a vector that a third of all rows repeat fills many blocks of the usual size. Queries are dealt by a hash into
+blocks of about ``QUERY_BLOCK``, so that a data block is sent about once for as many queries. A pair of a query block and a data block is searched only if its bound, from the
 blocks' centres and covering radii, reaches the worst kth score that the queries of the block are already sure of
 (from a fixed sample of the data). In each pair that is left, one task builds a cover tree over both sides and walks
 the two trees together: a pair of nodes is pruned when its bound is below the worst kth score of the query node's
@@ -24,7 +24,7 @@ from wavecohort.llm.common import table, unit
 SCALE = 1024
 PIVOTS = 16
 SAMPLE = 1024
-BLOCK, QUERY_BLOCK, LEAF = 4096, 256, 64
+BLOCK, QUERY_BLOCK, LEAF = 4096, 2048, 64
 
 
 class CoverTree:
@@ -174,7 +174,9 @@ def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vec
     known, known_ids = _matrix(sample["x"]), sample["id"].to_numpy()
     pivots = known[:PIVOTS]
     data = written(_celled(rows, pivots, BLOCK), "data-blocks")
-    queries = _celled(rows.join(wanted, "id", "left_semi"), pivots, QUERY_BLOCK)
+    asked = written(rows.join(wanted, "id", "left_semi"), "queries")
+    parts = -(-max(asked.count(), 1) // QUERY_BLOCK)
+    queries = asked.withColumn("block", F.concat(F.lit("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("string")))
 
     def floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

@@ -1,7 +1,8 @@
 """Licence scans: known licence sentences, then ordered rules over their identifiers.
 
 DataFrame functions only. Texts are cut in two ways: at line ends and sentence ends (notices on a line of their own)
-and, with lines joined, at sentence ends alone (sentences that are wrapped over lines). Every piece is normalised and
+and, with lines joined, at sentence ends alone (sentences that are wrapped over lines); a colon at a line's end ends a
+sentence. Every piece is normalised and
 looked up among the known sentences, a fixed list that is broadcast. The identifiers found, in the order of the text,
 are matched against the rules in their order: a rule consumes the identifiers that it matches.
 """
@@ -93,7 +94,7 @@ RULES: list[tuple[str, list[str], str]] = [
 ]
 
 _RANK = {"free": 1, "terms": 2, "closed": 3}
-_END = r"[.;:!?]+(\s+|$)"
+_END = r"[.;!?]+(\s+|$)"
 
 
 def normal(s: str) -> str:
@@ -143,8 +144,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     spark = docs.sparkSession
     known = spark.createDataFrame([(s, k) for k, s in _known()], "__s string, __k string")  # the fixed list
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(text_col).alias("__t"), F.col(text_col).alias("__text"))
-    lines = _sequences(base, known, F.split("__text", r"[\n\r]+|[.;:!?]+[\x20\x09-\x0D]+"), "__lines")
-    joined = _sequences(base, known, F.split(F.regexp_replace("__text", r"[\x20\x09-\x0D]+", " "), r"[.;:!?]+ "), "__joined")
+    lines = _sequences(base, known, F.split("__text", r"[\n\r]+|[.;!?]+[\x20\x09-\x0D]+"), "__lines")
+    joined = _sequences(base, known, F.split(F.regexp_replace(F.regexp_replace("__text", r":[\x20\x09]*[\n\r]", ". "), r"[\x20\x09-\x0D]+", " "), r"[.;!?]+ "), "__joined")
     found = lines.join(joined, ["__id", "__t"], "full")
     names = F.array_union(_applied(F.col("__lines")), _applied(F.col("__joined")))
     order = {name: i for i, (name, _, _) in reversed(list(enumerate(RULES)))}
@@ -190,8 +191,8 @@ def _sql() -> str:
     use = lambda u: ", ".join(f"'{n}'" for n, x in order.items() if x == u)
     return f"""
 WITH known(s, k) AS (VALUES {known}),
-a AS ({piece(r"regexp_split_to_array(text, '[\n\r]+|[.;:!?]+[\x20\x09-\x0D]+')")}),
-b AS ({piece(r"regexp_split_to_array(regexp_replace(text, '[\x20\x09-\x0D]+', ' ', 'g'), '[.;:!?]+ ')")}),
+a AS ({piece(r"regexp_split_to_array(text, '[\n\r]+|[.;!?]+[\x20\x09-\x0D]+')")}),
+b AS ({piece(r"regexp_split_to_array(regexp_replace(regexp_replace(text, ':[\x20\x09]*[\n\r]', '. ', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'), '[.;!?]+ ')")}),
 c AS (SELECT doc_id, coalesce(a.seq, '') AS x, coalesce(b.seq, '') AS y FROM documents LEFT JOIN a USING (doc_id) LEFT JOIN b USING (doc_id)),
 n AS (SELECT doc_id, x, y, list_filter([{every}], lambda v: list_contains({applied('x')[0]}, v) OR list_contains({applied('y')[0]}, v)) AS names FROM c)
 SELECT doc_id, trim(regexp_replace(CASE WHEN length(y) > length(x) THEN y ELSE x END, ',+', ' ', 'g')) AS sentences,

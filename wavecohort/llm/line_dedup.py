@@ -150,7 +150,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
 
 def _removed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
     gone = later_matches(docs, threshold, id_col, text_col)
-    return gone.groupBy("d").agg(F.sort_array(F.collect_list("i")).alias("__gone"))
+    return gone.groupBy(F.col("d").alias("__d")).agg(F.sort_array(F.collect_list("i")).alias("__gone"))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -159,7 +159,7 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
     lines = F.split(text_col, "\n")
     left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    got = docs.join(gone, docs[id_col] == gone["d"], "left")
+    got = docs.join(gone, F.col(id_col) == F.col("__d"), "left")
     return got.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
@@ -167,7 +167,7 @@ def annotate_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_i
     """One row per row of ``docs``: ``id, n_lines, n_removed, removed`` (line numbers from 0, ascending)."""
     gone = _removed(docs, threshold, id_col, text_col)
     base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("__n"))
-    got = base.join(gone, base["__id"] == gone["d"], "left")
+    got = base.join(gone, F.col("__id") == F.col("__d"), "left")
     removed = F.coalesce("__gone", F.array().cast("array<int>"))
     return got.select(F.col("__id").alias(id_col), F.greatest("__n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 

@@ -24,7 +24,7 @@ from wavecohort.llm.common import table, unit
 SCALE = 1024
 PIVOTS = 16
 SAMPLE = 1024
-BLOCK, QUERY_BLOCK, LEAF = 4096, 2048, 64
+BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 4096, 2048, 256, 64
 
 
 class CoverTree:
@@ -72,7 +72,7 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
     nq = len(queries)
     best = np.full((nq, k), -np.inf)
     ids = np.full((nq, k), np.iinfo(np.int64).max)
-    qt, dt = CoverTree(queries, 16), CoverTree(data)
+    qt, dt = CoverTree(queries, QUERY_LEAF), CoverTree(data)
     worst = floor.astype(float).copy()
     under: dict[int, np.ndarray] = {}
 

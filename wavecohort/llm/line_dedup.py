@@ -5,8 +5,8 @@ are folded first, by partial aggregation, so that a line which a third of all do
 The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
 documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, lines meet in a posted token under the length, the
 positional and a bitmap filter, and every pair is verified on its real tokens. Families of copies are thinned
-first: a line that matches the earliest line of one of its rarest tokens is gone and need not meet the others. The class table has ``BUCKETS`` bytes whatever
-the input; the order only steers the work, so hashing tokens into buckets costs no exactness.
+first: a line that matches the earliest line of one of its rarest tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB)
+whatever the input; the order only steers the work, so hashing tokens into buckets costs no exactness.
 """
 
 from __future__ import annotations
@@ -53,13 +53,15 @@ def _few(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
 
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row, ``classes array<tinyint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class."""
+    """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class, in the
+    top byte."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(_folded(F.col(text_col)), "[ \n]")).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(F.split(F.replace(_folded(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
-    cls = F.least(F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) * 3), F.lit(120)).cast("tinyint")
+    cls = F.least(F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) * 3), F.lit(120))
+    cls = F.shiftleft(cls.cast("long"), 56)
     low = F.col("b").bitwiseAND(1023)
     rows = counts.groupBy(F.shiftright("b", 10).alias("hi")).agg(F.array_sort(F.collect_list(F.struct(low.alias("lo"), cls.alias("c")))).alias("cells"))
     rows = rows.select("hi", F.col("cells.c").alias("c"))
@@ -67,14 +69,13 @@ def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
 
 
 def _bucket(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(BUCKETS)).cast("int")
+    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _keys(line: Column, classes: Column) -> Column:
     """Distinct token keys of a line, rare ones first: frequency class in the top byte, hash in the rest."""
     hashes = F.transform(_tokens(line), lambda w: F.xxhash64(w))
-    place = lambda h: F.pmod(h, F.lit(BUCKETS)).cast("int")
-    key = lambda h: F.shiftleft(F.get(classes, place(h)).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit(_LOW56)))
+    key = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_LOW56)))
     return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 

@@ -84,9 +84,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.clip(((a == b).mean(axis=1) - chance) / (1 - chance), 0, 1)
 
 
+def _slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of fewer rows, to bound what a worker holds at once; an empty batch stays one."""
+    for batch in batches:
+        for at in range(0, max(batch.num_rows, 1), rows):
+            yield batch.slice(at, rows)
+
+
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["id", "n", "lo", "hi", "bands", "sig"]
-    for batch in batches:
+    for batch in _slices(batches):
         words, at = words_of(batch.column(1))
         n, lo, hi, bands, sigs = [], [], [], [], []
         for i in range(batch.num_rows):
@@ -107,7 +114,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _slices(batches):
         words, at = words_of(batch.column(1))
         sets = [shingles_of(words[at[i] : at[i + 1]]).view(np.int64) for i in range(batch.num_rows)]
         lo = [int(np.add.reduce(mix64(s.view(np.uint64))).astype(np.int64)) for s in sets]

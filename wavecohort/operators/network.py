@@ -1,21 +1,23 @@
 """Edge tables of networks: tests on edges, components, permutation tests, regions and graph metrics.
 
 An edge table has ``ch1 < ch2`` and a ``weight``; networks of many subjects, bands and pairs of groups are one table with
-key columns. Work that a network's own matrix is the natural unit of (permutations, shortest paths) runs in numpy on one
-matrix of a (subject, band) or (pair, band) in a group; everything else is joins and aggregations on edges.
+key columns. Shortest paths run in numpy on the matrix of a (subject, band); permutations add up sums of (permutation,
+edge) over tasks and find components in tables of edges; everything else is joins and aggregations on edges.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecohort.functions.scratch import written
 from wavecohort.operators.components import connected_components
 from wavecohort.operators.groupstats import group_moments, group_pairs
+from wavecohort.operators.permute import blocks, digests, label_cuts, labels, parts
 
 
 def welch_t(m1: Column, m2: Column, v1: Column, v2: Column, n1: Column, n2: Column) -> Column:
@@ -84,45 +86,72 @@ def null_distribution(edges: DataFrame, keys: list[str], pairs: list[tuple[str,
     """``keys, g1, g2, perm, direction, max_stat``: the largest component of every permutation of the group labels.
 
     A permutation gives the first group's number of labels to the subjects of the smallest md5 of (seed, permutation,
-    subject): the same in every engine and partitioning. Each group of the job holds one network's matrix of subjects by
-    edges and a block of permutations, which are two matrix products. Subjects need every edge of their network.
+    subject): the same in every engine and partitioning. Subjects are labelled where they are, sums and sums of squares
+    of (key, permutation, edge) are added up over tasks, and a group of the job holds ``block`` permutations' t-values of
+    one network's edges. Subjects need every edge of their network; a pair without subjects of both groups has no rows.
     """
-    table = edges.sparkSession.createDataFrame(pairs, "g1 string, g2 string")
+    spark = edges.sparkSession
+    table = spark.createDataFrame(pairs, "g1 string, g2 string")
     both = edges.join(F.broadcast(table), (F.col(group) == F.col("g1")) | (F.col(group) == F.col("g2")))
     by = [*keys, "g1", "g2"]
-    rows = both.groupBy(*by, subject, group).agg(F.array_sort(F.collect_list(F.struct("ch1", "ch2", "weight"))).alias("e"))
-    rows = rows.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit((n_perms - 1) // block))))
-    types = dict(edges.dtypes)
+    e = F.array_sort(F.collect_list(F.struct("ch1", "ch2", F.col("weight").cast("double").alias("weight")))).alias("e")
+    rows = both.groupBy(*by, subject, group).agg(e).repartition(subject).sortWithinPartitions(subject)
+    rows = written(rows, "networks")  # read by each of three passes
+    cells = rows.select(*by, F.col(group).alias("__g"), F.explode("e").alias("c")).select(*by, "__g", "c.*").groupBy(*by, "ch1", "ch2")
+    per = cells.agg(F.count("*").alias("n"), F.count_if(F.col("__g") == F.col("g1")).alias("n1"), F.avg("weight").alias("mean"), F.var_pop("weight").alias("var"))
+    nets: dict[tuple, list] = {}
+    for r in per.sort(*by, "ch1", "ch2").collect():  # a row for each key and edge
+        nets.setdefault(tuple(r[k] for k in by), []).append(r)
+    if any(len({(r["n"], r["n1"]) for r in v}) > 1 for v in nets.values()):
+        raise ValueError("a subject lacks an edge of its network")
+    nets = {k: v for k, v in nets.items() if 0 < v[0]["n1"] < v[0]["n"]}
+    sizes = {k: (v[0]["n"], v[0]["n1"]) for k, v in nets.items()}
+    mean = {k: np.array([r["mean"] for r in v]) for k, v in nets.items()}
+    square = {k: np.array([r["var"] * r["n"] for r in v]) for k, v in nets.items()}
+    names = {k: (np.array([r["ch1"] for r in v]), np.array([r["ch2"] for r in v])) for k, v in nets.items()}
+    cuts = label_cuts(rows, by, subject, sizes, n_perms, seed)
+    types = dict(rows.dtypes)
+    head = "".join(f"`{k}` {types[k]}, " for k in by)
+
+    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = {k: np.zeros((2, n_perms, len(m))) for k, m in mean.items()}  # of a task: the size of the result
+        seen = set()
+        for f in frames:
+            at, found = pd.factorize(f["__id"])
+            ids = [str(x).encode() for x in found]
+            split = [(k, at[i], np.array(f["w"].iloc[i].tolist()) - mean[k]) for k, i in parts(f, by) if k in mean]
+            seen |= {k for k, _, _ in split}
+            for perms in blocks(n_perms):
+                hi, lo = digests(seed, perms, ids)
+                for k, i, w in split:
+                    one = labels(hi[:, i], lo[:, i], cuts[k], perms)
+                    total[k][0, perms.start : perms.stop] += one @ w
+                    total[k][1, perms.start : perms.stop] += one @ w**2
+        for k in seen:
+            out = pd.DataFrame({"perm": np.arange(n_perms), "s": list(total[k][0]), "q": list(total[k][1])})
+            for c, v in zip(by, k, strict=True):
+                out[c] = v
+            yield out[[*by, "perm", "s", "q"]]
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        first, number = key[-3], key[-1]
-        f = f.sort_values(subject)
-        e = f["e"].iloc[0]
-        ch1, ch2 = np.array([x["ch1"] for x in e]), np.array([x["ch2"] for x in e])
-        w = np.array([[x["weight"] for x in row] for row in f["e"]], float)
-        w = w - w.mean(axis=0)
-        n, n1 = len(f), int((f[group] == first).sum())
-        ids = f[subject].astype(str).tolist()
-        perms = range(number * block, min(n_perms, (number + 1) * block))
-        label = np.zeros((len(perms), n))
-        for i, p in enumerate(perms):
-            order = sorted(range(n), key=lambda j: (hashlib.md5(f"{seed}|{p}|{ids[j]}".encode()).hexdigest(), ids[j]))
-            label[i, order[:n1]] = 1
-        s1, q1 = label @ w, label @ w**2
-        s, q = w.sum(axis=0), (w**2).sum(axis=0)
-        n2 = n - n1
-        m1, m2 = s1 / n1, (s - s1) / max(n2, 1)
-        v1, v2 = (q1 - n1 * m1**2) / max(n1 - 1, 1), (q - q1 - n2 * m2**2) / max(n2 - 1, 1)
-        se = np.sqrt(np.maximum(v1, 0) / n1 + np.maximum(v2, 0) / max(n2, 1))
+        k = tuple(key[:-1])
+        (ch1, ch2), (n, n1) = names[k], sizes[k]
+        f, n2 = f.sort_values(["perm", "at"]), n - n1
+        s1, q1 = (f[c].to_numpy().reshape(-1, len(ch1)) for c in ("s", "q"))
+        m1, m2 = s1 / n1, -s1 / n2  # weights are less their means, so all sums are 0
+        v1, v2 = (q1 - n1 * m1**2) / max(n1 - 1, 1), (square[k] - q1 - n2 * m2**2) / max(n2 - 1, 1)
+        se = np.sqrt(np.maximum(v1, 0) / n1 + np.maximum(v2, 0) / n2)
         t = np.where(se > 1e-12, (m1 - m2) / np.where(se > 1e-12, se, 1), 0.0)
         out = []
-        for i, p in enumerate(perms):
+        for i, p in enumerate(f["perm"].to_numpy()[:: len(ch1)]):
             for d, hit in (("positive", t[i] > thr), ("negative", t[i] < -thr)):
-                out.append([*key[:-1], p, d, float(_largest(ch1[hit], ch2[hit], t[i][hit], statistic == "intensity"))])
+                out.append([*k, p, d, float(_largest(ch1[hit], ch2[hit], t[i][hit], statistic == "intensity"))])
         return pd.DataFrame(out, columns=[*by, "perm", "direction", "max_stat"])
 
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "g1 string, g2 string, perm int, direction string, max_stat double"])
-    return rows.groupBy(*by, "block").applyInPandas(run, schema)
+    weights = rows.select(*by, F.col(subject).cast("string").alias("__id"), F.transform("e", lambda x: x["weight"]).alias("w"))
+    got = weights.mapInPandas(sums, f"{head}perm int, s array<double>, q array<double>")
+    got = got.select(*by, "perm", F.posexplode(F.arrays_zip("s", "q")).alias("at", "x")).groupBy(*by, "perm", "at").agg(F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
+    return got.withColumn("block", F.expr(f"perm div {block}")).groupBy(*by, "block").applyInPandas(run, f"{head}perm int, direction string, max_stat double")
 
 
 def nbs(edges: DataFrame, keys: list[str], pairs: list[tuple[str, str]], thr: float, n_perms: int, seed: int = 42, statistic: str = "size", alpha: float = 0.05, group: str = "grp", subject: str = "subject_id") -> tuple[DataFrame, DataFrame]:

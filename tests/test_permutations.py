@@ -45,3 +45,39 @@ def test_null_is_spread_and_exact(spark, monkeypatch, width):
     assert "MapInPandas" in plan  # subjects are labelled where they are, never one network's subjects in one group
     found = {(r["band"], r["perm"], r["direction"]): r["max_stat"] for r in got.collect()}
     assert found == {(band, *k): v for band in ("x", "y") for k, v in brute_null(rows, band, 0.8, 130).items()}
+
+
+def test_replicates_can_tell_effects_from_chance(spark, monkeypatch):
+    """The queries without SQL, and the whole forms of those with it, run the studies' numbers of replicates."""
+    from wavecohort import jobs
+    from wavecohort.jobs import model_queries, networks
+    from wavecohort.operators import models as M
+
+    asked = []
+    null, boot = N.null_distribution, M.bootstrap_effects
+    monkeypatch.setattr(N, "null_distribution", lambda e, k, pairs, thr, n, *a, **b: asked.append((n, len(pairs))) or null(e, k, pairs, thr, 2, *a, **b))
+    monkeypatch.setattr(M, "bootstrap_effects", lambda df, k, x, m, y, row, reps, *a, **b: asked.append(reps) or boot(df, k, x, m, y, row, 2, *a, **b))
+    for name in ("nbs_all_pairs", "nbs_significant_edges", "nbs_summary_whole", "nbs_permutation_test_whole"):
+        jobs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    for name in ("bootstrap_effects_whole", "percentile_ci_whole", "bootstrap_mediation_whole", "batch_mediation", "component_mediation", "mediation_summary"):
+        jobs.QUERIES[name](spark, "/root/testdata/sf0.001")
+    assert asked == [(3000, 3)] * 4 + [5000] * 6
+    assert (networks.PERMS, model_queries.REPS) == (3000, 5000)
+
+
+def test_bootstrap_matches_brute_force(spark):
+    from wavecohort.operators import models as M
+
+    rng = np.random.default_rng(2)
+    rows = [(k, i, *map(float, rng.normal(3, 1, 3))) for k in range(60) for i in range(12)]  # more keys than a task holds
+    df = spark.createDataFrame(rows, "k int, i int, x double, m double, y double").repartition(3)
+    got = {(r["k"], r["rep"]): r["indirect"] for r in M.bootstrap_effects(df, ["k"], "x", "m", "y", "i", 60).collect()}
+    for k, rep in ((0, 0), (0, 59), (41, 51), (59, 7)):
+        v = np.array([r[2:] for r in rows if r[0] == k])
+        u = np.array([int(hashlib.md5(f"42|{rep}|{i}".encode()).hexdigest()[:13], 16) / 2**52 for i in range(12)])
+        c = np.repeat(np.arange(12), [sum(x >= p for p in M._POISSON) for x in u])
+        x, m, y = v[c].T
+        a = np.cov(x, m)[0, 1] / np.var(x, ddof=1)
+        b = np.linalg.lstsq(np.c_[np.ones(len(c)), x, m], y, rcond=None)[0][2]
+        assert got[k, rep] == pytest.approx(a * b, abs=1e-9)
+    assert len(got) == 60 * 60

@@ -13,6 +13,9 @@ from wavecohort.operators import models as M
 from wavecohort.operators import network as N
 from wavecohort.operators import select as S
 
+#: Resamples of a mediation, as in the studies. The SQL of the three bootstrap queries that have one states 20.
+REPS = 5000
+
 
 def _lines(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
@@ -44,12 +47,23 @@ def bootstrap_effects(spark, sf_dir):
     return rounded(M.bootstrap_effects(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", 20), "indirect")
 
 
+@query("bootstrap_effects_whole")
+def bootstrap_effects_whole(spark, sf_dir):
+    return rounded(M.bootstrap_effects(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", REPS), "indirect")
+
+
 @query("percentile_ci", f"WITH {MED} SELECT l_returnflag, round(quantile_cont(a * b, 0.025), 6) + 0.0 AS low, round(quantile_cont(a * b, 0.975), 6) + 0.0 AS high FROM ef GROUP BY 1")
 def percentile_ci(spark, sf_dir):
     boot = M.bootstrap_effects(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", 20)
     return rounded(M.percentile_ci(boot, ["l_returnflag"], "indirect"), "low", "high")
 
 
+@query("percentile_ci_whole")
+def percentile_ci_whole(spark, sf_dir):
+    boot = M.bootstrap_effects(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", REPS)
+    return rounded(M.percentile_ci(boot, ["l_returnflag"], "indirect"), "low", "high")
+
+
 @query("bootstrap_mediation", f"""WITH {MED}, bo AS (SELECT l_returnflag, quantile_cont(a * b, 0.025) AS low, quantile_cont(a * b, 0.975) AS high, avg((a * b <= 0)::INT) AS lo, avg((a * b >= 0)::INT) AS hi FROM ef GROUP BY 1),
 s1 AS (SELECT l_returnflag, count(*) AS n, sum(x*x) AS sxx, sum(x*m) AS sxm, sum(x*y) AS sxy, sum(m*m) AS smm, sum(m*y) AS smy FROM cl GROUP BY 1),
 e1 AS (SELECT *, sxm / sxx AS a, (smy * sxx - sxy * sxm) / (sxx * smm - sxm * sxm) AS b, (sxy * smm - smy * sxm) / (sxx * smm - sxm * sxm) AS direct, sxy / sxx AS total FROM s1)
@@ -59,6 +73,12 @@ def bootstrap_mediation(spark, sf_dir):
     return got.withColumns({c: r6(c) for c in ("a", "b", "direct", "total", "indirect", "low", "high", "p")} | {"proportion": r6("proportion", 5)})
 
 
+@query("bootstrap_mediation_whole")
+def bootstrap_mediation_whole(spark, sf_dir):
+    got = M.bootstrap_mediation(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", REPS)
+    return got.withColumns({c: r6(c) for c in ("a", "b", "direct", "total", "indirect", "low", "high", "p")} | {"proportion": r6("proportion", 5)})
+
+
 @query("simple_mediation_sobel", f"""WITH {LINES}, o AS (SELECT l_returnflag, regr_slope(m, x) AS a, sqrt((regr_syy(m, x) - regr_slope(m, x) * regr_sxy(m, x)) / (count(*) - 2) / regr_sxx(m, x)) AS sa,
   regr_slope(y, m) AS b, sqrt((regr_syy(y, m) - regr_slope(y, m) * regr_sxy(y, m)) / (count(*) - 2) / regr_sxx(y, m)) AS sb, regr_slope(y, x) AS c FROM li GROUP BY 1)
 SELECT l_returnflag, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(c, 6) + 0.0 AS c, round(a * b, 6) + 0.0 AS indirect, round(sqrt((a * sb) ** 2 + (b * sa) ** 2), 6) AS se, round(a * b / sqrt((a * sb) ** 2 + (b * sa) ** 2), 4) + 0.0 AS z FROM o""")
@@ -70,7 +90,7 @@ def simple_mediation_sobel(spark, sf_dir):
 @query("batch_mediation")
 def batch_mediation(spark, sf_dir):
     li = _lines(spark, sf_dir).withColumn("z", F.col("m") - F.col("x"))
-    return rounded(M.batch_mediation(li, "x", ["m", "z"], ["y"], "row", 20), "indirect", "low", "high", "p", "p_fdr").select("mediator", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
+    return rounded(M.batch_mediation(li, "x", ["m", "z"], ["y"], "row", REPS), "indirect", "low", "high", "p", "p_fdr").select("mediator", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
 
 
 def _component_mediation(spark, sf_dir):
@@ -80,7 +100,7 @@ def _component_mediation(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     groups = emb.select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("grp")).filter("grp IN ('g0', 'g1')")
     out = emb.select(F.col("vec_id").alias("subject_id"), F.col("embedding")[40].cast("double").alias("reading"), F.col("embedding")[41].cast("double").alias("naming"))
-    return M.component_mediation(means, out, "subject_id", ["freq_band", "direction", "component"], groups, "g0", ["reading", "naming"], 20)
+    return M.component_mediation(means, out, "subject_id", ["freq_band", "direction", "component"], groups, "g0", ["reading", "naming"], REPS)
 
 
 @query("component_mediation")

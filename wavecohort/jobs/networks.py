@@ -29,6 +29,8 @@ nn AS (SELECT freq_band, g1, g2, direction, component, count(DISTINCT x) AS n_no
 
 PAIRS = [("g0", "g1"), ("g0", "g2"), ("g1", "g2")]
 BY = ["freq_band", "g1", "g2", "direction"]
+#: Permutations of a test, as in the studies. The SQL of nbs_permutation_test and nbs_summary states 6 of one pair.
+PERMS = 3000
 
 
 def edges(spark, sf_dir, absolute=False):
@@ -102,9 +104,14 @@ def nbs_permutation_test(spark, sf_dir):
     return N.null_distribution(edges(spark, sf_dir), ["freq_band"], [("g0", "g1")], 1.0, 6, block=4)
 
 
+@query("nbs_permutation_test_whole")
+def nbs_permutation_test_whole(spark, sf_dir):
+    return N.null_distribution(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, PERMS)
+
+
 @query("nbs_all_pairs")
 def nbs_all_pairs(spark, sf_dir):
-    summary, _ = N.nbs(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, 200)
+    summary, _ = N.nbs(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, PERMS)
     return rounded(summary.select(*BY, "component_id", "n_edges", "n_nodes", "stat", "p_value", "significant"), "stat", "p_value")
 
 
@@ -120,9 +127,17 @@ def nbs_summary(spark, sf_dir):
     return rounded(got.select(*BY, "component_id", "n_edges", "n_nodes", "stat", "p_value", "significant"), "stat", "p_value")
 
 
+@query("nbs_summary_whole")
+def nbs_summary_whole(spark, sf_dir):
+    summary, _ = N.nbs(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, PERMS)
+    grid = spark.createDataFrame([(b, *p) for b in ("b0", "b1", "b9") for p in PAIRS], "freq_band string, g1 string, g2 string")
+    got = N.summary_with_empty(summary, grid, ["freq_band", "g1", "g2"])
+    return rounded(got.select(*BY, "component_id", "n_edges", "n_nodes", "stat", "p_value", "significant"), "stat", "p_value")
+
+
 @query("nbs_significant_edges")
 def nbs_significant_edges(spark, sf_dir):
-    _, e = N.nbs(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, 200)
+    _, e = N.nbs(edges(spark, sf_dir), ["freq_band"], PAIRS, 1.0, PERMS)
     return e.filter("component_p < 0.5").select(*BY, "ch1", "ch2", r6("t").alias("t"), r6("component_p").alias("component_p")).orderBy(F.abs("t").desc())
 
 

@@ -6,6 +6,8 @@ sums. Rows with a null or NaN in a variable of the model have no part.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from wavecohort.functions import special
 from wavecohort.functions.pvalues import normal_p
 from wavecohort.operators.groupstats import fdr_bh, ols_simple, over
+from wavecohort.operators.permute import blocks, digests, parts
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -107,13 +110,45 @@ def _centred(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str) -
 
 def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int, seed: int = 42) -> DataFrame:
     """``keys, rep, indirect``: the indirect effect of each resample. A row's weight in a resample is a Poisson number
-    with mean 1 from the md5 of (seed, resample, row): no join, no draws sent about, and sums that are added up where the
-    rows are. ``row``: a column that tells rows apart."""
-    rows = _centred(df, keys, x, m, y, row).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(reps - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "rep", F.col("__row").cast("string"))), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
-    w = sum(((u >= p).cast("int") for p in _POISSON[1:]), (u >= _POISSON[0]).cast("int"))
-    rows = rows.withColumn("__w", w.cast("double")).filter("__w > 0")
-    return _effects(rows.groupBy(*keys, "rep").agg(*_paths(F.col("__w")))).select(*keys, "rep", "indirect")
+    with mean 1 from the md5 of (seed, resample, row): no draws sent about, and sums of products that tasks add up where
+    the rows are, a matrix product of resamples by rows at a time. ``row``: a column that tells rows apart; keys that
+    share a row share its hashes."""
+    rows = _centred(df, keys, x, m, y, row).withColumn("__row", F.col("__row").cast("string"))
+    rows = rows.repartition("__row").sortWithinPartitions("__row")
+    types, sums = dict(rows.dtypes), ["w", "x", "m", "y", "xx", "xm", "xy", "mm", "my"]
+
+    def flush(total: dict) -> pd.DataFrame:
+        out = pd.DataFrame(np.concatenate(list(total.values())), columns=[f"__{c}" for c in sums])
+        out["rep"] = np.tile(np.arange(reps), len(total))
+        for i, c in enumerate(keys):
+            out[c] = [v for k in total for v in [k[i]] * reps]
+        return out[[*keys, "rep", *[f"__{c}" for c in sums]]]
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total: dict[tuple, np.ndarray] = {}
+        for f in frames:
+            at, found = pd.factorize(f["__row"], use_na_sentinel=False)
+            ids = [("" if pd.isna(r) else f"{r}").encode() for r in found]
+            split = []
+            for k, i in parts(f, keys):
+                a, b, c = (f[n].to_numpy(float)[i] for n in ("__x", "__m", "__y"))
+                split.append((k, at[i], np.c_[np.ones(len(i)), a, b, c, a * a, a * b, a * c, b * b, b * c]))
+                total.setdefault(k, np.zeros((reps, len(sums))))
+            for turn in blocks(reps):
+                u = (digests(seed, turn, ids)[0] >> np.uint64(12)).astype(float) / 2.0**52
+                w = np.searchsorted(_POISSON, u, side="right").astype(float)
+                for k, i, v in split:
+                    total[k][turn.start : turn.stop] += w[:, i] @ v
+            if len(total) > 50:  # many keys are sent on now and then, so that a task holds a few
+                yield flush(total)
+                total = {}
+        if total:
+            yield flush(total)
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rep int", *(f"__{c} double" for c in sums)])
+    got = rows.select(*keys, "__row", "__x", "__m", "__y").mapInPandas(draw, schema)
+    got = got.groupBy(*keys, "rep").agg(*[F.sum(f"__{c}").alias(c) for c in sums]).filter("w > 0")
+    return _effects(got).select(*keys, "rep", "indirect")
 
 
 def bootstrap_mediation(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
@@ -158,8 +193,9 @@ def batch_mediation(df: DataFrame, x: str, mediators: list[str], outcomes: list[
     return fdr_bh(bootstrap_mediation(long, ["mediator", "outcome"], x, "m", "y", row, reps, seed=seed), [], "p", order=["mediator", "outcome"])
 
 
-def component_mediation(means: DataFrame, outcomes: DataFrame, subject: str, keys: list[str], groups: DataFrame, first: str, names: list[str], reps: int = 1000, seed: int = 42) -> DataFrame:
-    """Each component's mean edge as the mediator between the group (1 for ``first``, else 0) and each outcome."""
+def component_mediation(means: DataFrame, outcomes: DataFrame, subject: str, keys: list[str], groups: DataFrame, first: str | Column, names: list[str], reps: int = 1000, seed: int = 42) -> DataFrame:
+    """Each component's mean edge as the mediator between the group (1 for ``first``, a name or the column that has it
+    for each component, else 0) and each outcome."""
     rows = means.join(groups, subject).join(outcomes, subject).withColumn("x", (F.col("grp") == first).cast("double"))
     cells = F.array(*[F.struct(F.lit(y).alias("outcome"), F.col(y).cast("double").alias("y")) for y in names])
     long = rows.select(subject, *keys, "x", F.col("weight").alias("m"), F.explode(cells).alias("c")).select(subject, *keys, "x", "m", "c.*")

@@ -37,7 +37,7 @@ def parts(f: pd.DataFrame, by: list[str]) -> list[tuple[tuple, np.ndarray]]:
     """Keys and row numbers of a batch."""
     if not by:
         return [((), np.arange(len(f)))]
-    return [(k if isinstance(k, tuple) else (k,), np.asarray(i)) for k, i in f.groupby(by, sort=False).indices.items()]
+    return [(k if isinstance(k, tuple) else (k,), np.asarray(i)) for k, i in f.groupby(by, sort=False, dropna=False).indices.items()]
 
 
 def _window(n: int, n1: int, width: float) -> tuple[np.uint64, np.uint64]:

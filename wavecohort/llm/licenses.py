@@ -77,12 +77,16 @@ RULES: list[tuple[str, list[str], str]] = [
     ("GPL-2.0-or-later", ["gpl2-or-later", "gpl-no-warranty"], "terms"),
     ("GPL-2.0-or-later", ["gpl2-or-later"], "terms"),
     ("GPL-2.0", ["gpl2-short"], "terms"),
+    ("GPL-2.0-only", ["gpl-redistribute", "gpl2-version"], "terms"),
+    ("GPL-3.0-only", ["gpl-redistribute", "gpl3-version"], "terms"),
+    ("GPL-1.0-or-later", ["gpl-redistribute"], "terms"),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse"], "free"),
     ("BSD-2-Clause", ["bsd-grant", "bsd-source", "bsd-binary"], "free"),
     ("BSD-3-Clause", ["bsd3-short"], "free"),
     ("BSD-2-Clause", ["bsd2-short"], "free"),
     ("ISC", ["isc-grant"], "free"),
     ("ISC", ["isc-short"], "free"),
+    ("MPL-1.1", ["mpl-short", "mpl-version-1-1"], "terms"),
     ("MPL-2.0", ["mpl-short"], "terms"),
     ("Unlicense", ["unlicense"], "free"),
     ("CC0-1.0", ["cc0"], "free"),
@@ -93,6 +97,34 @@ RULES: list[tuple[str, list[str], str]] = [
     ("LicenseRef-all-rights-reserved", ["reserved"], "closed"),
 ]
 
+#: Pieces of sentences with a sentence end inside, in place of the longest piece. Without a version piece the GPL's notice
+#: is for any version, as its terms say.
+_REDISTRIBUTE = "you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"
+PIECES: list[tuple[str, str]] = [
+    ("gpl-program", "This program is free software"),
+    ("gpl-redistribute", _REDISTRIBUTE),
+    ("gpl-redistribute", "This program is free software: " + _REDISTRIBUTE),
+    ("gpl2-version-or-later", "either version 2 of the License, or (at your option) any later version"),
+    ("gpl3-version-or-later", "either version 3 of the License, or (at your option) any later version"),
+    ("gpl2-version", "version 2 of the License"),
+    ("gpl2-version", "version 2"),
+    ("gpl3-version", "version 3 of the License"),
+    ("gpl3-version", "version 3"),
+    ("mpl-version-2-0", "2.0"),
+    ("mpl-version-1-1", "1.1"),
+]
+#: Pieces in sequence that are a whole sentence, by its identifier.
+WHOLE: list[tuple[list[str], str]] = [
+    (["gpl-program", "gpl-redistribute"], "gpl-redistribute"),
+    (["gpl-redistribute", "gpl2-version-or-later"], "gpl2-or-later"),
+    (["gpl-redistribute", "gpl3-version-or-later"], "gpl3-or-later"),
+    (["mpl-short", "mpl-version-2-0"], "mpl-short"),
+]
+#: A version is one only right after what it is the version of; what stands elsewhere says nothing.
+_STRAY = r"(?<!,gpl-redistribute,),gpl[23]-version,|(?<!,mpl-short,),mpl-version-1-1,|,(gpl-program|gpl[23]-version-or-later|mpl-version-2-0),"
+#: Rules that the SQL, which knows such a sentence by its longest piece alone, does not state.
+_UNSTATED = {"GPL-2.0-only", "GPL-3.0-only", "GPL-1.0-or-later", "MPL-1.1"}
+
 _RANK = {"free": 1, "terms": 2, "closed": 3}
 _END = r"[.;!?]+(\s+|$)"
 
@@ -109,6 +141,15 @@ def _known() -> list[tuple[str, str]]:
     return [(k, s) for s, k in out.items()]
 
 
+def _scanned() -> list[tuple[str, str]]:
+    """Identifier and normalised sentence or piece, with every piece of a sentence under its own identifier."""
+    own = {normal(s): k for k, s in PIECES}
+    return [(k, s) for k, s in _known() if s not in own] + [(k, s) for s, k in own.items()]
+
+
+_SHORTEST = min(len(s) for _, s in _scanned())
+
+
 def _norm(c: Column) -> Column:
     return F.trim(F.regexp_replace(ascii_lower(c), "[^a-z0-9]+", " "))
 
@@ -116,10 +157,14 @@ def _norm(c: Column) -> Column:
 def _sequences(docs: DataFrame, known: DataFrame, pieces: Column, name: str) -> DataFrame:
     """``__id, __t`` and the identifiers found in the pieces, as ``,a,b,``, in the order of the text."""
     got = docs.select("__id", "__t", F.posexplode(pieces).alias("__i", "__p"))
-    got = got.filter(F.length("__p") >= 8).select("__id", "__t", "__i", _norm(F.col("__p")).alias("__s"))
+    got = got.filter(F.length("__p") >= _SHORTEST).select("__id", "__t", "__i", _norm(F.col("__p")).alias("__s"))
     hit = got.join(F.broadcast(known), "__s").select("__id", "__t", "__i", "__k").distinct()
     keys = F.transform(F.array_sort(F.collect_list(F.struct("__i", "__k"))), lambda x: x["__k"])
-    return hit.groupBy("__id", "__t").agg(F.concat(F.lit(","), F.array_join(keys, ",,"), F.lit(",")).alias(name))
+    got = hit.groupBy("__id", "__t").agg(F.concat(F.lit(","), F.array_join(keys, ",,"), F.lit(",")).alias(name))
+    seq = F.col(name)
+    for parts, whole in WHOLE:
+        seq = F.replace(seq, F.lit(f",{',,'.join(parts)},"), F.lit(f",{whole},"))
+    return got.withColumn(name, F.regexp_replace(seq, _STRAY, "")).filter(F.length(name) > 0)
 
 
 def _applied(seq: Column) -> Column:
@@ -142,7 +187,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     no part.
     """
     spark = docs.sparkSession
-    known = spark.createDataFrame([(s, k) for k, s in _known()], "__s string, __k string")  # the fixed list
+    known = spark.createDataFrame([(s, k) for k, s in _scanned()], "__s string, __k string")  # the fixed list
     base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(text_col).alias("__t"), F.col(text_col).alias("__text"))
     lines = _sequences(base, known, F.split("__text", r"[\n\r]+|[.;!?]+[\x20\x09-\x0D]+"), "__lines")
     joined = _sequences(base, known, F.split(F.regexp_replace(F.regexp_replace("__text", r":[\x20\x09]*[\n\r]", ". "), r"[\x20\x09-\x0D]+", " "), r"[.;!?]+ "), "__joined")
@@ -171,6 +216,7 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
+    stated = [r for r in RULES if r[0] not in _UNSTATED]
     known = ", ".join(f"('{s}', '{k}')" for k, s in _known())
     piece = lambda cut: f"""SELECT doc_id, ',' || string_agg(k, ',,' ORDER BY i) || ',' AS seq FROM (
       SELECT doc_id, i, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS s
@@ -178,14 +224,14 @@ def _sql() -> str:
 
     def applied(seq: str) -> tuple[str, list[str]]:
         steps, names, left = [], [], seq
-        for j, (name, ids, _) in enumerate(RULES):
+        for j, (name, ids, _) in enumerate(stated):
             pat = "," + ",,".join(ids) + ","
             steps.append(f"CASE WHEN contains({left}, '{pat}') THEN '{name}' END")
             left = f"replace({left}, '{pat}', '|')"
         return f"[{', '.join(steps)}]", names
 
     order: dict[str, str] = {}
-    for name, _, use in RULES:
+    for name, _, use in stated:
         order.setdefault(name, use)
     every = ", ".join(f"'{x}'" for x in order)
     use = lambda u: ", ".join(f"'{n}'" for n, x in order.items() if x == u)

@@ -26,7 +26,11 @@ from wavecohort.llm.common import table
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul textarea iframe video audio canvas".split()
 )
-SILENT = frozenset("script style noscript template head title svg math object iframe textarea select option video audio canvas".split())
+SILENT = frozenset("script style noscript template head title svg annotation annotation-xml object iframe textarea select option video audio canvas".split())
+#: What may stand in a head; any other start tag ends one that was left open.
+IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
+#: Tags whose content is no part of a head's own.
+NESTED = frozenset("noscript script style template title".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Tags that an opening tag closes, up to the nearest of the second set.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -66,12 +70,12 @@ class _Blocks(HTMLParser):
             self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
+        if tag not in IN_HEAD:  # a head left open ends here
+            at = next((i for i, f in enumerate(self.stack) if f.tag == "head" or (f.tag == "title" and tag == "body")), None)
+            if at is not None and (tag == "body" or not any(f.tag in NESTED - {"title"} for f in self.stack[at:])):
+                self.pop(at)
         if tag in BLOCK_TAGS:
             self.flush()
-            if tag == "body":  # a head left open ends here
-                at = next((i for i, f in enumerate(self.stack) if f.tag in ("head", "title")), None)
-                if at is not None:
-                    self.pop(at)
             if tag in CLOSES:
                 closed, stop = CLOSES[tag]
                 for i in range(len(self.stack) - 1, 0, -1):
@@ -94,7 +98,7 @@ class _Blocks(HTMLParser):
         own = {f"in:{tag}"} if tag in STRUCTURE else set()
         for k, v in attrs:
             if v and k in ("class", "id", "role"):
-                own |= {f"name:{w}" for w in _WORD.findall(v[:200].lower()) if w in NAMES}
+                own |= {f"name:{w}" for w in _WORD.findall(v.lower()) if w in NAMES}
         names = self.stack[-1].names
         self.stack.append(_Frame(tag, names | own if own else names))
         self.silent += tag in SILENT
@@ -116,6 +120,8 @@ class _Blocks(HTMLParser):
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.stack[-1].tag == "head" and data.strip():  # text of a head's own ends one that was left open
+            self.pop(len(self.stack) - 1)
         if not self.silent:
             self.text.append(data)
             self.linked += len(data) if self.links else 0

@@ -94,23 +94,23 @@ def batch_mediation(spark, sf_dir):
 
 
 def _component_mediation(spark, sf_dir):
-    e = W.edges(spark, sf_dir)
-    comp = W._components(spark, sf_dir).filter("g1 = 'g0' AND g2 = 'g1'")
-    means = N.component_mean(e, comp, W.BY).filter("freq_band = 'b0'")
+    """Components of every band and pair of groups, each among the subjects of its pair."""
+    means = N.component_mean(W.edges(spark, sf_dir), W._components(spark, sf_dir), W.BY)
     emb = table(spark, sf_dir, "embeddings")
-    groups = emb.select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("grp")).filter("grp IN ('g0', 'g1')")
+    groups = emb.select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("grp"))
+    means = means.join(groups, "subject_id").filter((F.col("grp") == F.col("g1")) | (F.col("grp") == F.col("g2"))).drop("grp")
     out = emb.select(F.col("vec_id").alias("subject_id"), F.col("embedding")[40].cast("double").alias("reading"), F.col("embedding")[41].cast("double").alias("naming"))
-    return M.component_mediation(means, out, "subject_id", ["freq_band", "direction", "component"], groups, "g0", ["reading", "naming"], REPS)
+    return M.component_mediation(means, out, "subject_id", [*W.BY, "component"], groups, F.col("g1"), ["reading", "naming"], REPS)
 
 
 @query("component_mediation")
 def component_mediation(spark, sf_dir):
-    return rounded(_component_mediation(spark, sf_dir), "indirect", "low", "high", "p", "p_fdr").select("freq_band", "direction", "component", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
+    return rounded(_component_mediation(spark, sf_dir), "indirect", "low", "high", "p", "p_fdr").select(*W.BY, "component", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
 
 
 @query("mediation_summary")
 def mediation_summary(spark, sf_dir):
-    got = _component_mediation(spark, sf_dir).groupBy("outcome").agg(F.count("*").alias("n_models"), F.count_if("significant").alias("n_significant"), F.min("p_fdr").alias("least_p"))
+    got = _component_mediation(spark, sf_dir).groupBy("freq_band", "g1", "g2", "outcome").agg(F.count("*").alias("n_models"), F.count_if("significant").alias("n_significant"), F.min("p_fdr").alias("least_p"))
     return rounded(got, "least_p")
 
 

@@ -161,6 +161,15 @@ def multi_threshold_explore(spark, sf_dir):
     return got.filter("threshold = 1.0")
 
 
+#: Thresholds to compare: the stand-ins' own and those of the studies.
+THRESHOLDS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5]
+
+
+@query("multi_threshold_explore_whole")
+def multi_threshold_explore_whole(spark, sf_dir):
+    return N.explore_thresholds(_t(spark, sf_dir), ["freq_band", "g1", "g2"], THRESHOLDS)
+
+
 @query("edge_feature_matrix", f"""WITH {EDGES} SELECT subject_id, round(any_value(weight) FILTER (ch1 = 'n0' AND ch2 = 'n1'), 6) + 0.0 AS "n0-n1", round(any_value(weight) FILTER (ch1 = 'n2' AND ch2 = 'n5'), 6) + 0.0 AS "n2-n5", 0.0::DOUBLE AS "n8-n9" FROM ed WHERE freq_band = 'b0' GROUP BY 1""")
 def edge_feature_matrix(spark, sf_dir):
     e = edges(spark, sf_dir).filter("freq_band = 'b0'")

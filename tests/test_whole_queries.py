@@ -2,8 +2,12 @@
 
 import itertools
 
+import numpy as np
+import pytest
+
 from wavecohort import jobs
 from wavecohort.jobs import model_queries, networks
+from wavecohort.operators import network as N
 
 from .conftest import DATA
 
@@ -17,6 +21,16 @@ def component_sizes(edges):
     return [len(g) for g in groups]
 
 
+def clustering_and_length(w):
+    """Of a complete weighted graph's matrix."""
+    n, c = len(w), np.cbrt(w / w.max())
+    nodes = [2 * sum(c[i, j] * c[j, k] * c[i, k] for j, k in itertools.combinations([x for x in range(n) if x != i], 2)) / ((n - 1) * (n - 2)) for i in range(n)]
+    d = w.copy()
+    for k, i, j in itertools.product(range(n), repeat=3):
+        d[i, j] = min(d[i, j], d[i, k] + d[k, j])
+    return np.mean(nodes), d.sum() / (n * (n - 1))
+
+
 def test_every_threshold(spark):
     got = jobs.QUERIES["multi_threshold_explore_whole"](spark, DATA).collect()
     t = networks._t(spark, DATA).collect()
@@ -41,3 +55,16 @@ def test_every_band_and_pair(spark, monkeypatch):
     assert {(r["freq_band"], r["g1"], r["g2"], r["direction"], r["component"]) for r in got} == comp and len(got) == 2 * len(comp)
     per = {r["grp"]: r["n"] for r in networks.edges(spark, DATA).filter("freq_band = 'b0' AND ch1 = 'n0' AND ch2 = 'n1'").groupBy("grp").agg({"*": "count"}).toDF("grp", "n").collect()}
     assert all(r["n"] == per[r["g1"]] + per[r["g2"]] for r in got)
+
+
+def test_sigma_is_over_random_graphs(spark):
+    rows = jobs.QUERIES["small_world_sigma_whole"](spark, DATA).collect()
+    graphs = {}
+    for r in N.random_edges(spark, 20, 8, 28).collect():
+        w = graphs.setdefault(r["graph"], np.zeros((8, 8)))
+        i, j = int(r["ch1"][1:]), int(r["ch2"][1:])
+        w[i, j] = w[j, i] = r["weight"]
+    c, length = np.mean([clustering_and_length(w) for w in graphs.values()], axis=0)
+    assert len(graphs) == 20 and len(rows) == 1000
+    for r in rows[:50]:
+        assert r["sigma"] == pytest.approx((r["clustering"] / c) / (r["path_length"] / length), rel=1e-3)

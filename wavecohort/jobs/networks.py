@@ -263,3 +263,18 @@ SELECT subject_id, freq_band, round(clustering, 6) AS clustering, round(l, 6) AS
 def small_world_sigma(spark, sf_dir):
     base = spark.createDataFrame([(0.5, 0.25)], "c_rand double, l_rand double")
     return rounded(N.small_world(edges(spark, sf_dir, True), ["subject_id", "freq_band"], base), "clustering", "path_length", "avg_connectivity", "sigma")
+
+
+def _random_baseline(spark, e):
+    """Means over random graphs with the numbers of nodes and edges that the data's networks have."""
+    n = e.select(F.explode(F.array("ch1", "ch2")).alias("c")).distinct().count()
+    m = e.select("ch1", "ch2").distinct().count()
+    return N.random_baseline(spark, 20, n, m)
+
+
+@query("small_world_sigma_whole")
+def small_world_sigma_whole(spark, sf_dir):
+    """The SQL of small_world_sigma states sigma for a baseline of fixed values; here it is that of random graphs."""
+    e = edges(spark, sf_dir, True)
+    got = N.small_world(e, ["subject_id", "freq_band"], _random_baseline(spark, e.filter("weight > 0")))
+    return rounded(got, "clustering", "path_length", "avg_connectivity", "sigma")

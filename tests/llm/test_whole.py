@@ -2,7 +2,7 @@
 
 import pytest
 
-from wavecohort.llm import licenses, pages
+from wavecohort.llm import langid, licenses, pages
 
 from .test_operators import documents
 
@@ -52,3 +52,9 @@ def test_pages_are_read_whole(html, blocks):
 def test_long_attribute_values_are_read():
     utility = " ".join(f"px-{i}" for i in range(60))
     assert "name:sidebar" in pages.leaf_blocks(f'<div class="{utility} sidebar"><p>x</p></div>')[0][1]
+
+
+def test_nothing_learnt_drops_nothing(spark):
+    docs = documents(spark, ["the and of", "", None])
+    model = langid.learn(docs)  # no row has a language
+    assert model == {} and langid.accepted(docs, model).count() == 3

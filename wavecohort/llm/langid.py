@@ -162,8 +162,10 @@ def held_out(doc_id: Column) -> Column:
 
 def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], languages: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
     """``docs`` without the rows of no language (``und``), of another than ``languages`` (default: all that were
-    learnt) or of a cosine below ``min_score``."""
+    learnt) or of a cosine below ``min_score``. Where nothing was learnt, nothing is known of any row: all are kept."""
     plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
+    if not prototypes:
+        return docs.select(*plain)
     got = predict(docs.select(*plain), prototypes).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
     if languages is not None:
         got = got.filter(F.col("lang_pred").isin(languages))

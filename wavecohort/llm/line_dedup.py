@@ -1,63 +1,45 @@
 """Line dedup: an exact set-similarity join over the lines of all documents; later matches go.
 
-DataFrame functions only. A line is a set of tokens (words between white space, A-Z lower-cased). Lines with equal text
-are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the join.
-The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
-documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, lines meet in a posted token under the length, the
-positional and a bitmap filter, and every pair is verified on its real tokens. Families of copies are thinned
-first: a line that matches the earliest line of one of its rarest tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB)
-whatever the input; the order only steers the work, so hashing tokens into buckets costs no exactness.
+DataFrame functions only. A line is a set of tokens (words between white space, letters lower-cased). Lines with equal
+text are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the
+join. The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
+documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, and lines meet in a posted token under the length,
+the positional and a bitmap filter. What a pair shares of its posted tokens bounds its overlap once more; a pair that is
+left is verified on its real tokens. Families of copies are thinned first: a line that matches the earliest line of its posted
+tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the
+order only steers the work, so hashing tokens into buckets costs no exactness.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.functions.scratch import written
-from wavecohort.llm.common import ascii_lower, table
+from wavecohort.functions.scratch import forget, written
+from wavecohort.llm.common import inside, table
 
 BUCKETS = 1 << 20
-#: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
-MAX_BROADCAST_ROWS = 1_000_000
-_LOW56 = (1 << 56) - 1
-
-
-#: Postings of a line that take part in the first pass.
-STARS = 3
-
-
-def _folded(text: Column) -> Column:
-    """A-Z lower-cased and white space within lines as spaces; texts of ASCII alone take the faster functions."""
-    low = F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(ascii_lower(text))
-    return F.when(text.rlike(r"[\x09\x0B-\x0D]"), F.translate(low, "\t\x0b\x0c\r", "    ")).otherwise(low)
-
-
-def _tokens(folded: Column) -> Column:
-    return F.array_remove(F.split(folded, " "), "")
+#: Postings of one token beyond which its join is split over tasks, and into how many parts each side's rows go.
+HOT, PARTS = 4096, 16
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d, i, line``: folded lines with a token, numbered from 0 in their document."""
-    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), _folded(F.col(text_col)).alias("t"))
-    return base.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    """``d, i, line``: lines with a token, numbered from 0 in their document."""
+    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+    spaced = F.when(F.col("t").contains("\t") | F.col("t").contains("\r") | F.col("t").contains("\x0b") | F.col("t").contains("\x0c"), F.translate("t", "\t\x0b\x0c\r", "    ")).otherwise(F.col("t"))
+    return base.select("d", F.posexplode(F.split(spaced, "\n")).alias("i", "line")).filter(F.trim("line") != "")
 
 
-def _hashed(lines: DataFrame) -> DataFrame:
-    return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64(F.lit(1), "line")})
-
-
-def _few(df: DataFrame, bound: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Marked for broadcasting if it is counted to have at most ``bound`` rows."""
-    return F.broadcast(df) if df.limit(bound + 1).count() <= bound else df
+def _tokens(line: Column) -> Column:
+    return F.split(F.lower(line), " ")
 
 
 def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class, in the
     top byte."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.replace(_folded(F.col(text_col)), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
+    words = docs.select(F.explode(_tokens(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
     cls = F.least(F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) * 3), F.lit(120))
@@ -68,15 +50,19 @@ def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     return rows.groupBy().agg(F.array_sort(F.collect_list(F.struct("hi", "c"))).alias("r")).select(F.flatten("r.c").alias("classes"))  # BUCKETS / 1024 rows
 
 
-def _bucket(word: Column) -> Column:
-    return F.xxhash64(word).bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
+def _hash(word: Column) -> Column:
+    """56 bits."""
+    return F.shiftrightunsigned(F.xxhash64(word), 8)
+
+
+def _bucket(h: Column) -> Column:
+    return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
 def _keys(line: Column, classes: Column) -> Column:
     """Distinct token keys of a line, rare ones first: frequency class in the top byte, hash in the rest."""
-    hashes = F.transform(_tokens(line), lambda w: F.xxhash64(w))
-    key = lambda h: F.get(classes, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(h.bitwiseAND(F.lit(_LOW56)))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), _hash)), _hash(F.lit("")))
+    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, _bucket(h)).bitwiseOR(h)))
 
 
 def _bitmap(keys: Column) -> Column:
@@ -85,92 +71,128 @@ def _bitmap(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseOR(bit(k)))
 
 
+def _alike(t: float) -> Column:
+    """The length filter on two sizes; it loses no pair of similarity ``t``."""
+    return (F.col("n1") >= F.col("n2") * t - 1e-9) & (F.col("n2") >= F.col("n1") * t - 1e-9)
+
+
+def _prefix(n: Column, t: float) -> Column:
+    return n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1
+
+
+def _marks(k: Column, t: float) -> Column:
+    """Of a line's keys: their number, the key that ends the prefix, the bitmap and the prefix. Made within a
+    generator, so that the keys are made once and not for each mark."""
+    ends = _prefix(F.size(k), t)
+    return F.struct(F.size(k).alias("n"), F.get(k, ends - 1).alias("e"), _bitmap(k).alias("b"), F.slice(k, F.lit(1), ends).alias("pre"))
+
+
 def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``d, i``: document and number (from 0) of every line that equals, or has a Jaccard similarity of ``threshold``
     or more with, a line that comes before it in the order of (id, line number), whether that one goes or stays.
 
     Blank lines never match. Rows with a null id or text have no part; of rows that share an id, lines of the same
-    number are alike in place, so equal ones count once.
+    number are alike in place, so equal ones count once. A long text is many lines and a long line one row; nothing of
+    either is cut. No row gives no row.
     """
     t = float(threshold)
+    spark = docs.sparkSession
     lines = _lines(docs, id_col, text_col)
     place = F.struct("d", "i")
-    first = written(_hashed(lines).groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")), "first-lines")
-    again = _few(first.filter("n > 1").select("h1", "h2", "first"))
-
-    # Lines that are the first of their text, with their keys.
-    seen = _hashed(lines).join(again, ["h1", "h2"], "left")
+    hashed = lines.select("d", "i", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    again = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
+    again = written(again, "repeated-lines")
+    seen = hashed.join(again, ["h1", "h2"], "left")
     same = seen.filter(F.col("first").isNotNull() & (place != F.col("first"))).select("d", "i")
+
+    # The postings of lines that are the first of their text, where another line posts the token, too.
     heads = seen.filter(F.col("first").isNull() | (place == F.col("first"))).select("d", "i", "line")
-    classes = written(_rarity(docs, text_col), "rarity").scalar()
-    keyed = heads.withColumn("classes", classes).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("k"))
-    n = F.size("k")
-    keyed = keyed.withColumn("m", _bitmap(F.col("k")))
-    posts = keyed.select("d", "i", "m", n.alias("n"), F.posexplode(F.slice("k", F.lit(1), n - F.ceil(n * F.lit(t) - 1e-9).cast("int") + 1)).alias("p", "k"))
-    posts = written(posts, "postings")
-
-    # First pass: against the earliest line that posts one of the line's rarest tokens. Lines of one family of copies
-    # go here, a comparison or a few each, however many they are.
-    stars = posts.filter(F.col("p") < STARS).withColumn("h", F.first(F.struct("d", "i", "m", "n", "p")).over(Window.partitionBy("k").orderBy("d", "i")))
-    stars = stars.filter((F.col("h.d") != F.col("d")) | (F.col("h.i") != F.col("i")))
-    one = [F.col(f"h.{c}").alias(f"{c}1") for c in _POST]
-    star_pairs = stars.select(*one, *[F.col(c).alias(f"{c}2") for c in _POST]).filter(_may_match(t))
-    gone = written(_verified(star_pairs, lines, t), "gone")
-
-    # Second pass: the lines that are left, against all earlier lines.
-    rest = posts.join(_few(gone), ["d", "i"], "left_anti")
-    a = posts.select("k", *[F.col(c).alias(f"{c}1") for c in _POST])
-    b = rest.select("k", *[F.col(c).alias(f"{c}2") for c in _POST])
-    pairs = a.join(b, "k").filter(F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)") & _may_match(t))
-    return same.unionByName(gone).unionByName(_verified(pairs, lines, t)).distinct()
-
-
-_POST = ("d", "i", "m", "n", "p")
-
-
-def _may_match(t: float) -> Column:
-    """The length, bitmap and positional filters on a pair of postings; none loses a pair of similarity ``t``."""
-    length = (F.col("n1") >= F.col("n2") * t - 1e-9) & (F.col("n2") >= F.col("n1") * t - 1e-9)
-    apart = F.bit_count(F.col("m1").bitwiseXOR(F.col("m2"))) <= (F.col("n1") + F.col("n2")) * ((1 - t) / (1 + t)) + 1e-9
+    classes = written(_rarity(docs, text_col), "rarity")
+    keyed = heads.withColumn("classes", classes.scalar()).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("keys"))
+    marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
+    posts = written(marked.select("d", "i", "n", "e", "b", F.posexplode("pre").alias("p", "k")), "postings")
+    met = posts.groupBy("k").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.min_by("i", "d").alias("i0")).filter("m > 1")
+    live = written(posts.join(met, "k"), "met-postings")
+    forget(spark, posts)
+    forget(spark, classes)
+
+    # First pass: against the line that is the earliest one of most of the line's posted tokens. Lines of one family of
+    # copies go here, a comparison each, however many they are.
+    stars = live.filter("d0 < d OR (d0 = d AND i0 < i)").groupBy("d", "i", "d0", "i0").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    stars = stars.filter(F.col("c") * 2 >= _prefix(F.col("n"), t))  # a copy shares most; what is no copy of its star waits for the second pass
+    best = stars.groupBy("d", "i").agg(F.max(F.struct("c", "d0", "i0")).alias("s"))
+    best = best.select(F.col("s.d0").alias("d1"), F.col("s.i0").alias("i1"), F.col("d").alias("d2"), F.col("i").alias("i2"))
+    gone = _verified(best, lines, t)
+
+    # Second pass: the lines that are left, against all earlier lines. A pair comes with the number of posted tokens
+    # that it shares. Of the line whose prefix ends first, all shared tokens up to there are counted, so that it has
+    # n - prefix more at most, and the other one no more than follow its last shared place.
+    parts = F.when(F.col("m") > HOT, F.lit(PARTS)).otherwise(F.lit(1))
+    a = live.select("k", *[F.col(c).alias(f"{c}1") for c in _POST], F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    b = live.join(gone, ["d", "i"], "left_anti").select("k", *[F.col(c).alias(f"{c}2") for c in _POST], F.pmod(F.xxhash64("d", "i"), parts).cast("int").alias("part"))
+    least = (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
     most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    return length & apart & (most >= (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9)
+    pairs = a.join(b, ["k", "part"]).filter(F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)") & _alike(t) & (most >= least) & (apart <= F.col("n1") + F.col("n2") - 2 * least))
+    held = [F.count("*").alias("c"), *[F.first(f"{c}{j}").alias(f"{c}{j}") for c in "ne" for j in (1, 2)], *[F.max(f"p{j}").alias(f"p{j}") for j in (1, 2)]]
+    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(*held)
+    after = lambda x, y: F.least(F.col(f"n{x}") - _prefix(F.col(f"n{x}"), t), F.col(f"n{y}") - F.col(f"p{y}") - 1)
+    behind = F.when(F.col("e1") < F.col("e2"), after(1, 2)).when(F.col("e1") > F.col("e2"), after(2, 1)).otherwise(F.least(after(1, 2), after(2, 1)))
+    pairs = written(pairs.filter(F.col("c") + behind >= least).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
+    # The likeliest pair of each line first, then the others of the lines that are still there.
+    likely = pairs.groupBy("d2", "i2").agg(F.max(F.struct("c", "d1", "i1")).alias("s")).select(F.col("s.d1").alias("d1"), F.col("s.i1").alias("i1"), "d2", "i2")
+    more = _verified(likely, lines, t)
+    rest = pairs.join(likely, ["d1", "i1", "d2", "i2"], "left_anti").join(more.select(F.col("d").alias("d2"), F.col("i").alias("i2")), ["d2", "i2"], "left_anti")
+    last = _verified(rest.select("d1", "i1", "d2", "i2"), lines, t)
+    forget(spark, live)
+    forget(spark, pairs)
+    return same.unionByName(gone).unionByName(more).unionByName(last).distinct()
+
+
+_POST = ("d", "i", "n", "e", "b", "p")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
-    """``d, i`` of the later lines of the pairs whose real tokens have the similarity ``t``."""
-    pairs = written(pairs.select("d1", "i1", "d2", "i2").distinct(), "line-pairs")
+    """``d, i`` of the later lines of the pairs whose real tokens have the similarity ``t``; written."""
+    spark = lines.sparkSession
+    pairs = written(pairs, "candidates")
     named = pairs.select(F.col("d1").alias("d"), F.col("i1").alias("i")).unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
-    sets = lines.join(_few(named), ["d", "i"], "left_semi").select("d", "i", F.array_distinct(_tokens(F.col("line"))).alias("s"))
-    sets = written(sets, "line-sets")
-    one = sets.select(F.col("d").alias("d1"), F.col("i").alias("i1"), F.col("s").alias("s1"))
-    two = sets.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("s").alias("s2"))
+    texts = written(lines.join(named, ["d", "i"], "left_semi"), "candidate-lines")
+    one = texts.select(F.col("d").alias("d1"), F.col("i").alias("i1"), F.col("line").alias("line1"))
+    two = texts.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("line").alias("line2"))
+    sets = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"]).select("d2", "i2", *[F.array_remove(F.array_distinct(_tokens(F.col(f"line{j}"))), "").alias(f"s{j}") for j in (1, 2)])
     both = F.size(F.array_intersect("s1", "s2"))
-    true = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"]).filter(both >= (F.size("s1") + F.size("s2") - both) * F.lit(t) - 1e-9)
-    return true.select(F.col("d2").alias("d"), F.col("i2").alias("i")).distinct()
+    true = sets.filter(both >= (F.size("s1") + F.size("s2") - both) * F.lit(t) - 1e-9)
+    true = written(true.select(F.col("d2").alias("d"), F.col("i2").alias("i")).distinct(), "matches")
+    forget(spark, pairs)
+    forget(spark, texts)
+    return true
 
 
-def _removed(docs: DataFrame, threshold: float, id_col: str, text_col: str) -> DataFrame:
+def _removed(docs: DataFrame, threshold: float, id_col: str, text_col: str, key: str, value: str) -> DataFrame:
     gone = later_matches(docs, threshold, id_col, text_col)
-    return gone.groupBy(F.col("d").alias("__d")).agg(F.sort_array(F.collect_list("i")).alias("__gone"))
+    return gone.groupBy(F.col("d").alias(key)).agg(F.sort_array(F.collect_list("i")).alias(value))
 
 
 def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with every later match cut out of its text; all rows and other columns stay. A null text stays null."""
-    gone = _removed(docs, threshold, id_col, text_col)
+    """``docs`` with every later match cut out of its text; all rows and other columns stay. A null text stays null, a
+    row with a null id as it is; rows that repeat an id lose the same line numbers."""
+    d, out = inside(docs, "d", "gone")
+    gone = _removed(docs, threshold, id_col, text_col, d, out)
     lines = F.split(text_col, "\n")
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__gone"))
+    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
     cut = F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
-    got = docs.join(gone, F.col(id_col) == F.col("__d"), "left")
-    return got.withColumn(text_col, F.when(F.col("__gone").isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
+    got = docs.join(gone, F.col(id_col) == F.col(d), "left")
+    return got.withColumn(text_col, F.when(F.col(out).isNull(), F.col(text_col)).otherwise(cut)).select(*docs.columns)
 
 
 def annotate_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, n_lines, n_removed, removed`` (line numbers from 0, ascending)."""
-    gone = _removed(docs, threshold, id_col, text_col)
-    base = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("__n"))
-    got = base.join(gone, F.col("__id") == F.col("__d"), "left")
-    removed = F.coalesce("__gone", F.array().cast("array<int>"))
-    return got.select(F.col("__id").alias(id_col), F.greatest("__n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
+    gone = _removed(docs, threshold, id_col, text_col, "d", "gone")
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n"))
+    got = base.join(gone, F.col("id") == F.col("d"), "left")
+    removed = F.coalesce("gone", F.array().cast("array<int>"))
+    return got.select(F.col("id").alias(id_col), F.greatest("n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,8 +19,17 @@ from wavecohort.functions.scratch import forget, written
 from wavecohort.llm.common import inside, table
 
 BUCKETS = 1 << 20
-#: Postings of one token beyond which its join is split over tasks, and into how many parts each side's rows go.
-HOT, PARTS = 4096, 16
+#: Tokens of this frequency class (2^16 occurrences) and above are hot: their join is split, for each doubling once more.
+HOT = 48
+#: Of so many of its rarest tokens a line meets the earliest line in the first pass.
+STARS = 2
+#: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1_000_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """Marked for broadcasting if it is counted to have few rows."""
+    return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -81,10 +90,9 @@ def _prefix(n: Column, t: float) -> Column:
 
 
 def _marks(k: Column, t: float) -> Column:
-    """Of a line's keys: their number, the key that ends the prefix, the bitmap and the prefix. Made within a
-    generator, so that the keys are made once and not for each mark."""
-    ends = _prefix(F.size(k), t)
-    return F.struct(F.size(k).alias("n"), F.get(k, ends - 1).alias("e"), _bitmap(k).alias("b"), F.slice(k, F.lit(1), ends).alias("pre"))
+    """Of a line's keys: their number, the bitmap and the prefix. Made within a generator, so that the keys are made
+    once and not for each mark."""
+    return F.struct(F.size(k).alias("n"), _bitmap(k).alias("b"), F.slice(k, F.lit(1), _prefix(F.size(k), t)).alias("pre"))
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,55 +109,72 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     place = F.struct("d", "i")
     hashed = lines.select("d", "i", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     again = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    again = written(again, "repeated-lines")
+    again = _few(written(again, "repeated-lines"))
     seen = hashed.join(again, ["h1", "h2"], "left")
     same = seen.filter(F.col("first").isNotNull() & (place != F.col("first"))).select("d", "i")
 
-    # The postings of lines that are the first of their text, where another line posts the token, too.
+    # The postings of lines that are the first of their text.
     heads = seen.filter(F.col("first").isNull() | (place == F.col("first"))).select("d", "i", "line")
     classes = written(_rarity(docs, text_col), "rarity")
     keyed = heads.withColumn("classes", classes.scalar()).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("keys"))
     marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
-    posts = written(marked.select("d", "i", "n", "e", "b", F.posexplode("pre").alias("p", "k")), "postings")
-    met = posts.groupBy("k").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.min_by("i", "d").alias("i0")).filter("m > 1")
-    live = written(posts.join(met, "k"), "met-postings")
-    forget(spark, posts)
+    posts = written(marked.select("d", "i", "n", "b", F.posexplode("pre").alias("p", "k")), "postings")
     forget(spark, classes)
 
-    # First pass: against the line that is the earliest one of most of the line's posted tokens. Lines of one family of
-    # copies go here, a comparison each, however many they are.
-    stars = live.filter("d0 < d OR (d0 = d AND i0 < i)").groupBy("d", "i", "d0", "i0").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    stars = stars.filter(F.col("c") * 2 >= _prefix(F.col("n"), t))  # a copy shares most; what is no copy of its star waits for the second pass
+    # First pass: against the earliest line that posts most of the line's rarest tokens. Lines of one family of copies
+    # go here, a comparison each, however many they are; what is no copy of that line waits for the second pass.
+    rare = posts.filter(F.col("p") < STARS).select("k", "d", "i", "n")
+    stars = rare.groupBy("k").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.min_by("i", "d").alias("i0")).filter("m > 1").drop("m")
+    stars = rare.join(stars, "k").filter("d0 < d OR (d0 = d AND i0 < i)").groupBy("d", "i", "d0", "i0").agg(F.count("*").alias("c"), F.first("n").alias("n"))
+    stars = stars.filter(F.col("c") * 2 > F.least(F.lit(STARS), _prefix(F.col("n"), t)))
     best = stars.groupBy("d", "i").agg(F.max(F.struct("c", "d0", "i0")).alias("s"))
     best = best.select(F.col("s.d0").alias("d1"), F.col("s.i0").alias("i1"), F.col("d").alias("d2"), F.col("i").alias("i2"))
     gone = _verified(best, lines, t)
 
-    # Second pass: the lines that are left, against all earlier lines. A pair comes with the number of posted tokens
-    # that it shares. Of the line whose prefix ends first, all shared tokens up to there are counted, so that it has
-    # n - prefix more at most, and the other one no more than follow its last shared place.
-    parts = F.when(F.col("m") > HOT, F.lit(PARTS)).otherwise(F.lit(1))
-    a = live.select("k", *[F.col(c).alias(f"{c}1") for c in _POST], F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
-    b = live.join(gone, ["d", "i"], "left_anti").select("k", *[F.col(c).alias(f"{c}2") for c in _POST], F.pmod(F.xxhash64("d", "i"), parts).cast("int").alias("part"))
-    least = (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
-    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
-    most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    pairs = a.join(b, ["k", "part"]).filter(F.expr("d1 < d2 OR (d1 = d2 AND i1 < i2)") & _alike(t) & (most >= least) & (apart <= F.col("n1") + F.col("n2") - 2 * least))
-    held = [F.count("*").alias("c"), *[F.first(f"{c}{j}").alias(f"{c}{j}") for c in "ne" for j in (1, 2)], *[F.max(f"p{j}").alias(f"p{j}") for j in (1, 2)]]
-    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(*held)
+    # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number.
+    size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
+    held = posts.select("k", "d", "i", "b", size.alias("np"))
+    left = held.join(_few(gone), ["d", "i"], "left_anti")
+    cold, hot = _class(F.col("k")) < HOT, _class(F.col("k")) >= HOT
+    parts = F.call_function("shiftleft", F.lit(1), F.floor((_class(F.col("k")) - HOT) / 3).cast("int"))
+    split = [held.filter(hot).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), left.filter(hot).withColumn("part", F.pmod(F.xxhash64("d", "i"), parts).cast("int"))]
+    pairs = _meet(held.filter(cold), left.filter(cold), ["k"], t).unionByName(_meet(*split, ["k", "part"], t))
+    # A pair comes with the number of posted tokens that it shares. Of the line whose prefix ends first, all shared
+    # tokens up to there are counted: it has n - prefix more at most, and the other one no more than follow its last
+    # shared place.
+    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(F.count("*").alias("c"), *[F.first(f"n{j}").alias(f"n{j}") for j in (1, 2)], *[F.max(f"p{j}").alias(f"p{j}") for j in (1, 2)])
     after = lambda x, y: F.least(F.col(f"n{x}") - _prefix(F.col(f"n{x}"), t), F.col(f"n{y}") - F.col(f"p{y}") - 1)
-    behind = F.when(F.col("e1") < F.col("e2"), after(1, 2)).when(F.col("e1") > F.col("e2"), after(2, 1)).otherwise(F.least(after(1, 2), after(2, 1)))
-    pairs = written(pairs.filter(F.col("c") + behind >= least).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
+    pairs = written(pairs.filter(F.col("c") + F.greatest(after(1, 2), after(2, 1)) >= _least(t)).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
+    forget(spark, posts)
     # The likeliest pair of each line first, then the others of the lines that are still there.
     likely = pairs.groupBy("d2", "i2").agg(F.max(F.struct("c", "d1", "i1")).alias("s")).select(F.col("s.d1").alias("d1"), F.col("s.i1").alias("i1"), "d2", "i2")
     more = _verified(likely, lines, t)
     rest = pairs.join(likely, ["d1", "i1", "d2", "i2"], "left_anti").join(more.select(F.col("d").alias("d2"), F.col("i").alias("i2")), ["d2", "i2"], "left_anti")
     last = _verified(rest.select("d1", "i1", "d2", "i2"), lines, t)
-    forget(spark, live)
     forget(spark, pairs)
     return same.unionByName(gone).unionByName(more).unionByName(last).distinct()
 
 
-_POST = ("d", "i", "n", "e", "b", "p")
+def _class(key: Column) -> Column:
+    return F.shiftrightunsigned(key, 56).cast("int")
+
+
+def _least(t: float) -> Column:
+    """The overlap that a pair of sizes ``n1, n2`` needs."""
+    return (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
+
+
+def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
+    """``d1, i1, n1, p1, d2, i2, n2, p2`` of postings that meet under the filters, the second line later."""
+    one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "b", "np")])
+    two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "b", "np")])
+    got = one.join(two, on).filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
+    size = {f"n{j}": F.shiftright(f"np{j}", 32).cast("int") for j in (1, 2)} | {f"p{j}": F.col(f"np{j}").bitwiseAND((1 << 32) - 1).cast("int") for j in (1, 2)}
+    got = got.withColumns(size)
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
+    most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    got = got.filter(_alike(t) & (most >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
+    return got.select("d1", "i1", "n1", "p1", "d2", "i2", "n2", "p2")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
@@ -157,7 +182,7 @@ def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
     spark = lines.sparkSession
     pairs = written(pairs, "candidates")
     named = pairs.select(F.col("d1").alias("d"), F.col("i1").alias("i")).unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
-    texts = written(lines.join(named, ["d", "i"], "left_semi"), "candidate-lines")
+    texts = written(lines.join(_few(written(named, "candidate-places")), ["d", "i"], "left_semi"), "candidate-lines")
     one = texts.select(F.col("d").alias("d1"), F.col("i").alias("i1"), F.col("line").alias("line1"))
     two = texts.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("line").alias("line2"))
     sets = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"]).select("d2", "i2", *[F.array_remove(F.array_distinct(_tokens(F.col(f"line{j}"))), "").alias(f"s{j}") for j in (1, 2)])

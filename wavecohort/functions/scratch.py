@@ -16,6 +16,8 @@ def shared_dir(spark: SparkSession) -> str:
     held = spark.sparkContext.getCheckpointDir()
     if held:
         return held.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("on a cluster, spark.checkpoint.dir must name a folder that all executors share")
     made = tempfile.mkdtemp(prefix="wavecohort-")
     spark.sparkContext.setCheckpointDir(made)
     return shared_dir(spark)
@@ -31,8 +33,10 @@ def written(df: DataFrame, name: str = "step") -> DataFrame:
 
 
 def forget(spark: SparkSession, df: DataFrame) -> None:
-    """Deletes the files behind a frame made by :func:`written` that nothing reads any more."""
+    """Deletes the files behind a frame made by :func:`written` that nothing reads any more, and has the driver collect
+    its garbage, so that Spark's cleaner drops the shuffle files of finished steps."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
         path = jvm.org.apache.hadoop.fs.Path(f)
         path.getFileSystem(conf).delete(path, True)
+    jvm.System.gc()

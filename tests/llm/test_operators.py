@@ -273,7 +273,7 @@ def test_topk_matches_brute_force(spark, monkeypatch):
 def test_dual_search_prunes_nothing_it_should_not():
     rng = np.random.default_rng(3)
     data, q = np.floor(rng.normal(size=(700, 4)) * 100), np.floor(rng.normal(size=(40, 4)) * 100)
-    row, ids, s = topk.dual_search(q, np.arange(1000, 1040), data, np.arange(700), 5, np.full(40, -1e300))
+    row, ids, s = topk.dual_search(q, np.arange(1000, 1040), data, np.arange(700), 5, np.full(40, topk.NONE))
     for i in range(40):
         want = sorted(zip(-(data @ q[i]), range(700), strict=True))[:5]
         assert sorted(zip(-s[row == i], ids[row == i], strict=True)) == want

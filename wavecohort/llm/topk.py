@@ -19,16 +19,21 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wavecohort.functions.scratch import written
-from wavecohort.llm.common import table, unit
+from wavecohort.llm.common import inside, table, unit
 
 SCALE = 1024
 PIVOTS = 16
 SAMPLE = 1024
-BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF = 4096, 2048, 256, 64
+BLOCK, QUERY_BLOCK, LEAF, QUERY_LEAF, WIDE = 4096, 2048, 256, 64, 32
+#: Summaries of query blocks (a vector each) that are broadcast; more meet the data blocks without.
+MAX_BROADCAST_BLOCKS = 20_000
+#: No score.
+NONE = np.iinfo(np.int64).min
 
 
 class CoverTree:
-    """Nodes of points within a radius of a centre, halved from level to level; leaves of at most ``LEAF`` points."""
+    """Nodes of points within a radius of a centre, a point of the set; a child's radius is half its parent's at most.
+    A node of ``leaf`` points or fewer, or one that ``WIDE`` such children do not cover, is a leaf."""
 
     def __init__(self, x: np.ndarray, leaf: int = LEAF):
         self.x, self.leaf = x, leaf
@@ -41,39 +46,47 @@ class CoverTree:
     def _node(self, own: np.ndarray) -> int:
         k = len(self.centre)
         part = self.x[own]
-        middle = part.mean(axis=0)
-        centre = part[((part - middle) ** 2).sum(axis=1).argmin()]  # a point of the set, as in any cover tree
+        centre = part[((part - part.mean(axis=0)) ** 2).sum(axis=1).argmin()]
         away = np.sqrt(((part - centre) ** 2).sum(axis=1))
         radius = float(away.max())
         self.centre.append(centre)
         self.radius.append(radius)
         self.points.append(None)
         self.children.append([])
-        if len(own) <= self.leaf or radius == 0:
+        seeds, near, label = 1, away.copy(), np.zeros(len(own), np.int64)
+        while len(own) > self.leaf and near.max() > radius / 2 and seeds < WIDE:
+            d = np.sqrt(((part - part[int(near.argmax())]) ** 2).sum(axis=1))
+            label[d < near] = seeds
+            near = np.minimum(near, d)
+            seeds += 1
+        if len(own) <= self.leaf or radius == 0 or near.max() > radius / 2:
             self.points[k] = own
             return k
-        # Children: points further apart than half the radius, while there are few; every point goes to the nearest.
-        seeds, near, label = [centre], away.copy(), np.zeros(len(own), np.int64)
-        while near.max() > radius / 2 and len(seeds) < 8:
-            far = int(near.argmax())
-            d = np.sqrt(((part - part[far]) ** 2).sum(axis=1))
-            label[d < near] = len(seeds)
-            near = np.minimum(near, d)
-            seeds.append(part[far])
-        for s in range(len(seeds)):
+        for s in range(seeds):
             if (label == s).any():
                 self.children[k].append(self._node(own[label == s]))
         return k
 
 
+def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of rows of whole numbers, exact: as floats where no partial sum can reach 2**53, else in 64-bit
+    integers. Raises an error where a sum may pass 2**63."""
+    most = float(np.sqrt((a.astype(float) ** 2).sum(axis=1).max(initial=0)) * np.sqrt((b.astype(float) ** 2).sum(axis=1).max(initial=0)))
+    if most < 2.0**52:
+        return np.rint(a.astype(float) @ b.astype(float).T).astype(np.int64)
+    if most > 2.0**62:
+        raise ValueError("inner products of these vectors may not fit 64 bits")
+    return a @ b.T
+
+
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, data_ids: np.ndarray, k: int, floor: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row of the query, id and score of the k best of ``data`` for each query (fewer if there are fewer), without the
-    query's own id; ties go to the smaller id. ``floor``: scores that the kth best is known to reach."""
+    """Row of the query, id and score of the k best of ``data`` for each query (fewer if there are fewer), without rows
+    of the query's own id; ties go to the smaller id. ``floor``: scores that the kth best is known to reach."""
     nq = len(queries)
-    best = np.full((nq, k), -np.inf)
+    best = np.full((nq, k), NONE)
     ids = np.full((nq, k), np.iinfo(np.int64).max)
-    qt, dt = CoverTree(queries, QUERY_LEAF), CoverTree(data)
-    worst = floor.astype(float).copy()
+    qt, dt = CoverTree(queries.astype(float), QUERY_LEAF), CoverTree(data.astype(float))
+    worst = floor.copy()
     under: dict[int, np.ndarray] = {}
 
     def rows(n: int) -> np.ndarray:
@@ -83,7 +96,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
 
     def bound(a: int, b: int) -> float:
         ca, cb, ra, rb = qt.centre[a], dt.centre[b], qt.radius[a], dt.radius[b]
-        return float(ca @ cb) + ra * float(np.sqrt(cb @ cb)) + rb * float(np.sqrt(ca @ ca)) + ra * rb + 1e-6
+        na, nb = float(np.sqrt(ca @ ca)), float(np.sqrt(cb @ cb))
+        return float(ca @ cb) + ra * nb + rb * na + ra * rb + 1e-9 * (na + ra) * (nb + rb) + 1  # rounding is far below
 
     stack = [(bound(qt.root, dt.root), qt.root, dt.root)] if nq and len(data) else []
     while stack:
@@ -92,12 +106,18 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
             continue
         qa, db = qt.points[a], dt.points[b]
         if qa is not None and db is not None:
-            s = queries[qa] @ data[db].T
-            s[query_ids[qa][:, None] == data_ids[db][None, :]] = -np.inf
-            all_s = np.concatenate([best[qa], s], axis=1)
-            all_i = np.concatenate([ids[qa], np.broadcast_to(data_ids[db], s.shape)], axis=1)
-            pick = np.lexsort((all_i, -all_s), axis=1)[:, :k]
-            best[qa], ids[qa] = np.take_along_axis(all_s, pick, 1), np.take_along_axis(all_i, pick, 1)
+            s = products(queries[qa], data[db])
+            r, c = np.nonzero((s >= worst[qa][:, None]) & (query_ids[qa][:, None] != data_ids[db][None, :]))
+            if not len(r):
+                continue
+            old_r, old_c = np.nonzero(best[qa] > NONE)
+            all_r = np.concatenate([old_r, r])
+            all_s, all_i = np.concatenate([best[qa][old_r, old_c], s[r, c]]), np.concatenate([ids[qa][old_r, old_c], data_ids[db][c]])
+            order = np.lexsort((all_i, -all_s, all_r))
+            all_r, all_s, all_i = all_r[order], all_s[order], all_i[order]
+            place = np.arange(len(all_r)) - np.searchsorted(all_r, all_r)
+            keep = place < k
+            best[qa[all_r[keep]], place[keep]], ids[qa[all_r[keep]], place[keep]] = all_s[keep], all_i[keep]
             worst[qa] = np.maximum(worst[qa], best[qa][:, -1])
             continue
         if db is None and (qa is not None or dt.radius[b] >= qt.radius[a]):
@@ -105,115 +125,104 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, data: np.ndarray, da
         else:
             pairs = [(c, b) for c in qt.children[a]]
         stack += sorted(((bound(x, y), x, y) for x, y in pairs), key=lambda p: p[0])  # the most promising is popped first
-    row, col = np.nonzero(np.isfinite(best))
-    keep = best[row, col] >= floor[row]
-    row, col = row[keep], col[keep]
+    row, col = np.nonzero(best > NONE)
     return row, ids[row, col], best[row, col]
 
 
-def quantised(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, x``: each component x as floor(1024 * x). Vectors that are null, empty, of null or of non-finite
+def quantised(vectors: DataFrame, id_col: str, vector_col: str, asked: str) -> DataFrame:
+    """``id, x, asked``: each component x as floor(1024 * x). Vectors that are null, empty, of null or of non-finite
     components, or without an id, are left out."""
     v = F.transform(F.col(vector_col), lambda e: e.cast("double"))
-    rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"))
+    rows = vectors.filter(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), v.alias("v"), F.col(asked).alias("asked"))
     return rows.filter((F.size("v") > 0) & F.forall("v", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))).select(
-        "id", F.transform("v", lambda e: F.floor(e * SCALE).cast("long")).alias("x")
+        "id", F.transform("v", lambda e: F.floor(e * SCALE).cast("long")).alias("x"), "asked"
     )
 
 
 def _matrix(column: pd.Series) -> np.ndarray:
-    return np.stack(column.to_numpy()).astype(np.float64)
+    return np.stack(column.to_numpy()).astype(np.int64)
 
 
 def _celled(rows: DataFrame, pivots: np.ndarray, most: int) -> DataFrame:
-    """``id, x, cell, block``: the nearest pivot, and a block of about ``most`` rows at most in it."""
+    """``id, x, block``: a block of about ``most`` rows at most among those with the same nearest pivot."""
+    pivots = pivots.astype(float)
 
     def near(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
+            cell = np.zeros(0, np.int32)
             if len(f):
-                x = _matrix(f["x"])
-                f = f.assign(cell=((pivots**2).sum(axis=1)[None, :] - 2 * x @ pivots.T).argmin(axis=1).astype(np.int32))
-            else:
-                f = f.assign(cell=np.zeros(0, np.int32))
-            yield f[["id", "x", "cell"]]
+                cell = ((pivots**2).sum(axis=1)[None, :] - 2 * _matrix(f["x"]).astype(float) @ pivots.T).argmin(axis=1).astype(np.int32)
+            yield f.assign(cell=cell)[["id", "x", "cell"]]
 
-    celled = rows.mapInPandas(near, "id long, x array<long>, cell int")
+    celled = written(rows.mapInPandas(near, "id long, x array<long>, cell int"), "cells")
     size = celled.groupBy("cell").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))  # a row for each pivot
-    return celled.join(F.broadcast(size), "cell").select("id", "x", F.concat_ws("-", "cell", F.pmod(F.xxhash64("id"), F.col("parts"))).alias("block"))
+    dealt = F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.col("parts"))  # rows that repeat an id spread, too
+    return celled.join(F.broadcast(size), "cell").select("id", "x", F.concat_ws("-", "cell", dealt).alias("block"))
 
 
-def _balls(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Sums that give a block's centre."""
-    for f in frames:
-        if len(f):
-            x = _matrix(f["x"])
-            for block, at in f.groupby("block").indices.items():
-                yield pd.DataFrame({"block": [block], "n": [len(at)], "total": [x[at].sum(axis=0)]})
+def _balls(side: DataFrame) -> DataFrame:
+    """``block, centre, radius, low``: one row for each block of about 4096 rows at most; written."""
+
+    def ball(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        x = _matrix(f["x"]).astype(float)
+        centre = x.mean(axis=0)
+        return pd.DataFrame({"block": [key[0]], "centre": [centre], "radius": [float(np.sqrt(((x - centre) ** 2).sum(axis=1).max()))], "low": [f["low"].min()]})
+
+    return written(side.groupBy("block").applyInPandas(ball, "block string, centre array<double>, radius double, low long"), "block-balls")
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row where the condition ``is_query`` holds, the ``k`` highest integer
-    inner products with all other rows, fewer if there are fewer; ties go to the smaller id.
+    inner products with all rows of another id, fewer if there are fewer; ties go to the smaller id.
 
-    Rows without a usable vector (see :func:`quantised`) are neither queries nor candidates, nor are rows of another
-    number of components than most queries' first. Rows that repeat an id are one row, the one of the smallest vector.
+    Rows without a usable vector (see :func:`quantised`) are neither queries nor candidates. A shorter vector is taken
+    with zeros at its end. Rows that repeat an id are candidates each; as queries they share one ranking, that of their
+    scores together. No query, or no row, gives no row. Components so large that a score may pass 2**62 raise an error.
     """
     spark = vectors.sparkSession
-    rows = quantised(vectors, id_col, vector_col)
-    rows = written(rows.groupBy("id").agg(F.min("x").alias("x")), "vectors")
-    dims = rows.groupBy(F.size("x").alias("d")).count().orderBy(F.desc("count"), "d").first()
+    rows = quantised(vectors.withColumn(inside(vectors, "asked")[0], F.coalesce(is_query, F.lit(False))), id_col, vector_col, inside(vectors, "asked")[0])
+    rows = written(rows, "vectors")
+    found = rows.agg(F.max(F.size("x")).alias("d"), F.count("*").alias("n"), F.count_if("asked").alias("q")).first()
     schema = "query_id long, rank int, vec_id long, score long"
-    if dims is None:
+    if not found["q"]:
         return spark.createDataFrame([], schema)
-    rows = rows.filter(F.size("x") == dims["d"])
-    wanted = vectors.filter(is_query & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id")).distinct()
-    share = SAMPLE * 4 / max(dims["count"], 1)
-    sample = rows.filter(unit(F.lit("pivot"), F.col("id")) < F.lit(share)).orderBy(unit(F.lit("pivot"), F.col("id"))).limit(SAMPLE).toPandas()
+    rows = rows.withColumn("x", F.concat("x", F.array_repeat(F.lit(0).cast("long"), F.lit(found["d"]) - F.size("x"))))
+    share = SAMPLE * 4 / found["n"]
+    sample = rows.filter(unit(F.lit("pivot"), F.col("id")) < F.lit(share)).orderBy(unit(F.lit("pivot"), F.col("id")), "id", "x").limit(SAMPLE).toPandas()
     if not len(sample):
-        sample = rows.limit(1).toPandas()
+        sample = rows.orderBy("id", "x").limit(1).toPandas()
     known, known_ids = _matrix(sample["x"]), sample["id"].to_numpy()
-    pivots = known[:PIVOTS]
-    data = written(_celled(rows, pivots, BLOCK), "data-blocks")
-    asked = written(rows.join(wanted, "id", "left_semi"), "queries")
-    parts = -(-max(asked.count(), 1) // QUERY_BLOCK)
-    queries = asked.withColumn("block", F.concat(F.lit("q"), F.pmod(F.xxhash64("id"), F.lit(parts)).cast("string")))
+    data = written(_celled(rows.select("id", "x"), known[:PIVOTS], BLOCK).withColumn("low", F.lit(0).cast("long")), "data-blocks")
+    queries = rows.filter("asked").withColumn("block", F.concat(F.lit("q"), F.pmod(F.xxhash64("id", F.monotonically_increasing_id()), F.lit(-(-found["q"] // QUERY_BLOCK))).cast("string")))
 
     def floors(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            if not len(f):
-                continue
-            s = _matrix(f["x"]) @ known.T
-            s[f["id"].to_numpy()[:, None] == known_ids[None, :]] = -np.inf
-            low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(f), -np.inf)
-            yield f.assign(low=np.where(np.isfinite(low), low, -1e300))[["id", "x", "block", "low"]]
-
-    queries = written(queries.mapInPandas(floors, "id long, x array<long>, block string, low double"), "query-blocks")
-
-    def ball(side: DataFrame, low: bool) -> DataFrame:
-        """``block, centre, radius`` (and the smallest ``low``): one row for each block."""
-        sums = side.mapInPandas(_balls, "block string, n long, total array<double>")
-        sums = sums.select("block", "n", F.posexplode("total").alias("i", "t")).groupBy("block", "i").agg((F.sum("t") / F.sum("n")).alias("c"))
-        centre = sums.groupBy("block").agg(F.array_sort(F.collect_list(F.struct("i", "c")))["c"].alias("centre"))
-        away = F.sqrt(F.aggregate(F.zip_with("x", "centre", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
-        extra = [F.min("low").alias("low")] if low else []
-        far = side.join(centre, "block").groupBy("block").agg(F.max(away).alias("radius"), *extra)
-        return far.join(centre, "block")
+            low = np.zeros(0, np.int64)
+            if len(f):
+                s = products(_matrix(f["x"]), known)
+                s[f["id"].to_numpy()[:, None] == known_ids[None, :]] = NONE
+                low = np.partition(s, -k, axis=1)[:, -k] if s.shape[1] >= k else np.full(len(f), NONE)
+            yield f.assign(low=low)[["id", "x", "block", "low"]]
 
+    queries = written(queries.mapInPandas(floors, "id long, x array<long>, block string, low long"), "query-blocks")
     dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda u, v: u * v), F.lit(0.0), lambda s, e: s + e)
-    q = ball(queries, True).select(F.col("block").alias("qb"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), "low")
-    d = ball(data, False).select(F.col("block").alias("db"), F.col("centre").alias("dc"), F.col("radius").alias("dr"))
+    norm = lambda a: F.sqrt(dot(a, a))
+    q = _balls(queries).select(F.col("block").alias("qb"), F.col("centre").alias("qc"), F.col("radius").alias("qr"), norm("centre").alias("qn"), "low")
+    d = _balls(data).select(F.col("block").alias("db"), F.col("centre").alias("dc"), F.col("radius").alias("dr"), norm("centre").alias("dn"))
     # Blocks of the stated query set against blocks of all rows: one row for each block on either side.
-    reach = dot("qc", "dc") + F.col("qr") * F.sqrt(dot("dc", "dc")) + F.col("dr") * F.sqrt(dot("qc", "qc")) + F.col("qr") * F.col("dr") + 1e-3
-    pairs = written(q.join(d, reach >= F.col("low")).select("qb", "db"), "block-pairs")
+    reach = dot("qc", "dc") + F.col("qr") * F.col("dn") + F.col("dr") * F.col("qn") + F.col("qr") * F.col("dr")
+    slack = (F.col("qn") + F.col("qr")) * (F.col("dn") + F.col("dr")) * 1e-9 + 1
+    q = F.broadcast(q) if q.count() <= MAX_BROADCAST_BLOCKS else q
+    pairs = written(d.join(q, reach + slack >= F.col("low")).select("qb", "db"), "block-pairs")
     left = queries.withColumnRenamed("block", "qb").join(pairs, "qb").select(F.concat_ws("|", "qb", "db").alias("pair"), "id", "x", "low", F.lit(True).alias("q"))
-    right = data.withColumnRenamed("block", "db").join(pairs, "db").select(F.concat_ws("|", "qb", "db").alias("pair"), "id", "x", F.lit(0.0).alias("low"), F.lit(False).alias("q"))
+    right = data.withColumnRenamed("block", "db").join(pairs, "db").select(F.concat_ws("|", "qb", "db").alias("pair"), "id", "x", "low", F.lit(False).alias("q"))
 
     def search(f: pd.DataFrame) -> pd.DataFrame:
         a, b = f[f["q"]], f[~f["q"]]
         if not len(a) or not len(b):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
         row, ids, s = dual_search(_matrix(a["x"]), a["id"].to_numpy(), _matrix(b["x"]), b["id"].to_numpy(), k, a["low"].to_numpy())
-        return pd.DataFrame({"query_id": a["id"].to_numpy()[row], "vec_id": ids, "score": s.astype("int64")})
+        return pd.DataFrame({"query_id": a["id"].to_numpy()[row], "vec_id": ids, "score": s})
 
     found = left.unionByName(right).groupBy("pair").applyInPandas(search, "query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

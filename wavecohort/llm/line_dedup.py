@@ -23,9 +23,6 @@ BUCKETS = 1 << 20
 HOT = 48
 #: Of so many of its rarest tokens a line meets the earliest line in the first pass.
 STARS = 2
-#: Sets of more tokens than this have finer parities.
-LONG = 80
-_PARITIES = ("b", "x", "y", "z")
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -77,22 +74,11 @@ def _keys(line: Column, classes: Column) -> Column:
     return F.sort_array(F.transform(hashes, lambda h: F.get(classes, _bucket(h)).bitwiseOR(h)))
 
 
-def _parities(keys: Column) -> list[Column]:
-    """Four times 64 bits, each the parity of the number of tokens whose hash falls on it: two sets differ in as many
-    tokens at least as their parities in bits. The first is over all tokens, the others, for sets of more than ``LONG``
-    tokens, over the tokens of three of four hash classes; those of the fourth are what is left of the first."""
+def _parities(keys: Column) -> Column:
+    """64 bits, each the parity of the number of tokens whose hash falls on it: two sets differ in as many tokens at
+    least as their parities in bits."""
     bit = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k.bitwiseAND(63).cast("int"))
-    parity = lambda ks: F.aggregate(ks, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
-    part = lambda j: F.filter(keys, lambda k: k.bitwiseAND(192) == 64 * j)
-    return [parity(keys), *[F.when(F.size(keys) > LONG, parity(part(j))).otherwise(F.lit(0).cast("long")) for j in (1, 2, 3)]]
-
-
-def _apart() -> Column:
-    """The least number of tokens in which the sets of ``n1, b1, x1, ...`` and ``n2, b2, x2, ...`` differ."""
-    xor = {c: F.col(f"{c}1").bitwiseXOR(F.col(f"{c}2")) for c in _PARITIES}
-    rest = xor["b"].bitwiseXOR(xor["x"]).bitwiseXOR(xor["y"]).bitwiseXOR(xor["z"])
-    fine = F.bit_count(rest) + F.bit_count(xor["x"]) + F.bit_count(xor["y"]) + F.bit_count(xor["z"])
-    return F.when((F.col("n1") > LONG) & (F.col("n2") > LONG), fine).otherwise(F.bit_count(xor["b"]))
+    return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
 def _alike(t: float) -> Column:
@@ -107,8 +93,7 @@ def _prefix(n: Column, t: float) -> Column:
 def _marks(k: Column, t: float) -> Column:
     """Of a line's keys: their number, the parities and the prefix. Made within a generator, so that the keys are made
     once and not for each mark."""
-    marks = [c.alias(name) for c, name in zip(_parities(k), _PARITIES, strict=True)]
-    return F.struct(F.size(k).alias("n"), *marks, F.slice(k, F.lit(1), _prefix(F.size(k), t)).alias("pre"))
+    return F.struct(F.size(k).alias("n"), _parities(k).alias("b"), F.slice(k, F.lit(1), _prefix(F.size(k), t)).alias("pre"))
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -134,7 +119,7 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     classes = written(_rarity(docs, text_col), "rarity")
     keyed = heads.withColumn("classes", classes.scalar()).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("keys"))
     marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
-    posts = written(marked.select("d", "i", "n", *_PARITIES, F.posexplode("pre").alias("p", "k")), "postings")
+    posts = written(marked.select("d", "i", "n", "b", F.posexplode("pre").alias("p", "k")), "postings")
     forget(spark, classes)
 
     # First pass: against the earliest line that posts most of the line's rarest tokens. Lines of one family of copies
@@ -149,7 +134,7 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
     # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number.
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
-    held = posts.select("k", "d", "i", *_PARITIES, size.alias("np"))
+    held = posts.select("k", "d", "i", "b", size.alias("np"))
     left = held.join(_few(gone), ["d", "i"], "left_anti")
     cold, hot = _class(F.col("k")) < HOT, _class(F.col("k")) >= HOT
     parts = F.call_function("shiftleft", F.lit(1), F.floor((_class(F.col("k")) - HOT) / 3).cast("int"))
@@ -182,13 +167,14 @@ def _least(t: float) -> Column:
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
     """``d1, i1, n1, p1, d2, i2, n2, p2`` of postings that meet under the filters, the second line later."""
-    one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", *_PARITIES)])
-    two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", *_PARITIES)])
+    one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b")])
+    two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b")])
     got = one.join(two, on).filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
     size = {f"n{j}": F.shiftright(f"np{j}", 32).cast("int") for j in (1, 2)} | {f"p{j}": F.col(f"np{j}").bitwiseAND((1 << 32) - 1).cast("int") for j in (1, 2)}
     got = got.withColumns(size)
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
     most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    got = got.filter(_alike(t) & (most >= _least(t)) & (_apart() <= F.col("n1") + F.col("n2") - 2 * _least(t)))
+    got = got.filter(_alike(t) & (most >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
     return got.select("d1", "i1", "n1", "p1", "d2", "i2", "n2", "p2")
 
 

@@ -132,18 +132,19 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     best = best.select(F.col("s.d0").alias("d1"), F.col("s.i0").alias("i1"), F.col("d").alias("d2"), F.col("i").alias("i2"))
     gone = _verified(best, lines, t)
 
-    # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number.
+    # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number,
+    # below 0 where the line is gone. Both sides of the join on tokens that are not hot read one exchange.
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
-    held = posts.select("k", "d", "i", "b", size.alias("np"))
-    left = held.join(_few(gone), ["d", "i"], "left_anti")
-    cold, hot = _class(F.col("k")) < HOT, _class(F.col("k")) >= HOT
+    held = posts.join(_few(gone.withColumn("g", F.lit(True))), ["d", "i"], "left").select("k", "d", "i", "b", F.when(F.col("g"), -size).otherwise(size).alias("np"))
+    cold, hot = held.filter(_class(F.col("k")) < HOT), held.filter(_class(F.col("k")) >= HOT)
     parts = F.call_function("shiftleft", F.lit(1), F.floor((_class(F.col("k")) - HOT) / 3).cast("int"))
-    split = [held.filter(hot).withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), left.filter(hot).withColumn("part", F.pmod(F.xxhash64("d", "i"), parts).cast("int"))]
-    pairs = _meet(held.filter(cold), left.filter(cold), ["k"], t).unionByName(_meet(*split, ["k", "part"], t))
+    split = [hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), hot.withColumn("part", F.pmod(F.xxhash64("d", "i"), parts).cast("int"))]
+    pairs = _meet(cold, cold, ["k"], t).unionByName(_meet(*split, ["k", "part"], t))
     # A pair comes with the number of posted tokens that it shares. Of the line whose prefix ends first, all shared
     # tokens up to there are counted: it has n - prefix more at most, and the other one no more than follow its last
     # shared place.
-    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(F.count("*").alias("c"), *[F.first(f"n{j}").alias(f"n{j}") for j in (1, 2)], *[F.max(f"p{j}").alias(f"p{j}") for j in (1, 2)])
+    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(F.count("*").alias("c"), *[F.max(F.abs(f"np{j}")).alias(f"np{j}") for j in (1, 2)])  # a line's size is the same in all rows
+    pairs = _unpacked(pairs)
     after = lambda x, y: F.least(F.col(f"n{x}") - _prefix(F.col(f"n{x}"), t), F.col(f"n{y}") - F.col(f"p{y}") - 1)
     pairs = written(pairs.filter(F.col("c") + F.greatest(after(1, 2), after(2, 1)) >= _least(t)).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
     forget(spark, posts)
@@ -165,17 +166,22 @@ def _least(t: float) -> Column:
     return (F.col("n1") + F.col("n2")) * (t / (1 + t)) - 1e-9
 
 
+def _unpacked(df: DataFrame) -> DataFrame:
+    size = {f"n{j}": F.shiftright(F.abs(f"np{j}"), 32).cast("int") for j in (1, 2)}
+    return df.withColumns(size | {f"p{j}": F.abs(f"np{j}").bitwiseAND((1 << 32) - 1).cast("int") for j in (1, 2)})
+
+
 def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
-    """``d1, i1, n1, p1, d2, i2, n2, p2`` of postings that meet under the filters, the second line later."""
+    """``d1, i1, np1, d2, i2, np2`` of postings that meet under the filters, the second line later and not gone."""
     one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b")])
     two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b")])
     got = one.join(two, on).filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
-    size = {f"n{j}": F.shiftright(f"np{j}", 32).cast("int") for j in (1, 2)} | {f"p{j}": F.col(f"np{j}").bitwiseAND((1 << 32) - 1).cast("int") for j in (1, 2)}
-    got = got.withColumns(size)
+    # In terms of both sides, so that it stays in the join and the two sides are alike: the second line is not gone.
+    got = _unpacked(got.filter((F.col("np2") >= 0) | (F.col("d1") > F.col("d2"))))
     apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
     most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     got = got.filter(_alike(t) & (most >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
-    return got.select("d1", "i1", "n1", "p1", "d2", "i2", "n2", "p2")
+    return got.select("d1", "i1", "np1", "d2", "i2", "np2")
 
 
 def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:

@@ -1,8 +1,8 @@
 """Benchmark decontamination: windows of training words looked up in a broadcast hash set of test n-grams.
 
-DataFrame functions only. The benchmark's distinct windows are broadcast when their number is at most
-``max_broadcast_windows``, and joined by a shuffle on the window's hash beyond it; the documents' words never meet in
-one task. Texts are scanned whole.
+DataFrame functions only. The benchmark's distinct windows are broadcast when their number and bytes are
+within stated bounds, and joined by a shuffle on the window's hash beyond them; the ids of their items are joined to
+what was hit alone. Texts are scanned whole, however long; a document's hits meet in a group, as many as its words.
 """
 
 from __future__ import annotations
@@ -10,11 +10,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import ascii_lower, table
+from wavecohort.functions.scratch import written
+from wavecohort.llm.common import ascii_lower, inside, table
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Distinct windows of about 100 bytes: 50 MB at most.
-MAX_BROADCAST_WINDOWS = 500_000
+#: Distinct windows, and bytes of their words, that are broadcast; more are joined by a shuffle on the window's hash.
+MAX_BROADCAST_WINDOWS, MAX_BROADCAST_BYTES = 500_000, 64 << 20
 
 
 def words(text: Column) -> Column:
@@ -23,17 +24,12 @@ def words(text: Column) -> Column:
 
 
 def benchmark_windows(benchmark: DataFrame, n: int = 10, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """``h, window, items``: each distinct window of ``n`` words with the items that hold it; a shorter item, if it has
-    a word, is one window."""
+    """``h, g, window, item``: each window of ``n`` words with two hashes of it, once for each item that holds it; a
+    shorter item, if it has a word, is one window."""
     items = benchmark.select(F.col(id_col).alias("item"), words(F.col(text_col)).alias("w")).filter("size(w) > 0")
     at = F.explode(F.sequence(F.lit(1), F.greatest(F.size("w") - n + 1, F.lit(1))))
-    return (
-        items.select("item", "w", at.alias("i"))
-        .select("item", F.expr(f"slice(w, i, {n})").alias("window"))
-        .groupBy("window")
-        .agg(F.collect_set("item").alias("items"))
-        .select(F.xxhash64("window").alias("h"), "window", "items")
-    )
+    wins = items.select("item", "w", at.alias("i")).select("item", F.expr(f"slice(w, i, {n})").alias("window")).distinct()
+    return wins.select(F.xxhash64("window").alias("h"), F.xxhash64(F.lit(1), "window").alias("g"), "window", "item")
 
 
 def find_hits(
@@ -45,23 +41,22 @@ def find_hits(
     item_id: str = "item_id",
     item_text: str = "text",
     max_broadcast_windows: int = MAX_BROADCAST_WINDOWS,
-) -> DataFrame:
-    """``keys, at, len, items`` for each place (1-based word position) where a benchmark window occurs, verified word by
-    word after the hash matched. No window or no document gives no row."""
-    wins = benchmark_windows(benchmark, n, item_id, item_text)
-    lengths = wins.groupBy(F.size("window").alias("k")).count().collect()  # n rows at most
-    few = sum(r["count"] for r in lengths) <= max_broadcast_windows
-    sizes = sorted(r["k"] for r in lengths) or [n]
+    max_broadcast_bytes: int = MAX_BROADCAST_BYTES,
+) -> tuple[DataFrame, DataFrame]:
+    """``keys, at, len, h, g`` for each place (1-based word position) where a benchmark window occurs, verified word by
+    word after the hash matched, and ``h, g, item``, the windows' items. Documents are read and split once for all
+    lengths of windows. No window or no document gives no row."""
+    wins = written(benchmark_windows(benchmark, n, item_id, item_text), "windows")
+    distinct = wins.select("h", "g", "window").distinct()
+    size = distinct.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join("window", " ")) + 16 * F.size("window")).alias("b"), F.collect_set(F.size("window")).alias("k")).first()  # n lengths at most
+    few = size["n"] <= max_broadcast_windows and (size["b"] or 0) <= max_broadcast_bytes
+    lengths = F.array(*[F.lit(k) for k in sorted(size["k"]) or [n]])
     had = docs.select(*keys, words(F.col(text_col)).alias("w"))
-    found = None
-    for k in sizes:
-        scan = had.filter(F.size("w") >= k).select(*keys, "w", F.explode(F.sequence(F.lit(1), F.size("w") - (k - 1))).alias("at"))
-        scan = scan.select(*keys, "at", F.expr(f"slice(w, at, {k})").alias("seen")).withColumn("h", F.xxhash64("seen"))
-        side = wins.filter(F.size("window") == k)
-        hit = scan.join(F.broadcast(side) if few else side, "h").filter("seen = window")
-        hit = hit.select(*keys, "at", F.lit(k).alias("len"), "items")
-        found = hit if found is None else found.unionByName(hit)
-    return found
+    scan = had.select(*keys, "w", F.explode(F.sequence(F.lit(1), F.greatest(F.size("w"), F.lit(1)))).alias("at"))
+    scan = scan.select(*keys, "w", "at", F.explode(lengths).alias("len")).filter(F.col("at") + F.col("len") - 1 <= F.size("w"))
+    scan = scan.select(*keys, "at", "len", F.slice("w", F.col("at"), F.col("len")).alias("seen")).withColumn("h", F.xxhash64("seen"))
+    hit = scan.join(F.broadcast(distinct) if few else distinct, "h").filter("seen = window")
+    return hit.select(*keys, "at", "len", "h", "g"), wins.select("h", "g", "item")
 
 
 def covered(spans: Column) -> Column:
@@ -77,12 +72,11 @@ def covered(spans: Column) -> Column:
     return step["n"]
 
 
-def _per_document(hits: DataFrame, keys: list[str]) -> DataFrame:
-    """A document's own hits alone meet in a group, as many as its words at most."""
-    return hits.groupBy(*keys).agg(
-        F.collect_list(F.struct("at", "len")).alias("spans"),
-        F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"),
-    )
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, list[str], str]:
+    """``docs`` with two columns that tell rows apart by id and text, their names, and that of the id's text."""
+    names = inside(docs, "own_id", "own_text")
+    own = F.coalesce(F.col(id_col).cast("string"), F.lit("null")), F.xxhash64(text_col)
+    return docs.withColumns(dict(zip(names, own, strict=True))), names, text_col
 
 
 def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
@@ -91,52 +85,44 @@ def annotate(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "
     ``n_hit`` counts the words inside any occurrence of a benchmark window, ``items_sha256`` is over the ids of the
     items found, sorted as strings and comma-joined. A null or empty text has no words and no hit; repeated rows and
     rows that share an id are judged by the hits of all rows of that id and text; an empty benchmark hits nothing; a
-    null id is an id like any other; other columns play no part.
+    null id is an id like any other; other columns play no part, whatever their names.
     """
-    keys = ["__id", "__t"]
-    base = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"), F.xxhash64(text_col).alias("__t"))
-    hits = find_hits(base.withColumn("__id", F.coalesce(F.col("__id").cast("string"), F.lit("null"))), benchmark, keys, n, "__text", **how)
-    per = _per_document(hits, keys).select(
-        F.col("__id").alias("__hid"), F.col("__t").alias("__ht"), F.array_distinct("spans").alias("spans"), "items"
-    )
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    got = (
-        base.select("__id", "__t", F.size(words(F.col("__text"))).cast("long").alias("n_words"))
-        .join(per, (F.coalesce(F.col("__id").cast("string"), F.lit("null")) == F.col("__hid")) & (F.col("__t") == F.col("__ht")), "left")
-    )
+    base = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("d"), F.xxhash64(text_col).alias("t"))
+    hits, items = find_hits(base, benchmark, ["d", "t"], n, "text", **how)
+    hits = written(hits, "hits")
+    spans = hits.groupBy("d", "t").agg(F.collect_set(F.struct("at", "len")).alias("spans"))
+    held = hits.select("d", "t", "h", "g").distinct().join(items, ["h", "g"]).groupBy("d", "t").agg(F.collect_set(F.col("item").cast("string")).alias("items"))
+    got = base.select("id", "d", "t", F.size(words(F.col("text"))).cast("long").alias("n_words")).join(spans.join(held, ["d", "t"]), ["d", "t"], "left")
     return got.select(
-        F.col("__id").alias(id_col),
+        F.col("id").alias(id_col),
         "n_words",
         F.coalesce(covered(F.col("spans")), F.lit(0)).cast("long").alias("n_hit"),
         F.coalesce(F.size("items"), F.lit(0)).cast("long").alias("n_items"),
-        F.sha2(F.coalesce(F.array_join(ids, ","), F.lit("")), 256).alias("items_sha256"),
+        F.sha2(F.coalesce(F.array_join(F.array_sort("items"), ","), F.lit("")), 256).alias("items_sha256"),
         F.col("spans").isNotNull().alias("contaminated"),
     )
 
 
 def remove_documents(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` without the rows that hold any benchmark window; all columns stay as they are."""
-    keys = ["__id", "__t"]
-    base = docs.select(F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(text_col).alias("__t"), F.col(text_col).alias("__text"))
-    bad = find_hits(base, benchmark, keys, n, "__text", **how).select(*keys).distinct()
-    cond = (F.coalesce(F.col(id_col).cast("string"), F.lit("null")) == bad["__id"]) & (F.xxhash64(text_col) == bad["__t"])
-    return docs.join(bad, cond, "left_anti")
+    keyed, keys, text = _keyed(docs, id_col, text_col)
+    bad = find_hits(keyed, benchmark, keys, n, text, **how)[0].select(*keys).distinct()
+    return keyed.join(bad, keys, "left_anti").select(*docs.columns) if docs.columns else docs
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, n: int = 10, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """``docs`` with the hit words cut out of the texts, each with the separators after it; a text without a hit stays
-    as it is."""
-    keys = ["__id", "__t"]
-    key = [F.coalesce(F.col(id_col).cast("string"), F.lit("null")).alias("__id"), F.xxhash64(text_col).alias("__t")]
-    base = docs.select(*key, F.col(text_col).alias("__text"))
-    per = _per_document(find_hits(base, benchmark, keys, n, "__text", **how), keys).select(*keys, "spans")
-    joined = docs.withColumns({"__id": key[0], "__t": key[1]}).join(per, keys, "left")
+    as it is, and so does every other column."""
+    keyed, keys, text = _keyed(docs, id_col, text_col)
+    (cuts,) = inside(keyed, "spans")
+    per = find_hits(keyed, benchmark, keys, n, text, **how)[0].groupBy(*keys).agg(F.collect_set(F.struct("at", "len")).alias(cuts))
+    joined = keyed.join(per, keys, "left")
     word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
     lead = F.regexp_extract(text_col, r"^[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*", 0)
     parts = F.regexp_extract_all(F.col(text_col), F.lit(word + r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"), F.lit(0))
-    hit = F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
+    hit = F.array_distinct(F.flatten(F.transform(cuts, lambda s: F.sequence(s["at"], s["at"] + s["len"] - 1))))
     kept = F.transform(F.array_except(F.sequence(F.lit(1), F.size(parts)), hit), lambda i: F.element_at(parts, i))
-    cut = F.when(F.col("spans").isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
+    cut = F.when(F.col(cuts).isNull(), F.col(text_col)).otherwise(F.concat(lead, F.array_join(kept, "")))
     return joined.withColumn(text_col, cut).select(*docs.columns)
 
 

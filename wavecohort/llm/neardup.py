@@ -162,8 +162,8 @@ def _across(sets: DataFrame, comp: DataFrame, threshold: int) -> DataFrame:
     """The pairs ``a < b`` of sets of different components that can reach the threshold: an exact prefix join.
 
     Shingles are ordered from rare to frequent among these sets. A link takes an intersection of t / (100 + t) of the two
-    sizes, so two linked sets share a shingle in their prefixes, and the first one that they share leaves enough behind
-    it in both. A pair comes out once, at that shingle.
+    sizes, so two linked sets share a shingle in their prefixes, and what lies before and behind a shared one bounds
+    the rest. Postings are a few numbers each, however long a text.
     """
     cell = sets.select("id", F.explode("s").alias("h"))
     df = cell.groupBy("h").agg(F.count("*").alias("df")).filter("df > 1")
@@ -173,13 +173,11 @@ def _across(sets: DataFrame, comp: DataFrame, threshold: int) -> DataFrame:
     ranked = ranked.join(size, "id").withColumn("p0", F.col("n") - F.size("r"))
     reach = F.col("n") - F.ceil(F.col("n") * F.lit(threshold) / 100).cast("int") + 1 - F.col("p0")
     ranked = ranked.filter(reach > 0).select("id", "c", "n", "p0", F.transform(F.slice("r", F.lit(1), F.greatest(reach, F.lit(0))), lambda x: x["h"]).alias("pre"))
-    posts = ranked.select("id", "c", "n", "p0", "pre", F.posexplode("pre").alias("i", "h"))
-    posts = written(posts, "prefixes")
-    side = lambda x, k: posts.select("h", F.col("id").alias(x), *[F.col(v).alias(f"{v}{k}") for v in ("c", "n", "p0", "pre", "i")])
+    posts = written(ranked.select("id", "c", "n", "p0", F.posexplode("pre").alias("i", "h")), "prefixes")
+    side = lambda x, k: posts.select("h", F.col("id").alias(x), *[F.col(v).alias(f"{v}{k}") for v in ("c", "n", "p0", "i")])
     can = f"""a < b AND c1 <> c2 AND 100 * least(n1, n2) >= {threshold} * greatest(n1, n2)
-        AND {100 + threshold} * least(n1 - p01 - i1, n2 - p02 - i2) >= {threshold} * (n1 + n2)
-        AND NOT arrays_overlap(slice(pre1, 1, i1), slice(pre2, 1, i2))"""
-    return side("a", 1).join(side("b", 2), "h").filter(can).select("a", "b")
+        AND {100 + threshold} * (least(i1, i2) + least(n1 - p01 - i1, n2 - p02 - i2)) >= {threshold} * (n1 + n2)"""
+    return side("a", 1).join(side("b", 2), "h").filter(can).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,8 +194,9 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
     sketch = written(made, "sketch")
     classes = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("lo", "hi", "n").agg(F.min("id").alias("id"))
     classes = written(classes, "classes")
-    nodes = sketch.join(classes, ["id", "lo", "hi", "n"], "left_semi").dropDuplicates(["id"])
-    nodes = written(nodes, "nodes")
+    one = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("lo", "hi", "n")).alias("s")).select("id", "s.*")
+    nodes = sketch.join(classes, ["id", "lo", "hi", "n"], "left_semi").join(one, ["id", "lo", "hi", "n"], "left_semi")
+    nodes = written(nodes.groupBy("id", "lo", "hi", "n").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")  # equal in all rows of a digest
     rows = nodes.select("id", F.explode("bands").alias("k"))
     sizes = written(rows.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
     members = written(rows.join(sizes, "k").select("k", "id", "m"), "members")

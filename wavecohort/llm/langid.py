@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import crc_part, mix64, table, unit
+from wavecohort.llm.common import crc_part, inside, mix64, table, unit
 
 DIM = 1024
 PER_LANGUAGE = 2000
@@ -115,11 +115,14 @@ def _partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", per_language: int = PER_LANGUAGE) -> dict[str, np.ndarray]:
-    """Prototypes (unit vectors) by language. Rows with a null language or text have no part; no row gives no prototype."""
+    """Prototypes (unit vectors) by language. Rows with a null language or text have no part; no row gives no prototype.
+    More than ``MAX_LANGUAGES`` languages raise an error."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("t"), unit(F.lit("learn"), F.col(id_col)).alias("h"))
     # The hash below which a language has about per_language rows, from its count alone.
-    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share")).limit(MAX_LANGUAGES)
+    share = rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(float(per_language)) / F.count("*")).alias("share"))
+    if share.count() > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages: prototypes of all would not fit a worker")
     picked = rows.join(F.broadcast(share), "lang").filter("h < share").select("lang", "t")
     got = picked.mapInArrow(_partial, "lang string, v array<double>").select("lang", F.posexplode("v").alias("i", "x"))
     got = got.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v"))
@@ -153,7 +156,7 @@ def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str =
 
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "lang_pred string", "score double"])
-    return docs.select(F.col(text_col).alias("__text"), *[F.col(c) for c in kept]).mapInArrow(run, schema)
+    return docs.select(F.col(text_col).alias(inside(docs, "text_")[0]), *[F.col(c) for c in kept]).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

@@ -1,8 +1,8 @@
 """Mixing sources to target weights by Poisson replication.
 
 DataFrame functions only. Each source's repetition rate is its target share of the output over its share of the
-input. A document's count is the Poisson quantile of a hash-seeded uniform number, so that it depends on the seed, the
-document's id and text alone and never on the partitioning. The copies are exploded and dealt out by a range partition
+input. A document's count is the Poisson quantile of a hash-seeded uniform number, so that it depends on the seed and the
+document's id alone (without an id, on its text) and never on the partitioning. The copies are exploded and dealt out by a range partition
 on a hash-derived shuffle key: a global shuffle.
 """
 
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import table, unit
+from wavecohort.llm.common import inside, table, unit
 
 #: Sources whose rates are broadcast (a few KB each at most); more are joined by a salted shuffle.
 MAX_BROADCAST_SOURCES = 10_000
@@ -64,27 +64,29 @@ def mix(
     total_factor: float = 1.0,
     seed: int = 42,
     max_broadcast_sources: int = MAX_BROADCAST_SOURCES,
+    text_col: str = "text",
 ) -> DataFrame:
     """``docs`` replicated: every column, with ``mix_copy`` (from 1), ``mix_rate`` and ``mix_key`` (uniform in [0, 1),
     the global order). Columns of ``docs`` with these names are replaced.
 
-    A row whose count is 0 goes. Null ids and texts hash as empty strings; a null source is a source of its own;
-    repeated rows get equal counts and keys, each its own copies; an empty table gives an empty table.
+    A row whose count is 0 goes. A row with a null id draws by its text, one without both as an empty string; a null
+    source is a source of its own; repeated rows get equal counts and keys, each its own copies; a long text is one row
+    like any other; an empty table gives an empty table. Columns of any other name stay as they are.
     """
     r = rates(docs, source_col, weights, exponent, total_factor)
-    r = r.select(F.col("source").alias("__source"), F.col("rate").alias("__rate"), poisson_cdf(F.col("rate")).alias("__cdf"))
     base = docs.drop("mix_copy", "mix_rate", "mix_key")
-    base = base.withColumn("__u", unit(F.lit("count"), F.col(id_col), seed=seed))
+    u, own, rate, cdf, salt, n = inside(base, "u", "own_source", "rate", "cdf", "salt", "n")
+    r = r.select(F.col("source").alias(own), F.col("rate").alias(rate), poisson_cdf(F.col("rate")).alias(cdf))
+    told = F.coalesce(F.col(id_col).cast("string"), F.col(text_col)) if text_col in docs.columns else F.col(id_col)
+    got = base.withColumn(u, unit(F.lit("count"), told, seed=seed))
     if r.limit(max_broadcast_sources + 1).count() <= max_broadcast_sources:
-        got = base.join(F.broadcast(r), base[source_col].eqNullSafe(r["__source"]))
+        got = got.join(F.broadcast(r), F.col(source_col).eqNullSafe(F.col(own)))
     else:
-        salt = F.floor(base["__u"] * SALTS).cast("int")
-        r = r.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        got = base.withColumn("__s", salt).join(r, F.col(source_col).eqNullSafe(F.col("__source")) & (F.col("__s") == F.col("__salt"))).drop("__s", "__salt")
-    count = F.size(F.filter("__cdf", lambda p: p <= F.col("__u")))
-    got = got.withColumn("__n", count).filter("__n > 0").withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col("__n"))))
-    got = got.withColumns({"mix_rate": F.col("__rate"), "mix_key": unit(F.lit("order"), F.col(id_col), F.col("mix_copy"), seed=seed)})
-    return got.select(*base.columns[:-1], "mix_copy", "mix_rate", "mix_key")
+        r = r.withColumn(n, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        got = got.withColumn(salt, F.floor(F.col(u) * SALTS).cast("int")).join(r, F.col(source_col).eqNullSafe(F.col(own)) & (F.col(salt) == F.col(n))).drop(n)
+    got = got.withColumn(n, F.size(F.filter(cdf, lambda p: p <= F.col(u)))).filter(F.col(n) > 0).withColumn("mix_copy", F.explode(F.sequence(F.lit(1), F.col(n))))
+    got = got.withColumns({"mix_rate": F.col(rate), "mix_key": unit(F.lit("order"), told, F.col("mix_copy"), seed=seed)})
+    return got.select(*base.columns, "mix_copy", "mix_rate", "mix_key")
 
 
 def shuffled(mixed: DataFrame, id_col: str = "doc_id", partitions: int | None = None) -> DataFrame:

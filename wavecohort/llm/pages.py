@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import table
+from wavecohort.llm.common import inside, table
 
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul textarea iframe video audio canvas".split()
@@ -39,10 +39,10 @@ _WORD = re.compile(r"[a-z]+")
 
 
 class _Frame:
-    __slots__ = ("tag", "names")
+    __slots__ = ("tag", "names", "block")
 
-    def __init__(self, tag: str, names: frozenset[str]):
-        self.tag, self.names = tag, names
+    def __init__(self, tag: str, names: frozenset[str], block: str = ""):
+        self.tag, self.names, self.block = tag, names, tag if tag in BLOCK_TAGS else block
 
 
 class _Blocks(HTMLParser):
@@ -54,23 +54,24 @@ class _Blocks(HTMLParser):
         self.out: list[tuple[str, frozenset[str], str, int]] = []
         self.text: list[str] = []
         self.linked = self.silent = self.links = 0
+        self.open: dict[str, int] = {}  # open tags by name: what is not open is not searched for, so that broken pages take linear time
 
     def flush(self) -> None:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                tag = next((f.tag for f in reversed(self.stack) if f.tag in BLOCK_TAGS), "")
-                self.out.append((text, self.stack[-1].names, tag, self.linked))
+                self.out.append((text, self.stack[-1].names, self.stack[-1].block, self.linked))
         self.text, self.linked = [], 0
 
     def pop(self, at: int) -> None:
         while len(self.stack) > at:
             tag = self.stack.pop().tag
+            self.open[tag] -= 1
             self.silent -= tag in SILENT
             self.links -= tag == "a"
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag not in IN_HEAD:  # a head left open ends here
+        if tag not in IN_HEAD and (self.open.get("head") or (tag == "body" and self.open.get("title"))):  # a head left open ends here
             at = next((i for i, f in enumerate(self.stack) if f.tag == "head" or (f.tag == "title" and tag == "body")), None)
             if at is not None and (tag == "body" or not any(f.tag in NESTED - {"title"} for f in self.stack[at:])):
                 self.pop(at)
@@ -78,14 +79,14 @@ class _Blocks(HTMLParser):
             self.flush()
             if tag in CLOSES:
                 closed, stop = CLOSES[tag]
-                for i in range(len(self.stack) - 1, 0, -1):
+                for i in range(len(self.stack) - 1, 0, -1) if any(self.open.get(x) for x in closed) else ():
                     if self.stack[i].tag in stop:
                         break
                     if self.stack[i].tag in closed:
                         self.pop(i)
                         break
-            elif tag not in ("button", "label", "option"):  # a paragraph ends where another block begins
-                for i in range(len(self.stack) - 1, max(0, len(self.stack) - 12), -1):
+            elif self.open.get("p") and tag not in ("button", "label", "option"):  # a paragraph ends where another block begins
+                for i in range(len(self.stack) - 1, 0, -1):
                     if self.stack[i].tag == "p":
                         self.pop(i)
                         break
@@ -100,7 +101,8 @@ class _Blocks(HTMLParser):
             if v and k in ("class", "id", "role"):
                 own |= {f"name:{w}" for w in _WORD.findall(v.lower()) if w in NAMES}
         names = self.stack[-1].names
-        self.stack.append(_Frame(tag, names | own if own else names))
+        self.stack.append(_Frame(tag, names | own if own else names, self.stack[-1].block))
+        self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
 
@@ -114,7 +116,7 @@ class _Blocks(HTMLParser):
     def handle_endtag(self, tag: str) -> None:
         if tag in BLOCK_TAGS:
             self.flush()
-        for i in range(len(self.stack) - 1, 0, -1):
+        for i in range(len(self.stack) - 1, 0, -1) if self.open.get(tag) else ():
             if self.stack[i].tag == tag:
                 self.pop(i)
                 return
@@ -356,14 +358,14 @@ def extract(pages: DataFrame, html_col: str = "html", keep: list[str] | None = N
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            text = [main_text(x if isinstance(x, str) else None, field) for x in f["__html"]]
+            text = [main_text(x if isinstance(x, str) else None, field) for x in f.iloc[:, 0]]
             out = f[kept].copy()
             out["text"], out["n_chars"] = pd.Series(text, index=f.index, dtype=object), pd.Series([len(t) for t in text], index=f.index, dtype="int64")
             yield out
 
     types = dict(pages.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "text string", "n_chars long"])
-    return pages.select(F.col(html_col).alias("__html"), *[F.col(c) for c in kept]).mapInPandas(run, schema)
+    return pages.select(F.col(html_col).alias(inside(pages, "html_")[0]), *[F.col(c) for c in kept]).mapInPandas(run, schema)
 
 
 def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

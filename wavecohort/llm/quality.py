@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wavecohort.llm.common import crc_part, table, text_buffers, unit, words_of
+from wavecohort.llm.common import crc_part, inside, table, text_buffers, unit, words_of
 
 WORDS = 1 << 15
 STEPS = 12
@@ -130,7 +130,7 @@ def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, x, at = features(batch.column("t"), batch.column("c"))
         cut = [(ids[at[i] : at[i + 1]].astype(np.uint16).tobytes(), x[at[i] : at[i + 1]].astype(np.float32).tobytes()) for i in range(batch.num_rows)]
-        yield pa.record_batch([pa.array([a for a, _ in cut], pa.binary()), pa.array([b for _, b in cut], pa.binary()), batch.column("y")], names=["ids", "x", "y"])
+        yield pa.record_batch([pa.array([a for a, _ in cut], pa.binary()), pa.array([b for _, b in cut], pa.binary()), *[batch.column(c) for c in "yuh"]], names=["ids", "x", "y", "u", "h"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", train_rows: int = TRAIN_ROWS) -> FactorisationMachine:
@@ -138,10 +138,11 @@ def learn(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     labelled more than once has its largest label; without a labelled row every text gets the same score."""
     own = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("i")).agg(F.max(label_col).cast("int").alias("y"))
     n = own.count()
-    own = own.filter(unit(F.lit("quality"), F.col("i")) < F.lit(train_rows / max(n, 1)))
+    own = own.withColumn("u", unit(F.lit("quality"), F.col("i"))).filter(F.col("u") < F.lit(train_rows / max(n, 1)))
     told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     texts = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), told.alias("c"))
-    got = texts.join(F.broadcast(own), "i").select("t", "c", "y").mapInArrow(_packed, "ids binary, x binary, y int").limit(2 * train_rows).toArrow()
+    rows = texts.join(F.broadcast(own), "i").select("t", "c", "y", "u", F.xxhash64("t").alias("h"))
+    got = rows.mapInArrow(_packed, "ids binary, x binary, y int, u double, h long").orderBy("u", "h").limit(2 * train_rows).toArrow()  # where ids repeat, no more than twice as many
     rows = [(np.frombuffer(a, np.uint16).astype(np.int64), np.frombuffer(b, np.float32).astype(float)) for a, b in zip(got["ids"].to_pylist(), got["x"].to_pylist(), strict=True)]
     y = np.array(got["y"].to_pylist(), float)
     if len(rows):  # one order, whatever the partitions were
@@ -171,7 +172,8 @@ def score(docs: DataFrame, model: FactorisationMachine, text_col: str = "text",
     told = F.col("n_chars").cast("double") if "n_chars" in docs.columns else F.lit(None).cast("double")
     types = dict(docs.dtypes)
     schema = ", ".join([*(f"`{c}` {types[c]}" for c in kept), "score double", "predicted int"])
-    return docs.select(F.col(text_col).alias("__text"), told.alias("__told"), *[F.col(c) for c in kept]).mapInArrow(run, schema)
+    text, chars = inside(docs, "text_", "told")
+    return docs.select(F.col(text_col).alias(text), told.alias(chars), *[F.col(c) for c in kept]).mapInArrow(run, schema)
 
 
 def held_out(doc_id: Column) -> Column:

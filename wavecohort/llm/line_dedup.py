@@ -21,7 +21,7 @@ from wavecohort.llm.common import inside, table
 BUCKETS = 1 << 20
 #: Tokens of this frequency class (2^16 occurrences) and above are hot: their join is split, for each doubling once more.
 HOT = 48
-#: Of so many of its rarest tokens a line meets the earliest line in the first pass.
+#: Of so many tokens at either end of its prefix a line meets the earliest line in the first pass.
 STARS = 2
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
@@ -122,9 +122,10 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     posts = written(marked.select("d", "i", "n", "b", F.posexplode("pre").alias("p", "k")), "postings")
     forget(spark, classes)
 
-    # First pass: against the earliest line that posts most of the line's rarest tokens. Lines of one family of copies
-    # go here, a comparison each, however many they are; what is no copy of that line waits for the second pass.
-    rare = posts.filter(F.col("p") < STARS).select("k", "d", "i", "n")
+    # First pass: against the earliest line that posts most of some of the line's tokens, the rarest and, since copies
+    # differ in rare words, the last ones of its prefix. Lines of one family of copies go here, a comparison each,
+    # however many they are; what is no copy of that line waits for the second pass.
+    rare = posts.filter((F.col("p") < STARS) | (F.col("p") >= _prefix(F.col("n"), t) - STARS)).select("k", "d", "i", "n")
     stars = rare.groupBy("k").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.min_by("i", "d").alias("i0")).filter("m > 1").drop("m")
     stars = rare.join(stars, "k").filter("d0 < d OR (d0 = d AND i0 < i)").groupBy("d", "i", "d0", "i0").agg(F.count("*").alias("c"), F.first("n").alias("n"))
     stars = stars.filter(F.col("c") * 2 > F.least(F.lit(STARS), _prefix(F.col("n"), t)))

@@ -27,7 +27,7 @@ def strip_non_numeric(c: Column | str) -> Column:
 
 
 def strip_prefix(c: Column | str, n: int) -> Column:
-    return F.substring(_c(c), n + 1, 1_000_000)
+    return F.substr(_c(c), F.lit(n + 1))
 
 
 def pad_id(c: Column | str, width: int = 3) -> Column:

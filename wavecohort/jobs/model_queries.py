@@ -17,9 +17,9 @@ from wavecohort.operators import select as S
 REPS = 5000
 
 
-def _lines(spark, sf_dir):
+def _lines(spark, sf_dir, *more):
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"), (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 10000).alias("m"), (F.col("l_tax") * 10 + F.col("l_extendedprice") / 50000).alias("y"))
+    return li.select("l_returnflag", F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row"), (F.col("l_quantity") / 10).alias("x"), (F.col("l_extendedprice") / 10000).alias("m"), (F.col("l_tax") * 10 + F.col("l_extendedprice") / 50000).alias("y"), *more)
 
 
 LINES = """li AS (SELECT l_returnflag, l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS row, l_quantity / 10 AS x, l_extendedprice / 10000 AS m, l_tax * 10 + l_extendedprice / 50000 AS y FROM lineitem)"""
@@ -36,7 +36,7 @@ def ols_multi(spark, sf_dir):
 
 MED = f"""{LINES}, c0 AS (SELECT l_returnflag, avg(x) AS x0, avg(m) AS m0, avg(y) AS y0 FROM li GROUP BY 1),
 cl AS (SELECT li.l_returnflag, row, x - x0 AS x, m - m0 AS m, y - y0 AS y FROM li JOIN c0 USING (l_returnflag)),
-ps AS (SELECT k, exp(-1) * sum(1 / gamma(k2 + 1)) AS p FROM range(0, 8) r(k), range(0, 8) s(k2) WHERE k2 <= k GROUP BY k),
+ps AS (SELECT k, exp(-1) * sum(1 / gamma(k2 + 1)) AS p FROM range(0, 20) r(k), range(0, 20) s(k2) WHERE k2 <= k GROUP BY k),
 dr AS (SELECT cl.*, rep, ('0x' || substr(md5('42|' || rep || '|' || row), 1, 13))::BIGINT / 4503599627370496.0 AS u FROM cl, range(0, 20) q(rep)),
 wd AS (SELECT l_returnflag, rep, x, m, y, (SELECT count(*) FROM ps WHERE u >= p)::DOUBLE AS w FROM dr),
 su AS (SELECT l_returnflag, rep, sum(w*x*x) - sum(w*x) ** 2 / sum(w) AS sxx, sum(w*x*m) - sum(w*x) * sum(w*m) / sum(w) AS sxm, sum(w*x*y) - sum(w*x) * sum(w*y) / sum(w) AS sxy, sum(w*m*m) - sum(w*m) ** 2 / sum(w) AS smm, sum(w*m*y) - sum(w*m) * sum(w*y) / sum(w) AS smy FROM wd WHERE w > 0 GROUP BY ALL), {EFFECTS}"""
@@ -67,7 +67,7 @@ def percentile_ci_whole(spark, sf_dir):
 @query("bootstrap_mediation", f"""WITH {MED}, bo AS (SELECT l_returnflag, quantile_cont(a * b, 0.025) AS low, quantile_cont(a * b, 0.975) AS high, avg((a * b <= 0)::INT) AS lo, avg((a * b >= 0)::INT) AS hi FROM ef GROUP BY 1),
 s1 AS (SELECT l_returnflag, count(*) AS n, sum(x*x) AS sxx, sum(x*m) AS sxm, sum(x*y) AS sxy, sum(m*m) AS smm, sum(m*y) AS smy FROM cl GROUP BY 1),
 e1 AS (SELECT *, sxm / sxx AS a, (smy * sxx - sxy * sxm) / (sxx * smm - sxm * sxm) AS b, (sxy * smm - smy * sxm) / (sxx * smm - sxm * sxm) AS direct, sxy / sxx AS total FROM s1)
-SELECT l_returnflag, n, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(direct, 6) + 0.0 AS direct, round(total, 6) + 0.0 AS total, round(a * b, 6) + 0.0 AS indirect, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(least(1.0, 2 * least(lo, hi)), 6) AS p, round(abs(a * b / total), 5) AS proportion FROM e1 JOIN bo USING (l_returnflag)""")
+SELECT l_returnflag, n, round(a, 6) + 0.0 AS a, round(b, 6) + 0.0 AS b, round(direct, 6) + 0.0 AS direct, round(total, 6) + 0.0 AS total, round(a * b, 6) + 0.0 AS indirect, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, round(least(1.0, 2 * CASE WHEN a * b >= 0 THEN lo ELSE hi END), 6) AS p, round(abs(a * b / total), 5) AS proportion FROM e1 JOIN bo USING (l_returnflag)""")
 def bootstrap_mediation(spark, sf_dir):
     got = M.bootstrap_mediation(_lines(spark, sf_dir), ["l_returnflag"], "x", "m", "y", "row", 20)
     return got.withColumns({c: r6(c) for c in ("a", "b", "direct", "total", "indirect", "low", "high", "p")} | {"proportion": r6("proportion", 5)})
@@ -110,10 +110,37 @@ def component_mediation(spark, sf_dir):
 
 @query("mediation_summary")
 def mediation_summary(spark, sf_dir):
+    """Tidy rows of all mediators, with discount as a covariate."""
+    li = _covered(spark, sf_dir)
+    got = M.mediation_table(li, ["l_returnflag", "l_linestatus"], "x", "m", "y", "row", REPS, covariates=["c"])
+    return rounded(got, "a", "a_p", "b", "b_p", "total", "total_p", "direct", "direct_p", "indirect", "low", "high", "p", "proportion", "p_fdr", digits=5)
+
+
+@query("mediation_counts")
+def mediation_counts(spark, sf_dir):
     got = _component_mediation(spark, sf_dir).groupBy("freq_band", "g1", "g2", "outcome").agg(F.count("*").alias("n_models"), F.count_if("significant").alias("n_significant"), F.min("p_fdr").alias("least_p"))
     return rounded(got, "least_p")
 
 
+def _covered(spark, sf_dir):
+    return _lines(spark, sf_dir, F.col("l_linestatus"), (F.col("l_discount") * 10).alias("c"))
+
+
+PARTIAL = " ".join(f"s_{p}{q} - s_{p}c * s_{q}c / s_cc AS p_{p}{q}," for p, q in ("xx", "xm", "xy", "mm", "my", "yy"))
+
+
+@query("mediation_paths", f"""WITH li AS (SELECT l_returnflag, l_linestatus, l_quantity / 10 AS x, l_extendedprice / 10000 AS m, l_tax * 10 + l_extendedprice / 50000 AS y, l_discount * 10 AS c FROM lineitem),
+su AS (SELECT l_returnflag, l_linestatus, count(*) AS n, regr_sxx(x, x) AS s_xx, regr_sxy(x, m) AS s_xm, regr_sxy(x, y) AS s_xy, regr_sxy(x, c) AS s_xc, regr_sxx(m, m) AS s_mm, regr_sxy(m, y) AS s_my, regr_sxy(m, c) AS s_mc, regr_sxx(y, y) AS s_yy, regr_sxy(y, c) AS s_yc, regr_sxx(c, c) AS s_cc FROM li GROUP BY 1, 2),
+pa AS (SELECT l_returnflag, l_linestatus, {PARTIAL} n FROM su),
+ef AS (SELECT *, p_xm / p_xx AS a, (p_my * p_xx - p_xy * p_xm) / (p_xx * p_mm - p_xm * p_xm) AS b, (p_xy * p_mm - p_my * p_xm) / (p_xx * p_mm - p_xm * p_xm) AS direct, p_xy / p_xx AS total FROM pa)
+SELECT l_returnflag, l_linestatus, n, round(a, 6) + 0.0 AS a, round(sqrt((p_mm - a * p_xm) / (n - 3) / p_xx), 6) AS a_se, round(b, 6) + 0.0 AS b, round(sqrt((p_yy - direct * p_xy - b * p_my) / (n - 4) * p_xx / (p_xx * p_mm - p_xm * p_xm)), 6) AS b_se,
+  round(direct, 6) + 0.0 AS direct, round(sqrt((p_yy - direct * p_xy - b * p_my) / (n - 4) * p_mm / (p_xx * p_mm - p_xm * p_xm)), 6) AS direct_se, round(total, 6) + 0.0 AS total, round(sqrt((p_yy - total * p_xy) / (n - 3) / p_xx), 6) AS total_se FROM ef""")
+def mediation_paths(spark, sf_dir):
+    """Paths with a covariate, their standard errors; p-values follow from both and are held by unit tests."""
+    got = M.mediation_paths(_covered(spark, sf_dir), ["l_returnflag", "l_linestatus"], "x", "m", "y", ["c"])
+    return rounded(got.drop("a_p", "b_p", "direct_p", "total_p"), "a", "a_se", "b", "b_se", "direct", "direct_se", "total", "total_se")
+
+
 def _prices(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.col("l_suppkey").alias("subject_id"), F.concat(F.lit("g"), (F.col("l_suppkey") % 3).cast("string")).alias("grp"), F.col("l_linestatus").alias("band"), F.log10(F.col("l_extendedprice") + 1e-20).alias("y"), F.col("l_quantity").alias("age"))
@@ -139,7 +166,9 @@ def age_adjusted_group_test(spark, sf_dir):
     rows = _prices(spark, sf_dir).withColumn("age2", F.col("age") * F.col("age") / 100)
     one = M.mixed_model(rows, ["band"], "subject_id", "y", "grp", "g0", ["g0", "g1", "g2"], ["age"]).withColumn("model", F.lit("linear"))
     two = M.mixed_model(rows, ["band"], "subject_id", "y", "grp", "g0", ["g0", "g1", "g2"], ["age", "age2"]).withColumn("model", F.lit("square"))
-    return rounded(one.unionByName(two).select("band", "model", "term", "beta", "p", "aic"), "beta", "p", "aic", digits=3)
+    by_group = rows.withColumns({f"{g} x age": F.when(F.col("grp") == g, F.col("age")).otherwise(0.0) for g in ("g1", "g2")})
+    three = M.mixed_model(by_group, ["band"], "subject_id", "y", "grp", "g0", ["g0", "g1", "g2"], ["age", "g1 x age", "g2 x age"]).withColumn("model", F.lit("group x age"))
+    return rounded(one.unionByName(two).unionByName(three).select("band", "model", "term", "beta", "p", "aic", "bic"), "beta", "p", "aic", "bic", digits=3)
 
 
 ICC = f"""{MIX}, p AS (SELECT band, subject_id, count(*) AS n, avg(y) AS m, coalesce(var_samp(y), 0) AS v FROM li GROUP BY ALL),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wavecohort.functions import expr as X
@@ -265,8 +266,7 @@ def descriptive_by_band(spark, sf_dir):
 
 @query("significant_by_dim", """SELECT o_orderstatus AS roi, o_orderpriority AS band, count(*) FILTER (o_totalprice > 300000) AS n FROM orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())""")
 def significant_by_dim(spark, sf_dir):
-    table(spark, sf_dir, "orders").createOrReplaceTempView("wavecohort_orders")
-    return spark.sql("SELECT o_orderstatus AS roi, o_orderpriority AS band, count_if(o_totalprice > 300000) AS n FROM wavecohort_orders GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())")
+    return spark.sql("SELECT o_orderstatus AS roi, o_orderpriority AS band, count_if(o_totalprice > 300000) AS n FROM {orders} GROUP BY GROUPING SETS ((o_orderstatus), (o_orderpriority), ())", orders=table(spark, sf_dir, "orders"))
 
 
 @query("pivot_counts", """SELECT l_shipdate::DATE - date_trunc('year', l_shipdate)::DATE AS day, count(*) FILTER (l_returnflag = 'A') AS "A", count(*) FILTER (l_returnflag = 'N') AS "N", count(*) FILTER (l_returnflag = 'R') AS "R" FROM lineitem GROUP BY 1""")
@@ -316,7 +316,7 @@ def head_n(spark, sf_dir):
 def region_order(spark, sf_dir):
     n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_regionkey")
     counts = table(spark, sf_dir, "supplier").join(n, "s_nationkey").groupBy("n_regionkey").agg(F.count("*").alias("n"))
-    return S.top_per_group(counts, [], 1_000_000, F.desc("n"), "n_regionkey").withColumnRenamed("rank", "place")
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "n_regionkey")))  # a row for each region
 
 
 @query("union_groups", "SELECT c_custkey AS id, 'c' AS grp FROM customer UNION ALL SELECT s_suppkey, 's' FROM supplier")

@@ -76,7 +76,7 @@ def medians(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame
 def levene(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """Homogeneity of variances: the analysis of variance of distances from each group's median."""
     rows = _values(df, keys, group, value)
-    mid = F.broadcast(medians(df, keys, group, value))  # a row for each key and group
+    mid = medians(df, keys, group, value)
     away = rows.join(mid, [*keys, "grp"]).select(*keys, "grp", F.abs(F.col("v") - F.col("med")).alias("away"))
     return anova_oneway(away, keys, "grp", "away").withColumnRenamed("effect_size", "share").drop("share")
 
@@ -115,7 +115,7 @@ def rank_sums(df: DataFrame, keys: list[str], group: str, value: str) -> DataFra
     ranks = t.withColumn("rank", before + (F.col("t") + 1) / 2)
     whole = t.groupBy(*keys).agg(F.sum("t").alias("total"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
     sums = by.join(ranks, [*keys, "v"]).groupBy(*keys, "grp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    return sums.join(F.broadcast(whole), keys) if keys else sums.crossJoin(F.broadcast(whole))
+    return sums.join(whole, keys) if keys else sums.crossJoin(F.broadcast(whole))
 
 
 def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -144,7 +144,7 @@ def shapiro_wilk(df: DataFrame, keys: list[str], group: str, value: str, most: i
     are tested by :func:`jarque_bera`, so no large group meets in one task. Under three values: not normal."""
     rows = _values(df, keys, group, value)
     sizes = rows.groupBy(*keys, "grp").agg(F.count("*").alias("n"))
-    small = F.broadcast(sizes.filter(F.col("n").between(3, most)).drop("n"))
+    small = sizes.filter(F.col("n").between(3, most)).drop("n")
     types = dict(df.dtypes)
     head = ", ".join(f"`{k}` {types[k]}" for k in keys) + (", " if keys else "")
 

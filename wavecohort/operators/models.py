@@ -34,11 +34,12 @@ def _sums(columns: list[str]) -> list[Column]:
 
 def ols_multi(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFrame:
     """``term, beta, se, t, p, n`` of the least-squares fit of y on an intercept and ``xs``; a singular system gives no
-    row. Variables are centred by their means over all rows before they are multiplied."""
+    row. Variables are centred by their means within keys before they are multiplied; rows with a null key have no part."""
     names = ["__one", *xs, y]
     rows = complete(df, [*xs, y]).select(*keys, *[F.col(c).cast("double").alias(c) for c in (*xs, y)])
-    mean = rows.agg(*[F.avg(c).alias(f"__m_{c}") for c in (*xs, y)])
-    rows = rows.crossJoin(F.broadcast(mean)).withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in (*xs, y)}).withColumn("__one", F.lit(1.0))  # one row
+    mean = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"__m_{c}") for c in (*xs, y)])
+    rows = rows.join(mean, keys) if keys else rows.crossJoin(F.broadcast(mean))  # one row
+    rows = rows.withColumns({c: F.col(c) - F.col(f"__m_{c}") for c in (*xs, y)}).withColumn("__one", F.lit(1.0))
     sums = rows.groupBy(*keys).agg(F.count("*").alias("n"), *_sums(names), *[F.first(f"__m_{c}").alias(f"__m_{c}") for c in (*xs, y)])
     types = dict(df.dtypes)
     terms = ["intercept", *xs]
@@ -75,8 +76,8 @@ def ols_multi(df: DataFrame, keys: list[str], y: str, xs: list[str]) -> DataFram
 
 # --- mediation ------------------------------------------------------------------------------------------------------------
 
-#: P(X <= k) of a Poisson variable with mean 1, k = 0..7: a row's number of draws in a resample.
-_POISSON = [float(x) for x in np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1)) for k in range(8)])]
+#: P(X <= k) of a Poisson variable with mean 1, up to where 52 bits tell it from 1: a row's number of draws in a resample.
+_POISSON = [float(x) for x in np.cumsum([np.exp(-1.0) / np.prod(range(1, k + 1), dtype=float) for k in range(20)])]
 
 
 def _paths(w: Column, prefix: str = "") -> list[Column]:
@@ -101,21 +102,47 @@ def _effects(df: DataFrame) -> DataFrame:
     return df.withColumn("indirect", F.col("a") * F.col("b"))
 
 
-def _centred(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str) -> DataFrame:
-    rows = complete(df, [x, m, y]).select(*keys, F.col(row).alias("__row"), *[F.col(c).cast("double").alias(n) for c, n in ((x, "__x"), (m, "__m"), (y, "__y"))])
-    mean = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}0") for c in ("__x", "__m", "__y")])
+def _centred(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, covariates: list[str] | None = None) -> DataFrame:
+    names = {"__x": x, "__m": m, "__y": y} | {f"__c{i}": c for i, c in enumerate(covariates or [])}
+    rows = complete(df, list(names.values())).select(*keys, F.col(row).alias("__row"), *[F.col(c).cast("double").alias(n) for n, c in names.items()])
+    mean = rows.groupBy(*keys).agg(*[F.avg(c).alias(f"{c}0") for c in names])
     rows = rows.join(mean, keys) if keys else rows.crossJoin(F.broadcast(mean))
-    return rows.withColumns({c: F.col(c) - F.col(f"{c}0") for c in ("__x", "__m", "__y")}).drop("__x0", "__m0", "__y0")
+    return rows.withColumns({c: F.col(c) - F.col(f"{c}0") for c in names}).drop(*[f"{c}0" for c in names])
 
 
-def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int, seed: int = 42) -> DataFrame:
-    """``keys, rep, indirect``: the indirect effect of each resample. A row's weight in a resample is a Poisson number
-    with mean 1 from the md5 of (seed, resample, row): no draws sent about, and sums of products that tasks add up where
-    the rows are, a matrix product of resamples by rows at a time. ``row``: a column that tells rows apart; keys that
-    share a row share its hashes."""
-    rows = _centred(df, keys, x, m, y, row).withColumn("__row", F.col("__row").cast("string"))
+def _adjusted(sums: DataFrame, keys: list[str], q: int) -> DataFrame:
+    """``keys, rep, indirect`` from the sums of products of 1, x, m, y and covariates; a singular fit gives null."""
+    types = dict(sums.dtypes)
+    at = [(i, j) for i in range(q) for j in range(i, q)]
+
+    def solve(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            s = np.zeros((len(f), q, q))
+            for i, j in at:
+                s[:, i, j] = s[:, j, i] = f[f"s{i}_{j}"].to_numpy(float)
+            out = []
+            for z in s:
+                one, two = [0, 1, *range(4, q)], [0, 1, 2, *range(4, q)]
+                try:
+                    a = np.linalg.solve(z[np.ix_(one, one)], z[one, 2])[1]
+                    out.append(a * np.linalg.solve(z[np.ix_(two, two)], z[two, 3])[2])
+                except np.linalg.LinAlgError:
+                    out.append(None)
+            yield f[[*keys, "rep"]].assign(indirect=pd.Series(out, index=f.index, dtype=float))
+
+    return sums.mapInPandas(solve, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rep int, indirect double"]))
+
+
+def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
+    """``keys, rep, indirect``: the indirect effect of each resample, with ``covariates`` in both equations. A row's
+    weight in a resample is a Poisson number with mean 1 from the md5 of (seed, resample, row): no draws sent about, and
+    sums of products that tasks add up where the rows are, a matrix product of resamples by rows at a time. ``row``: a
+    column that tells rows apart; keys that share a row share its hashes."""
+    rows = _centred(df, keys, x, m, y, row, covariates).withColumn("__row", F.col("__row").cast("string"))
     rows = rows.repartition("__row").sortWithinPartitions("__row")
-    types, sums = dict(rows.dtypes), ["w", "x", "m", "y", "xx", "xm", "xy", "mm", "my"]
+    more = [f"__c{i}" for i in range(len(covariates or []))]
+    q = 4 + len(more)
+    types, sums = dict(rows.dtypes), [f"s{i}_{j}" for i in range(q) for j in range(i, q)]
 
     def flush(total: dict) -> pd.DataFrame:
         out = pd.DataFrame(np.concatenate(list(total.values())), columns=[f"__{c}" for c in sums])
@@ -131,8 +158,8 @@ def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, ro
             ids = [("" if pd.isna(r) else f"{r}").encode() for r in found]
             split = []
             for k, i in parts(f, keys):
-                a, b, c = (f[n].to_numpy(float)[i] for n in ("__x", "__m", "__y"))
-                split.append((k, at[i], np.c_[np.ones(len(i)), a, b, c, a * a, a * b, a * c, b * b, b * c]))
+                z = [np.ones(len(i)), *(f[n].to_numpy(float)[i] for n in ("__x", "__m", "__y", *more))]
+                split.append((k, at[i], np.stack([z[a] * z[b] for a in range(q) for b in range(a, q)], axis=1)))
                 total.setdefault(k, np.zeros((reps, len(sums))))
             for turn in blocks(reps):
                 u = (digests(seed, turn, ids)[0] >> np.uint64(12)).astype(float) / 2.0**52
@@ -146,29 +173,59 @@ def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, ro
             yield flush(total)
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rep int", *(f"__{c} double" for c in sums)])
-    got = rows.select(*keys, "__row", "__x", "__m", "__y").mapInPandas(draw, schema)
-    got = got.groupBy(*keys, "rep").agg(*[F.sum(f"__{c}").alias(c) for c in sums]).filter("w > 0")
-    return _effects(got).select(*keys, "rep", "indirect")
+    got = rows.select(*keys, "__row", "__x", "__m", "__y", *more).mapInPandas(draw, schema)
+    got = got.groupBy(*keys, "rep").agg(*[F.sum(f"__{c}").alias(c) for c in sums]).filter("s0_0 > 0")
+    if more:
+        return _adjusted(got, keys, q)
+    plain = dict(zip(sums, ["w", "x", "m", "y", "xx", "xm", "xy", "mm", "my", "yy"], strict=True))
+    return _effects(got.withColumnsRenamed(plain)).select(*keys, "rep", "indirect")
+
+
+def mediation_paths(df: DataFrame, keys: list[str], x: str, m: str, y: str, covariates: list[str] | None = None) -> DataFrame:
+    """``n`` and, for the paths a (m on x), b and c' (y on x and m) and c (y on x), the effect, its standard error and
+    p-value, covariates in every equation: ``a, a_se, a_p, b, ..., direct, ..., total, ...``. A singular fit gives no row."""
+    cov = covariates or []
+    rows = complete(df, [x, m, y, *cov])
 
+    def part(fit: DataFrame, term: str, name: str) -> DataFrame:
+        return fit.filter(F.col("term") == term).select(*keys, F.col("beta").alias(name), F.col("se").alias(f"{name}_se"), F.col("p").alias(f"{name}_p"))
 
-def bootstrap_mediation(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    one, two, three = ols_multi(rows, keys, m, [x, *cov]), ols_multi(rows, keys, y, [x, m, *cov]), ols_multi(rows, keys, y, [x, *cov])
+    got = part(one, x, "a").join(one.filter("term = 'intercept'").select(*keys, "n"), keys)
+    for fit, term, name in ((two, m, "b"), (two, x, "direct"), (three, x, "total")):
+        got = got.join(part(fit, term, name), keys)
+    return got
+
+
+def bootstrap_mediation(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int = 1000, level: float = 0.95, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
     """``a, b, direct, total, indirect, low, high, p, proportion, n`` of every key: the effects on the sample, the
-    percentile interval of the resamples, p = 2 * the smaller share of resamples beyond 0 (1 at most) and
-    |indirect / total|."""
-    base = _centred(df, keys, x, m, y, row)
-    point = _effects(base.groupBy(*keys).agg(*_paths(F.lit(1.0)), F.count("*").alias("n"))).select(*keys, "n", "a", "b", "direct", "total", "indirect")
+    percentile interval of the resamples, p = 2 * the share of resamples at or beyond 0 against the sign of the indirect
+    effect (1 at most) and |indirect / total|."""
+    if covariates:
+        point = mediation_paths(df, keys, x, m, y, covariates).withColumn("indirect", F.col("a") * F.col("b"))
+    else:
+        point = _effects(_centred(df, keys, x, m, y, row).groupBy(*keys).agg(*_paths(F.lit(1.0)), F.count("*").alias("n")))
+    point = point.select(*keys, "n", "a", "b", "direct", "total", "indirect")
     tail = (1 - level) / 2
-    boot = bootstrap_effects(df, keys, x, m, y, row, reps, seed).filter(F.col("indirect").isNotNull()).groupBy(*keys).agg(
+    boot = bootstrap_effects(df, keys, x, m, y, row, reps, seed, covariates).filter(F.col("indirect").isNotNull()).groupBy(*keys).agg(
         F.percentile("indirect", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"), F.avg((F.col("indirect") <= 0).cast("double")).alias("below"), F.avg((F.col("indirect") >= 0).cast("double")).alias("above")
     )
     got = point.join(boot, keys, "left") if keys else point.crossJoin(F.broadcast(boot))
     return got.select(
         *keys, "n", "a", "b", "direct", "total", "indirect", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"),
-        F.least(F.lit(1.0), 2 * F.least("below", "above")).alias("p"),
+        F.least(F.lit(1.0), 2 * F.when(F.col("indirect") >= 0, F.col("below")).otherwise(F.col("above"))).alias("p"),
         F.when(F.abs("total") > 1e-10, F.abs(F.col("indirect") / F.col("total"))).alias("proportion"),
     )
 
 
+def mediation_table(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int = 1000, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
+    """A tidy row for each model: the four paths with their p-values, the indirect effect with its interval, p and
+    share, and the false discovery rate over all models."""
+    paths = mediation_paths(df, keys, x, m, y, covariates).select(*keys, "n", *[f"{c}{s}" for c in ("a", "b", "total", "direct") for s in ("", "_p")])
+    boot = bootstrap_mediation(df, keys, x, m, y, row, reps, seed=seed, covariates=covariates).select(*keys, "indirect", "low", "high", "p", "proportion")
+    return fdr_bh(paths.join(boot, keys), [], "p", order=keys)
+
+
 def percentile_ci(df: DataFrame, keys: list[str], value: str, level: float = 0.95) -> DataFrame:
     tail = (1 - level) / 2
     got = df.groupBy(*keys).agg(F.percentile(value, F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"))
@@ -205,8 +262,8 @@ def component_mediation(means: DataFrame, outcomes: DataFrame, subject: str, key
 # --- mixed models -----------------------------------------------------------------------------------------------------------
 
 
-def _reml(stats: list[tuple[int, np.ndarray, np.ndarray, float, float, np.ndarray]], p: int) -> dict:
-    """Restricted maximum likelihood with a random intercept, from each subject's (n, X'X, X'y, y'y, 1'y, X'1). The
+def _fitted(stats: list[tuple[int, np.ndarray, np.ndarray, float, float, np.ndarray]], p: int, restricted: bool = True) -> dict:
+    """Restricted or full maximum likelihood with a random intercept, from each subject's (n, X'X, X'y, y'y, 1'y, X'1). The
     likelihood is profiled to the ratio of variances: a log grid, then golden section."""
     n_all = sum(s[0] for s in stats)
     ns = np.array([s[0] for s in stats], float)
@@ -220,9 +277,10 @@ def _reml(stats: list[tuple[int, np.ndarray, np.ndarray, float, float, np.ndarra
         inv = np.linalg.pinv(a)
         beta = inv @ b
         rss = max(float(yy.sum() - (d * sy**2).sum() - beta @ b), 1e-300)
-        s2 = rss / (n_all - p)
+        free = n_all - p if restricted else n_all
+        s2 = rss / free
         sign, logdet = np.linalg.slogdet(a)
-        cost = (n_all - p) * np.log(s2) + np.log1p(lam * ns).sum() + (logdet if sign > 0 else 0.0)
+        cost = free * np.log(s2) + np.log1p(lam * ns).sum() + (logdet if sign > 0 and restricted else 0.0)
         return cost, beta, inv * s2, s2
 
     grid = np.concatenate([[0.0], np.logspace(-6, 5, 56)])
@@ -245,7 +303,8 @@ def _reml(stats: list[tuple[int, np.ndarray, np.ndarray, float, float, np.ndarra
 
 def mixed_model(df: DataFrame, keys: list[str], subject: str, y: str, group: str, reference: str, levels: list[str], covariates: list[str] | None = None) -> DataFrame:
     """``y ~ group + covariates + (1 | subject)`` by REML for every key: ``term, beta, se, z, p, low, high`` with
-    ``var_between, var_within, icc, aic, n, n_subjects``. Terms: the intercept, each level against ``reference``, each
+    ``var_between, var_within, icc, aic, bic, n, n_subjects``; the last criteria from full maximum likelihood, so that models of
+    other fixed effects compare. Terms: the intercept, each level against ``reference``, each
     covariate. Only sums for each (key, subject) reach the fit. y is centred by its mean over all rows first."""
     covariates = covariates or []
     others = [x for x in levels if x != reference]
@@ -269,18 +328,19 @@ def mixed_model(df: DataFrame, keys: list[str], subject: str, y: str, group: str
             stats.append((int(r["n"]), s[:p, :p], s[:p, p], s[p, p], s[0, p], s[:p, 0]))
         if sum(x[0] for x in stats) <= p:
             return pd.DataFrame(columns=columns)
-        m = _reml(stats, p)
+        m, full = _fitted(stats, p), _fitted(stats, p, restricted=False)
+        loss = full["cost"] + full["n"] * (1 + np.log(2 * np.pi))  # -2 log likelihood
         beta = m["beta"].copy()
         beta[0] += f["__mean"].iloc[0]
         total = m["between"] + m["within"]
         out = []
         for i, term in enumerate(terms):
             z = beta[i] / m["se"][i] if m["se"][i] > 0 else np.nan
-            out.append([*key, term, beta[i], m["se"][i], z, float(2 * special.normal_sf(abs(z))), beta[i] - 1.96 * m["se"][i], beta[i] + 1.96 * m["se"][i], m["between"], m["within"], m["between"] / total if total > 0 else 0.0, m["cost"] + 2 * (p + 2), m["n"], len(f)])
+            out.append([*key, term, beta[i], m["se"][i], z, float(2 * special.normal_sf(abs(z))), beta[i] - 1.96 * m["se"][i], beta[i] + 1.96 * m["se"][i], m["between"], m["within"], m["between"] / total if total > 0 else 0.0, loss + 2 * (p + 2), loss + np.log(full["n"]) * (p + 2), m["n"], len(f)])
         return pd.DataFrame(out, columns=columns)
 
-    columns = [*keys, "term", "beta", "se", "z", "p", "low", "high", "var_between", "var_within", "icc", "aic", "n", "n_subjects"]
-    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "term string, beta double, se double, z double, p double, low double, high double, var_between double, var_within double, icc double, aic double, n long, n_subjects long"])
+    columns = [*keys, "term", "beta", "se", "z", "p", "low", "high", "var_between", "var_within", "icc", "aic", "bic", "n", "n_subjects"]
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "term string, beta double, se double, z double, p double, low double, high double, var_between double, var_within double, icc double, aic double, bic double, n long, n_subjects long"])
     return sums.groupBy(*keys).applyInPandas(run, schema)
 
 
@@ -302,13 +362,13 @@ def icc_anova(df: DataFrame, keys: list[str], subject: str, y: str) -> DataFrame
 
 def residuals(df: DataFrame, keys: list[str], subject: str, y: str) -> DataFrame:
     """Every row with ``fitted`` (the shrunken mean of its subject) and ``residual`` of the model of the mean and a
-    random intercept, variances by analysis of variance; and ``quantile``, the row's rank share for a Q-Q plot."""
+    random intercept, variances by analysis of variance."""
     v = icc_anova(df, keys, subject, y)
     m = complete(df, [y]).groupBy(*keys, subject).agg(F.count("*").alias("__n"), F.avg(y).alias("__m"))
     rows = complete(df, [y]).join(m, [*keys, subject])
     grand = complete(df, [y]).groupBy(*keys).agg(F.avg(y).alias("__g"))
     v = v.join(grand, keys) if keys else v.crossJoin(F.broadcast(grand))
-    rows = rows.join(F.broadcast(v), keys) if keys else rows.crossJoin(F.broadcast(v))
+    rows = rows.join(v, keys) if keys else rows.crossJoin(F.broadcast(v))
     shrink = F.when(F.col("var_between") > 0, F.col("var_between") / (F.col("var_between") + F.col("var_within") / F.col("__n"))).otherwise(0.0)
     return rows.withColumn("fitted", F.col("__g") + shrink * (F.col("__m") - F.col("__g"))).withColumn("residual", F.col(y) - F.col("fitted")).select(*df.columns, "fitted", "residual")
 

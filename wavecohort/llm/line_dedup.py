@@ -21,6 +21,8 @@ from wavecohort.llm.common import inside, table
 BUCKETS = 1 << 20
 #: Tokens of this frequency class (2^16 occurrences) and above are hot: their join is split, for each doubling once more.
 HOT = 48
+#: Lines of so many tokens have parities twice: two sets of this size differ in more bits than 64 parities tell.
+LONG = 64
 #: Of so many tokens at either end of its prefix a line meets the earliest line in the first pass.
 STARS = 2
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
@@ -35,8 +37,13 @@ def _few(df: DataFrame) -> DataFrame:
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``d, i, line``: lines with a token, numbered from 0 in their document."""
     base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    spaced = F.when(F.col("t").contains("\t") | F.col("t").contains("\r") | F.col("t").contains("\x0b") | F.col("t").contains("\x0c"), F.translate("t", "\t\x0b\x0c\r", "    ")).otherwise(F.col("t"))
-    return base.select("d", F.posexplode(F.split(spaced, "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    return base.select("d", F.posexplode(F.split(_spaced(F.col("t")), "\n")).alias("i", "line")).filter(F.trim("line") != "")
+
+
+def _spaced(text: Column) -> Column:
+    """White space within lines as spaces; texts with no other sort are left as they are."""
+    other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
+    return F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def _tokens(line: Column) -> Column:
@@ -47,7 +54,7 @@ def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class, in the
     top byte."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(_tokens(F.replace(F.col(text_col), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(_tokens(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
     counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
@@ -81,6 +88,13 @@ def _parities(keys: Column) -> Column:
     return F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
 
 
+def _halves(keys: Column) -> Column:
+    """The parities of those tokens of a long line whose hash has a further bit, else 0. With :func:`_parities` they
+    give the parities of the other tokens too."""
+    odd = F.filter(keys, lambda k: k.bitwiseAND(64) != 0)
+    return F.when(F.size(keys) >= LONG, _parities(odd)).otherwise(F.lit(0).cast("long"))
+
+
 def _alike(t: float) -> Column:
     """The length filter on two sizes; it loses no pair of similarity ``t``."""
     return (F.col("n1") >= F.col("n2") * t - 1e-9) & (F.col("n2") >= F.col("n1") * t - 1e-9)
@@ -93,7 +107,7 @@ def _prefix(n: Column, t: float) -> Column:
 def _marks(k: Column, t: float) -> Column:
     """Of a line's keys: their number, the parities and the prefix. Made within a generator, so that the keys are made
     once and not for each mark."""
-    return F.struct(F.size(k).alias("n"), _parities(k).alias("b"), F.slice(k, F.lit(1), _prefix(F.size(k), t)).alias("pre"))
+    return F.struct(F.size(k).alias("n"), _parities(k).alias("b"), _halves(k).alias("h"), F.slice(k, F.lit(1), _prefix(F.size(k), t)).alias("pre"))
 
 
 def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -119,7 +133,9 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     classes = written(_rarity(docs, text_col), "rarity")
     keyed = heads.withColumn("classes", classes.scalar()).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("keys"))
     marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
-    posts = written(marked.select("d", "i", "n", "b", F.posexplode("pre").alias("p", "k")), "postings")
+    # A token of class 0 occurs once in all documents, so that no line can meet another in it.
+    posts = marked.select("d", "i", "n", "b", "h", F.posexplode("pre").alias("p", "k")).filter(_class(F.col("k")) > 0)
+    posts = written(posts, "postings")
     forget(spark, classes)
 
     # First pass: against the earliest line that posts most of some of the line's tokens, the rarest and, since copies
@@ -136,7 +152,7 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number,
     # below 0 where the line is gone. Both sides of the join on tokens that are not hot read one exchange.
     size = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("p").cast("long"))
-    held = posts.join(_few(gone.withColumn("g", F.lit(True))), ["d", "i"], "left").select("k", "d", "i", "b", F.when(F.col("g"), -size).otherwise(size).alias("np"))
+    held = posts.join(_few(gone.withColumn("g", F.lit(True))), ["d", "i"], "left").select("k", "d", "i", "b", "h", F.when(F.col("g"), -size).otherwise(size).alias("np"))
     cold, hot = held.filter(_class(F.col("k")) < HOT), held.filter(_class(F.col("k")) >= HOT)
     parts = F.call_function("shiftleft", F.lit(1), F.floor((_class(F.col("k")) - HOT) / 3).cast("int"))
     split = [hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), hot.withColumn("part", F.pmod(F.xxhash64("d", "i"), parts).cast("int"))]
@@ -174,12 +190,13 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
     """``d1, i1, np1, d2, i2, np2`` of postings that meet under the filters, the second line later and not gone."""
-    one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b")])
-    two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b")])
+    one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b", "h")])
+    two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b", "h")])
     got = one.join(two, on).filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
     # In terms of both sides, so that it stays in the join and the two sides are alike: the second line is not gone.
     got = _unpacked(got.filter((F.col("np2") >= 0) | (F.col("d1") > F.col("d2"))))
-    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
+    whole, half = F.col("b1").bitwiseXOR(F.col("b2")), F.col("h1").bitwiseXOR(F.col("h2"))
+    apart = F.when(F.least("n1", "n2") >= LONG, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
     most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
     got = got.filter(_alike(t) & (most >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
     return got.select("d1", "i1", "np1", "d2", "i2", "np2")

@@ -100,3 +100,18 @@ def test_mediation_closed_form(spark):
     assert r["total"] == pytest.approx(r["direct"] + r["indirect"]) and r["low"] < r["indirect"] < r["high"]
     o = {q["term"]: q["beta"] for q in M.ols_multi(df, [], "y", ["x", "m"]).collect()}
     assert o["x"] == pytest.approx(beta[1]) and o["intercept"] == pytest.approx(beta[0])
+
+
+def test_shapiro_at_every_size(spark):
+    g = np.random.default_rng(3)
+    groups = {f"n{n}": g.normal(1e3, 2, n) for n in (1, 2, 3, 4, 5, 6, 11, 12, 200, 7000)} | {"skew": g.exponential(size=6000), "ties": g.integers(0, 9, 300), "flat": np.ones(9)}
+    df = spark.createDataFrame([("m", k, float(v)) for k, x in groups.items() for v in x], "metric string, grp string, value double")
+    got = {r["grp"]: r for r in G.shapiro_wilk(df, ["metric"], "grp", "value").collect()}
+    assert set(got) == set(groups)
+    for k, x in groups.items():
+        w, p = S.shapiro_wilk(x)
+        if math.isnan(w):
+            assert got[k]["statistic"] is None and got[k]["p"] is None and not got[k]["is_normal"]
+        else:
+            assert got[k]["statistic"] == pytest.approx(w, abs=1e-8) and got[k]["p"] == pytest.approx(p, abs=1e-5), k
+    assert got["n7000"]["is_normal"] and not got["skew"]["is_normal"]

@@ -1,7 +1,10 @@
-"""The tail probabilities as columns. They run on tables of results, a row for each test, never on measurements."""
+"""The tail probabilities as columns. They run on tables of results, a row for each test; normal scores alone run on
+measurements, in Arrow batches."""
 
 from __future__ import annotations
 
+from statistics import NormalDist
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,6 +38,23 @@ def _range(q: pd.Series, k: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(special.studentized_range_sf(q.to_numpy(), k.to_numpy(), df.to_numpy()))
 
 
+@F.pandas_udf(DoubleType())
+def _score(p: pd.Series) -> pd.Series:
+    inverse = NormalDist().inv_cdf
+    return pd.Series([inverse(x) for x in p], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _shapiro_w(n: pd.Series, mm: pd.Series, mx: pd.Series, ss: pd.Series, first: pd.Series, second: pd.Series, before: pd.Series, last: pd.Series, m_before: pd.Series, m_last: pd.Series) -> pd.Series:
+    rows = zip(n, mm, mx, ss, first, second, before, last, m_before, m_last, strict=True)
+    return pd.Series([special.shapiro_from_sums(*r) for r in rows], dtype=float)
+
+
+@F.pandas_udf(DoubleType())
+def _shapiro_p(w: pd.Series, n: pd.Series) -> pd.Series:
+    return pd.Series([special.shapiro_p(*r) for r in zip(w, n, strict=True)], dtype=float)
+
+
 def _shown(p: Column, *of: Column) -> Column:
     """Null where an argument is null or no number."""
     ok = F.lit(True)
@@ -65,3 +85,17 @@ def t_p(t, df) -> Column:
 
 def range_p(q, k, df) -> Column:
     return _shown(_range(_d(q), _d(k), _d(df)), _d(q), _d(k), _d(df))
+
+
+def normal_score(p) -> Column:
+    """The normal quantile of a probability between 0 and 1."""
+    return _score(_d(p))
+
+
+def shapiro_w(*sums) -> Column:
+    """W from the sums that :func:`special.shapiro_from_sums` takes; null where it has none."""
+    return F.nullif(_shapiro_w(*[_d(c) for c in sums]), F.lit(float("nan")))
+
+
+def shapiro_p(w, n) -> Column:
+    return _shown(_shapiro_p(_d(w), _d(n)), _d(w), _d(n))

@@ -123,8 +123,13 @@ def mann_whitney_exact(u, n1, n2):
     return min(1.0, 2 * counts[n1, top:].sum() / counts[n1].sum())
 
 
+# Coefficients of the two outer weights in 1 / sqrt(n), without the constant term.
+_LAST = [-2.706056, 4.434685, -2.071190, -0.147981, 0.221157]
+_SECOND = [-3.582633, 5.682633, -1.752461, -0.293762, 0.042981]
+
+
 def shapiro_wilk(x):
-    """W and p by Royston's approximation (1995); at least three values, at most 5000."""
+    """W and p by Royston's approximation (1995) of values in memory; three at least."""
     x = np.sort(np.asarray(x, float))
     n = len(x)
     if n < 3 or x[0] == x[-1]:
@@ -137,9 +142,9 @@ def shapiro_wilk(x):
         a[:] = [-math.sqrt(0.5), 0, math.sqrt(0.5)]
     else:
         u, c = 1 / math.sqrt(n), m / math.sqrt(mm)
-        last = poly([-2.706056, 4.434685, -2.071190, -0.147981, 0.221157, c[-1]], u)
+        last = poly([*_LAST, c[-1]], u)
         if n > 5:
-            second = poly([-3.582633, 5.682633, -1.752461, -0.293762, 0.042981, c[-2]], u)
+            second = poly([*_SECOND, c[-2]], u)
             phi = (mm - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2)
             a = m / math.sqrt(phi)
             a[-2], a[1] = second, -second
@@ -148,15 +153,40 @@ def shapiro_wilk(x):
             a = m / math.sqrt(phi)
         a[-1], a[0] = last, -last
     w = min(1.0, float(a @ x) ** 2 / float(((x - x.mean()) ** 2).sum()))
+    return w, shapiro_p(w, n)
+
+
+def shapiro_from_sums(n, mm, mx, ss, first, second, before, last, m_before, m_last):
+    """W of ``n`` sorted values from sums over them: ``mm`` of squared normal scores, ``mx`` of scores times values,
+    ``ss`` of squared deviations, and the two values and scores at the ends."""
+    if n < 3 or not ss > 0:
+        return math.nan
+    wide, inner = last - first, before - second
+    if n == 3:
+        return min(1.0, 0.5 * wide**2 / ss)
+    u = 1 / math.sqrt(n)
+    a1 = float(np.polyval([*_LAST, m_last / math.sqrt(mm)], u))
+    a2 = float(np.polyval([*_SECOND, m_before / math.sqrt(mm)], u)) if n > 5 else None
+    ends = [(a1, m_last, wide)] + ([(a2, m_before, inner)] if n > 5 else [])
+    phi = (mm - 2 * sum(m * m for _, m, _ in ends)) / (1 - 2 * sum(a * a for a, _, _ in ends))
+    ax = sum(a * x for a, _, x in ends) + (mx - sum(m * x for _, m, x in ends)) / math.sqrt(phi)
+    return min(1.0, ax**2 / ss)
+
+
+def shapiro_p(w, n):
+    """p of W. Royston fitted it to 5000 values at most; beyond them it is an extrapolation."""
+    if math.isnan(w):
+        return math.nan
+    poly = lambda c, v: float(np.polyval(c, v))
     if n == 3:
-        return w, max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
+        return max(0.0, min(1.0, 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))))
     if n <= 11:
         g = 0.459 * n - 2.273
         if w >= 1 or g - math.log(1 - w) <= 0:
-            return w, 1.0 if w >= 1 else 0.0
+            return 1.0 if w >= 1 else 0.0
         y = -math.log(g - math.log(1 - w))
         mu, sigma = poly([-0.0006714, 0.025054, -0.39978, 0.5440], n), math.exp(poly([-0.0020322, 0.062767, -0.77857, 1.3822], n))
     else:
         y = math.log(max(1 - w, 1e-300))
         mu, sigma = poly([0.0038915, -0.083751, -0.31082, -1.5861], math.log(n)), math.exp(poly([0.0030302, -0.082676, -0.4803], math.log(n)))
-    return w, float(normal_sf((y - mu) / sigma))
+    return float(normal_sf((y - mu) / sigma))

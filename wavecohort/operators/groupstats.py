@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from wavecohort.functions import special
-from wavecohort.functions.pvalues import chi2_p, f_p, normal_p, range_p, t_p
+from wavecohort.functions.pvalues import chi2_p, f_p, normal_p, normal_score, range_p, shapiro_p, shapiro_w, t_p
 
 
 def _values(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -131,31 +131,32 @@ def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> Da
 
 
 def jarque_bera(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """Normality from skewness and kurtosis, one pass: ``n, statistic, p, is_normal`` per keys and group; the test for
-    groups too large for :func:`shapiro_wilk`."""
+    """Normality from skewness and kurtosis, one pass: ``n, statistic, p, is_normal`` per keys and group; it sorts
+    nothing, where :func:`shapiro_wilk` sorts every group."""
     got = _values(df, keys, group, value).groupBy(*keys, "grp").agg(F.count("v").alias("n"), F.skewness("v").alias("s"), F.kurtosis("v").alias("c"))
     stat = F.col("n") / 6 * (F.col("s") * F.col("s") + F.col("c") * F.col("c") / 4)
     got = got.withColumn("statistic", stat).withColumn("p", F.exp(-F.col("statistic") / 2))
     return got.select(*keys, "grp", "n", "statistic", "p", F.coalesce((F.col("n") >= 3) & (F.col("p") > 0.05), F.lit(False)).alias("is_normal"))
 
 
-def shapiro_wilk(df: DataFrame, keys: list[str], group: str, value: str, most: int = 5000) -> DataFrame:
-    """``n, statistic (W), p, is_normal`` per keys and group. The method is defined up to ``most`` values; larger groups
-    are tested by :func:`jarque_bera`, so no large group meets in one task. Under three values: not normal."""
+def shapiro_wilk(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """``n, statistic (W), p, is_normal`` per keys and group, by the same test at every size. Rows get their place in
+    their group and its normal score; W then takes sums, the two values at either end and their scores. p is fitted to
+    5,000 values at most and extrapolated beyond. Under three values, or all alike: no W, not normal."""
     rows = _values(df, keys, group, value)
-    sizes = rows.groupBy(*keys, "grp").agg(F.count("*").alias("n"))
-    small = sizes.filter(F.col("n").between(3, most)).drop("n")
-    types = dict(df.dtypes)
-    head = ", ".join(f"`{k}` {types[k]}" for k in keys) + (", " if keys else "")
-
-    def one(key, f: pd.DataFrame) -> pd.DataFrame:
-        w, p = special.shapiro_wilk(f["v"])
-        return pd.DataFrame([[*key, len(f), w, p, bool(p > 0.05)]], columns=[*keys, "grp", "n", "statistic", "p", "is_normal"])
-
-    exact = rows.join(small, [*keys, "grp"]).groupBy(*keys, "grp").applyInPandas(one, f"{head}grp {types[group]}, n long, statistic double, p double, is_normal boolean")
-    large = jarque_bera(df, keys, group, value).filter(F.col("n") > most)
-    none = sizes.filter("n < 3").select(*keys, "grp", "n", F.lit(None).cast("double").alias("statistic"), F.lit(None).cast("double").alias("p"), F.lit(False).alias("is_normal"))
-    return exact.unionByName(large).unionByName(none)
+    by = [*keys, "grp"]
+    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
+    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("v"))).join(sizes, by)
+    scored = placed.withColumn("m", normal_score((F.col("i") - 0.375) / (F.col("n") + 0.25)))
+    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    end = F.col("n")
+    sums = scored.groupBy(*by, "n").agg(
+        F.sum(F.col("m") * F.col("m")).alias("mm"), (F.covar_pop("m", "v") * F.count("*")).alias("mx"), (F.var_pop("v") * F.count("*")).alias("ss"),
+        at("v", 1).alias("first"), at("v", 2).alias("second"), at("v", end - 1).alias("before"), at("v", end).alias("last"), at("m", end - 1).alias("m_before"), at("m", end).alias("m_last"),
+    )
+    w = shapiro_w(*[F.col(c) for c in ("n", "mm", "mx", "ss", "first", "second", "before", "last", "m_before", "m_last")])
+    got = sums.withColumn("statistic", w).withColumn("p", shapiro_p("statistic", "n"))
+    return got.select(*by, "n", "statistic", "p", F.coalesce(F.col("p") > 0.05, F.lit(False)).alias("is_normal"))
 
 
 def omnibus_select(df: DataFrame, keys: list[str], group: str, value: str, normality: str = "shapiro", least: int = 3) -> DataFrame:

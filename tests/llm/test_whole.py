@@ -58,3 +58,18 @@ def test_nothing_learnt_drops_nothing(spark):
     docs = documents(spark, ["the and of", "", None])
     model = langid.learn(docs)  # no row has a language
     assert model == {} and langid.accepted(docs, model).count() == 3
+
+
+def test_languages_not_learnt_go(spark):
+    texts = {"en": "the cat sat on the mat and looked at the dog by the door", "es": "el gato se sienta en la alfombra y mira al perro de la casa"}
+    learnt = spark.createDataFrame([(i, t, k) for i in range(8) for k, t in texts.items()], "doc_id long, text string, lang string")
+    model = langid.learn(learnt)
+    greek = "το γατάκι κάθεται στο χαλί και κοιτάζει τον σκύλο δίπλα στην πόρτα του σπιτιού"
+    rows = [(1, "the dog sat by the door and looked at the cat on the mat", 5, "x"), (2, greek, 6, "y"), (3, "γάτα", 7, "z"), (4, "12 34 !!", 8, "z"), (5, None, 9, "z"), (6, "", 1, "z"), (None, "the mat", None, None), (1, greek * 3000, 5, "x"), (2, greek, 6, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, score long, lang_pred string")
+    got = langid.accepted(docs, model)
+    assert got.columns == docs.columns
+    kept = [(1, rows[0][1], 5, "x"), (3, "γάτα", 7, "z"), (None, "the mat", None, None)]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(kept, key=str)
+    assert langid.accepted(docs.limit(0), model).count() == 0
+    assert {r["doc_id"] for r in langid.accepted(docs, model, ["es"]).collect()}.isdisjoint({1, None})

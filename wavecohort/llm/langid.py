@@ -23,6 +23,10 @@ from wavecohort.llm.common import crc_part, inside, mix64, table, unit
 DIM = 1024
 PER_LANGUAGE = 2000
 MAX_LANGUAGES = 2000
+#: Unrelated hypervectors have cosines of standard deviation DIM ** -0.5: a best cosine below three of them is chance.
+CHANCE = 3 * DIM**-0.5
+#: A text of fewer trigrams gives too little evidence to be rejected by its cosine.
+EVIDENCE = 30
 _CHUNK = 1 << 20
 _letters: list[np.ndarray] = []
 
@@ -133,24 +137,31 @@ def learn(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_
     return out
 
 
+def _guesses(texts: list[str | None], prototypes: dict[str, np.ndarray]) -> tuple[list[str], list[float], list[int]]:
+    """Language, cosine cut to 0..1 and number of trigrams of every text."""
+    names = sorted(prototypes)
+    matrix = np.array([prototypes[k] for k in names])
+    langs, scores, grams = ["und"] * len(texts), [0.0] * len(texts), [0] * len(texts)
+    for i, v, n in bundles(texts):
+        grams[i] = int(n)
+        if n and names:
+            cos = matrix @ v / max(np.linalg.norm(v), 1e-12)
+            best = int(cos.argmax())
+            langs[i], scores[i] = names[best], float(np.clip(cos[best], 0, 1))
+    return langs, scores, grams
+
+
 def predict(docs: DataFrame, prototypes: dict[str, np.ndarray], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
     """The columns ``keep`` of ``docs`` (all by default) with ``lang_pred`` and ``score``, the cosine cut to 0..1.
 
     A null text or one without a letter, or any text where nothing was learnt, is ``und`` with score 0. Of languages
     with equal cosines the first in the alphabet wins. Columns of ``docs`` with the two names are replaced.
     """
-    names = sorted(prototypes)
-    matrix = np.array([prototypes[k] for k in names]) if names else np.zeros((0, DIM))
     kept = [c for c in (keep or docs.columns) if c not in ("lang_pred", "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, scores = ["und"] * batch.num_rows, [0.0] * batch.num_rows
-            for i, v, n in bundles(batch.column(0).to_pylist()):
-                if n and names:
-                    cos = matrix @ v / max(np.linalg.norm(v), 1e-12)
-                    best = int(cos.argmax())
-                    langs[i], scores[i] = names[best], float(np.clip(cos[best], 0, 1))
+            langs, scores, _ = _guesses(batch.column(0).to_pylist(), prototypes)
             columns = [batch.column(j + 1) for j in range(len(kept))]
             yield pa.record_batch([*columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*kept, "lang_pred", "score"])
 
@@ -163,16 +174,23 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(crc_part(doc_id, 4) == 2, F.lit(False))
 
 
-def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], languages: list[str] | None = None, min_score: float = 0.0) -> DataFrame:
-    """``docs`` without the rows of no language (``und``), of another than ``languages`` (default: all that were
-    learnt) or of a cosine below ``min_score``. Where nothing was learnt, nothing is known of any row: all are kept."""
-    plain = [c for c in docs.columns if c not in ("lang_pred", "score")]
+def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], languages: list[str] | None = None, min_score: float = CHANCE, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows of no language (a null text or one without a letter), of another than ``languages``
+    (default: all that were learnt), or of ``EVIDENCE`` trigrams or more and a cosine below ``min_score``: a text in a
+    script or language that was not learnt. A shorter text is not rejected by its cosine. Rows that stay keep all their
+    columns, whatever their names; repeated rows fare alike. Where nothing was learnt, nothing is known of any row: all
+    are kept. An empty table gives no row."""
     if not prototypes:
-        return docs.select(*plain)
-    got = predict(docs.select(*plain), prototypes).filter((F.col("lang_pred") != "und") & (F.col("score") >= min_score))
-    if languages is not None:
-        got = got.filter(F.col("lang_pred").isin(languages))
-    return got.select(*plain)
+        return docs
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*_guesses(batch.column(0).to_pylist(), prototypes), strict=True)
+            stays = [lang != "und" and (languages is None or lang in languages) and (score >= min_score or grams < EVIDENCE) for lang, score, grams in rows]
+            yield pa.record_batch(batch.columns[1:], names=docs_names).filter(pa.array(stays, pa.bool_()))
+
+    docs_names = docs.columns
+    return docs.select(F.col(text_col).alias(inside(docs, "text_")[0]), *docs.columns).mapInArrow(run, docs.schema)
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

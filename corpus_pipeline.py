@@ -11,7 +11,8 @@ from wavecohort.llm.common import table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of no language go. The prototypes are learnt from the documents of the training part."""
+    """Documents without a letter go, and those with enough letters whose cosine with every learnt language is within
+    chance. The prototypes are learnt from the documents of the training part."""
     model = langid.learn(docs.filter(~langid.held_out(F.col("doc_id"))))
     return langid.accepted(docs, model)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import decontaminate, langid, licenses, line_dedup, mixing, neardup, pages, quality, tokens, topk
+from wavecohort.llm import collocations, decontaminate, langid, licenses, line_dedup, mixing, neardup, pages, quality, search, tokens, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_licenses": licenses.op8_licenses,
     "op9_language_id": langid.op9_language_id,
     "op10_topk": topk.op10_topk,
+    "op11_search": search.op11_search,
+    "op12_collocations": collocations.op12_collocations,
 }
 
 ORACLE_SQL = {
@@ -23,4 +25,6 @@ ORACLE_SQL = {
     "op7_decontamination": decontaminate.SQL,
     "op8_licenses": licenses.SQL,
     "op10_topk": topk.SQL,
+    "op11_search": search.SQL,
+    "op12_collocations": collocations.SQL,
 }

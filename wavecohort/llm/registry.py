@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from wavecohort.llm import collocations, decontaminate, langid, licenses, line_dedup, mixing, neardup, pages, quality, search, tokens, topk
+from wavecohort.llm import ann, collocations, decontaminate, langid, licenses, line_dedup, mixing, neardup, pages, quality, search, tokens, topk
 
 QUERIES = {
     "op1_line_dedup": line_dedup.op1_line_dedup,
@@ -17,6 +17,7 @@ QUERIES = {
     "op10_topk": topk.op10_topk,
     "op11_search": search.op11_search,
     "op12_collocations": collocations.op12_collocations,
+    "op13_ann": ann.op13_ann,
 }
 
 ORACLE_SQL = {

@@ -38,6 +38,8 @@ SEPARATORS = BREAKS | byte_set(0x20, 0x09)
 FILTER_BITS, SEGMENT = 26, 17
 #: Word positions that a bucket gets at most on average.
 BUCKET = 2_000_000
+#: Bytes of text that a task takes at once.
+SLICE = 6 << 20
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 4
 
@@ -54,7 +56,7 @@ def _coded(col: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def _count_words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices([b], 1)):
+        for batch in slices(batches, 1, SLICE):
             names, code = _coded(batch.column(0))
             w = words(batch.column(1), SEPARATORS, seed=seed)
             of = np.repeat(code, np.diff(w.rows))
@@ -96,9 +98,9 @@ def _filter_table(frequent: DataFrame) -> np.ndarray:
             for lang, g in f.groupby("lang"):
                 at = _spots(g["h"].to_numpy(np.int64).view(np.uint64), _of_lang(lang)) >> np.uint64(64 - FILTER_BITS)
                 for s in np.unique(at >> np.uint64(SEGMENT)):
-                    bits = held.setdefault(int(s), np.zeros(size * 8, bool))
-                    bits[(at[(at >> np.uint64(SEGMENT)) == s] & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)] = True
-        yield pd.DataFrame({"segment": list(held), "bits": [np.packbits(b).tobytes() for b in held.values()]})
+                    bit = (at[(at >> np.uint64(SEGMENT)) == s] & np.uint64((1 << SEGMENT) - 1)).astype(np.int64)
+                    np.bitwise_or.at(held.setdefault(int(s), np.zeros(size, np.uint8)), bit >> 3, (128 >> (bit & 7)).astype(np.uint8))
+        yield pd.DataFrame({"segment": list(held), "bits": [b.tobytes() for b in held.values()]})
 
     def merge(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
         got = np.bitwise_or.reduce(np.stack([np.frombuffer(b, np.uint8) for b in f["bits"]]))
@@ -134,7 +136,7 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
     to them (1 and up, 0 for none) word by word, and counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (s for b in batches for s in slices([b], 1)):
+        for batch in slices(batches, 1, SLICE):
             names, code = _coded(batch.column(0))
             own = np.array([_of_lang(x) for x in names], np.uint64)
             w = words(batch.column(1), SEPARATORS, BREAKS, seed)

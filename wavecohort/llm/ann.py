@@ -28,7 +28,7 @@ from wavecohort.functions.scratch import written
 from wavecohort.llm.common import inside, table, unit
 
 #: Rows that centres and the number of probes are fitted on, at most; and rows for each centre at least.
-SAMPLE, PER_CENTRE, ROUNDS = 32_768, 16, 10
+SAMPLE, PER_CENTRE, ROUNDS = 16_384, 16, 10
 JUDGES = 400
 BLOCK, QUERY_BLOCK = 4096, 512
 STEP, EPSILON, AT_ONCE = 16, 2.1, 1024

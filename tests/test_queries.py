@@ -12,7 +12,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 PICKED = [
     "flagship_omnibus", "descriptive_stats", "levene", "alexander_govern", "dunn_bonferroni", "mann_whitney", "spearman_corr", "clean_behavior", "pad_ids", "crop_middle",
     "edge_class_code", "significant_by_dim", "fixed_length_epochs", "windowed_epochs", "stream_epochs", "detrend_linear", "fir_filter", "psd_welch", "band_power_roi", "wpli_connectivity",
-    "welch_t_edges", "component_stat", "nbs_permutation_test", "clustering_coefficient", "path_length", "bootstrap_effects", "bootstrap_mediation", "mediation_paths", "ols_multi", "region_order", "strip_prefix_id", "icc", "stratified_kfold",
+    "welch_t_edges", "component_stat", "nbs_permutation_test", "multi_threshold_explore", "multi_threshold_top_edges", "multi_threshold_regions", "random_graph_baseline", "small_world_sigma", "cluster_permutation_channels", "edge_list_lookup", "nbs_summary", "clustering_coefficient", "path_length", "bootstrap_effects", "bootstrap_mediation", "mediation_paths", "ols_multi", "region_order", "strip_prefix_id", "icc", "stratified_kfold",
 ]
 
 

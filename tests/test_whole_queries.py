@@ -45,7 +45,9 @@ def test_every_threshold(spark):
     for k, e in want.items():
         sizes = component_sizes(e)
         brute[k] = (len(e), len(sizes), max(sizes))
-    assert found == brute
+    empty = {k: v for k, v in found.items() if k not in brute}
+    assert {k: v for k, v in found.items() if k in brute} == brute
+    assert len(found) == 2 * 3 * len(networks.THRESHOLDS) * 2 and empty and set(empty.values()) == {(0, 0, 0)}
 
 
 def test_every_band_and_pair(spark, monkeypatch):
@@ -60,11 +62,25 @@ def test_every_band_and_pair(spark, monkeypatch):
 def test_sigma_is_over_random_graphs(spark):
     rows = jobs.QUERIES["small_world_sigma_whole"](spark, DATA).collect()
     graphs = {}
-    for r in N.random_edges(spark, 20, 8, 28).collect():
+    for r in N.random_edges(spark, 50, 8, 28).collect():
         w = graphs.setdefault(r["graph"], np.zeros((8, 8)))
         i, j = int(r["ch1"][1:]), int(r["ch2"][1:])
         w[i, j] = w[j, i] = r["weight"]
     c, length = np.mean([clustering_and_length(w) for w in graphs.values()], axis=0)
-    assert len(graphs) == 20 and len(rows) == 1000
+    assert len(graphs) == 50 and len(rows) == 1000
     for r in rows[:50]:
         assert r["sigma"] == pytest.approx((r["clustering"] / c) / (r["path_length"] / length), rel=1e-3)
+
+
+def test_disconnected_graphs_are_skipped_or_redrawn(spark):
+    drawn = {}
+    for r in N.random_edges(spark, 30, 6, 6).collect():
+        drawn.setdefault(r["graph"], []).append((r["ch1"], r["ch2"]))
+    good = {g for g, e in drawn.items() if len(component_sizes(e)) == 1 and len({x for p in e for x in p}) == 6}
+    assert 0 < len(good) < 30
+    kept = N.random_graphs(spark, 30, 6, 6).select("graph").distinct().collect()
+    assert {r["graph"] for r in kept} == good
+    again = N.random_graphs(spark, 30, 6, 6, redraw=True)
+    assert again.select("graph").distinct().count() == 30 and again.count() == 180
+    with pytest.raises(ValueError, match="cannot connect"):
+        N.random_graphs(spark, 3, 6, 4)

@@ -248,10 +248,14 @@ def accuracy_balanced(spark, sf_dir):
     return rounded(C.accuracies(_guess(spark, sf_dir), "y", "guess", "fold"), "accuracy", "accuracy_sd", "balanced", "balanced_sd", digits=9)
 
 
+#: Shuffles of the labels, as in the studies.
+SHUFFLES = 2000
+
+
 @query("permutation_accuracy")
 def permutation_accuracy(spark, sf_dir):
-    null = C.permutation_accuracy(_classes(spark, sf_dir), "x", "y", "fold", "vec_id", 40, block=10)
-    return rounded(C.permutation_p(null), "accuracy", "p")
+    null = C.permutation_accuracy(_classes(spark, sf_dir), "x", "y", "fold", "vec_id", SHUFFLES)
+    return rounded(C.permutation_p(null), "accuracy", "balanced", "p", "p_balanced")
 
 
 @query("spatial_component_test")
@@ -264,24 +268,38 @@ def spatial_component_test(spark, sf_dir):
     return rounded(got.select("component", "term", F.abs("z").alias("z"), "p"), "z", "p", digits=4)
 
 
-@query("cluster_permutation_channels", f"""WITH RECURSIVE {W.EDGES}, dg AS (SELECT subject_id, grp, x AS channel, sum(weight) AS w FROM (SELECT subject_id, grp, unnest([ch1, ch2]) AS x, weight FROM ed WHERE freq_band = 'b0' AND grp IN ('g0', 'g1')) GROUP BY ALL),
-mo AS (SELECT channel, grp, count(*) AS n, avg(w) AS m, var_samp(w) AS v FROM dg GROUP BY ALL),
-tt AS (SELECT a.channel, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t FROM mo a JOIN mo b USING (channel) WHERE a.grp = 'g0' AND b.grp = 'g1'),
+#: Neighbours of the montage of eight channels in a row.
+NEAR = [(f"n{i}", f"n{i + 1}") for i in range(7)]
+
+
+def _clusters(spark, sf_dir):
+    """Each channel's sum of edge weights, in all bands and pairs of groups."""
+    e = W.edges(spark, sf_dir)
+    per = e.select("subject_id", "grp", "freq_band", F.explode(F.array("ch1", "ch2")).alias("channel"), "weight").groupBy("subject_id", "grp", "freq_band", "channel").agg(F.sum("weight").alias("value"))
+    return N.cluster_permutation(per, ["freq_band"], W.PAIRS, NEAR, 0.3, W.PERMS)
+
+
+@query("cluster_permutation_channels", f"""WITH RECURSIVE {W.EDGES}, dg AS (SELECT subject_id, grp, freq_band, x AS channel, sum(weight) AS w FROM (SELECT subject_id, grp, freq_band, unnest([ch1, ch2]) AS x, weight FROM ed) GROUP BY ALL),
+mo AS (SELECT freq_band, channel, grp, count(*) AS n, avg(w) AS m, var_samp(w) AS v FROM dg GROUP BY ALL),
+tt AS (SELECT a.freq_band, a.grp AS g1, b.grp AS g2, a.channel, (a.m - b.m) / sqrt(a.v / a.n + b.v / b.n) AS t FROM mo a JOIN mo b USING (freq_band, channel) WHERE a.grp < b.grp),
+hi AS (SELECT *, CASE WHEN t > 0 THEN 'positive' ELSE 'negative' END AS direction FROM tt WHERE abs(t) > 0.3),
 ad AS (SELECT 'n' || i AS a, 'n' || (i + 1) AS b FROM range(0, 7) r(i)),
-li AS (SELECT a, b FROM ad JOIN tt x ON x.channel = a JOIN tt y ON y.channel = b WHERE abs(x.t) > 0.3 AND abs(y.t) > 0.3 AND sign(x.t) = sign(y.t)),
-nb AS (SELECT a, b FROM li UNION ALL SELECT b, a FROM li), re AS (SELECT DISTINCT a, a AS r FROM nb UNION SELECT nb.b, re.r FROM re JOIN nb ON nb.a = re.a)
-SELECT a AS channel, min(r) AS cluster, round(any_value(t), 6) AS t FROM re JOIN tt ON channel = a GROUP BY a""")
+li AS (SELECT x.freq_band, x.g1, x.g2, x.direction, a, b FROM ad JOIN hi x ON x.channel = a JOIN hi y ON y.channel = b AND y.freq_band = x.freq_band AND y.g1 = x.g1 AND y.g2 = x.g2 AND y.direction = x.direction),
+nb AS (SELECT * FROM li UNION ALL SELECT freq_band, g1, g2, direction, b, a FROM li),
+re AS (SELECT freq_band, g1, g2, direction, channel AS a, channel AS r FROM hi UNION SELECT nb.freq_band, nb.g1, nb.g2, nb.direction, nb.b, re.r FROM re JOIN nb ON nb.a = re.a AND nb.freq_band = re.freq_band AND nb.g1 = re.g1 AND nb.g2 = re.g2 AND nb.direction = re.direction)
+SELECT re.freq_band, re.g1, re.g2, re.direction, a AS channel, min(r) AS cluster, round(any_value(t), 6) AS t FROM re JOIN hi ON hi.channel = a AND hi.freq_band = re.freq_band AND hi.g1 = re.g1 AND hi.g2 = re.g2 AND hi.direction = re.direction GROUP BY ALL""")
 def cluster_permutation_channels(spark, sf_dir):
-    """Neighbouring channels that differ between two groups in the same direction, as clusters."""
-    from wavecohort.operators.components import connected_components
-
-    e = W.edges(spark, sf_dir).filter("freq_band = 'b0' AND grp IN ('g0', 'g1')")
-    per = e.select("subject_id", "grp", F.explode(F.array("ch1", "ch2")).alias("channel"), "weight").groupBy("subject_id", "grp", "channel").agg(F.sum("weight").alias("w"))
-    pair = G.group_pairs(G.group_moments(per, ["channel"], "grp", "w"), ["channel"])
-    t = pair.select("channel", N.welch_t(*[F.col(c) for c in ("mean1", "mean2", "var1", "var2", "n1", "n2")]).alias("t"))
-    near = spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(7)], "a string, b string")
-    hit = t.filter(F.abs("t") > 0.3)
-    one, two = hit.select(F.col("channel").alias("a"), F.col("t").alias("t1")), hit.select(F.col("channel").alias("b"), F.col("t").alias("t2"))
-    links = near.join(one, "a").join(two, "b").filter(F.signum("t1") == F.signum("t2"))
-    comp = connected_components(links, "a", "b")
-    return comp.join(t, comp["node"] == t["channel"]).select("channel", F.col("component").alias("cluster"), r6("t").alias("t"))
+    """Neighbouring channels that differ between two groups in the same direction, as clusters: the observed ones."""
+    e = W.edges(spark, sf_dir)
+    per = e.select("subject_id", "grp", "freq_band", F.explode(F.array("ch1", "ch2")).alias("channel"), "weight").groupBy("subject_id", "grp", "freq_band", "channel").agg(F.sum("weight").alias("w"))
+    by = ["freq_band", "channel"]
+    pair = G.group_pairs(G.group_moments(per, by, "grp", "w"), by)
+    t = pair.select("freq_band", "g1", "g2", "channel", N.welch_t(*[F.col(c) for c in ("mean1", "mean2", "var1", "var2", "n1", "n2")]).alias("t"))
+    return rounded(N.channel_clusters(t, ["freq_band", "g1", "g2"], spark.createDataFrame(NEAR, "a string, b string"), 0.3), "t")
+
+
+@query("cluster_permutation_test")
+def cluster_permutation_test(spark, sf_dir):
+    """Their masses against the largest of each permutation."""
+    stats, _ = _clusters(spark, sf_dir)
+    return rounded(stats, "mass", "p_value")

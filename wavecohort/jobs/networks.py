@@ -101,7 +101,7 @@ nu AS (SELECT x.p, x.freq_band, x.direction, coalesce(max(n), 0)::DOUBLE AS max_
 
 @query("nbs_permutation_test", f"WITH RECURSIVE {NULL} SELECT freq_band, 'g0' AS g1, 'g1' AS g2, p::INTEGER AS perm, direction, max_stat FROM nu")
 def nbs_permutation_test(spark, sf_dir):
-    return N.null_distribution(edges(spark, sf_dir), ["freq_band"], [("g0", "g1")], 1.0, 6, block=4)
+    return N.null_distribution(edges(spark, sf_dir), ["freq_band"], [("g0", "g1")], 1.0, 6)
 
 
 @query("nbs_permutation_test_whole")
@@ -155,19 +155,38 @@ def nbs_matrix(spark, sf_dir):
     return rounded(N.symmetric(N.threshold_edges(_t(spark, sf_dir), 1.0).drop("direction"), "t"), "t")
 
 
-@query("multi_threshold_explore", f"""{COMP.replace('abs(t) > 1.0', 'abs(t) > 1.0')} SELECT freq_band, g1, g2, direction, 1.0::DOUBLE AS threshold, sum(n_edges)::BIGINT AS n_supra, count(*) AS n_components, max(n_edges) AS largest FROM st GROUP BY ALL""")
-def multi_threshold_explore(spark, sf_dir):
-    got = N.explore_thresholds(_t(spark, sf_dir), ["freq_band", "g1", "g2"], [1.0, 1.5, 2.0])
-    return got.filter("threshold = 1.0")
-
-
 #: Thresholds to compare: the stand-ins' own and those of the studies.
 THRESHOLDS = [1.0, 1.5, 2.0, 2.5, 3.0, 3.5]
+CUTS = f"cu(threshold) AS (VALUES {', '.join(f'({x}::DOUBLE)' for x in THRESHOLDS)})"
+SUPRA = f"""{T}, {CUTS}, su AS (SELECT freq_band, g1, g2, threshold, CASE WHEN t > 0 THEN 'positive' ELSE 'negative' END AS direction, ch1, ch2, t FROM t, cu WHERE abs(t) > threshold)"""
+NET = ["freq_band", "g1", "g2"]
+
+
+@query("multi_threshold_explore", f"""WITH RECURSIVE {SUPRA},
+nb AS (SELECT freq_band, g1, g2, threshold, direction, ch1 AS a, ch2 AS b FROM su UNION ALL SELECT freq_band, g1, g2, threshold, direction, ch2, ch1 FROM su),
+re AS (SELECT DISTINCT freq_band, g1, g2, threshold, direction, a, a AS r FROM nb UNION SELECT nb.freq_band, nb.g1, nb.g2, nb.threshold, nb.direction, nb.b, re.r FROM re JOIN nb ON nb.freq_band = re.freq_band AND nb.g1 = re.g1 AND nb.g2 = re.g2 AND nb.threshold = re.threshold AND nb.direction = re.direction AND nb.a = re.a),
+co AS (SELECT freq_band, g1, g2, threshold, direction, a, min(r) AS c FROM re GROUP BY ALL),
+st AS (SELECT su.freq_band, su.g1, su.g2, su.threshold, su.direction, c, count(*) AS n FROM su JOIN co ON co.freq_band = su.freq_band AND co.g1 = su.g1 AND co.g2 = su.g2 AND co.threshold = su.threshold AND co.direction = su.direction AND co.a = su.ch1 GROUP BY ALL),
+gr AS (SELECT DISTINCT freq_band, g1, g2, threshold, direction FROM t, cu, (VALUES ('positive'), ('negative')) d(direction))
+SELECT freq_band, g1, g2, threshold, direction, coalesce(sum(n), 0)::BIGINT AS n_supra, count(n) AS n_components, coalesce(max(n), 0)::BIGINT AS largest FROM gr LEFT JOIN st USING (freq_band, g1, g2, threshold, direction) GROUP BY ALL""")
+def multi_threshold_explore(spark, sf_dir):
+    return N.explore_thresholds(_t(spark, sf_dir), NET, THRESHOLDS)
 
 
 @query("multi_threshold_explore_whole")
 def multi_threshold_explore_whole(spark, sf_dir):
-    return N.explore_thresholds(_t(spark, sf_dir), ["freq_band", "g1", "g2"], THRESHOLDS)
+    return multi_threshold_explore(spark, sf_dir)
+
+
+@query("multi_threshold_top_edges", f"""WITH {SUPRA} SELECT freq_band, g1, g2, threshold, direction, ch1, ch2, round(t, 6) AS t, row_number() OVER (PARTITION BY freq_band, g1, g2, threshold, direction ORDER BY abs(t) DESC, ch1, ch2)::INTEGER AS place FROM su QUALIFY place <= 20""")
+def multi_threshold_top_edges(spark, sf_dir):
+    return rounded(N.threshold_top_edges(_t(spark, sf_dir), NET, THRESHOLDS), "t")
+
+
+@query("multi_threshold_regions", f"""WITH {SUPRA}, {REGIONS}, x AS (SELECT freq_band, g1, g2, threshold, direction, coalesce(region, 'Other') AS region, count(*) AS n_edges FROM (SELECT freq_band, g1, g2, threshold, direction, unnest([ch1, ch2]) AS channel FROM su) LEFT JOIN rg USING (channel) GROUP BY ALL)
+SELECT *, round(n_edges / sum(n_edges) OVER (PARTITION BY freq_band, g1, g2, threshold, direction) * 100, 6) AS pct FROM x""")
+def multi_threshold_regions(spark, sf_dir):
+    return rounded(N.threshold_regions(_t(spark, sf_dir), NET, THRESHOLDS, _regions(spark)), "pct")
 
 
 @query("edge_feature_matrix", f"""WITH {EDGES} SELECT subject_id, round(any_value(weight) FILTER (ch1 = 'n0' AND ch2 = 'n1'), 6) + 0.0 AS "n0-n1", round(any_value(weight) FILTER (ch1 = 'n2' AND ch2 = 'n5'), 6) + 0.0 AS "n2-n5", 0.0::DOUBLE AS "n8-n9" FROM ed WHERE freq_band = 'b0' GROUP BY 1""")
@@ -250,31 +269,51 @@ def path_length(spark, sf_dir):
     return rounded(N.path_length(edges(spark, sf_dir, True), ["subject_id", "freq_band"]), "path_length")
 
 
-@query("random_graph_baseline")
-def random_graph_baseline(spark, sf_dir):
-    e = edges(spark, sf_dir).filter("freq_band = 'b0'")
-    n = e.select(F.explode(F.array("ch1", "ch2")).alias("c")).distinct().count()
-    m = e.select("ch1", "ch2").distinct().count()
-    return rounded(N.random_baseline(spark, 20, n, m), "c_rand", "l_rand")
+#: Random graphs of a baseline, as in the studies.
+GRAPHS = 50
+# The networks here have 8 nodes and all 28 edges, and so have the random graphs: none is disconnected.
+RANDOM = f"""rd AS (
+  SELECT graph AS subject_id, 'r' AS freq_band, 'n' || lpad(i::VARCHAR, 6, '0') AS ch1, 'n' || lpad(j::VARCHAR, 6, '0') AS ch2,
+         ('0x' || substr(md5('42|w|' || graph || '|' || i || '|' || j), 1, 13))::BIGINT / 4503599627370496.0 AS weight,
+         row_number() OVER (PARTITION BY graph ORDER BY ('0x' || substr(md5('42|o|' || graph || '|' || i || '|' || j), 1, 13))::BIGINT, i, j) AS o
+  FROM range(0, {GRAPHS}) g(graph), range(0, (SELECT count(DISTINCT c) FROM (SELECT unnest([ch1, ch2]) AS c FROM ed))) x(i), range(0, (SELECT count(DISTINCT c) FROM (SELECT unnest([ch1, ch2]) AS c FROM ed))) y(j)
+  WHERE i < j QUALIFY o <= (SELECT count(*) FROM (SELECT DISTINCT ch1, ch2 FROM ed)))"""
 
 
-@query("small_world_sigma", f"""WITH {CLUSTER}, {PATHS.replace(POSITIVE + ", ", "")}, pl AS (SELECT subject_id, freq_band, sum(d) / 56 AS l FROM p3 GROUP BY ALL), av AS (SELECT subject_id, freq_band, avg(weight) AS a FROM ed GROUP BY ALL)
-SELECT subject_id, freq_band, round(clustering, 6) AS clustering, round(l, 6) AS path_length, round(a, 6) AS avg_connectivity, round((clustering / 0.5) / (l / 0.25), 6) AS sigma FROM cl JOIN pl USING (subject_id, freq_band) JOIN av USING (subject_id, freq_band)""")
-def small_world_sigma(spark, sf_dir):
-    base = spark.createDataFrame([(0.5, 0.25)], "c_rand double, l_rand double")
-    return rounded(N.small_world(edges(spark, sf_dir, True), ["subject_id", "freq_band"], base), "clustering", "path_length", "avg_connectivity", "sigma")
+def _of(text: str, names: tuple[str, ...], tag: str) -> str:
+    """SQL of graph metrics over the random graphs: the same steps under other names."""
+    import re
+
+    for n in names:
+        text = re.sub(rf"\b{n}\b(?!\.weight| *\()", f"{n}{tag}", text) if n != "ed" else re.sub(r"\bFROM ed\b", "FROM rd", text)
+    return text
+
+
+BASE = f"""{RANDOM}, {_of('mx AS' + CLUSTER.split(', mx AS', 1)[1], ('ed', 'mx', 'en', 'tr', 'cl'), '_r')}, {_of('sy AS' + PATHS.split(', sy AS', 1)[1], ('ed', 'sy', 'p1', 'p2', 'p3'), '_r')},
+lr AS (SELECT subject_id, sum(d) / 56 AS l FROM p3_r GROUP BY 1),
+ba AS (SELECT avg(clustering) AS c_rand, avg(l) AS l_rand, count(*) AS n_graphs FROM cl_r JOIN lr USING (subject_id))"""
 
 
 def _random_baseline(spark, e):
     """Means over random graphs with the numbers of nodes and edges that the data's networks have."""
     n = e.select(F.explode(F.array("ch1", "ch2")).alias("c")).distinct().count()
     m = e.select("ch1", "ch2").distinct().count()
-    return N.random_baseline(spark, 20, n, m)
+    return N.random_baseline(spark, GRAPHS, n, m)
 
 
-@query("small_world_sigma_whole")
-def small_world_sigma_whole(spark, sf_dir):
-    """The SQL of small_world_sigma states sigma for a baseline of fixed values; here it is that of random graphs."""
+@query("random_graph_baseline", f"WITH {POSITIVE}, {BASE} SELECT round(c_rand, 6) AS c_rand, round(l_rand, 6) AS l_rand, n_graphs FROM ba")
+def random_graph_baseline(spark, sf_dir):
+    return rounded(_random_baseline(spark, edges(spark, sf_dir, True)), "c_rand", "l_rand")
+
+
+@query("small_world_sigma", f"""WITH {CLUSTER}, {PATHS.replace(POSITIVE + ", ", "")}, pl AS (SELECT subject_id, freq_band, sum(d) / 56 AS l FROM p3 GROUP BY ALL), av AS (SELECT subject_id, freq_band, avg(weight) AS a FROM ed GROUP BY ALL), {BASE}
+SELECT subject_id, freq_band, round(clustering, 6) AS clustering, round(l, 6) AS path_length, round(a, 6) AS avg_connectivity, round((clustering / c_rand) / (l / l_rand), 6) AS sigma FROM cl JOIN pl USING (subject_id, freq_band) JOIN av USING (subject_id, freq_band), ba""")
+def small_world_sigma(spark, sf_dir):
     e = edges(spark, sf_dir, True)
-    got = N.small_world(e, ["subject_id", "freq_band"], _random_baseline(spark, e.filter("weight > 0")))
+    got = N.small_world(e, ["subject_id", "freq_band"], _random_baseline(spark, e))
     return rounded(got, "clustering", "path_length", "avg_connectivity", "sigma")
+
+
+@query("small_world_sigma_whole")
+def small_world_sigma_whole(spark, sf_dir):
+    return small_world_sigma(spark, sf_dir)

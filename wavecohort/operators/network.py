@@ -7,7 +7,7 @@ edge) over tasks and find components in tables of edges; everything else is join
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from wavecohort.functions.scratch import written
 from wavecohort.operators.components import connected_components
 from wavecohort.operators.groupstats import group_moments, group_pairs
-from wavecohort.operators.permute import blocks, digests, label_cuts, labels, parts
+from wavecohort.operators.permute import add_up, blocks, digests, label_cuts, labels
 
 
 def welch_t(m1: Column, m2: Column, v1: Column, v2: Column, n1: Column, n2: Column) -> Column:
@@ -62,7 +62,7 @@ def component_numbers(stats: DataFrame, keys: list[str]) -> DataFrame:
     return stats.withColumn("component_id", F.row_number().over(w))
 
 
-def _largest(ch1: np.ndarray, ch2: np.ndarray, t: np.ndarray, intensity: bool) -> float:
+def _largest(ch1: list, ch2: list, t: np.ndarray, intensity: bool) -> float:
     """The largest component statistic of a set of edges (union-find over their ends)."""
     parent: dict = {}
 
@@ -82,76 +82,140 @@ def _largest(ch1: np.ndarray, ch2: np.ndarray, t: np.ndarray, intensity: bool) -
     return max(total.values(), default=0.0)
 
 
-def null_distribution(edges: DataFrame, keys: list[str], pairs: list[tuple[str, str]], thr: float, n_perms: int, seed: int = 42, statistic: str = "size", block: int = 100, group: str = "grp", subject: str = "subject_id") -> DataFrame:
-    """``keys, g1, g2, perm, direction, max_stat``: the largest component of every permutation of the group labels.
+#: Subjects of one network, and permutations, of a group of the job at most.
+SUBJECTS_AT_ONCE, PERMS_AT_ONCE = 2000, 500
+
+
+def permuted_maxima(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], items: list[str], value: str, statistic: Callable[[list[tuple], np.ndarray, np.ndarray], float], thr: float, n_perms: int, seed: int = 42, group: str = "grp", subject: str = "subject_id") -> DataFrame:
+    """``keys, g1, g2, perm, direction, max_stat``: the largest ``statistic`` (of the names of the items, their t-values and
+    which of these are beyond the threshold) of every permutation of the group labels.
 
     A permutation gives the first group's number of labels to the subjects of the smallest md5 of (seed, permutation,
-    subject): the same in every engine and partitioning. Subjects are labelled where they are, sums and sums of squares
-    of (key, permutation, edge) are added up over tasks, and a group of the job holds ``block`` permutations' t-values of
-    one network's edges. Subjects need every edge of their network; a pair without subjects of both groups has no rows.
+    subject): the same in every engine and partitioning. ``values`` has a row for each key, subject and item (an edge, a
+    channel). A group of the job holds ``SUBJECTS_AT_ONCE`` subjects of one network at most and ``PERMS_AT_ONCE``
+    permutations, ``BLOCK`` of them at a time: its memory depends on neither the number of networks nor that of
+    permutations. A network of more subjects lies in several groups, whose sums are added up for each block before
+    t-values are made. Subjects need every item of their network; a pair without subjects of both groups has no rows.
     """
-    spark = edges.sparkSession
+    spark = values.sparkSession
     table = spark.createDataFrame(pairs, "g1 string, g2 string")
-    both = edges.join(F.broadcast(table), (F.col(group) == F.col("g1")) | (F.col(group) == F.col("g2")))
+    both = values.join(F.broadcast(table), (F.col(group) == F.col("g1")) | (F.col(group) == F.col("g2")))
     by = [*keys, "g1", "g2"]
-    e = F.array_sort(F.collect_list(F.struct("ch1", "ch2", F.col("weight").cast("double").alias("weight")))).alias("e")
-    rows = both.groupBy(*by, subject, group).agg(e).repartition(subject).sortWithinPartitions(subject)
-    rows = written(rows, "networks")  # read by each of three passes
-    cells = rows.select(*by, F.col(group).alias("__g"), F.explode("e").alias("c")).select(*by, "__g", "c.*").groupBy(*by, "ch1", "ch2")
-    per = cells.agg(F.count("*").alias("n"), F.count_if(F.col("__g") == F.col("g1")).alias("n1"), F.avg("weight").alias("mean"), F.var_pop("weight").alias("var"))
+    e = F.array_sort(F.collect_list(F.struct(*items, F.col(value).cast("double").alias("v")))).alias("e")
+    rows = written(both.groupBy(*by, subject, group).agg(e), "networks")
+    cells = rows.select(*by, F.col(group).alias("__g"), F.explode("e").alias("c")).select(*by, "__g", "c.*").groupBy(*by, *items)
+    per = cells.agg(F.count("*").alias("n"), F.count_if(F.col("__g") == F.col("g1")).alias("n1"), F.avg("v").alias("mean"), F.var_pop("v").alias("var"))
     nets: dict[tuple, list] = {}
-    for r in per.sort(*by, "ch1", "ch2").collect():  # a row for each key and edge
+    for r in per.sort(*by, *items).collect():  # a row for each key and item
         nets.setdefault(tuple(r[k] for k in by), []).append(r)
     if any(len({(r["n"], r["n1"]) for r in v}) > 1 for v in nets.values()):
-        raise ValueError("a subject lacks an edge of its network")
+        raise ValueError("a subject lacks an item of its network")
     nets = {k: v for k, v in nets.items() if 0 < v[0]["n1"] < v[0]["n"]}
     sizes = {k: (v[0]["n"], v[0]["n1"]) for k, v in nets.items()}
     mean = {k: np.array([r["mean"] for r in v]) for k, v in nets.items()}
     square = {k: np.array([r["var"] * r["n"] for r in v]) for k, v in nets.items()}
-    names = {k: (np.array([r["ch1"] for r in v]), np.array([r["ch2"] for r in v])) for k, v in nets.items()}
+    names = {k: [tuple(r[c] for c in items) for r in v] for k, v in nets.items()}
     cuts = label_cuts(rows, by, subject, sizes, n_perms, seed)
     types = dict(rows.dtypes)
     head = "".join(f"`{k}` {types[k]}, " for k in by)
+    n_parts = max([1, *(-(-n // SUBJECTS_AT_ONCE) for n, _ in sizes.values())])
+    columns = [*by, "perm", "direction", "max_stat"]
 
-    def sums(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = {k: np.zeros((2, n_perms, len(m))) for k, m in mean.items()}  # of a task: the size of the result
-        seen = set()
-        for f in frames:
-            at, found = pd.factorize(f["__id"])
-            ids = [str(x).encode() for x in found]
-            split = [(k, at[i], np.array(f["w"].iloc[i].tolist()) - mean[k]) for k, i in parts(f, by) if k in mean]
-            seen |= {k for k, _, _ in split}
-            for perms in blocks(n_perms):
-                hi, lo = digests(seed, perms, ids)
-                for k, i, w in split:
-                    one = labels(hi[:, i], lo[:, i], cuts[k], perms)
-                    total[k][0, perms.start : perms.stop] += one @ w
-                    total[k][1, perms.start : perms.stop] += one @ w**2
-        for k in seen:
-            out = pd.DataFrame({"perm": np.arange(n_perms), "s": list(total[k][0]), "q": list(total[k][1])})
-            for c, v in zip(by, k, strict=True):
-                out[c] = v
-            yield out[[*by, "perm", "s", "q"]]
-
-    def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        k = tuple(key[:-1])
-        (ch1, ch2), (n, n1) = names[k], sizes[k]
-        f, n2 = f.sort_values(["perm", "at"]), n - n1
-        s1, q1 = (f[c].to_numpy().reshape(-1, len(ch1)) for c in ("s", "q"))
-        m1, m2 = s1 / n1, -s1 / n2  # weights are less their means, so all sums are 0
+    def judged(k: tuple, perms: range, s1: np.ndarray, q1: np.ndarray) -> list[list]:
+        n, n1 = sizes[k]
+        n2 = n - n1
+        m1, m2 = s1 / n1, -s1 / n2  # values are less their means, so all sums are 0
         v1, v2 = (q1 - n1 * m1**2) / max(n1 - 1, 1), (square[k] - q1 - n2 * m2**2) / max(n2 - 1, 1)
         se = np.sqrt(np.maximum(v1, 0) / n1 + np.maximum(v2, 0) / n2)
         t = np.where(se > 1e-12, (m1 - m2) / np.where(se > 1e-12, se, 1), 0.0)
-        out = []
-        for i, p in enumerate(f["perm"].to_numpy()[:: len(ch1)]):
-            for d, hit in (("positive", t[i] > thr), ("negative", t[i] < -thr)):
-                out.append([*k, p, d, float(_largest(ch1[hit], ch2[hit], t[i][hit], statistic == "intensity"))])
-        return pd.DataFrame(out, columns=[*by, "perm", "direction", "max_stat"])
-
-    weights = rows.select(*by, F.col(subject).cast("string").alias("__id"), F.transform("e", lambda x: x["weight"]).alias("w"))
-    got = weights.mapInPandas(sums, f"{head}perm int, s array<double>, q array<double>")
-    got = got.select(*by, "perm", F.posexplode(F.arrays_zip("s", "q")).alias("at", "x")).groupBy(*by, "perm", "at").agg(F.sum("x.s").alias("s"), F.sum("x.q").alias("q"))
-    return got.withColumn("block", F.expr(f"perm div {block}")).groupBy(*by, "block").applyInPandas(run, f"{head}perm int, direction string, max_stat double")
+        return [[*k, p, d, float(statistic(names[k], x, hit))] for p, x in zip(perms, t, strict=True) for d, hit in (("positive", x > thr), ("negative", x < -thr))]
+
+    def sums(key: tuple, f: pd.DataFrame) -> Iterator[tuple[range, np.ndarray, np.ndarray]]:
+        k, turn = tuple(key[:-2]), key[-1]
+        ids, w = [x.encode() for x in f["__id"]], np.array(f["w"].tolist(), float) - mean[k]
+        at_once = range(turn * PERMS_AT_ONCE, min(n_perms, (turn + 1) * PERMS_AT_ONCE))
+        for some in blocks(len(at_once)):
+            perms = at_once[some.start : some.stop]
+            hi, lo = digests(seed, perms, ids)
+            one = labels(hi, lo, cuts[k], perms)
+            yield perms, one @ w, one @ w**2
+
+    def whole(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = [r for s in sums(key, f) for r in judged(tuple(key[:-2]), *s)] if tuple(key[:-2]) in sizes else []
+        return pd.DataFrame(out, columns=columns)
+
+    def some(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        got = list(sums(key, f)) if tuple(key[:-2]) in sizes else []
+        out = pd.DataFrame({"first": [p.start for p, _, _ in got], "s": [s.tobytes() for _, s, _ in got], "q": [q.tobytes() for _, _, q in got]})
+        return out.assign(**dict(zip(by, key[:-2], strict=True)))[[*by, "first", "s", "q"]]
+
+    def joined(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        k = tuple(key[:-1])
+        s, q = (np.frombuffer(f[c].iloc[0], float).reshape(-1, len(names[k])) for c in ("s", "q"))
+        return pd.DataFrame(judged(k, range(key[-1], key[-1] + len(s)), s, q), columns=columns)
+
+    turns = F.explode(F.sequence(F.lit(0), F.lit(max(0, (n_perms - 1) // PERMS_AT_ONCE)))).alias("__turn")
+    dealt = rows.select(*by, F.col(subject).cast("string").alias("__id"), F.transform("e", lambda x: x["v"]).alias("w"), turns)
+    dealt = dealt.withColumn("__part", F.pmod(F.xxhash64("__id"), F.lit(n_parts))).groupBy(*by, "__part", "__turn")
+    schema = f"{head}perm int, direction string, max_stat double"
+    if n_parts == 1:
+        return dealt.applyInPandas(whole, schema)
+    parts_of = dealt.applyInPandas(some, f"{head}first int, s binary, q binary")
+    return add_up(parts_of, [*by, "first"], ["s", "q"]).groupBy(*by, "first").applyInPandas(joined, schema)
+
+
+def null_distribution(edges: DataFrame, keys: list[str], pairs: list[tuple[str, str]], thr: float, n_perms: int, seed: int = 42, statistic: str = "size", group: str = "grp", subject: str = "subject_id") -> DataFrame:
+    """``keys, g1, g2, perm, direction, max_stat``: the largest component of every permutation of the group labels, by its
+    number of edges (``size``) or the sum of their absolute t-values; see :func:`permuted_maxima`."""
+    intensity = statistic == "intensity"
+
+    def largest(names: list[tuple], t: np.ndarray, hit: np.ndarray) -> float:
+        at = np.flatnonzero(hit)
+        return _largest([names[i][0] for i in at], [names[i][1] for i in at], t[at], intensity)
+
+    return permuted_maxima(edges, keys, pairs, ["ch1", "ch2"], "weight", largest, thr, n_perms, seed, group, subject)
+
+
+def channel_clusters(t: DataFrame, keys: list[str], near: DataFrame, thr: float) -> DataFrame:
+    """``keys, direction, channel, t, cluster``: channels beyond the threshold, gathered with their neighbours of the same
+    direction; a cluster has the name of its smallest channel. ``near``: ``a, b``, the neighbours of the montage."""
+    hit = threshold_edges(t, thr)
+    by = [*keys, "direction"]
+    one = hit.select(*by, F.col("channel").alias("ch1"))
+    two = hit.select(*by, F.col("channel").alias("ch2"))
+    links = one.join(near.select(F.col("a").alias("ch1"), F.col("b").alias("ch2")), "ch1").join(two, [*by, "ch2"])
+    comp = edge_components(links.select(*by, "ch1", "ch2"), by)
+    ends = comp.select(*by, F.explode(F.array("ch1", "ch2")).alias("channel"), F.col("component").alias("cluster")).distinct()
+    got = hit.join(ends, [*by, "channel"], "left").withColumn("cluster", F.coalesce("cluster", "channel"))  # one without such neighbours is a cluster
+    return got.select(*by, "channel", "t", "cluster")
+
+
+def cluster_permutation(values: DataFrame, keys: list[str], pairs: list[tuple[str, str]], near: list[tuple[str, str]], thr: float, n_perms: int, seed: int = 42, alpha: float = 0.05, group: str = "grp", subject: str = "subject_id", channel: str = "channel", value: str = "value") -> tuple[DataFrame, DataFrame]:
+    """Cluster-based permutation test over channels, for all keys and pairs of groups in one job: the clusters, with
+    ``n_channels``, ``mass`` (the sum of absolute t-values), ``p_value`` and ``significant``, and the channels of each.
+
+    p = (#{null >= mass} + 1) / (n_perms + 1); the null is the largest mass of each permutation, each direction against its
+    own. ``near``: pairs of neighbouring channels, a setting of the montage."""
+    spark = values.sparkSession
+    by = [*keys, "g1", "g2", "direction"]
+    rows = values.select(*keys, subject, group, F.col(channel).alias("channel"), F.col(value).alias("weight"))
+    pair = group_pairs(group_moments(rows, [*keys, "channel"], group, "weight"), [*keys, "channel"])
+    t = pair.select(*keys, "g1", "g2", "channel", welch_t(*[F.col(c) for c in ("mean1", "mean2", "var1", "var2", "n1", "n2")]).alias("t"))
+    t = t.join(F.broadcast(spark.createDataFrame(pairs, "g1 string, g2 string")), ["g1", "g2"], "left_semi")
+    members = channel_clusters(t, [*keys, "g1", "g2"], spark.createDataFrame(near, "a string, b string"), thr)
+    stats = members.groupBy(*by, "cluster").agg(F.count("*").alias("n_channels"), F.sum(F.abs("t")).alias("mass"))
+
+    def largest(names: list[tuple], x: np.ndarray, hit: np.ndarray) -> float:
+        at = {names[i][0]: i for i in np.flatnonzero(hit)}
+        links = [(a, b) for a, b in near if a in at and b in at]
+        ends = [*links, *((a, a) for a in at)]
+        mass = [abs(x[at[a]]) if a == b else 0.0 for a, b in ends]
+        return _largest([a for a, _ in ends], [b for _, b in ends], np.array(mass), True)
+
+    null = permuted_maxima(rows, keys, pairs, ["channel"], "weight", largest, thr, n_perms, seed, group, subject)
+    over = stats.join(null, by).groupBy(*by, "cluster").agg(F.sum((F.col("max_stat") >= F.col("mass") - 1e-9).cast("long")).alias("__over"))
+    got = stats.join(over, [*by, "cluster"]).withColumn("p_value", (F.col("__over") + 1) / F.lit(n_perms + 1.0)).drop("__over")
+    return got.withColumn("significant", F.col("p_value") < alpha), members
 
 
 def nbs(edges: DataFrame, keys: list[str], pairs: list[tuple[str, str]], thr: float, n_perms: int, seed: int = 42, statistic: str = "size", alpha: float = 0.05, group: str = "grp", subject: str = "subject_id") -> tuple[DataFrame, DataFrame]:
@@ -185,12 +249,59 @@ def symmetric(edges: DataFrame, value: str) -> DataFrame:
 
 
 def explore_thresholds(t: DataFrame, keys: list[str], thresholds: list[float]) -> DataFrame:
-    """``keys, threshold, direction, n_supra, n_components, largest`` from one table of t-values."""
-    rows = t.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in thresholds])))
-    by = [*keys, "threshold", "direction"]
-    comp = edge_components(threshold_edges(rows, F.col("threshold")), by)
-    size = comp.groupBy(*by, "component").agg(F.count("*").alias("n"))
-    return size.groupBy(*by).agg(F.sum("n").alias("n_supra"), F.count("*").alias("n_components"), F.max("n").alias("largest"))
+    """``keys, threshold, direction, n_supra, n_components, largest`` (edges of the largest component) of both directions
+    at every threshold, with a row of zeros where nothing passes.
+
+    Each direction's edges are joined once, from the largest absolute t-value down, into a merge forest; a threshold is the
+    state of the forest when the last edge beyond it has been joined. One network's table of edges is a group."""
+    types = dict(t.dtypes)
+    cuts = sorted({float(x) for x in thresholds}, reverse=True)
+
+    def run(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for direction, sign in (("positive", 1.0), ("negative", -1.0)):
+            g = f.assign(a=f["t"] * sign)
+            g = g[g["a"] > 0].sort_values("a", ascending=False, kind="stable")
+            parent: dict = {}
+            size: dict = {}  # edges of each root
+            joined, most = 0, 0
+
+            def find(x):
+                while parent.setdefault(x, x) != x:
+                    parent[x] = x = parent[parent[x]]  # noqa: B023
+                return x
+
+            edges = list(zip(g["a"], g["ch1"], g["ch2"], strict=True))
+            for cut in cuts:
+                while joined < len(edges) and edges[joined][0] > cut:
+                    a, b = find(edges[joined][1]), find(edges[joined][2])
+                    n = size.pop(a, 0) + (size.pop(b, 0) if a != b else 0) + 1
+                    parent[b] = a
+                    size[a] = n
+                    most, joined = max(most, n), joined + 1
+                out.append([*key, cut, direction, joined, len(size), most])
+        return pd.DataFrame(out, columns=[*keys, "threshold", "direction", "n_supra", "n_components", "largest"])
+
+    head = "".join(f"`{k}` {types[k]}, " for k in keys)
+    return t.select(*keys, "ch1", "ch2", "t").groupBy(*keys).applyInPandas(run, f"{head}threshold double, direction string, n_supra long, n_components long, largest long")
+
+
+def _at_thresholds(t: DataFrame, thresholds: list[float]) -> DataFrame:
+    """Every edge once for each threshold that it is beyond."""
+    rows = t.withColumn("threshold", F.explode(F.array(*[F.lit(float(x)) for x in sorted(set(thresholds))])))
+    return threshold_edges(rows, F.col("threshold"))
+
+
+def threshold_top_edges(t: DataFrame, keys: list[str], thresholds: list[float], n: int = 20) -> DataFrame:
+    """``keys, threshold, direction, place, ch1, ch2, t``: the ``n`` edges of the largest absolute t-values at each
+    threshold and direction."""
+    rank = F.row_number().over(Window.partitionBy(*keys, "threshold", "direction").orderBy(F.abs("t").desc(), "ch1", "ch2"))
+    return _at_thresholds(t, thresholds).withColumn("place", rank).filter(F.col("place") <= n).select(*keys, "threshold", "direction", "place", "ch1", "ch2", "t")
+
+
+def threshold_regions(t: DataFrame, keys: list[str], thresholds: list[float], regions: DataFrame) -> DataFrame:
+    """``keys, threshold, direction, region, n_edges, pct``: edge ends in each region at each threshold and direction."""
+    return region_involvement(_at_thresholds(t, thresholds), [*keys, "threshold", "direction"], regions)
 
 
 # --- regions ------------------------------------------------------------------------------------------------------------
@@ -228,14 +339,18 @@ def region_pair_counts(edges: DataFrame, keys: list[str], regions: DataFrame) ->
     return got.groupBy(*keys, F.least("r1", "r2").alias("region1"), F.greatest("r1", "r2").alias("region2")).agg(F.count("*").alias("n"))
 
 
-def lookup_edges(edges: DataFrame, listed: DataFrame, subject: str = "subject_id", missing: float | None = 0.0) -> DataFrame:
+def lookup_edges(edges: DataFrame, listed: DataFrame, subject: str = "subject_id", missing: float | None = 0.0, block: int = 1000) -> DataFrame:
     """``subject, ch1, ch2, weight`` of the listed edges, in whichever order their ends are given. An edge that a subject
-    does not have is ``missing``, or left out if that is None."""
+    does not have is ``missing``, or left out if that is None. The list may be of any size: Spark sizes its joins, and
+    subjects meet it in blocks of about ``block`` edges."""
     want = listed.select(F.least("ch1", "ch2").alias("ch1"), F.greatest("ch1", "ch2").alias("ch2")).distinct()
-    got = edges.join(F.broadcast(want), ["ch1", "ch2"]).select(subject, "ch1", "ch2", "weight")
+    got = edges.join(want, ["ch1", "ch2"]).select(subject, "ch1", "ch2", "weight")
     if missing is None:
         return got
-    grid = edges.select(subject).distinct().crossJoin(F.broadcast(want))  # subjects by the edges of the list
+    blocks_of = -(-want.count() // block) or 1
+    asked = want.withColumn("__b", F.pmod(F.xxhash64("ch1", "ch2"), F.lit(blocks_of)))
+    every = edges.select(subject).distinct().withColumn("__b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks_of - 1).cast("long"))))
+    grid = every.join(asked, "__b").drop("__b")
     return grid.join(got, [subject, "ch1", "ch2"], "left").na.fill(missing, ["weight"])
 
 
@@ -308,10 +423,11 @@ def path_length(edges: DataFrame, keys: list[str], distance: str = "weight") ->
     return edges.select(*keys, "ch1", "ch2", "weight").groupBy(*keys).applyInPandas(run, schema)
 
 
-def random_edges(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42) -> DataFrame:
-    """``graph, ch1, ch2, weight``: random graphs of a number of edges with uniform weights, all from md5 hashes."""
+def random_edges(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42, first: int = 0) -> DataFrame:
+    """``graph, ch1, ch2, weight``: random graphs of a number of edges with uniform weights, all from md5 hashes; the first
+    has the number ``first``."""
     pairs = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(n_nodes - 2)), lambda i: F.transform(F.sequence(i + 1, F.lit(n_nodes - 1)), lambda j: F.struct(i.alias("i"), j.alias("j"))))))
-    rows = spark.range(n_graphs).select(F.col("id").alias("graph"), pairs.alias("p")).select("graph", "p.i", "p.j")
+    rows = spark.range(first, first + n_graphs).select(F.col("id").alias("graph"), pairs.alias("p")).select("graph", "p.i", "p.j")
     u = lambda tag: F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(f"{seed}|{tag}"), "graph", "i", "j")), 1, 13), 16, 10).cast("long") / F.lit(float(2**52))
     rows = rows.withColumns({"weight": u("w"), "__o": u("o")})
     rank = F.row_number().over(Window.partitionBy("graph").orderBy("__o", "i", "j"))
@@ -319,15 +435,44 @@ def random_edges(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 4
     return rows.withColumn("__r", rank).filter(F.col("__r") <= n_edges).select("graph", name("i").alias("ch1"), name("j").alias("ch2"), "weight")
 
 
-def random_baseline(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42) -> DataFrame:
-    """``c_rand, l_rand``: means of clustering and path length over random graphs."""
-    g = random_edges(spark, n_graphs, n_nodes, n_edges, seed)
-    both = clustering_coefficient(g, ["graph"]).join(path_length(g, ["graph"]), "graph")
-    return both.agg(F.avg("clustering").alias("c_rand"), F.avg("path_length").alias("l_rand"))
+def connected(edges: DataFrame, keys: list[str], n_nodes: int) -> DataFrame:
+    """The keys whose graph is one component of ``n_nodes`` nodes."""
+    comp = edge_components(edges, keys)
+    ends = comp.select(*keys, "component", F.explode(F.array("ch1", "ch2")).alias("node"))
+    one = ends.groupBy(*keys).agg(F.countDistinct("component").alias("__c"), F.countDistinct("node").alias("__n"))
+    return one.filter((F.col("__c") == 1) & (F.col("__n") == n_nodes)).select(*keys)
+
+
+def random_graphs(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42, redraw: bool = False, most: int = 40) -> DataFrame:
+    """The connected ones of ``n_graphs`` random graphs; with ``redraw`` others are drawn for those left out, until there
+    are ``n_graphs`` or ``most`` rounds are over (an error: so few edges hardly ever connect so many nodes)."""
+    if n_edges < n_nodes - 1:
+        raise ValueError(f"{n_edges} edges cannot connect {n_nodes} nodes")
+    out, have, first = None, 0, 0
+    for _ in range(most):
+        drawn = random_edges(spark, n_graphs, n_nodes, n_edges, seed, first)
+        good = connected(drawn, ["graph"], n_nodes)
+        got = written(drawn.join(good, "graph", "left_semi"), "graphs")
+        out, first = got if out is None else out.unionByName(got), first + n_graphs
+        have += got.select("graph").distinct().count()
+        if not redraw:
+            return out
+        if have >= n_graphs:
+            rank = F.dense_rank().over(Window.orderBy("graph"))  # a few graphs' edges
+            return out.withColumn("__r", rank).filter(F.col("__r") <= n_graphs).drop("__r")
+    raise ValueError(f"{have} of {n_graphs} graphs are connected after {first} draws")
+
+
+def random_baseline(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42, redraw: bool = False) -> DataFrame:
+    """``c_rand, l_rand, n_graphs``: means of clustering and path length over connected random graphs with both above 0.
+    Disconnected graphs are skipped, or redrawn."""
+    g = random_graphs(spark, n_graphs, n_nodes, n_edges, seed, redraw)
+    both = clustering_coefficient(g, ["graph"]).join(path_length(g, ["graph"]), "graph").filter("clustering > 0 AND path_length > 0")
+    return both.agg(F.avg("clustering").alias("c_rand"), F.avg("path_length").alias("l_rand"), F.count("*").alias("n_graphs"))
 
 
 def small_world(edges: DataFrame, keys: list[str], baseline: DataFrame) -> DataFrame:
     """``keys, clustering, path_length, avg_connectivity, sigma``, all keys against one baseline."""
     avg = edges.groupBy(*keys).agg(F.avg("weight").alias("avg_connectivity"))
     got = clustering_coefficient(edges, keys).join(path_length(edges, keys), keys).join(avg, keys).crossJoin(F.broadcast(baseline))  # one row
-    return got.withColumn("sigma", (F.col("clustering") / F.col("c_rand")) / (F.col("path_length") / F.col("l_rand"))).drop("c_rand", "l_rand")
+    return got.withColumn("sigma", (F.col("clustering") / F.col("c_rand")) / (F.col("path_length") / F.col("l_rand"))).drop("c_rand", "l_rand", "n_graphs")

@@ -40,6 +40,25 @@ def parts(f: pd.DataFrame, by: list[str]) -> list[tuple[tuple, np.ndarray]]:
     return [(k if isinstance(k, tuple) else (k,), np.asarray(i)) for k, i in f.groupby(by, sort=False, dropna=False).indices.items()]
 
 
+def add_up(parts_of: DataFrame, keys: list[str], columns: list[str], fan_in: int = 64) -> DataFrame:
+    """Sums of columns of 64-bit floats held as binary, elementwise, a row for each key: first over some of the tasks'
+    rows, then over these sums, so that a group holds about ``fan_in`` rows of one key."""
+    types = dict(parts_of.dtypes)
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), *(f"`{c}` binary" for c in columns)])
+
+    def total(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        out = {k: [v] for k, v in zip(keys, key, strict=False)}
+        for c in columns:
+            sums = np.frombuffer(f[c].iloc[0], float).copy()
+            for x in f[c].iloc[1:]:
+                sums += np.frombuffer(x, float)
+            out[c] = [sums.tobytes()]
+        return pd.DataFrame(out)
+
+    some = parts_of.withColumn("__some", F.expr(f"spark_partition_id() div {fan_in}"))
+    return some.groupBy(*keys, "__some").applyInPandas(total, schema).groupBy(*keys).applyInPandas(total, schema)
+
+
 def _window(n: int, n1: int, width: float) -> tuple[np.uint64, np.uint64]:
     q = n1 / n
     s = width * (q * (1 - q) / n) ** 0.5 + width / n

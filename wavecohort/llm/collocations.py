@@ -39,9 +39,9 @@ FILTER_BITS, SEGMENT = 26, 17
 #: Word positions that a bucket gets at most on average.
 BUCKET = 2_000_000
 #: Bytes of text that a task takes at once.
-SLICE = 6 << 20
+SLICE = 10 << 20
 #: Buckets for each shuffle partition at least, so that partitions are even.
-EACH = 4
+EACH = 2
 
 
 def _of_lang(lang: str) -> np.uint64:
@@ -140,14 +140,14 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
             names, code = _coded(batch.column(0))
             own = np.array([_of_lang(x) for x in names], np.uint64)
             w = words(batch.column(1), SEPARATORS, BREAKS, seed)
-            row = np.repeat(np.arange(batch.num_rows), np.diff(w.rows))
-            of = code[row]
+            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(w.rows))
+            of = code[row].astype(np.int32)
             spot = _spots(w.hashes, own[of]) >> np.uint64(64 - FILTER_BITS)
             known = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 > 0
             if not known.any():
                 continue
             vocab, inverse = np.unique(w.hashes[known], return_inverse=True)
-            ids = np.zeros(len(known) + max_n, np.int64)
+            ids = np.zeros(len(known) + max_n, np.int32)
             ids[np.flatnonzero(known)] = inverse + 1
             end = np.ones(len(known) + max_n, bool)  # no word of the same piece before it
             end[1 : len(known)] = (row[1:] != row[:-1]) | (w.piece[1:] != w.piece[:-1])

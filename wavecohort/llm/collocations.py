@@ -39,7 +39,9 @@ FILTER_BITS, SEGMENT = 26, 17
 #: Word positions that a bucket gets at most on average.
 BUCKET = 2_000_000
 #: Bytes of text that a task takes at once.
-SLICE = 10 << 20
+SLICE = 6 << 20
+#: Different suffixes of slices that a task adds up before it sends them.
+HELD = 2_500_000
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 2
 
@@ -131,62 +133,86 @@ def _sorted(ids: list[np.ndarray], bits: int) -> np.ndarray:
     return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
+def _summed(cols: list[np.ndarray], counts: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Equal rows of the columns once, in lexicographical order, with the sums of their counts."""
+    order = _sorted(cols, width)
+    cols = [x[order] for x in cols]
+    new = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in cols])])
+    return [x[new] for x in cols], np.add.reduceat(counts[order], new)
+
+
 def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.ndarray):
-    """Suffixes of a slice with their counts, one blob for each bucket and language: the hashes of its words, references
+    """Suffixes of some slices with their counts, one blob for each bucket and language: the hashes of its words, references
     to them (1 and up, 0 for none) word by word, and counts."""
 
+    def of_slice(batch: pa.RecordBatch, langs: dict[str, int]) -> tuple[np.ndarray, list[np.ndarray], np.ndarray] | None:
+        """The hashes of its known words; language and word references of each suffix; counts."""
+        names, code = _coded(batch.column(0))
+        own = np.array([_of_lang(x) for x in names], np.uint64)
+        place = np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)
+        w = words(batch.column(1), SEPARATORS, BREAKS, seed)
+        row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(w.rows))
+        of = code[row].astype(np.int32)
+        spot = _spots(w.hashes, own[of]) >> np.uint64(64 - FILTER_BITS)
+        known = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 > 0
+        at = np.flatnonzero(known)
+        if not len(at):
+            return None
+        vocab, inverse = np.unique(w.hashes[at], return_inverse=True)
+        ids = np.zeros(len(known) + max_n, np.int32)
+        ids[at] = inverse + 1
+        end = np.ones(len(known) + max_n, bool)  # no word of the same piece before it
+        end[1 : len(known)] = (row[1:] != row[:-1]) | (w.piece[1:] != w.piece[:-1])
+        cols, live = [place[of[at]], ids[at]], np.ones(len(at), bool)
+        for k in range(1, max_n):
+            live = live & ~end[at + k] & (ids[at + k] > 0)
+            cols.append(np.where(live, ids[at + k], 0).astype(np.int32))
+        cols, c = _summed(cols, np.ones(len(at), np.int64), max(int(len(vocab)).bit_length(), len(langs).bit_length()))
+        return vocab, cols, c
+
+    def sent(held: list[tuple], langs: dict[str, int]) -> pa.RecordBatch:
+        vocab = np.unique(np.concatenate([v for v, _, _ in held]))
+        parts = [[], *([] for _ in range(max_n))]
+        for v, cols, _ in held:
+            back = np.r_[0, np.searchsorted(vocab, v) + 1].astype(np.int32)
+            for i, x in enumerate(cols):
+                parts[i].append(back[x] if i else x)
+        cols, c = _summed([np.concatenate(x) for x in parts], np.concatenate([c for _, _, c in held]), max(int(len(vocab)).bit_length(), len(langs).bit_length()))
+        held.clear()
+        names = list(langs)
+        own = np.array([_of_lang(x) for x in names], np.uint64)
+        lang, cols, hashes = cols[0], cols[1:], np.r_[np.uint64(0), vocab]
+        to, deeper = own[lang], np.ones(len(lang), bool)
+        for x in cols:  # a word more as long as all before it are hot
+            to = np.where(deeper, mix64(to * np.uint64(0xD6E8FEB86659FD93) + hashes[x]), to)
+            deeper &= np.isin(_spots(hashes[x], own[lang]), hot)
+        to = (to % np.uint64(n_buckets)).astype(np.int64)
+        both = to * len(names) + lang
+        order = np.argsort(both, kind="stable")
+        cuts = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0, True])
+        out: list[list] = [[], [], [], [], [], []]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i = order[a:b]
+            some, ref = np.unique(np.stack([x[i] for x in cols]), return_inverse=True)
+            if some[0]:
+                some, ref = np.r_[0, some], ref + 1
+            small = "<u2" if len(some) < 1 << 16 else "<u4"
+            for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[some[1:]].tobytes(), ref.astype(small).tobytes(), c[i].astype("<u4").tobytes()), strict=True):
+                o.append(v)
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "words", "refs", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+        held: list[tuple] = []
         for batch in slices(batches, 1, SLICE):
-            names, code = _coded(batch.column(0))
-            own = np.array([_of_lang(x) for x in names], np.uint64)
-            w = words(batch.column(1), SEPARATORS, BREAKS, seed)
-            row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(w.rows))
-            of = code[row].astype(np.int32)
-            spot = _spots(w.hashes, own[of]) >> np.uint64(64 - FILTER_BITS)
-            known = (bits[(spot >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (spot & np.uint64(7)).astype(np.uint8))) & 1 > 0
-            if not known.any():
-                continue
-            vocab, inverse = np.unique(w.hashes[known], return_inverse=True)
-            ids = np.zeros(len(known) + max_n, np.int32)
-            ids[np.flatnonzero(known)] = inverse + 1
-            end = np.ones(len(known) + max_n, bool)  # no word of the same piece before it
-            end[1 : len(known)] = (row[1:] != row[:-1]) | (w.piece[1:] != w.piece[:-1])
-            at = np.flatnonzero(known)
-            cols, live = [of[at], ids[at]], np.ones(len(at), bool)
-            for k in range(1, max_n):
-                live = live & ~end[at + k] & (ids[at + k] > 0)
-                cols.append(np.where(live, ids[at + k], 0))
-            width = max(int(len(vocab)).bit_length(), int(len(names)).bit_length())
-            if (max_n + 1) * width <= 64:
-                x, c = np.unique(_packed(cols, width)[0], return_counts=True)
-                mask = np.uint64((1 << width) - 1)
-                cols = [((x >> np.uint64(width * (max_n - i))) & mask).astype(np.int64) for i in range(max_n + 1)]
-            else:
-                order = _sorted(cols, width)
-                cols = [x[order] for x in cols]
-                new = np.flatnonzero(np.r_[True, np.logical_or.reduce([x[1:] != x[:-1] for x in cols])])
-                c = np.diff(np.r_[new, len(order)])
-                cols = [x[new] for x in cols]
-            lang, cols = cols[0], cols[1:]
-            hashes = np.r_[np.uint64(0), vocab]
-            to, deeper = own[lang], np.ones(len(lang), bool)
-            for x in cols:  # a word more as long as all before it are hot
-                to = np.where(deeper, mix64(to * np.uint64(0xD6E8FEB86659FD93) + hashes[x]), to)
-                deeper &= np.isin(_spots(hashes[x], own[lang]), hot)
-            to = (to % np.uint64(n_buckets)).astype(np.int64)
-            order = np.argsort(to * len(names) + lang, kind="stable")
-            cuts = np.flatnonzero(np.r_[True, np.diff((to * len(names) + lang)[order]) != 0, True])
-            out: list[list] = [[], [], [], [], [], []]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                i = order[a:b]
-                own_ids, ref = np.unique(np.stack([x[i] for x in cols]), return_inverse=True)
-                if own_ids[0]:
-                    own_ids, ref = np.r_[0, own_ids], ref + 1
-                small = "<u2" if len(own_ids) < 1 << 16 else "<u4"
-                for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[own_ids[1:]].tobytes(), ref.astype(small).tobytes(), c[i].astype("<u4").tobytes()), strict=True):
-                    o.append(v)
-            kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.record_batch([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "words", "refs", "counts"])
+            got = of_slice(batch, langs)
+            if got:
+                held.append(got)
+            if sum(len(c) for _, _, c in held) >= HELD:
+                yield sent(held, langs)
+        if held:
+            yield sent(held, langs)
 
     return run
 

@@ -9,11 +9,6 @@ from wavecohort import jobs
 from .conftest import DATA
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-PICKED = [
-    "flagship_omnibus", "descriptive_stats", "levene", "alexander_govern", "dunn_bonferroni", "mann_whitney", "spearman_corr", "clean_behavior", "pad_ids", "crop_middle",
-    "edge_class_code", "significant_by_dim", "fixed_length_epochs", "windowed_epochs", "stream_epochs", "detrend_linear", "fir_filter", "psd_welch", "band_power_roi", "wpli_connectivity",
-    "welch_t_edges", "component_stat", "nbs_permutation_test", "multi_threshold_explore", "multi_threshold_top_edges", "multi_threshold_regions", "random_graph_baseline", "small_world_sigma", "cluster_permutation_channels", "edge_list_lookup", "nbs_summary", "clustering_coefficient", "path_length", "bootstrap_effects", "bootstrap_mediation", "mediation_paths", "ols_multi", "region_order", "strip_prefix_id", "icc", "stratified_kfold",
-]
 
 
 def rows(columns, data):
@@ -28,7 +23,7 @@ def duck():
     return c
 
 
-@pytest.mark.parametrize("name", PICKED)
+@pytest.mark.parametrize("name", sorted(jobs.SQL))
 def test_matches_sql(spark, duck, name):
     got = jobs.QUERIES[name](spark, DATA)
     columns = sorted(got.columns)

@@ -8,7 +8,7 @@ from statistics import NormalDist
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from wavecohort.functions import special
 
@@ -44,6 +44,17 @@ def _score(p: pd.Series) -> pd.Series:
     return pd.Series([inverse(x) for x in p], dtype=float)
 
 
+@F.pandas_udf(StructType([StructField("plain", DoubleType()), StructField("square", DoubleType())]))
+def _score_sums(n: pd.Series, i: pd.Series, j: pd.Series) -> pd.DataFrame:
+    inverse = NormalDist().inv_cdf
+    plain, square = [], []
+    for size, a, b in zip(n, i, j, strict=True):
+        m = [inverse((x - 0.375) / (size + 0.25)) for x in range(int(a), int(b) + 1)]
+        plain.append(sum(m))
+        square.append(sum(x * x for x in m))
+    return pd.DataFrame({"plain": plain, "square": square})
+
+
 @F.pandas_udf(DoubleType())
 def _shapiro_w(n: pd.Series, mm: pd.Series, mx: pd.Series, ss: pd.Series, first: pd.Series, second: pd.Series, before: pd.Series, last: pd.Series, m_before: pd.Series, m_last: pd.Series) -> pd.Series:
     rows = zip(n, mm, mx, ss, first, second, before, last, m_before, m_last, strict=True)
@@ -92,6 +103,11 @@ def normal_score(p) -> Column:
     return _score(_d(p))
 
 
+def normal_score_sums(n, i, j) -> Column:
+    """``plain`` and ``square``: the sums of the normal scores of the places i to j among n, and of their squares."""
+    return _score_sums(*[(c if isinstance(c, Column) else F.col(c)).cast("long") for c in (n, i, j)])
+
+
 def shapiro_w(*sums) -> Column:
     """W from the sums that :func:`special.shapiro_from_sums` takes; null where it has none."""
     return F.nullif(_shapiro_w(*[_d(c) for c in sums]), F.lit(float("nan")))

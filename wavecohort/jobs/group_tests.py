@@ -167,10 +167,17 @@ SELECT a.metric, a.freq_band, round(a.mean, 6) AS mean1, round(sqrt(a.var), 6) A
        r - rs.n * (rs.n + 1) / 2 AS statistic, round((a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)), 9) AS cohens_d, false AS is_normal
 FROM g a JOIN g b USING (metric, freq_band) JOIN rs ON rs.metric = a.metric AND rs.freq_band = a.freq_band AND rs.grp = 'A' WHERE a.grp = 'A' AND b.grp = 'N'""")
 def two_group_compare(spark, sf_dir):
-    got = G.two_group_compare(metrics(spark, sf_dir), KEYS, "grp", "value", "A", "N").drop("p")
+    got = G.two_group_compare(metrics(spark, sf_dir), KEYS, "grp", "value", "A", "N").drop("p", "p_fdr", "significant")
     return got.withColumns({c: r6(c) for c in ("mean1", "std1", "mean2", "std2")} | {"cohens_d": r6("cohens_d", 9)})
 
 
+@query("two_group_compare_fdr")
+def two_group_compare_fdr(spark, sf_dir):
+    """The same tests with p-values and the false discovery rate over the rows of each band."""
+    got = G.two_group_compare(metrics(spark, sf_dir), KEYS, "grp", "value", "A", "N", family=["freq_band"])
+    return rounded(got.select(*KEYS, "test", "p", "p_fdr", "significant", "cohens_d"), "p", "p_fdr", "cohens_d")
+
+
 @query("pearson_corr", """SELECT l_returnflag, l_linestatus, count(*) AS n, round(corr(l_quantity, l_extendedprice), 9) AS r FROM lineitem GROUP BY ALL""")
 def pearson_corr(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from statistics import NormalDist
 
 from pyspark.sql import functions as F
 
@@ -89,8 +90,24 @@ def simple_mediation_sobel(spark, sf_dir):
 
 @query("batch_mediation")
 def batch_mediation(spark, sf_dir):
-    li = _lines(spark, sf_dir).withColumn("z", F.col("m") - F.col("x"))
-    return rounded(M.batch_mediation(li, "x", ["m", "z"], ["y"], "row", REPS), "indirect", "low", "high", "p", "p_fdr").select("mediator", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
+    li = _lines(spark, sf_dir, (F.col("l_discount") * 10).alias("c")).withColumn("z", F.col("m") - F.col("x"))
+    got = M.batch_mediation(li, "x", ["m", "z"], ["y"], "row", REPS, covariates=["c"])
+    return rounded(got, "indirect", "low", "high", "p", "p_fdr").select("mediator", "outcome", "n", "indirect", "low", "high", "p", "p_fdr", "significant")
+
+
+BATCH = " ".join(f"s_{p}{q} - s_{p}c * s_{q}c / s_cc AS p_{p}{q}," for p, q in ("xx", "xm", "xy", "mm", "my", "yy"))
+
+
+@query("batch_mediation_effects", f"""WITH l0 AS (SELECT l_quantity / 10 AS x, l_extendedprice / 10000 AS m, l_tax * 10 + l_extendedprice / 50000 AS y, l_discount * 10 AS c FROM lineitem),
+li AS (SELECT 'm' AS mediator, x, m, y, c FROM l0 UNION ALL SELECT 'z', x, m - x, y, c FROM l0),
+su AS (SELECT mediator, count(*) AS n, regr_sxx(x, x) AS s_xx, regr_sxy(x, m) AS s_xm, regr_sxy(x, y) AS s_xy, regr_sxy(x, c) AS s_xc, regr_sxx(m, m) AS s_mm, regr_sxy(m, y) AS s_my, regr_sxy(m, c) AS s_mc, regr_sxx(y, y) AS s_yy, regr_sxy(y, c) AS s_yc, regr_sxx(c, c) AS s_cc FROM li GROUP BY 1),
+pa AS (SELECT mediator, {BATCH} n FROM su)
+SELECT mediator, 'y' AS outcome, n, round(p_xm / p_xx, 6) + 0.0 AS a, round((p_my * p_xx - p_xy * p_xm) / (p_xx * p_mm - p_xm * p_xm), 6) + 0.0 AS b, round((p_xy * p_mm - p_my * p_xm) / (p_xx * p_mm - p_xm * p_xm), 6) + 0.0 AS direct, round(p_xy / p_xx, 6) + 0.0 AS total FROM pa""")
+def batch_mediation_effects(spark, sf_dir):
+    """The effects on the sample, covariates in every equation; a few resamples, which the SQL does not state."""
+    li = _lines(spark, sf_dir, (F.col("l_discount") * 10).alias("c")).withColumn("z", F.col("m") - F.col("x"))
+    got = M.batch_mediation(li, "x", ["m", "z"], ["y"], "row", 10, covariates=["c"])
+    return rounded(got.select("mediator", "outcome", "n", "a", "b", "direct", "total"), "a", "b", "direct", "total")
 
 
 def _component_mediation(spark, sf_dir):
@@ -99,8 +116,8 @@ def _component_mediation(spark, sf_dir):
     emb = table(spark, sf_dir, "embeddings")
     groups = emb.select(F.col("vec_id").alias("subject_id"), F.concat(F.lit("g"), (F.col("label") % 3).cast("string")).alias("grp"))
     means = means.join(groups, "subject_id").filter((F.col("grp") == F.col("g1")) | (F.col("grp") == F.col("g2"))).drop("grp")
-    out = emb.select(F.col("vec_id").alias("subject_id"), F.col("embedding")[40].cast("double").alias("reading"), F.col("embedding")[41].cast("double").alias("naming"))
-    return M.component_mediation(means, out, "subject_id", [*W.BY, "component"], groups, F.col("g1"), ["reading", "naming"], REPS)
+    out = emb.select(F.col("vec_id").alias("subject_id"), F.col("embedding")[40].cast("double").alias("reading"), F.col("embedding")[41].cast("double").alias("naming"), F.col("embedding")[42].cast("double").alias("age"))
+    return M.component_mediation(means, out, "subject_id", [*W.BY, "component"], groups, F.col("g1"), ["reading", "naming"], REPS, covariates=["age"])
 
 
 @query("component_mediation")
@@ -171,6 +188,15 @@ def age_adjusted_group_test(spark, sf_dir):
     return rounded(one.unionByName(two).unionByName(three).select("band", "model", "term", "beta", "p", "aic", "bic"), "beta", "p", "aic", "bic", digits=3)
 
 
+@query("age_adjusted_contrasts")
+def age_adjusted_contrasts(spark, sf_dir):
+    """Differences of the groups at the mean age, age alone and with a slope for each group."""
+    rows = _prices(spark, sf_dir)
+    one = M.adjusted_contrasts(rows, ["band"], "subject_id", "y", "grp", ["g0", "g1", "g2"], ["age"]).withColumn("model", F.lit("linear"))
+    two = M.adjusted_contrasts(rows, ["band"], "subject_id", "y", "grp", ["g0", "g1", "g2"], ["age"], ["age"]).withColumn("model", F.lit("group x age"))
+    return rounded(one.unionByName(two), "mean1", "mean2", "diff", "se", "z", "p", "p_adjusted", "low", "high", digits=4)
+
+
 ICC = f"""{MIX}, p AS (SELECT band, subject_id, count(*) AS n, avg(y) AS m, coalesce(var_samp(y), 0) AS v FROM li GROUP BY ALL),
 s AS (SELECT band, count(*) AS k, sum(n) AS t, sum(n * n) AS n2, sum((n - 1) * v) AS ssw, sum(n * m) / sum(n) AS g FROM p GROUP BY 1),
 b AS (SELECT p.band, sum(n * (m - g) ** 2) AS ssb FROM p JOIN s USING (band) GROUP BY 1),
@@ -190,6 +216,18 @@ def residual_diagnostics(spark, sf_dir):
     return got.select("band", "n", r6("mean").alias("mean"), r6("sd").alias("sd"), r6(F.col("q")[0], 5).alias("q05"), r6(F.col("q")[1], 5).alias("q95"))
 
 
+#: Probabilities of the Q-Q points.
+POINTS = [i / 20 for i in range(1, 20)]
+
+
+@query("residual_qq", f"""WITH {ICC}, r AS (SELECT li.band, y - (g + CASE WHEN vb > 0 THEN vb / (vb + vw / n) ELSE 0 END * (m - g)) AS residual FROM li JOIN p USING (band, subject_id) JOIN vc USING (band)),
+q AS (SELECT band, unnest({POINTS}) AS p, unnest({[round(NormalDist().inv_cdf(p), 5) + 0.0 for p in POINTS]}) AS normal, unnest(quantile_cont(residual, {POINTS})) AS sample FROM r GROUP BY band)
+SELECT band, p::DOUBLE AS p, normal::DOUBLE AS normal, round(sample, 5) + 0.0 AS sample FROM q""")
+def residual_qq(spark, sf_dir):
+    got = M.qq_points(M.residuals(_prices(spark, sf_dir), ["band"], "subject_id", "y"), ["band"], "residual")
+    return got.select("band", "p", r6("normal", 5).alias("normal"), r6("sample", 5).alias("sample"))
+
+
 @query("within_subject_sd", f"WITH {MIX} SELECT band, subject_id, grp, round(stddev_samp(y), 9) AS sd FROM li GROUP BY ALL HAVING count(*) > 1")
 def within_subject_sd(spark, sf_dir):
     return rounded(M.within_subject_sd(_prices(spark, sf_dir), ["band"], "subject_id", "grp", "y"), "sd", digits=9)

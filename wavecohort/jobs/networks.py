@@ -269,6 +269,12 @@ def path_length(spark, sf_dir):
     return rounded(N.path_length(edges(spark, sf_dir, True), ["subject_id", "freq_band"]), "path_length")
 
 
+@query("path_length_joined", f"WITH {PATHS} SELECT subject_id, freq_band, round(sum(d) / 56, 6) AS path_length FROM p3 GROUP BY ALL")
+def path_length_joined(spark, sf_dir):
+    """The same by joins, for networks of any size."""
+    return rounded(N.path_length_joined(edges(spark, sf_dir, True), ["subject_id", "freq_band"]), "path_length")
+
+
 #: Random graphs of a baseline, as in the studies.
 GRAPHS = 50
 # The networks here have 8 nodes and all 28 edges, and so have the random graphs: none is disconnected.

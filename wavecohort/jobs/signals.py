@@ -8,7 +8,7 @@ from wavecohort.jobs.base import LONG, SAMPLES, query, r6, recording, rounded, s
 from wavecohort.operators import signal as S
 from wavecohort.operators import spectral as P
 from wavecohort.sources.tables import explode_samples
-from wavecohort.streaming.epochs import good_epochs, windowed_epochs
+from wavecohort.streaming.epochs import epoch_summaries, good_epochs, windowed_epochs
 
 BANDS = [("delta", 0.5, 4.0), ("theta", 4.0, 8.0), ("alpha", 8.0, 13.0), ("beta", 13.0, 30.0)]
 BANDS_SQL = "b(band, fmin, fmax) AS (VALUES ('delta', 0.5, 4.0), ('theta', 4.0, 8.0), ('alpha', 8.0, 13.0), ('beta', 13.0, 30.0))"
@@ -64,6 +64,11 @@ def tumbling(spark, sf_dir):
     return rounded(e.select("subject_id", F.unix_micros("start").alias("start"), "n", "mean", "ptp"), "mean", "ptp")
 
 
+SLID = """e AS (SELECT user_id AS subject_id, epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) - k * 86400000000 AS start, count(*) AS n, avg(value) AS mean
+  FROM events, range(0, 2) r(k) GROUP BY ALL HAVING count(*) >= 2 AND max(value) - min(value) <= 50),
+g AS (SELECT *, (start + 2 * 86400000000 - 1) // (4 * 86400000000) * 4 * 86400000000 AS span FROM e)"""
+
+
 @query("sliding_epochs", """SELECT user_id AS subject_id, epoch_us(time_bucket(INTERVAL '1 day', ts, TIMESTAMP '1970-01-01')) - k * 86400000000 AS start, count(*) AS n, round(avg(value), 6) AS mean
 FROM events, range(0, 2) r(k) GROUP BY ALL""")
 def sliding(spark, sf_dir):
@@ -90,6 +95,30 @@ def stream_epochs(spark, sf_dir):
     return rounded(got.select("subject_id", F.unix_micros("start").alias("start"), "n", "mean"), "mean")
 
 
+@query("sliding_epoch_summaries", f"""WITH {SLID} SELECT subject_id, span AS start, count(*) AS n_epochs, sum(n)::BIGINT AS n, round(sum(n * mean) / sum(n), 6) AS mean FROM g GROUP BY ALL""")
+def sliding_epoch_summaries(spark, sf_dir):
+    got = epoch_summaries(recording(spark, sf_dir), ["subject_id"], "ts", "value", "2 days", "1 day", 2, 50.0, "4 days")
+    return rounded(got.select("subject_id", F.unix_micros("start").alias("start"), "n_epochs", "n", "mean"), "mean")
+
+
+@query("stream_sliding_epochs", f"""WITH {SLID} SELECT subject_id, span AS start, count(*) AS n_epochs, sum(n)::BIGINT AS n, round(sum(n * mean) / sum(n), 6) AS mean FROM g WHERE span + 4 * 86400000000 <= (SELECT max(epoch_us(ts)) - 3600000000 FROM events) GROUP BY ALL""")
+def stream_sliding_epochs(spark, sf_dir):
+    """Sliding epochs, rejection and summaries of four days as one stream of two stateful steps in append mode: the spans
+    that the watermark has passed."""
+    import uuid
+
+    from wavecohort.functions.scratch import shared_dir
+    from wavecohort.streaming.epochs import run_to_folder
+
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    batch = spark.read.parquet(f"{sf_dir}/events.parquet")
+    live = spark.readStream.schema(batch.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    rows = live.select(F.col("user_id").alias("subject_id"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    run_to_folder(epoch_summaries(rows, ["subject_id"], "ts", "value", "2 days", "1 day", 2, 50.0, "4 days", late="1 hour"), f"{at}/out", f"{at}/state")
+    got = spark.read.parquet(f"{at}/out")
+    return rounded(got.select("subject_id", F.unix_micros("start").alias("start"), "n_epochs", "n", "mean"), "mean")
+
+
 @query("align_epoch_length", "SELECT vec_id // 4 AS epoch_idx, 'c' || (vec_id % 4) AS channel, len(embedding[1:50])::INTEGER AS n, round(list_sum(list_transform(embedding[1:50], lambda x: x::DOUBLE)), 6) AS total FROM embeddings")
 def align_epoch_length(spark, sf_dir):
     got = S.align_length(samples(spark, sf_dir), 50)
@@ -158,8 +187,10 @@ def retention_summary(spark, sf_dir):
     return rounded(S.retention_summary(e, e.filter("value <= 20"), ["user_id"]), "retention")
 
 
-@query("eog_artifact_score", f"""WITH {LONG}, c AS (SELECT a.subject_id, a.channel, abs(corr(a.value, b.value)) AS score FROM s a JOIN s b USING (epoch_idx, sample_idx) WHERE a.channel <> 'c3' AND b.channel = 'c3' GROUP BY ALL)
-SELECT subject_id, channel, round(score, 6) AS score, round((score - avg(score) OVER w) / stddev_pop(score) OVER w, 4) AS z, (score - avg(score) OVER w) / stddev_pop(score) OVER w > 1.2 AS flagged FROM c WINDOW w AS (PARTITION BY subject_id)""")
+@query("eog_artifact_score", f"""WITH RECURSIVE {LONG}, c AS (SELECT a.subject_id, a.channel, abs(corr(a.value, b.value)) AS score FROM s a JOIN s b USING (epoch_idx, sample_idx) WHERE a.channel <> 'c3' AND b.channel = 'c3' GROUP BY ALL),
+it AS (SELECT subject_id, channel, score, 0.0::DOUBLE AS z, false AS flagged, 0 AS k FROM c UNION ALL
+  SELECT subject_id, channel, score, x, flagged OR x > 1.2, k + 1 FROM (SELECT *, coalesce((score - avg(score) FILTER (NOT flagged) OVER w) / nullif(stddev_pop(score) FILTER (NOT flagged) OVER w, 0), 0) AS x FROM it WHERE k < 4 WINDOW w AS (PARTITION BY subject_id)))
+SELECT subject_id, channel, round(score, 6) AS score, round(z, 4) + 0.0 AS z, flagged FROM it WHERE k = 4""")
 def eog_artifact_score(spark, sf_dir):
     got = S.artifact_scores(_long(spark, sf_dir), ["subject_id"], ["epoch_idx", "sample_idx"], "channel", "value", "c3", 1.2)
     return got.withColumns({"score": r6("score"), "z": r6("z", 4)})

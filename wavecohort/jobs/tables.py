@@ -29,18 +29,37 @@ def read_group_csvs(spark, sf_dir):
     return T.read_group_tables(spark, paths, "subject_id string, epoch int, value double")
 
 
-@query("read_behavior", """SELECT doc_id, quality FROM (SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE quality IS NOT NULL""")
-def read_behavior(spark, sf_dir):
+BEHAVIOR = "SELECT d.doc_id, l.quality FROM documents d LEFT JOIN labels l USING (doc_id)"
+
+
+def _behavior(spark, sf_dir):
+    """Outcomes as a CSV file of other hands: empty fields where there is none, and every fiftieth line broken."""
     d, la = table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels").select("doc_id", "quality")
-    return T.drop_empty(d.join(la, "doc_id", "left").select("doc_id", "quality"), "quality")
+    line = F.concat_ws(",", F.col("doc_id").cast("string"), F.coalesce(F.col("quality").cast("string"), F.lit("")))
+    broken = F.when(F.col("doc_id") % 100 == 0, F.concat(line, F.lit(",9,9"))).otherwise(F.concat(F.lit("no. "), line))
+    path = _path(spark, "behavior")
+    d.join(la, "doc_id", "left").select(F.when(F.col("doc_id") % 50 == 0, broken).otherwise(line).alias("value")).write.text(path)
+    return T.read_behavior(spark, path, "doc_id long, quality int", "quality", header=False)
+
+
+@query("read_behavior", f"SELECT doc_id, quality FROM ({BEHAVIOR}) WHERE quality IS NOT NULL AND doc_id % 50 <> 0")
+def read_behavior(spark, sf_dir):
+    return _behavior(spark, sf_dir)[0]
+
+
+@query("read_behavior_rejected", f"SELECT CASE WHEN doc_id % 100 = 0 THEN '' ELSE 'no. ' END || doc_id || ',' || coalesce(quality::VARCHAR, '') || CASE WHEN doc_id % 100 = 0 THEN ',9,9' ELSE '' END AS record FROM ({BEHAVIOR}) WHERE doc_id % 50 = 0")
+def read_behavior_rejected(spark, sf_dir):
+    return _behavior(spark, sf_dir)[1]
 
 
-@query("discover_subjects", """SELECT DISTINCT split_part(p, '/', 2) AS grp, replace(split_part(p, '/', 3), '-epo.parquet', '') AS subject_id
-FROM (SELECT 'data/' || c_mktsegment || '/' || c_name || CASE WHEN c_custkey % 3 = 0 THEN '.txt' ELSE '-epo.parquet' END AS p FROM customer) WHERE p LIKE '%-epo.parquet'""")
+@query("discover_subjects", "SELECT s_nationkey::VARCHAR AS grp, s_suppkey::VARCHAR AS subject_id FROM supplier WHERE s_suppkey % 3 <> 0")
 def discover_subjects(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
-    end = F.when(F.col("c_custkey") % 3 == 0, ".txt").otherwise("-epo.parquet")
-    return T.discover_subjects(c.select(F.concat(F.lit("data/"), "c_mktsegment", F.lit("/"), "c_name", end).alias("path")))
+    """A folder of recordings by group and subject, listed; files of other kinds lie beside them."""
+    path = _path(spark, "recordings")
+    end = F.when(F.col("s_suppkey") % 3 == 0, ".txt").otherwise("-epo.parquet")
+    made = table(spark, sf_dir, "supplier").select("s_acctbal", F.col("s_nationkey").alias("grp"), F.concat(F.col("s_suppkey").cast("string"), end).alias("file"))
+    made.repartition("grp").write.partitionBy("grp", "file").parquet(path)
+    return T.discover_subjects(T.list_files(spark, path))
 
 
 @query("explode_signal", """SELECT vec_id, (unnest(range(0, 64)))::INTEGER AS sample_idx, round(unnest(embedding)::DOUBLE, 6) AS value FROM embeddings""")

@@ -1,7 +1,8 @@
 """Group summaries and group tests, for all keys (metric, band, ...) in one job.
 
 Every function takes a long table with key columns, a group column and a value column. Summaries are partial
-aggregations, so a hot key costs no more than others; only ranks sort, and they sort counts of distinct values.
+aggregations, so a hot key costs no more than others; only ranks and exact medians sort, and they sort counts of distinct
+values in ranges of (key, value), never a key in one task.
 Null and NaN values, and null groups, have no part. Variances are of samples; a zero denominator gives null.
 """
 
@@ -15,7 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from wavecohort.functions import special
-from wavecohort.functions.pvalues import chi2_p, f_p, normal_p, normal_score, range_p, shapiro_p, shapiro_w, t_p
+from wavecohort.functions.pvalues import chi2_p, f_p, normal_p, normal_score, normal_score_sums, range_p, shapiro_p, shapiro_w, t_p
+from wavecohort.functions.scratch import written
+from wavecohort.operators.placed import at_place, distribution, join_keys, lowest_from_here, quantiles, running
 
 
 def _values(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -70,7 +73,7 @@ def anova_oneway(df: DataFrame, keys: list[str], group: str, value: str) -> Data
 
 
 def medians(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    return _values(df, keys, group, value).groupBy(*keys, "grp").agg(F.percentile("v", F.lit(0.5)).alias("med"))
+    return quantiles(_values(df, keys, group, value), [*keys, "grp"], "v", {"med": 0.5})
 
 
 def levene(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -100,22 +103,19 @@ def alexander_govern(df: DataFrame, keys: list[str], group: str, value: str) ->
 def average_ranks(df: DataFrame, keys: list[str], value: str, rank: str = "rank") -> DataFrame:
     """Every row with the average rank of its value within its keys. Only distinct values with their counts are
     sorted, and joined back; a null value has a null rank."""
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__t"))
-    before = F.sum("__t").over(Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)) - F.col("__t")
-    ranks = counts.withColumn(rank, before + (F.col("__t") + 1) / 2).drop("__t")
-    return df.join(ranks, [*keys, value], "left").select(*df.columns, rank)
+    d = distribution(df, keys, value).select(*keys, value, (F.col("before") + (F.col("t") + 1) / 2).alias(rank))
+    return join_keys(df, d, [*keys, value], "left").select(*df.columns, rank)
 
 
 def rank_sums(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
     """``n, r`` per keys and group, with ``total`` and ``ties`` (sum of t^3 - t) of the keys. The rows are folded into
     counts of (group, value) before anything is sorted."""
-    by = _values(df, keys, group, value).groupBy(*keys, "v", "grp").agg(F.count("*").alias("c"))
+    by = written(_values(df, keys, group, value).groupBy(*keys, "v", "grp").agg(F.count("*").alias("c")), "counts")
     t = by.groupBy(*keys, "v").agg(F.sum("c").alias("t"))
-    before = F.sum("t").over(Window.partitionBy(*keys).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)) - F.col("t")
-    ranks = t.withColumn("rank", before + (F.col("t") + 1) / 2)
+    d = running(t, keys, ["v"], "t", "before", "n").select(*keys, "v", "t", (F.col("before") + (F.col("t") + 1) / 2).alias("rank"))
     whole = t.groupBy(*keys).agg(F.sum("t").alias("total"), F.sum(F.pow(F.col("t").cast("double"), 3) - F.col("t")).alias("ties"))
-    sums = by.join(ranks, [*keys, "v"]).groupBy(*keys, "grp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
-    return sums.join(whole, keys) if keys else sums.crossJoin(F.broadcast(whole))
+    sums = join_keys(by, d.drop("t"), [*keys, "v"]).groupBy(*keys, "grp").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("rank")).alias("r"))
+    return join_keys(sums, whole, keys)
 
 
 def kruskal_wallis(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
@@ -139,23 +139,32 @@ def jarque_bera(df: DataFrame, keys: list[str], group: str, value: str) -> DataF
     return got.select(*keys, "grp", "n", "statistic", "p", F.coalesce((F.col("n") >= 3) & (F.col("p") > 0.05), F.lit(False)).alias("is_normal"))
 
 
+#: Places of one value whose normal scores are added up at once.
+PLACES_AT_ONCE = 10_000
+
+
 def shapiro_wilk(df: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
-    """``n, statistic (W), p, is_normal`` per keys and group, by the same test at every size. Rows get their place in
-    their group and its normal score; W then takes sums, the two values at either end and their scores. p is fitted to
-    5,000 values at most and extrapolated beyond. Under three values, or all alike: no W, not normal."""
+    """``n, statistic (W), p, is_normal`` per keys and group, by the same test at every size. Distinct values get their
+    places in their group, by ranges of values over all tasks, and the sum of these places' normal scores; W then takes sums,
+    the two values at either end and their scores. p is fitted to 5,000 values at most and extrapolated beyond. Under three
+    values, or all alike: no W, not normal."""
     rows = _values(df, keys, group, value)
     by = [*keys, "grp"]
-    sizes = rows.groupBy(*by).agg(F.count("*").alias("n"))
-    placed = rows.withColumn("i", F.row_number().over(Window.partitionBy(*by).orderBy("v"))).join(sizes, by)
-    scored = placed.withColumn("m", normal_score((F.col("i") - 0.375) / (F.col("n") + 0.25)))
-    at = lambda c, i: F.max(F.when(F.col("i") == i, F.col(c)))
+    d = written(distribution(rows, by, "v"), "places")
     end = F.col("n")
-    sums = scored.groupBy(*by, "n").agg(
-        F.sum(F.col("m") * F.col("m")).alias("mm"), (F.covar_pop("m", "v") * F.count("*")).alias("mx"), (F.var_pop("v") * F.count("*")).alias("ss"),
-        at("v", 1).alias("first"), at("v", 2).alias("second"), at("v", end - 1).alias("before"), at("v", end).alias("last"), at("m", end - 1).alias("m_before"), at("m", end).alias("m_last"),
-    )
-    w = shapiro_w(*[F.col(c) for c in ("n", "mm", "mx", "ss", "first", "second", "before", "last", "m_before", "m_last")])
-    got = sums.withColumn("statistic", w).withColumn("p", shapiro_p("statistic", "n"))
+    ends = d.groupBy(*by, "n").agg(*[at_place(i, "v").alias(c) for c, i in (("first", F.lit(0)), ("second", F.lit(1)), ("before_last", end - 2), ("last", end - 1))])
+    cut = d.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(t - 1) div {PLACES_AT_ONCE}"))))
+    cut = cut.select(*by, "n", "v", (F.col("before") + F.col("b") * PLACES_AT_ONCE + 1).alias("i"), F.least("t", (F.col("b") + 1) * PLACES_AT_ONCE).alias("stop"), "before")
+    cut = cut.select(*by, "n", "v", "i", (F.col("before") + F.col("stop")).alias("j")).repartition(F.xxhash64(*by, "i"))  # a value of very many rows spreads
+    scored = cut.withColumn("m", normal_score_sums("n", "i", "j"))
+    mean = rows.groupBy(*by).agg(F.avg("v").alias("mean"), (F.var_pop("v") * F.count("*")).alias("ss"))
+    scored = join_keys(scored, mean.select(*by, "mean"), by)
+    sums = scored.groupBy(*by).agg(F.sum("m.square").alias("mm"), F.sum(F.col("m.plain") * (F.col("v") - F.col("mean"))).alias("mx"))
+    got = join_keys(join_keys(sums, ends, by), mean.select(*by, "ss"), by)
+    at = lambda i: normal_score((F.greatest(i, F.lit(1)) - 0.375) / (end + 0.25))
+    got = got.withColumn("m_before", at(end - 1)).withColumn("m_last", at(end))
+    w = shapiro_w(*[F.col(c) for c in ("n", "mm", "mx", "ss", "first", "second", "before_last", "last", "m_before", "m_last")])
+    got = got.withColumn("statistic", w).withColumn("p", shapiro_p("statistic", "n"))
     return got.select(*by, "n", "statistic", "p", F.coalesce(F.col("p") > 0.05, F.lit(False)).alias("is_normal"))
 
 
@@ -284,8 +293,9 @@ def mann_whitney(df: DataFrame, keys: list[str], group: str, value: str, g1: str
     return got.withColumn("z", z).select(*keys, "u", F.col("n1"), F.col("n2"), "z", F.when(small, exact("u", "n1", "n2")).otherwise(F.least(F.lit(1.0), normal_p("z"))).alias("p"))
 
 
-def two_group_compare(df: DataFrame, keys: list[str], group: str, value: str, g1: str, g2: str, normality: str = "jarque_bera") -> DataFrame:
-    """Means, deviations, the t test where both groups are normal, else Mann-Whitney, Cohen's d."""
+def two_group_compare(df: DataFrame, keys: list[str], group: str, value: str, g1: str, g2: str, normality: str = "jarque_bera", family: list[str] | None = None) -> DataFrame:
+    """Means, deviations, the t test where both groups are normal, else Mann-Whitney, Cohen's d; ``p_fdr`` and
+    ``significant`` over the rows, or within each ``family`` of them."""
     two = df.filter(F.col(group).isin([g1, g2]))
     m = group_moments(two, keys, group, value)
     pair = group_pairs(m, keys).select(*keys, *[F.col(c) for c in ("mean1", "mean2", "var1", "var2")], _d().alias("cohens_d"))
@@ -294,12 +304,13 @@ def two_group_compare(df: DataFrame, keys: list[str], group: str, value: str, g1
     lo, hi = sorted([g1, g2])
     u = mann_whitney(two, keys, group, value, lo, hi).select(*keys, "u", F.col("p").alias("pu"))
     got = pair.join(norm, keys).join(t, keys).join(u, keys)
-    return got.select(
+    got = got.select(
         *keys, "mean1", F.sqrt("var1").alias("std1"), "mean2", F.sqrt("var2").alias("std2"),
         F.when(F.col("is_normal"), "t-test").otherwise("Mann-Whitney").alias("test"),
         F.when(F.col("is_normal"), F.col("t")).otherwise(F.col("u")).alias("statistic"),
         F.when(F.col("is_normal"), F.col("pt")).otherwise(F.col("pu")).alias("p"), "cohens_d", "is_normal",
     )
+    return fdr_bh(got, family or [], "p", order=keys)
 
 
 # --- correlation and lines --------------------------------------------------------------------------------------------
@@ -310,9 +321,14 @@ def _pairs_of(df: DataFrame, x: str, y: str) -> DataFrame:
     return df.filter(a.isNotNull() & b.isNotNull() & ~F.isnan(a) & ~F.isnan(b))
 
 
+def correlation(x: Column | str, y: Column | str) -> Column:
+    """Pearson's r as an aggregate over pairs without nulls; null where a side has no spread."""
+    return F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+
+
 def pearson_corr(df: DataFrame, keys: list[str], x: str, y: str, least: int = 5) -> DataFrame:
     """``n, r, p`` of complete pairs; fewer than ``least`` pairs, or a constant column, give a null r."""
-    got = _pairs_of(df, x, y).groupBy(*keys).agg(F.count("*").alias("n"), F.corr(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
+    got = _pairs_of(df, x, y).groupBy(*keys).agg(F.count("*").alias("n"), correlation(F.col(x).cast("double"), F.col(y).cast("double")).alias("r"))
     got = got.withColumn("r", F.when(F.col("n") >= least, F.nanvl("r", F.lit(None))))
     t = F.when(F.abs("r") < 1, F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
     return got.select(*keys, "n", "r", F.when(F.abs("r") >= 1, 0.0).otherwise(t_p(t, F.col("n") - 2)).alias("p"))
@@ -344,15 +360,12 @@ def linear_trend(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
 
 def fdr_bh(df: DataFrame, family: list[str], p: str = "p", alpha: float = 0.05, order: list[str] | None = None) -> DataFrame:
-    """``p_fdr`` and ``significant`` by Benjamini and Hochberg within each family. A null p has no part and no result."""
-    tests = df.withColumn("__m", F.count(p).over(Window.partitionBy(*family)))
-    tie = [F.col(c) for c in (order or [])]
-    up = Window.partitionBy(*family).orderBy(F.col(p).asc_nulls_last(), *tie)
-    rank = F.row_number().over(up)
-    down = Window.partitionBy(*family).orderBy(F.col("__r").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    got = tests.withColumn("__r", rank).withColumn("__q", F.col(p) * F.col("__m") / F.col("__r"))
-    got = got.withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), F.min("__q").over(down))))
-    return got.withColumn("significant", F.coalesce(F.col("p_fdr") <= alpha, F.lit(False))).drop("__m", "__r", "__q")
+    """``p_fdr`` and ``significant`` by Benjamini and Hochberg within each family, of any size. A null p has no part and no
+    result."""
+    q = F.col(p) * F.col("__all") / F.col("__r")
+    got = lowest_from_here(df, family, [p, *(order or [])], "__r", q, "__q", F.col(p).isNotNull())
+    got = got.withColumn("p_fdr", F.when(F.col(p).isNotNull(), F.least(F.lit(1.0), "__q")))
+    return got.withColumn("significant", F.coalesce(F.col("p_fdr") <= alpha, F.lit(False))).drop("__all", "__r", "__q")
 
 
 def f_classif(df: DataFrame, feature: str, label: str, value: str) -> DataFrame:

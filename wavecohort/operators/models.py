@@ -7,6 +7,7 @@ sums. Rows with a null or NaN in a variable of the model have no part.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from statistics import NormalDist
 
 import numpy as np
 import pandas as pd
@@ -15,8 +16,10 @@ from pyspark.sql import functions as F
 
 from wavecohort.functions import special
 from wavecohort.functions.pvalues import normal_p
+from wavecohort.functions.scratch import written
 from wavecohort.operators.groupstats import fdr_bh, ols_simple, over
 from wavecohort.operators.permute import blocks, digests, parts
+from wavecohort.operators.placed import join_keys, quantiles
 
 
 def complete(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -133,22 +136,20 @@ def _adjusted(sums: DataFrame, keys: list[str], q: int) -> DataFrame:
     return sums.mapInPandas(solve, ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rep int, indirect double"]))
 
 
-def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
-    """``keys, rep, indirect``: the indirect effect of each resample, with ``covariates`` in both equations. A row's
-    weight in a resample is a Poisson number with mean 1 from the md5 of (seed, resample, row): no draws sent about, and
-    sums of products that tasks add up where the rows are, a matrix product of resamples by rows at a time. ``row``: a
-    column that tells rows apart; keys that share a row share its hashes."""
-    rows = _centred(df, keys, x, m, y, row, covariates).withColumn("__row", F.col("__row").cast("string"))
-    rows = rows.repartition("__row").sortWithinPartitions("__row")
-    more = [f"__c{i}" for i in range(len(covariates or []))]
-    q = 4 + len(more)
+def _resampled_sums(rows: DataFrame, keys: list[str], names: list[str], reps: int, seed: int, whole: bool = False) -> DataFrame:
+    """``keys, rep, s0_0, s0_1, ...``: the weighted sums of products of 1 and ``names`` for each resample, and, if ``whole``,
+    of all rows once, as rep -1. A row's weight in a resample is a Poisson number with mean 1 from the md5 of (seed,
+    resample, row): no draws sent about, and sums that tasks add up where the rows are, a matrix product of resamples by
+    rows at a time. Rows of a key that share ``__row`` share its hashes."""
+    q = 1 + len(names)
     types, sums = dict(rows.dtypes), [f"s{i}_{j}" for i in range(q) for j in range(i, q)]
+    numbers = np.arange(-1 if whole else 0, reps)
 
     def flush(total: dict) -> pd.DataFrame:
         out = pd.DataFrame(np.concatenate(list(total.values())), columns=[f"__{c}" for c in sums])
-        out["rep"] = np.tile(np.arange(reps), len(total))
+        out["rep"] = np.tile(numbers, len(total))
         for i, c in enumerate(keys):
-            out[c] = [v for k in total for v in [k[i]] * reps]
+            out[c] = [v for k in total for v in [k[i]] * len(numbers)]
         return out[[*keys, "rep", *[f"__{c}" for c in sums]]]
 
     def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -158,14 +159,17 @@ def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, ro
             ids = [("" if pd.isna(r) else f"{r}").encode() for r in found]
             split = []
             for k, i in parts(f, keys):
-                z = [np.ones(len(i)), *(f[n].to_numpy(float)[i] for n in ("__x", "__m", "__y", *more))]
+                z = [np.ones(len(i)), *(np.nan_to_num(f[n].to_numpy(float)[i]) for n in names)]
                 split.append((k, at[i], np.stack([z[a] * z[b] for a in range(q) for b in range(a, q)], axis=1)))
-                total.setdefault(k, np.zeros((reps, len(sums))))
+                total.setdefault(k, np.zeros((len(numbers), len(sums))))
             for turn in blocks(reps):
                 u = (digests(seed, turn, ids)[0] >> np.uint64(12)).astype(float) / 2.0**52
                 w = np.searchsorted(_POISSON, u, side="right").astype(float)
                 for k, i, v in split:
-                    total[k][turn.start : turn.stop] += w[:, i] @ v
+                    total[k][turn.start + whole : turn.stop + whole] += w[:, i] @ v
+            if whole:
+                for k, _, v in split:
+                    total[k][0] += v.sum(axis=0)
             if len(total) > 50:  # many keys are sent on now and then, so that a task holds a few
                 yield flush(total)
                 total = {}
@@ -173,11 +177,22 @@ def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, ro
             yield flush(total)
 
     schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "rep int", *(f"__{c} double" for c in sums)])
-    got = rows.select(*keys, "__row", "__x", "__m", "__y", *more).mapInPandas(draw, schema)
-    got = got.groupBy(*keys, "rep").agg(*[F.sum(f"__{c}").alias(c) for c in sums]).filter("s0_0 > 0")
+    got = rows.select(*keys, F.col("__row").cast("string").alias("__row"), *names).mapInPandas(draw, schema)
+    return got.groupBy(*keys, "rep").agg(*[F.sum(f"__{c}").alias(c) for c in sums]).filter("s0_0 > 0")
+
+
+def bootstrap_effects(df: DataFrame, keys: list[str], x: str, m: str, y: str, row: str, reps: int, seed: int = 42, covariates: list[str] | None = None, shared_rows: bool = True) -> DataFrame:
+    """``keys, rep, indirect``: the indirect effect of each resample, with ``covariates`` in both equations; see
+    :func:`_resampled_sums`. ``row``: a column that tells rows apart. ``shared_rows``: keys have rows in common, which are
+    brought together so that they are hashed once; without it no row is moved."""
+    rows = _centred(df, keys, x, m, y, row, covariates).withColumn("__row", F.col("__row").cast("string"))
+    if shared_rows:
+        rows = rows.repartition("__row").sortWithinPartitions("__row")
+    more = [f"__c{i}" for i in range(len(covariates or []))]
+    got = _resampled_sums(rows, keys, ["__x", "__m", "__y", *more], reps, seed)
     if more:
-        return _adjusted(got, keys, q)
-    plain = dict(zip(sums, ["w", "x", "m", "y", "xx", "xm", "xy", "mm", "my", "yy"], strict=True))
+        return _adjusted(got, keys, 4 + len(more))
+    plain = dict(zip([f"s{i}_{j}" for i in range(4) for j in range(i, 4)], ["w", "x", "m", "y", "xx", "xm", "xy", "mm", "my", "yy"], strict=True))
     return _effects(got.withColumnsRenamed(plain)).select(*keys, "rep", "indirect")
 
 
@@ -210,7 +225,10 @@ def bootstrap_mediation(df: DataFrame, keys: list[str], x: str, m: str, y: str,
     boot = bootstrap_effects(df, keys, x, m, y, row, reps, seed, covariates).filter(F.col("indirect").isNotNull()).groupBy(*keys).agg(
         F.percentile("indirect", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"), F.avg((F.col("indirect") <= 0).cast("double")).alias("below"), F.avg((F.col("indirect") >= 0).cast("double")).alias("above")
     )
-    got = point.join(boot, keys, "left") if keys else point.crossJoin(F.broadcast(boot))
+    return _with_interval(point.join(boot, keys, "left") if keys else point.crossJoin(F.broadcast(boot)), keys)
+
+
+def _with_interval(got: DataFrame, keys: list[str]) -> DataFrame:
     return got.select(
         *keys, "n", "a", "b", "direct", "total", "indirect", F.col("ci")[0].alias("low"), F.col("ci")[1].alias("high"),
         F.least(F.lit(1.0), 2 * F.when(F.col("indirect") >= 0, F.col("below")).otherwise(F.col("above"))).alias("p"),
@@ -243,20 +261,67 @@ def sobel_mediation(df: DataFrame, keys: list[str], x: str, m: str, y: str) -> D
     return got.select(*keys, "a", "b", "c", "indirect", "se", "z", over(F.col("indirect") * 100, F.col("c")).alias("percent")).withColumn("p", normal_p("z"))
 
 
-def batch_mediation(df: DataFrame, x: str, mediators: list[str], outcomes: list[str], row: str, reps: int = 1000, seed: int = 42) -> DataFrame:
-    """All mediators by all outcomes: the pairs are keys of one job, with the false discovery rate over them."""
-    cells = F.array(*[F.struct(F.lit(m).alias("mediator"), F.lit(y).alias("outcome"), F.col(m).cast("double").alias("m"), F.col(y).cast("double").alias("y")) for m in mediators for y in outcomes])
-    long = df.select(F.col(row), F.col(x), F.explode(cells).alias("c")).select(row, x, "c.*")
-    return fdr_bh(bootstrap_mediation(long, ["mediator", "outcome"], x, "m", "y", row, reps, seed=seed), [], "p", order=["mediator", "outcome"])
+def batch_mediation(df: DataFrame, x: str, mediators: list[str], outcomes: list[str], row: str, reps: int = 1000, level: float = 0.95, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
+    """All mediators by all outcomes, with ``covariates`` in every equation: a row for each pair as of
+    :func:`bootstrap_mediation` on the rows that are complete for it, with the false discovery rate over the pairs.
+
+    Every resample is drawn once for all pairs. Rows are keyed by which mediators and outcomes they lack; one matrix of sums
+    of products over all variables for each such pattern and resample holds what every pair needs, covariates included, and
+    a pair's system is the part of it over the patterns that lack neither. ``x`` and covariates must be there."""
+    cov = covariates or []
+    several = [*dict.fromkeys([*mediators, *outcomes])]
+    there = lambda c: F.col(c).cast("double").isNotNull() & ~F.isnan(F.col(c).cast("double"))
+    base = complete(df, [x, *cov])
+    mean = base.agg(*[F.avg(F.when(there(c), F.col(c).cast("double"))).alias(f"__m{i}") for i, c in enumerate([x, *several, *cov])])
+    cols = [x, *several, *cov]
+    rows = base.crossJoin(F.broadcast(mean)).select(  # one row
+        F.concat_ws("", *[there(c).cast("int").cast("string") for c in several]).alias("__has"), F.col(row).alias("__row"), *[(F.when(there(c), F.col(c).cast("double")) - F.col(f"__m{i}")).alias(f"__v{i}") for i, c in enumerate(cols)]
+    )
+    sums = _resampled_sums(rows, ["__has"], [f"__v{i}" for i in range(len(cols))], reps, seed, whole=True)
+    q, at = 1 + len(cols), {c: 1 + i for i, c in enumerate(cols)}
+    fixed = [0, 1, *range(1 + 1 + len(several), q)]  # 1, x, covariates
+    pairs = [(m, y) for m in mediators for y in outcomes if m != y]
+
+    def solve(key: tuple, f: pd.DataFrame) -> pd.DataFrame:
+        has, reps_of = f["__has"].to_numpy(), f["rep"].to_numpy()
+        s = np.zeros((len(f), q, q))
+        for i in range(q):
+            for j in range(i, q):
+                s[:, i, j] = s[:, j, i] = f[f"s{i}_{j}"].to_numpy(float)
+        out = []
+        for m, y in pairs:
+            own = np.array([h[several.index(m)] == "1" and h[several.index(y)] == "1" for h in has])
+            for rep in np.unique(reps_of[own]):
+                z = s[own & (reps_of == rep)].sum(axis=0)
+                two = [*fixed, at[m]]
+                try:
+                    a = np.linalg.solve(z[np.ix_(fixed, fixed)], z[fixed, at[m]])[1]
+                    c = np.linalg.solve(z[np.ix_(fixed, fixed)], z[fixed, at[y]])[1]
+                    b = np.linalg.solve(z[np.ix_(two, two)], z[two, at[y]])
+                    out.append([m, y, int(rep), int(z[0, 0]), a, b[-1], b[1], c, a * b[-1]])
+                except np.linalg.LinAlgError:
+                    continue
+        return pd.DataFrame(out, columns=["mediator", "outcome", "rep", "n", "a", "b", "direct", "total", "indirect"])
+
+    got = sums.withColumn("__block", F.expr("(rep + 1) div 100")).groupBy("__block").applyInPandas(solve, "mediator string, outcome string, rep int, n long, a double, b double, direct double, total double, indirect double")
+    got = written(got, "effects")
+    point = got.filter("rep = -1").drop("rep")
+    tail = (1 - level) / 2
+    by = ["mediator", "outcome"]
+    boot = got.filter("rep >= 0").groupBy(*by).agg(
+        F.percentile("indirect", F.array(F.lit(tail), F.lit(1 - tail))).alias("ci"), F.avg((F.col("indirect") <= 0).cast("double")).alias("below"), F.avg((F.col("indirect") >= 0).cast("double")).alias("above")
+    )
+    return fdr_bh(_with_interval(point.join(boot, by, "left"), by), [], "p", order=by)
 
 
-def component_mediation(means: DataFrame, outcomes: DataFrame, subject: str, keys: list[str], groups: DataFrame, first: str | Column, names: list[str], reps: int = 1000, seed: int = 42) -> DataFrame:
+def component_mediation(means: DataFrame, outcomes: DataFrame, subject: str, keys: list[str], groups: DataFrame, first: str | Column, names: list[str], reps: int = 1000, seed: int = 42, covariates: list[str] | None = None) -> DataFrame:
     """Each component's mean edge as the mediator between the group (1 for ``first``, a name or the column that has it
-    for each component, else 0) and each outcome."""
+    for each component, else 0) and each outcome, with ``covariates`` (columns of ``outcomes``) in every equation."""
     rows = means.join(groups, subject).join(outcomes, subject).withColumn("x", (F.col("grp") == first).cast("double"))
     cells = F.array(*[F.struct(F.lit(y).alias("outcome"), F.col(y).cast("double").alias("y")) for y in names])
-    long = rows.select(subject, *keys, "x", F.col("weight").alias("m"), F.explode(cells).alias("c")).select(subject, *keys, "x", "m", "c.*")
-    return fdr_bh(bootstrap_mediation(long, [*keys, "outcome"], "x", "m", "y", subject, reps, seed=seed), [], "p", order=[*keys, "outcome"])
+    cov = covariates or []
+    long = rows.select(subject, *keys, "x", F.col("weight").alias("m"), *cov, F.explode(cells).alias("c")).select(subject, *keys, "x", "m", *cov, "c.*")
+    return fdr_bh(bootstrap_mediation(long, [*keys, "outcome"], "x", "m", "y", subject, reps, seed=seed, covariates=cov or None), [], "p", order=[*keys, "outcome"])
 
 
 # --- mixed models -----------------------------------------------------------------------------------------------------------
@@ -298,34 +363,82 @@ def _fitted(stats: list[tuple[int, np.ndarray, np.ndarray, float, float, np.ndar
     if fit(0.0)[0] <= fit(lam)[0]:
         lam = 0.0
     cost, beta, cov, s2 = fit(lam)
-    return {"lambda": lam, "beta": beta, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "within": s2, "between": lam * s2, "cost": cost, "n": n_all}
+    return {"lambda": lam, "beta": beta, "se": np.sqrt(np.maximum(np.diag(cov), 0)), "within": s2, "between": lam * s2, "cost": cost, "n": n_all, "cov": cov}
+
+
+def _subject_sums(f: pd.DataFrame, p: int) -> list[tuple]:
+    """What :func:`_fitted` takes, from a row of sums of products for each subject."""
+    s = np.zeros((len(f), p + 1, p + 1))
+    for i in range(p + 1):
+        for j in range(i, p + 1):
+            s[:, i, j] = s[:, j, i] = f[f"s_{i}_{j}"].to_numpy(float)
+    return [(int(n), z[:p, :p], z[:p, p], z[p, p], z[0, p], z[:p, 0]) for n, z in zip(f["n"], s, strict=True)]
+
+
+def adjusted_contrasts(df: DataFrame, keys: list[str], subject: str, y: str, group: str, levels: list[str], covariates: list[str], by_group: list[str] | None = None, level: float = 0.95) -> DataFrame:
+    """Estimated marginal means of the groups at the covariates' means and all their differences, from the mixed model
+    ``y ~ group + covariates + group : by_group + (1 | subject)``: ``g1, g2, mean1, mean2, diff, se, z, p, p_adjusted, low,
+    high`` of every pair and key.
+
+    A mean is l'b with l the design row of its group at the covariates' means (over all rows of the key), a difference
+    (l1 - l2)'b with variance (l1 - l2)' V (l1 - l2), V the covariance of the estimates. p is normal, ``p_adjusted`` that
+    times the number of pairs (1 at most). A key in which a level has no rows, or a covariate no spread, gives no row."""
+    crossed = by_group or []
+    others = levels[1:]
+    rows = complete(df, [y, *covariates]).filter(F.col(group).isin(levels) & F.col(subject).isNotNull())
+    mean = rows.groupBy(*keys).agg(F.avg(y).alias("__mean"), *[F.avg(c).alias(f"__a{i}") for i, c in enumerate(covariates)])
+    names = ["__one", *[f"__g{i}" for i in range(len(others))], *[f"__c{i}" for i in range(len(covariates))], *[f"__x{i}_{j}" for i in range(len(others)) for j in range(len(crossed))], "__y"]
+    cols = {"__one": F.lit(1.0), "__y": F.col(y) - F.col("__mean")} | {f"__g{i}": (F.col(group) == g).cast("double") for i, g in enumerate(others)}
+    cols |= {f"__c{i}": F.col(c) - F.col(f"__a{i}") for i, c in enumerate(covariates)}  # so that a mean's row has 0 there
+    cols |= {f"__x{i}_{j}": (F.col(group) == g).cast("double") * (F.col(c) - F.col(f"__a{covariates.index(c)}")) for i, g in enumerate(others) for j, c in enumerate(crossed)}
+    sums = join_keys(rows, mean, keys).withColumns(cols).groupBy(*keys, subject).agg(F.count("*").alias("n"), F.first("__mean").alias("__mean"), *_sums(names))
+    types, p = dict(df.dtypes), len(names) - 1
+    columns = [*keys, "g1", "g2", "mean1", "mean2", "diff", "se", "z", "p", "p_adjusted", "low", "high"]
+    width = NormalDist().inv_cdf((1 + level) / 2)
+    pairs = [(i, j) for i in range(len(levels)) for j in range(i + 1, len(levels))]
+
+    def run(key, f: pd.DataFrame) -> pd.DataFrame:
+        stats = _subject_sums(f, p)
+        design = sum(s[1] for s in stats)
+        if sum(s[0] for s in stats) <= p or np.linalg.matrix_rank(design) < p:
+            return pd.DataFrame(columns=columns)
+        m = _fitted(stats, p)
+        at = np.zeros((len(levels), p))
+        at[:, 0] = 1
+        at[np.arange(1, len(levels)), np.arange(1, len(levels))] = 1
+        means = at @ m["beta"] + f["__mean"].iloc[0]
+        out = []
+        for i, j in pairs:
+            l_ = at[i] - at[j]
+            diff, se = float(means[i] - means[j]), float(max(l_ @ m["cov"] @ l_, 0)) ** 0.5
+            z = diff / se if se > 0 else np.nan
+            one = float(2 * special.normal_sf(abs(z)))
+            out.append([*key, levels[i], levels[j], means[i], means[j], diff, se, z, one, min(1.0, one * len(pairs)), diff - width * se, diff + width * se])
+        return pd.DataFrame(out, columns=columns)
+
+    schema = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "g1 string, g2 string", *(f"{c} double" for c in columns[len(keys) + 2 :])])
+    return sums.groupBy(*keys).applyInPandas(run, schema)
 
 
 def mixed_model(df: DataFrame, keys: list[str], subject: str, y: str, group: str, reference: str, levels: list[str], covariates: list[str] | None = None) -> DataFrame:
     """``y ~ group + covariates + (1 | subject)`` by REML for every key: ``term, beta, se, z, p, low, high`` with
     ``var_between, var_within, icc, aic, bic, n, n_subjects``; the last criteria from full maximum likelihood, so that models of
     other fixed effects compare. Terms: the intercept, each level against ``reference``, each
-    covariate. Only sums for each (key, subject) reach the fit. y is centred by its mean over all rows first."""
+    covariate. Only sums for each (key, subject) reach the fit. y is centred by its mean within the key first."""
     covariates = covariates or []
     others = [x for x in levels if x != reference]
     rows = complete(df, [y, *covariates]).filter(F.col(group).isin(levels) & F.col(subject).isNotNull())
-    mean = rows.agg(F.avg(y).alias("__mean"))
+    mean = rows.groupBy(*keys).agg(F.avg(y).alias("__mean"))
     names = ["__one", *[f"__g{i}" for i in range(len(others))], *covariates, "__y"]
     cols = {f"__g{i}": (F.col(group) == g).cast("double") for i, g in enumerate(others)} | {"__one": F.lit(1.0), "__y": F.col(y) - F.col("__mean")}
-    rows = rows.crossJoin(F.broadcast(mean)).withColumns(cols)  # one row
+    rows = join_keys(rows, mean, keys).withColumns(cols)
     sums = rows.groupBy(*keys, subject).agg(F.count("*").alias("n"), F.first("__mean").alias("__mean"), *_sums(names))
     types = dict(df.dtypes)
     terms = ["Intercept", *[f"{g} vs {reference}" for g in others], *covariates]
     p = len(names) - 1
 
     def run(key, f: pd.DataFrame) -> pd.DataFrame:
-        stats = []
-        for _, r in f.iterrows():
-            s = np.zeros((p + 1, p + 1))
-            for i in range(p + 1):
-                for j in range(i, p + 1):
-                    s[i, j] = s[j, i] = r[f"s_{i}_{j}"]
-            stats.append((int(r["n"]), s[:p, :p], s[:p, p], s[p, p], s[0, p], s[:p, 0]))
+        stats = _subject_sums(f, p)
         if sum(x[0] for x in stats) <= p:
             return pd.DataFrame(columns=columns)
         m, full = _fitted(stats, p), _fitted(stats, p, restricted=False)
@@ -373,6 +486,15 @@ def residuals(df: DataFrame, keys: list[str], subject: str, y: str) -> DataFrame
     return rows.withColumn("fitted", F.col("__g") + shrink * (F.col("__m") - F.col("__g"))).withColumn("residual", F.col(y) - F.col("fitted")).select(*df.columns, "fitted", "residual")
 
 
+def qq_points(df: DataFrame, keys: list[str], value: str, points: int = 19) -> DataFrame:
+    """``keys, p, normal, sample``: the quantiles of a column against the normal scores of a fixed grid of probabilities
+    i / (points + 1), by ranges of values over all tasks, so that a key may be of any size."""
+    grid = [i / (points + 1) for i in range(1, points + 1)]
+    q = quantiles(df.filter(~F.isnan(F.col(value).cast("double"))), keys, value, {f"__q{i}": p for i, p in enumerate(grid)})
+    cells = F.array(*[F.struct(F.lit(p).alias("p"), F.lit(NormalDist().inv_cdf(p)).alias("normal"), F.col(f"__q{i}").alias("sample")) for i, p in enumerate(grid)])
+    return q.select(*keys, F.explode(cells).alias("c")).select(*keys, "c.*")
+
+
 def within_subject_sd(df: DataFrame, keys: list[str], subject: str, group: str, y: str) -> DataFrame:
     """``keys, subject, group, sd``: the deviation over a subject's rows, at least two."""
     return complete(df, [y]).groupBy(*keys, subject, group).agg(F.stddev_samp(y).alias("sd"), F.count("*").alias("__n")).filter("__n > 1").drop("__n")

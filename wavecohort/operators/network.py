@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wavecohort.functions.scratch import written
+from wavecohort.functions.scratch import forget, written
 from wavecohort.operators.components import connected_components
 from wavecohort.operators.groupstats import group_moments, group_pairs
 from wavecohort.operators.permute import add_up, blocks, digests, label_cuts, labels
@@ -423,6 +423,41 @@ def path_length(edges: DataFrame, keys: list[str], distance: str = "weight") ->
     return edges.select(*keys, "ch1", "ch2", "weight").groupBy(*keys).applyInPandas(run, schema)
 
 
+def shortest_paths(edges: DataFrame, keys: list[str], distance: str = "weight") -> DataFrame:
+    """``keys, src, node, d``: the shortest distance between all nodes that are connected, each with itself included, by
+    rounds of a min-plus join: what became shorter in a round meets the edges in the next. A round's table is written, so
+    that the plan does not grow with the rounds, and no task holds a network. Zero weights are no edges."""
+    spark = edges.sparkSession
+    length = F.col("weight") if distance == "weight" else 1 / F.col("weight")
+    both = symmetric(edges.filter("weight > 0").select(*keys, "ch1", "ch2", length.cast("double").alias("w")), "w")
+    hop = written(both.select(*keys, F.col("ch1").alias("node"), F.col("ch2").alias("to"), "w"), "hops")
+    best = written(hop.select(*keys, F.col("node").alias("src"), "node").distinct().withColumn("d", F.lit(0.0)), "paths")
+    new, held = best, [best]
+    while True:
+        tried = new.join(hop, [*keys, "node"]).groupBy(*keys, "src", F.col("to").alias("node")).agg(F.min(F.col("d") + F.col("w")).alias("e"))
+        both_sides = best.join(tried, [*keys, "src", "node"], "full").select(*keys, "src", "node", F.least("d", "e").alias("d"), (F.col("e") < F.coalesce("d", F.lit(float("inf")))).alias("shorter"))
+        step = written(both_sides.withColumn("shorter", F.coalesce("shorter", F.lit(False))), "paths")
+        if not step.filter("shorter").limit(1).count():
+            forget(spark, step)
+            return best
+        best, new = step.drop("shorter"), step.filter("shorter").drop("shorter")
+        held.append(best)
+        if len(held) > 1:
+            forget(spark, held.pop(0))
+
+
+def path_length_joined(edges: DataFrame, keys: list[str], distance: str = "weight") -> DataFrame:
+    """:func:`path_length` for networks that no task can hold: the mean of :func:`shortest_paths` over the largest
+    component, the one with the smallest node among those of the same size."""
+    d = shortest_paths(edges, keys, distance)
+    per = d.groupBy(*keys, "src").agg(F.count("*").alias("n"), F.sum("d").alias("s"), F.min("node").alias("c"))  # c names the component
+    of = per.groupBy(*keys, "c").agg(F.max("n").alias("n"), F.sum("s").alias("s"))
+    top = of.groupBy(*keys).agg(F.min(F.struct((-F.col("n")).alias("m"), "c", "s")).alias("x"))
+    n = -F.col("x.m")
+    got = top.select(*keys, F.when(n > 1, F.col("x.s") / (n * (n - 1))).alias("path_length"))
+    return edges.select(*keys).distinct().join(got, keys, "left")
+
+
 def random_edges(spark, n_graphs: int, n_nodes: int, n_edges: int, seed: int = 42, first: int = 0) -> DataFrame:
     """``graph, ch1, ch2, weight``: random graphs of a number of edges with uniform weights, all from md5 hashes; the first
     has the number ``first``."""

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from wavecohort.operators.placed import row_places
+
 
 def group_lookup(df: DataFrame, groups: DataFrame, key: str, group_col: str = "grp", other: str = "unknown") -> DataFrame:
     """Each row with its subject's group, ``other`` for subjects without one. ``groups``: ``key, group_col``, a row for
@@ -102,6 +104,7 @@ def zscore(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
 
 
 def stratified_folds(df: DataFrame, label: str, key: str, k: int, seed: int = 42) -> DataFrame:
-    """``fold`` 0..k-1, dealt within each class in the order of a hash of the key."""
+    """``fold`` 0..k-1, dealt within each class in the order of a hash of the key, by ranges of (class, hash)."""
     h = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")))
-    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(h, key)) - 1) % k)
+    placed = row_places(df.withColumn("__h", h), [label], ["__h", key], "fold")
+    return placed.withColumn("fold", ((F.col("fold") - 1) % k).cast("int")).drop("__h")

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wavecohort.operators.groupstats import correlation
+
 
 def fixed_length_epochs(df: DataFrame, keys: list[str], idx: str, value: str, length: int, endpoint: bool = False) -> DataFrame:
     """``keys, epoch_idx, samples``: epochs of ``length`` samples one after another; a last one that is not full goes.
@@ -189,14 +191,27 @@ def retention_summary(before: DataFrame, after: DataFrame, keys: list[str]) -> D
 
 
 def artifact_scores(df: DataFrame, subject: list[str], time: list[str], channel: str, value: str, eog: str, limit: float = 3.0) -> DataFrame:
-    """``subject, channel, score, z, flagged``: each channel's correlation with the eye channel, standardised over the
-    channels of the recording; above ``limit`` it is flagged."""
+    """``subject, channel, score, z, flagged``: each channel's absolute correlation with the eye channel, standardised over
+    the recording's channels that are not flagged; above ``limit`` a channel is flagged, and what is left is standardised
+    again, until no channel is added. ``z`` is that of the last round. A recording's channels are one array (a montage's
+    size); all rounds run in one expression over it. A channel without variance has no score and is never flagged."""
     other = df.filter(F.col(channel) == eog).select(*subject, *time, F.col(value).alias("__eog"))
     both = df.filter(F.col(channel) != eog).join(other, [*subject, *time])
-    score = both.groupBy(*subject, channel).agg(F.abs(F.corr(value, "__eog")).alias("score"))
-    m = score.groupBy(*subject).agg(F.avg("score").alias("__m"), F.stddev_pop("score").alias("__s"))
-    z = F.when(F.col("__s") > 0, (F.col("score") - F.col("__m")) / F.col("__s")).otherwise(0.0)
-    return score.join(m, subject).withColumn("z", z).withColumn("flagged", F.col("z") > limit).drop("__m", "__s")
+    score = both.groupBy(*subject, channel).agg(F.abs(correlation(value, "__eog")).alias("score"))
+    one = score.select(*subject, F.struct(F.col(channel).alias("channel"), F.nanvl("score", F.lit(None)).alias("score"), F.lit(0.0).alias("z"), F.lit(False).alias("flagged")).alias("c"))
+    rows = one.groupBy(*subject).agg(F.array_sort(F.collect_list("c")).alias("c"))
+
+    def rescored(state: Column) -> Column:
+        left = F.filter(state, lambda c: ~c["flagged"] & c["score"].isNotNull())
+        n = F.size(left)
+        mean = F.aggregate(left, F.lit(0.0), lambda s, c: s + c["score"]) / n
+        sums = F.aggregate(left, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda s, c: F.struct((s["s"] + c["score"]).alias("s"), (s["q"] + c["score"] * c["score"]).alias("q")), lambda s: F.sqrt(F.greatest(s["q"] / n - (s["s"] / n) * (s["s"] / n), F.lit(0.0))))
+        z = lambda c: F.when(sums > 1e-12, (c["score"] - mean) / sums).when(c["score"].isNotNull(), 0.0)
+        return F.transform(state, lambda c: F.struct(c["channel"].alias("channel"), c["score"].alias("score"), z(c).alias("z"), (c["flagged"] | F.coalesce(z(c) > limit, F.lit(False))).alias("flagged")))
+
+    rounds = F.sequence(F.lit(1), F.size("c") + 1)  # each but the last flags one at least
+    done = rows.select(*subject, F.explode(F.aggregate(rounds, F.col("c"), lambda state, _: rescored(state))).alias("c"))
+    return done.select(*subject, F.col("c.channel").alias(channel), "c.score", "c.z", "c.flagged")
 
 
 def regress_out(df: DataFrame, subject: list[str], time: list[str], channel: str, value: str, eog: str) -> DataFrame:

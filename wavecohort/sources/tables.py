@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from wavecohort.functions.scratch import written
+
 
 def _exists(spark: SparkSession, path: str) -> bool:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
@@ -24,14 +26,25 @@ def read_group_tables(spark: SparkSession, paths: dict[str, str], schema: Struct
     return reduce(DataFrame.unionByName, [read(p).withColumn(group_col, F.lit(g)) for g, p in there.items()])
 
 
+def read_behavior(spark: SparkSession, path: str, schema: str, key: str, header: bool = True) -> tuple[DataFrame, DataFrame]:
+    """A CSV table of outcomes: its rows without those that are empty or lack the key, and apart from them the ``record``
+    of every line that does not fit the schema (too few or too many fields, a text where a number belongs). A mark at the
+    file's start is no part of the first name, since names come from the schema."""
+    read = spark.read.schema(f"{schema}, __bad string").option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "__bad").csv(path, header=header)
+    read = written(read, "parsed")  # lines are parsed once for both
+    bad = read.filter("__bad IS NOT NULL").select(F.col("__bad").alias("record"))
+    return drop_empty(read.filter("__bad IS NULL").drop("__bad"), key), bad
+
+
 def drop_empty(df: DataFrame, key: str) -> DataFrame:
     """Without rows that are null in every column or in the key."""
     return df.na.drop(how="all").na.drop(subset=[key])
 
 
 def discover_subjects(files: DataFrame, path_col: str = "path", suffix: str = "-epo.parquet") -> DataFrame:
-    """``grp, subject_id`` from paths of the form ``.../<group>/<subject><suffix>``; other paths are left out."""
-    pattern = r"([^/]+)/([^/]+)" + suffix.replace(".", r"\.") + "$"
+    """``grp, subject_id`` from paths of the form ``.../<group>/<subject><suffix>``, a file or a folder of part files, with
+    or without ``name=`` before either as Spark's partitions have it; other paths are left out."""
+    pattern = r"(?:[^/=]+=)?([^/=]+)/(?:[^/=]+=)?([^/=]+)" + suffix.replace(".", r"\.") + r"(?:/[^/]*)?$"
     got = files.filter(F.col(path_col).rlike(pattern))
     return got.select(F.regexp_extract(path_col, pattern, 1).alias("grp"), F.regexp_extract(path_col, pattern, 2).alias("subject_id")).distinct()
 
@@ -52,9 +65,12 @@ def collect_samples(df: DataFrame, keys: list[str], samples: str = "samples") ->
     return df.groupBy(*keys).agg(F.transform(pairs, lambda x: x["value"]).alias(samples))
 
 
-def write_results(df: DataFrame, path: str) -> None:
-    """A small table of results as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_results(df: DataFrame, path: str, mark: bool = True) -> None:
+    """A small table of results as one CSV file with a header, in UTF-8; with the ``mark`` at its start by which
+    spreadsheet programs know that."""
+    first = df.columns[0]
+    out = df.withColumnRenamed(first, f"\ufeff{first}") if mark else df
+    out.coalesce(1).write.mode("overwrite").option("encoding", "UTF-8").csv(path, header=True)
 
 
 def write_edges(edges: DataFrame, path: str, band: str = "freq_band") -> None:

@@ -38,10 +38,10 @@ SEPARATORS = BREAKS | byte_set(0x20, 0x09)
 FILTER_BITS, SEGMENT = 26, 17
 #: Word positions that a bucket gets at most on average.
 BUCKET = 2_000_000
-#: Bytes of text that a task takes at once.
-SLICE = 6 << 20
+#: Bytes of text that a task takes at once, to count words and to make suffixes.
+WORDS_SLICE, SLICE = 6 << 20, 3 << 20
 #: Different suffixes of slices that a task adds up before it sends them.
-HELD = 2_500_000
+HELD = 1_500_000
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 2
 
@@ -58,7 +58,7 @@ def _coded(col: pa.Array) -> tuple[list[str], np.ndarray]:
 
 def _count_words(seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 1, SLICE):
+        for batch in slices(batches, 1, WORDS_SLICE):
             names, code = _coded(batch.column(0))
             w = words(batch.column(1), SEPARATORS, seed=seed)
             of = np.repeat(code, np.diff(w.rows))
@@ -133,6 +133,11 @@ def _sorted(ids: list[np.ndarray], bits: int) -> np.ndarray:
     return np.argsort(keys[0]) if len(keys) == 1 else np.lexsort(keys[::-1])
 
 
+def _kind(n: int) -> str:
+    """What references to n words, none included, are written as."""
+    return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
+
+
 def _summed(cols: list[np.ndarray], counts: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal rows of the columns once, in lexicographical order, with the sums of their counts."""
     order = _sorted(cols, width)
@@ -151,6 +156,7 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
         own = np.array([_of_lang(x) for x in names], np.uint64)
         place = np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)
         w = words(batch.column(1), SEPARATORS, BREAKS, seed)
+        w.begins = w.ends = w.data = None  # not needed here
         row = np.repeat(np.arange(batch.num_rows, dtype=np.int32), np.diff(w.rows))
         of = code[row].astype(np.int32)
         spot = _spots(w.hashes, own[of]) >> np.uint64(64 - FILTER_BITS)
@@ -167,7 +173,7 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
         for k in range(1, max_n):
             live = live & ~end[at + k] & (ids[at + k] > 0)
             cols.append(np.where(live, ids[at + k], 0).astype(np.int32))
-        cols, c = _summed(cols, np.ones(len(at), np.int64), max(int(len(vocab)).bit_length(), len(langs).bit_length()))
+        cols, c = _summed(cols, np.ones(len(at), np.int32), max(int(len(vocab)).bit_length(), len(langs).bit_length()))
         return vocab, cols, c
 
     def sent(held: list[tuple], langs: dict[str, int]) -> pa.RecordBatch:
@@ -196,7 +202,7 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
             some, ref = np.unique(np.stack([x[i] for x in cols]), return_inverse=True)
             if some[0]:
                 some, ref = np.r_[0, some], ref + 1
-            small = "<u2" if len(some) < 1 << 16 else "<u4"
+            small = _kind(len(some))
             for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[some[1:]].tobytes(), ref.astype(small).tobytes(), c[i].astype("<u4").tobytes()), strict=True):
                 o.append(v)
         kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
@@ -243,7 +249,7 @@ def _count_bucket(max_n: int, min_count: int, hot: np.ndarray):
             ids = []
             for d, refs, size in zip(dicts, g["refs"], g["size"], strict=True):
                 back = np.r_[0, np.searchsorted(vocab, d) + 1]
-                ids.append(back[np.frombuffer(refs, "<u2" if len(d) + 1 < 1 << 16 else "<u4").astype(np.int64)].reshape(max_n, size))
+                ids.append(back[np.frombuffer(refs, _kind(len(d) + 1)).astype(np.int64)].reshape(max_n, size))
             ids = np.concatenate(ids, axis=1)
             counts = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
             order = _sorted(list(ids), int(len(vocab)).bit_length())[::-1]
@@ -290,6 +296,7 @@ def collocations(docs: DataFrame, max_n: int = 4, min_count: int = 30, cover: in
     """
     base = docs.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.col(text_col).alias("t"))
     vocabulary, seed = _vocabulary(base, min_count)
+    docs.sparkSession._jvm.System.gc()  # Spark's cleaner then drops the shuffle files of the words' count
     counts = phrase_counts(base, vocabulary, seed, max_n, min_count)
     found = counts.filter("k > 1")
     part = lambda a, b: F.substring("key", a * 8 + 1, b * 8) if isinstance(a, int) else F.substr("key", a * 8 + 1, b * 8)

@@ -39,9 +39,9 @@ FILTER_BITS, SEGMENT = 26, 17
 #: Word positions that a bucket gets at most on average.
 BUCKET = 2_000_000
 #: Bytes of text that a task takes at once, to count words and to make suffixes.
-WORDS_SLICE, SLICE = 6 << 20, 3 << 20
-#: Different suffixes of slices that a task adds up before it sends them.
-HELD = 1_500_000
+WORDS_SLICE, SLICE = 3 << 20, 2 << 20
+#: Different words, and different suffixes, of slices that a task adds up before it sends them.
+HELD_WORDS, HELD = 600_000, 500_000
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 2
 
@@ -57,15 +57,38 @@ def _coded(col: pa.Array) -> tuple[list[str], np.ndarray]:
 
 
 def _count_words(seed: int):
+    """Different words of some slices with their hashes and counts. Two hashes tell words apart here, so that words that
+    share the first stay two rows."""
+
+    def merged(held: list[tuple], names: list[str]) -> pa.RecordBatch:
+        lang, h, check, c = (np.concatenate([x[i] for x in held]) for i in range(4))
+        texts = pa.concat_arrays([x[4] for x in held])
+        held.clear()
+        order = np.lexsort((check, h, lang))
+        new = np.flatnonzero(np.r_[True, np.logical_or.reduce([np.diff(x[order]) != 0 for x in (lang, h, check)])])
+        first = order[new]
+        codes = pa.DictionaryArray.from_arrays(pa.array(lang[first], pa.int32()), pa.array(names, pa.string()))
+        return pa.record_batch([codes.dictionary_decode(), pa.array(h[first].view(np.int64)), texts.take(pa.array(first)).cast(pa.string()), pa.array(np.add.reduceat(c[order], new))], names=["lang", "h", "w", "c"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        langs: dict[str, int] = {}
+        held: list[tuple] = []
         for batch in slices(batches, 1, WORDS_SLICE):
             names, code = _coded(batch.column(0))
+            place = np.array([langs.setdefault(x, len(langs)) for x in names], np.int32)
+            check = words(batch.column(1), SEPARATORS, seed=seed + 1).hashes
             w = words(batch.column(1), SEPARATORS, seed=seed)
-            of = np.repeat(code, np.diff(w.rows))
-            for i, name in enumerate(names):
-                own = np.flatnonzero(of == i)
-                h, first, c = np.unique(w.hashes[own], return_index=True, return_counts=True)
-                yield pa.record_batch([pa.array([name] * len(h), pa.string()), pa.array(h.view(np.int64)), w.texts(own[first]).cast(pa.string()), pa.array(c.astype(np.int64))], names=["lang", "h", "w", "c"])
+            if not len(check):
+                continue
+            lang = place[np.repeat(code, np.diff(w.rows))]
+            order = np.lexsort((check, w.hashes, lang))
+            new = np.flatnonzero(np.r_[True, np.logical_or.reduce([np.diff(x[order]) != 0 for x in (lang, w.hashes, check)])])
+            first = order[new]
+            held.append((lang[first], w.hashes[first], check[first], np.diff(np.r_[new, len(order)]), w.texts(first)))
+            if sum(len(x[0]) for x in held) >= HELD_WORDS:
+                yield merged(held, list(langs))
+        if held:
+            yield merged(held, list(langs))
 
     return run
 

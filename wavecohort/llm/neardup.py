@@ -4,7 +4,8 @@
    size, a 128-bit digest of the set, and ``REGISTERS`` compressed registers. A shingle's hash chooses a register; the
    register holds the leading-zero count and ``MANTISSA`` further bits of the smallest hash that chose it. Empty
    registers borrow from a register picked by a fixed hash sequence.
-2. Texts with equal digests are one node, named by its smallest document: exact copies never meet in a join.
+2. Texts with equal digests are one class and one node of the graph: exact copies never meet in a join. A class has a
+   number of its own, so that an id that holds several texts is in as many classes.
 3. Bands of ``ROWS`` registers deal the nodes into buckets. Each bucket first links its members with its hub alone (a
    star), the member with the most bucket mates over all bands, so a bucket of thousands of copies of a text costs
    thousands of pairs. The members of buckets that are then not all in one component meet once more, across components
@@ -143,11 +144,13 @@ def _likely(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
 
 
 def _full_sets(ids: DataFrame, nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """``id, s``: the shingle sets of the nodes named, made anew from their texts."""
+    """``id, s``: the shingle sets of the nodes named, made anew from the text of each one's smallest document."""
+    want = nodes.join(ids, "id", "left_semi").select("id", "doc", "lo")
     few = ids.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
-    texts = docs.join(F.broadcast(ids) if few else ids, "id", "left_semi").select("id", "t")
-    sets = texts.mapInArrow(_sets, "id long, lo long, s array<long>").join(nodes.select("id", "lo"), ["id", "lo"], "left_semi")
-    return written(sets.select("id", "s"), "sets")
+    named = want.select(F.col("doc").alias("id"))
+    texts = docs.join(F.broadcast(named) if few else named, "id", "left_semi").select("id", "t")
+    sets = texts.mapInArrow(_sets, "id long, lo long, s array<long>").withColumnRenamed("id", "doc").join(want, ["doc", "lo"])
+    return written(sets.groupBy("doc", "lo", "id").agg(F.first("s").alias("s")).select("id", "s"), "sets")  # repeated rows
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -187,21 +190,20 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
 
     ``component_id`` is the smallest id that links of 100 * Jaccard >= ``threshold`` reach, the row's own included;
     ``kept`` says that this is the row's own. A null or empty text, or one of white space, has no shingle, is linked
-    with nothing and kept. Rows that repeat an id with the same text are one node and give equal rows; if one id holds
-    different texts, the one of the smallest digest stands for the id in links with other texts. A row with a null id
-    is linked with nothing: its ``component_id`` is null and it is kept. An empty table gives no row.
+    with nothing and kept. Texts are whole, whatever their length. Rows that repeat an id with the same text give equal
+    rows; if one id holds different texts, each row has the links of its own text. A row with a null id is linked with
+    nothing: its ``component_id`` is null and it is kept. Ids are integers. An empty table gives no row.
     """
     base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("t"))
     made = base.mapInArrow(_sketch, "id long, n long, lo long, hi long, bands array<long>, sig binary")
     sketch = written(made, "sketch")
     classes = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("lo", "hi", "n").agg(F.min("id").alias("id"))
-    classes = written(classes, "classes")
-    one = sketch.filter("n > 0 AND id IS NOT NULL").groupBy("id").agg(F.min(F.struct("lo", "hi", "n")).alias("s")).select("id", "s.*")
-    nodes = sketch.join(classes, ["id", "lo", "hi", "n"], "left_semi").join(one, ["id", "lo", "hi", "n"], "left_semi")
-    nodes = written(nodes.groupBy("id", "lo", "hi", "n").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig")), "nodes")  # equal in all rows of a digest
+    classes = written(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+    nodes = sketch.join(classes, ["id", "lo", "hi", "n"]).groupBy("node", "id", "lo", "hi", "n").agg(F.first("bands").alias("bands"), F.first("sig").alias("sig"))  # equal in all rows of a digest
+    nodes = written(nodes.select(F.col("node").alias("id"), F.col("id").alias("doc"), "lo", "n", "bands", "sig"), "nodes")
     rows = nodes.select("id", F.explode("bands").alias("k"))
     sizes = written(rows.groupBy("k").agg(F.count("*").alias("m")).filter("m > 1"), "bucket-sizes")
-    members = written(rows.join(sizes, "k").select("k", "id", "m"), "members")
+    members = members_ = written(rows.join(sizes, "k").select("k", "id", "m"), "members")
     degree = members.groupBy("id").agg(F.sum("m").alias("d"))
     hub = members.select("k", "id").join(degree, "id").groupBy("k").agg(F.max(F.struct("d", (-F.col("id")).alias("i"))).alias("h"))
     hub = written(hub.select("k", (-F.col("h.i")).alias("a")), "hubs")  # read back, so that the join on a hot bucket can be split
@@ -211,7 +213,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
     plain = base.filter("id IS NOT NULL")
     likely = _likely(tried, nodes, threshold)
     named = likely.select(F.col("a").alias("id")).unionByName(likely.select(F.col("b").alias("id"))).distinct()
-    links = _verified(likely, _full_sets(named, nodes, plain), threshold)
+    first = _full_sets(named, nodes, plain)
+    links = _verified(likely, first, threshold)
     comp = written(connected_components(links, "a", "b"), "comp")
 
     # Members of buckets with more than one component: the pairs across components that can reach the threshold.
@@ -227,9 +230,13 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
         links = links.unionByName(_verified(_likely(more, nodes, threshold), sets, threshold))
         forget(docs.sparkSession, comp)
         comp = written(connected_components(links, "a", "b"), "comp")
-    of_class = classes.join(comp, classes["id"] == comp["node"], "left").select("lo", "hi", "n", F.coalesce("component", "id").alias("component"))
+    for done_with in (nodes, sizes, members_, hub, tried, likely, first, open_, sets, more):
+        forget(docs.sparkSession, done_with)
+    of_class = classes.join(comp, "node", "left").withColumn("c", F.coalesce("component", "node"))
+    least = of_class.groupBy("c").agg(F.min("id").alias("component"))
+    of_class = of_class.select("lo", "hi", "n", "c").join(least, "c").drop("c")
     got = sketch.select("id", "n", "lo", "hi").join(of_class, ["lo", "hi", "n"], "left")
-    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))
+    own = F.when(F.col("id").isNotNull(), F.coalesce("component", "id"))  # a row without shingles has no class
     return got.select(
         F.col("id").alias(id_col),
         F.col("n").alias("n_shingles"),
@@ -239,7 +246,8 @@ def near_duplicates(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id"
 
 
 def keep_one(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near duplicates, the smallest id; of repeated rows each stays."""
+    """``docs`` with one document of each group of near duplicates, the smallest id; of repeated rows each stays. An id of
+    several texts goes if one of them does."""
     gone = near_duplicates(docs, threshold, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
     return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
 

@@ -14,8 +14,18 @@ from wavecohort.llm.common import mix64, text_buffers
 CHUNK = 1 << 20
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
-_ODD = np.uint64(0x9E3779B97F4A7C15 | 1)
-_BACK = np.uint64(pow(int(_ODD), -1, 2**64))
+
+
+def _powers(seed: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the seed's base, and of its inverse modulo 2 ** 64: a base for each seed, so that words that share a
+    hash under one do not under another."""
+    base = (0x9E3779B97F4A7C15 ^ (2 * seed)) % 2**64 | 1
+    out = []
+    for b in (base, pow(base, -1, 2**64)):
+        x = np.full(n, b, np.uint64)
+        x[0] = 1
+        out.append(np.cumprod(x, out=x))
+    return out[0], out[1]
 
 
 def byte_set(*parts: int | tuple[int, int]) -> np.ndarray:
@@ -78,15 +88,10 @@ def words(col: pa.Array, separators: np.ndarray, breaks: np.ndarray | None = Non
             edge[0] = edge[-1] = True
             s = np.flatnonzero(inside & (edge[:-1] | ~np.r_[False, inside[:-1]]))
             e = np.flatnonzero(inside & (edge[1:] | ~np.r_[inside[1:], False])) + 1
-            up = np.full(len(part) + 1, _ODD, np.uint64)
-            up[0] = 1
-            np.cumprod(up, out=up)
-            down = np.full(len(part) + 1, _BACK, np.uint64)
-            down[0] = 1
-            np.cumprod(down, out=down)
+            up, down = _powers(seed, len(part) + 1)
             total = np.zeros(len(part) + 1, np.uint64)
             np.cumsum((_FOLD[part].astype(np.uint64) + np.uint64(1)) * up[:-1], out=total[1:])
-            h = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64) + np.uint64(seed))
+            h = mix64((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
             made.append(np.maximum(h, np.uint64(1)))  # 0 stands for no word
             first.append(s + at)
             last.append(e + at)

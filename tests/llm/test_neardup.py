@@ -67,6 +67,36 @@ def test_edge_cases(spark):
     assert got == [(-1, 2, None, True), (3, 2, 3, True), (3, 2, 3, True), (4, 2, 3, False), (5, 0, 5, True)]
 
 
+def test_an_id_with_several_texts_loses_no_link(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=5))
+    a, b, c = ([word() for _ in range(60)] for _ in range(3))
+    near = lambda w: [*w[:-2], word(), word()]
+    rows = [(1, a), (1, b), (2, b), (3, near(b)), (5, c), (5, near(a)), (4, near(c)), (7, c), (7, c), (9, b), (1, c)]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(8, "x y"), (8, None), (6, "x y")]
+    ids, texts = zip(*rows, strict=True)
+    comp = components(sets_of(texts))
+    least = {k: min(i for i, c in zip(ids, comp, strict=True) if c == k) for k in comp}
+    want = sorted((i, len(s), least[k] if s else i) for i, s, k in zip(ids, sets_of(texts), comp, strict=True))
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        got = N.near_duplicates(df).collect()
+        assert sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == want
+        assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_a_very_long_text(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(100_000)]
+    other = list(words)
+    for i in range(0, 100_000, 100):
+        other[i] = "zz"
+    docs = spark.createDataFrame([(2, " ".join(words)), (1, " ".join(other)), (3, " ".join(words[:40_000])), (4, "w1")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in N.near_duplicates(docs).collect()}
+    assert {i: r["component_id"] for i, r in got.items()} == {1: 1, 2: 1, 3: 3, 4: 4}
+    assert got[2]["n_shingles"] == len(sets_of([" ".join(words)])[0])
+
+
 def test_estimates_follow_the_similarity():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.8, 0.95):

@@ -41,7 +41,7 @@ BUCKET = 2_000_000
 #: Bytes of text that a task takes at once, to count words and to make suffixes.
 WORDS_SLICE, SLICE = 3 << 20, 2 << 20
 #: Different words, and different suffixes, of slices that a task adds up before it sends them.
-HELD_WORDS, HELD = 600_000, 500_000
+HELD_WORDS, HELD = 600_000, 800_000
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 2
 
@@ -161,6 +161,17 @@ def _kind(n: int) -> str:
     return "<u1" if n <= 1 << 8 else "<u2" if n <= 1 << 16 else "<u4"
 
 
+def _squeezed(x: np.ndarray) -> bytes:
+    """Numbers as compressed bytes: all lowest bytes first, so that the higher ones, mostly alike, cost little."""
+    return pa.compress(x.view(np.uint8).reshape(x.size, x.itemsize).T.tobytes(), codec="zstd", asbytes=True)
+
+
+def _restored(b: bytes, n: int, kind: str) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(b, decompressed_size=n * size, codec="zstd", asbytes=True), np.uint8).reshape(size, n)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
+
+
 def _summed(cols: list[np.ndarray], counts: np.ndarray, width: int) -> tuple[list[np.ndarray], np.ndarray]:
     """Equal rows of the columns once, in lexicographical order, with the sums of their counts."""
     order = _sorted(cols, width)
@@ -226,7 +237,7 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
             if some[0]:
                 some, ref = np.r_[0, some], ref + 1
             small = _kind(len(some))
-            for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[some[1:]].tobytes(), ref.astype(small).tobytes(), c[i].astype("<u4").tobytes()), strict=True):
+            for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[some[1:]].tobytes(), _squeezed(ref.astype(small).ravel()), _squeezed(c[i].astype("<u4"))), strict=True):
                 o.append(v)
         kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         return pa.record_batch([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "words", "refs", "counts"])
@@ -272,9 +283,9 @@ def _count_bucket(max_n: int, min_count: int, hot: np.ndarray):
             ids = []
             for d, refs, size in zip(dicts, g["refs"], g["size"], strict=True):
                 back = np.r_[0, np.searchsorted(vocab, d) + 1]
-                ids.append(back[np.frombuffer(refs, _kind(len(d) + 1)).astype(np.int64)].reshape(max_n, size))
+                ids.append(back[_restored(refs, max_n * size, _kind(len(d) + 1)).astype(np.int64)].reshape(max_n, size))
             ids = np.concatenate(ids, axis=1)
-            counts = np.concatenate([np.frombuffer(x, "<u4") for x in g["counts"]]).astype(np.int64)
+            counts = np.concatenate([_restored(x, n, "<u4") for x, n in zip(g["counts"], g["size"], strict=True)]).astype(np.int64)
             order = _sorted(list(ids), int(len(vocab)).bit_length())[::-1]
             rows, counts = np.ascontiguousarray(ids.T[order]), counts[order]
             hashes = np.r_[np.uint64(0), vocab]

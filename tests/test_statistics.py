@@ -30,6 +30,16 @@ def test_tails():
     assert S.mann_whitney_exact(0, 3, 3) == pytest.approx(0.1)
 
 
+def test_studentised_range_at_any_degrees_of_freedom():
+    x = np.linspace(-9, 9, 20001)
+    density, below = np.exp(-x * x / 2) / math.sqrt(2 * math.pi), 1 - S.normal_sf(x)
+    for q, k in ((3.3, 3), (4.1, 5), (1.0, 2)):
+        limit = 1 - k * np.trapezoid(density * (below - (1 - S.normal_sf(x - q))) ** (k - 1), x)
+        p = [float(S.studentized_range_sf(q, k, nu)) for nu in (20.0, 1e3, 2e4, 3e4, 1e6, 1e9, 1e15)]
+        assert all(a > b - 1e-12 for a, b in zip(p, p[1:], strict=False))  # falls to the limit
+        assert p[-1] == pytest.approx(limit, rel=1e-6) and p[3] - limit == pytest.approx((p[2] - limit) * 2 / 3, rel=1e-2)
+
+
 def test_kruskal_and_anova_by_hand(spark):
     h = G.kruskal_wallis(frame(spark), ["metric"], "grp", "value").first()
     values = sorted(A + B + C)

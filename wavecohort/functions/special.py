@@ -96,12 +96,13 @@ def studentized_range_sf(q, k, df):
         if not np.isfinite(q[i]):
             out[i] = np.nan
             continue
-        nu = min(df[i], 25_000.0)
+        nu = df[i]
         half = min(0.9999, 8 / math.sqrt(2 * nu)) if nu > 32 else 0.9999
-        lo, hi = max(1e-6, 1 - half), 1 + max(8 / math.sqrt(2 * nu), 0.05) if nu > 2 else 12.0
-        s = (_ZX + 1) / 2 * (hi - lo) + lo
-        log_density = (nu / 2) * math.log(nu / 2) + math.log(2) - math.lgamma(nu / 2) + (nu - 1) * np.log(s) - nu * s * s / 2
-        weight = _ZW * (hi - lo) / 2 * np.exp(log_density)
+        lo, hi = max(1e-6 - 1, -half), 8 / math.sqrt(2 * nu) if nu > 2 else 11.0
+        e = (_ZX + 1) / 2 * (hi - lo) + lo  # the scale less 1, so that nothing is lost however many degrees there are
+        s = 1 + e
+        log_density = (nu - 1) * np.log1p(e) - nu * e * (1 + e / 2)  # but for a constant
+        weight = _ZW * np.exp(log_density - log_density.max())
         inner = np.array([k[i] * (zw * np.maximum(cdf - (1 - normal_sf(z - q[i] * u)), 0) ** (k[i] - 1)).sum() for u in s])
         out[i] = min(1.0, max(0.0, 1 - float((weight * inner).sum() / weight.sum())))
     return out

@@ -1,5 +1,6 @@
 """Pages and licence notices that were read in part."""
 
+import re
 import pytest
 
 from wavecohort.llm import langid, licenses, pages
@@ -73,3 +74,48 @@ def test_languages_not_learnt_go(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(kept, key=str)
     assert langid.accepted(docs.limit(0), model).count() == 0
     assert {r["doc_id"] for r in langid.accepted(docs, model, ["es"]).collect()}.isdisjoint({1, None})
+
+
+PROSE = ["It was a long day in the valley, and nobody had thought of the rain. The river rose.", "They went home by the old road, which is not on any map; it took all night.", "In the morning there was light, and bread, and a letter from the town."]
+TOP, END = '<nav><ul><li><a href="/">Home</a></li><li><a href="/a">About us</a></li></ul></nav>', "<footer><p>&copy; 2024 Example</p></footer>"
+BODY = "".join(f"<p>{x}</p>" for x in PROSE)
+
+
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        (f"<html><body><form action='/'>{TOP}<article>{BODY}</article>{END}</form></body></html>", PROSE),
+        (f"<html><body>{TOP}<div class='has-sidebar'><article>{BODY}</article></div>{END}</body></html>", PROSE),
+        (f"<html><body class='single comments-open'>{TOP}<div class='entry-content'>{BODY}</div>{END}</body></html>", PROSE),
+        (f"<html><body>{TOP}<div id='content'>{'<br><br>'.join(PROSE)}</div>{END}</body></html>", [" ".join(PROSE)]),
+        (f"<html><body>{TOP}<div class='content'>{''.join(f'<div>{x}</div>' for x in PROSE)}</div>{END}</body></html>", PROSE),
+        (f"<html class='no-js has-menu'><body>{TOP}<main>{BODY}</main><div class='sidebar'><p>{PROSE[1]}</p></div>{END}</body></html>", PROSE),
+    ],
+)
+def test_articles_within_wrappers_are_found(html, want):
+    assert pages.main_text(html, pages.model()) == "\n\n".join(want)
+
+
+def test_names_of_near_and_of_wide_ancestors():
+    got = pages.leaf_blocks("<div class='content'><p>one two three</p><div class='sidebar is-footer'><p>a</p></div><p>four five six</p></div>")
+    assert [b[0] for b in got] == ["one two three", "a", "four five six"]
+    assert "wide:name:content" in got[0][1] and "name:content" not in got[0][1]
+    assert {"name:sidebar", "wide:name:content"} <= got[1][1] and "name:footer" not in got[1][1]
+    deep = "<div class='content'>" * 20_000 + "<p>x</p>" * 3
+    assert len(pages.leaf_blocks(deep)) == 3
+
+
+def test_main_text_of_the_given_pages_keeps_prose_and_no_more(spark):
+    """Blocks of all given pages against a plain rule on their markup: paragraphs within ``article`` or ``main`` that lie in
+    no aside, form, footer or named box are main text; all of ``nav`` and ``footer`` is not."""
+    hits = lost = wrong = 0
+    out = re.compile(r"near:name:(comment|comments|ad|ads|advert|sidebar|related|newsletter|cookie|consent|promo|share|social|menu|nav|widget|notice|banner)")
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        text = set(pages.main_text(r["html"], pages.model()).split("\n\n"))
+        for block, names, tag, _ in pages.leaf_blocks(r["html"]):
+            plain = {n.removeprefix("wide:") for n in names}
+            if plain & {"in:nav", "in:footer", "in:aside", "in:form", "in:button"}:
+                wrong += block in text and plain & {"in:nav", "in:footer"} != set()
+            elif tag == "p" and plain & {"in:article", "in:main"} and not any(out.match(n) for n in names) and not any(x in " ".join(plain) for x in ("comment", "sidebar", "name:ad")):
+                hits, lost = hits + (block in text), lost + (block not in text)
+    assert hits > 300 and lost <= 0.05 * hits and wrong <= 0.05 * hits

@@ -1,7 +1,8 @@
 """HTML extraction: a linear-chain conditional random field over the DOM's leaf blocks.
 
 A page is read into leaf blocks, the runs of text between block-level tags. A block's features are the tags and the
-class and id words of its ancestors and how its text looks (length, links, marks). A chain model with two states, main
+class and id words of its ancestors, the nearest apart from the others and those that hold most of the page's text apart
+from those that hold a part, and how its text looks (length, links, marks). A chain model with two states, main
 text and other, is trained on labelled pages and decoded by Viterbi; what it calls main text is joined in page order.
 
 The labelled pages are made by :func:`labelled_pages`, from page layouts in common use, with made-up text, so that no
@@ -38,20 +39,28 @@ STRUCTURE = frozenset("article aside body blockquote footer form h1 h2 h3 header
 _WORD = re.compile(r"[a-z]+")
 
 
+#: First and last words of class names that tell a state and no part of a page (has-sidebar, comments-open).
+BEFORE, AFTER = frozenset("has is no not with without".split()), frozenset("active closed disabled enabled open".split())
+#: An ancestor with this share of a page's text, of this many blocks or more, is around the page and no part of it.
+WIDE, LEAST_BLOCKS = 0.7, 3
+
+
 class _Frame:
-    __slots__ = ("tag", "names", "block")
+    __slots__ = ("tag", "place", "block")
 
-    def __init__(self, tag: str, names: frozenset[str], block: str = ""):
-        self.tag, self.names, self.block = tag, names, tag if tag in BLOCK_TAGS else block
+    def __init__(self, tag: str, place: int, block: str = ""):
+        self.tag, self.place, self.block = tag, place, tag if tag in BLOCK_TAGS else block
 
 
 class _Blocks(HTMLParser):
-    """Leaf blocks ``(text, ancestors' names, innermost block tag, letters in links)`` of a page."""
+    """Leaf blocks ``(text, number of the innermost ancestor with names, innermost block tag, letters in links)`` of a page,
+    and each such ancestor's parent among them with its own names."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.stack = [_Frame("", frozenset())]
-        self.out: list[tuple[str, frozenset[str], str, int]] = []
+        self.stack = [_Frame("", -1)]
+        self.out: list[tuple[str, int, str, int]] = []
+        self.named: list[tuple[int, frozenset[str]]] = []
         self.text: list[str] = []
         self.linked = self.silent = self.links = 0
         self.open: dict[str, int] = {}  # open tags by name: what is not open is not searched for, so that broken pages take linear time
@@ -60,7 +69,7 @@ class _Blocks(HTMLParser):
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                self.out.append((text, self.stack[-1].names, self.stack[-1].block, self.linked))
+                self.out.append((text, self.stack[-1].place, self.stack[-1].block, self.linked))
         self.text, self.linked = [], 0
 
     def pop(self, at: int) -> None:
@@ -97,11 +106,16 @@ class _Blocks(HTMLParser):
         if tag in VOID:
             return
         own = {f"in:{tag}"} if tag in STRUCTURE else set()
-        for k, v in attrs:
-            if v and k in ("class", "id", "role"):
-                own |= {f"name:{w}" for w in _WORD.findall(v.lower()) if w in NAMES}
-        names = self.stack[-1].names
-        self.stack.append(_Frame(tag, names | own if own else names, self.stack[-1].block))
+        for k, v in attrs if tag not in ("html", "body") else ():  # names of the whole page tell nothing of a part
+            for token in v.lower().split() if v and k in ("class", "id", "role") else ():
+                found = _WORD.findall(token)
+                if found and not (len(found) > 1 and (found[0] in BEFORE or found[-1] in AFTER)):
+                    own |= {f"name:{w}" for w in found if w in NAMES}
+        place = self.stack[-1].place
+        if own:
+            self.named.append((place, frozenset(own)))
+            place = len(self.named) - 1
+        self.stack.append(_Frame(tag, place, self.stack[-1].block))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.silent += tag in SILENT
         self.links += tag == "a"
@@ -140,7 +154,22 @@ def leaf_blocks(html: str | None) -> list[tuple[str, frozenset[str], str, int]]:
     parser.feed(html or "")
     parser.close()
     parser.flush()
-    return parser.out
+    held, total = [0] * len(parser.named), 0
+    for text, place, _, _ in parser.out:
+        total += len(text)
+        if place >= 0:
+            held[place] += len(text)
+    for i in range(len(held) - 1, -1, -1):  # a parent comes before its children
+        if parser.named[i][0] >= 0:
+            held[parser.named[i][0]] += held[i]
+    around: list[frozenset[str]] = []
+    names: list[frozenset[str]] = []
+    for (parent, own), h in zip(parser.named, held, strict=True):
+        wide = len(parser.out) >= LEAST_BLOCKS and h >= WIDE * total
+        own = frozenset(f"wide:{x}" for x in own) if wide else own
+        around.append(own | around[parent] if parent >= 0 else own)
+        names.append(around[-1] | {f"near:{x}" for x in own})
+    return [(text, names[place] if place >= 0 else frozenset(), tag, linked) for text, place, tag, linked in parser.out]
 
 
 def block_features(block: tuple[str, frozenset[str], str, int]) -> list[str]:
@@ -276,6 +305,7 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
     made = []
     for _ in range(n):
         main, inner = [], []
+        kind_of_text, bare = rng.choice(["p"] * 8 + ["div", "bare"]), False
 
         def put(tag: str, text: str, main=main, inner=inner, **how) -> None:
             main.append(" ".join(text.split()))
@@ -284,9 +314,14 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
         if pick(0.8):
             put("h1", words(2, 10).capitalize() + rng.choice(["", ".", "?"]), closed=1)
         for _ in range(rng.randint(1, 10)):
-            kind = rng.random()
-            if kind < 0.72:
-                put("p", prose())
+            kind, was_bare, bare = rng.random(), bare, False
+            if kind < 0.72 and kind_of_text == "bare":
+                text, bare = prose(), True
+                inner.append(f"{text}<br><br>")
+                main += [text] if not was_bare else []
+                main[-1] = main[-1] if not was_bare else f"{main[-1]} {text}"
+            elif kind < 0.72:
+                put(kind_of_text, prose(), closed=0.95 if kind_of_text == "p" else 1)
             elif kind < 0.8:
                 put(rng.choice(["h2", "h3"]), words(1, 7).capitalize(), closed=1)
             elif kind < 0.86:
@@ -306,7 +341,9 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
         if pick(0.25):
             inner.append(comments())
         body = "\n".join(inner)
-        shell = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="entry text">{}</div>', '<div class="article body">{}</div>', '<section class="story">{}</section>'])
+        shell = rng.choice(["<article>{}</article>"] * 5 + ["<main>{}</main>", "<main><article>{}</article></main>", '<div class="content">{}</div>', '<div id="main"><div class="post">{}</div></div>', '<div class="entry text">{}</div>', '<div class="article body">{}</div>', '<section class="story">{}</section>', '<div id="content">{}</div>', '<div class="entry-content">{}</div>', '<div class="post-content">{}</div>'])
+        if pick(0.15):  # the article among what a wrapper with a telling name holds besides
+            shell = f'<div class="{rng.choice(["has-sidebar", "with-menu", "content-sidebar", "comments-open"])}">{shell}{other() if pick(0.5) else ""}</div>'
         parts = []
         if pick(0.4):
             parts.append(rng.choice([f'<header><p>{words(1, 4)}</p></header>', f'<header class="masthead"><a href="/">{words(1, 3)}</a><p>{sentence()}</p></header>', f'<div class="header">{words(1, 5)}</div>']))
@@ -320,7 +357,10 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[tuple[str, list[str]]]:
         if pick(0.85):
             end = rng.choice([f"&copy; {word()}.example &middot; {prose()}", f"<p>&copy; {words(1, 3)}</p><ul>{links()}</ul>", prose()])
             parts.append(rng.choice(["<footer>{}</footer>", '<div class="footer">{}</div>']).format(end))
-        head = f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body>"
+        if pick(0.3):  # all of the page within one more
+            parts = [rng.choice(['<form id="form1" action="/">{}</form>'] * 2 + ['<div class="{}">'.format(x) + "{}</div>" for x in ("page site", "content", "main", "sidebar-right", "body text", "menu-page")] + ["<section>{}</section>", "<main>{}</main>"]).replace("{}", "\n".join(parts))]
+        shown = rng.choice(["", "", ' class="home post comments-open"', ' class="has-sidebar nav-open"', ' id="footer-page"'])
+        head = f"<!DOCTYPE html><html><head><title>{words(2, 5)}</title><style>p{{margin:0}}</style><script>var a='<p>';</script></head><body{shown}>"
         made.append((head + "\n".join(parts) + rng.choice(["</body></html>", ""]), main))
     return made
 

@@ -119,3 +119,20 @@ def test_main_text_of_the_given_pages_keeps_prose_and_no_more(spark):
             elif tag == "p" and plain & {"in:article", "in:main"} and not any(out.match(n) for n in names) and not any(x in " ".join(plain) for x in ("comment", "sidebar", "name:ad")):
                 hits, lost = hits + (block in text), lost + (block not in text)
     assert hits > 300 and lost <= 0.05 * hits and wrong <= 0.05 * hits
+
+
+def test_the_sql_of_licences_states_pieces_and_versions(spark):
+    import duckdb
+
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation{}"
+    texts = [gpl.format(*x) for x in ((";", "; either version 2 of the License, or (at your option) any later version."), (":", ", either version 3 of the License, or (at your option) any later version."), (";", "; version 2 of the License."), (";", "; version 3 of the License."), (";", "; version 2."), (";", "."))]
+    texts += [f"This Source Code Form is subject to the terms of the Mozilla Public License, v. {v}. If a copy" for v in ("2.0", "1.1")] + ["version 2 of the License. 1.1. 2.0", "Version 3; MIT\nReleased under the MIT License.\nAll rights reserved.", "", None]
+    texts += [f"{texts[2]} {texts[7]}", f"{texts[5]} version 2 of the License. version 3 of the License."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = sorted(tuple(r) for r in licenses.scan(docs).select("doc_id", "sentences", "licenses", "n_licenses", "use").collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar)")
+    con.executemany("insert into documents values (?, ?)", list(enumerate(texts)))
+    want = sorted(con.sql(f"SELECT doc_id, sentences, licenses, n_licenses, use FROM ({licenses.SQL})").fetchall())
+    assert got == want
+    assert {x for r in got for x in r[2].split(",")} >= {"GPL-2.0-only", "GPL-3.0-only", "GPL-1.0-or-later", "MPL-1.1", "MPL-2.0", "GPL-2.0-or-later", "GPL-3.0-or-later"}

@@ -122,8 +122,6 @@ WHOLE: list[tuple[list[str], str]] = [
 ]
 #: A version is one only right after what it is the version of; what stands elsewhere says nothing.
 _STRAY = r"(?<!,gpl-redistribute,),gpl[23]-version,|(?<!,mpl-short,),mpl-version-1-1,|,(gpl-program|gpl[23]-version-or-later|mpl-version-2-0),"
-#: Rules that the SQL, which knows such a sentence by its longest piece alone, does not state.
-_UNSTATED = {"GPL-2.0-only", "GPL-3.0-only", "GPL-1.0-or-later", "MPL-1.1"}
 
 _RANK = {"free": 1, "terms": 2, "closed": 3}
 _END = r"[.;!?]+(\s+|$)"
@@ -216,22 +214,30 @@ def op8_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    stated = [r for r in RULES if r[0] not in _UNSTATED]
-    known = ", ".join(f"('{s}', '{k}')" for k, s in _known())
-    piece = lambda cut: f"""SELECT doc_id, ',' || string_agg(k, ',,' ORDER BY i) || ',' AS seq FROM (
+    known = ", ".join(f"('{s}', '{k}')" for k, s in _scanned())
+
+    def whole(seq: str) -> str:
+        """Pieces in sequence as their sentence; versions that follow what they are the version of are kept, others go."""
+        for parts, name in WHOLE:
+            seq = f"replace({seq}, ',{',,'.join(parts)},', ',{name},')"
+        for of, version in (("gpl-redistribute", "gpl2-version"), ("gpl-redistribute", "gpl3-version"), ("mpl-short", "mpl-version-1-1")):
+            seq = f"replace({seq}, ',{of},,{version},', ',{of},#{version}#')"
+        return f"replace(regexp_replace({seq}, ',(gpl[23]-version|gpl[23]-version-or-later|gpl-program|mpl-version-1-1|mpl-version-2-0),', '', 'g'), '#', ',')"
+
+    piece = lambda cut: f"""SELECT doc_id, {whole("',' || string_agg(k, ',,' ORDER BY i) || ','")} AS seq FROM (
       SELECT doc_id, i, trim(regexp_replace(lower(p), '[^a-z0-9]+', ' ', 'g')) AS s
       FROM (SELECT doc_id, unnest(w) AS p, generate_subscripts(w, 1) AS i FROM (SELECT doc_id, {cut} AS w FROM documents))) JOIN known USING (s) GROUP BY doc_id"""
 
     def applied(seq: str) -> tuple[str, list[str]]:
         steps, names, left = [], [], seq
-        for j, (name, ids, _) in enumerate(stated):
+        for j, (name, ids, _) in enumerate(RULES):
             pat = "," + ",,".join(ids) + ","
             steps.append(f"CASE WHEN contains({left}, '{pat}') THEN '{name}' END")
             left = f"replace({left}, '{pat}', '|')"
         return f"[{', '.join(steps)}]", names
 
     order: dict[str, str] = {}
-    for name, _, use in stated:
+    for name, _, use in RULES:
         order.setdefault(name, use)
     every = ", ".join(f"'{x}'" for x in order)
     use = lambda u: ", ".join(f"'{n}'" for n, x in order.items() if x == u)

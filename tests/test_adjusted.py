@@ -100,3 +100,15 @@ def test_eye_scores_go_on_until_no_channel_is_added(spark):
     for c in mix:
         assert got[c]["z"] == pytest.approx((score[c] - np.mean(left)) / np.std(left), rel=1e-6)
     assert got["flat"]["score"] is None and not got["flat"]["flagged"]
+
+
+def test_a_large_list_of_channels_is_not_broadcast(spark, monkeypatch):
+    from wavecohort.operators import select
+
+    edges = spark.createDataFrame([("a", "b", 1.0), ("b", "c", 2.0), ("a", "d", 4.0)], "ch1 string, ch2 string, weight double").withColumn("k", F.lit(1))
+    rois = spark.createDataFrame([("x", "a"), ("x", "b"), ("y", "b"), ("y", "c")], "roi string, channel string")
+    few = sorted((r["roi"], r["weight"]) for r in N.roi_within(edges, ["k"], rois).collect())
+    monkeypatch.setattr(select, "MAX_SIDE", 2)
+    many = N.roi_within(edges, ["k"], rois)
+    assert few == [("x", 1.0), ("y", 2.0)] == sorted((r["roi"], r["weight"]) for r in many.collect())
+    assert "strategy=broadcast" not in many._jdf.queryExecution().logical().toString()

@@ -18,6 +18,7 @@ from wavecohort.functions.scratch import forget, written
 from wavecohort.operators.components import connected_components
 from wavecohort.operators.groupstats import group_moments, group_pairs
 from wavecohort.operators.permute import add_up, blocks, digests, label_cuts, labels
+from wavecohort.operators.select import small_side
 
 
 def welch_t(m1: Column, m2: Column, v1: Column, v2: Column, n1: Column, n2: Column) -> Column:
@@ -309,7 +310,7 @@ def threshold_regions(t: DataFrame, keys: list[str], thresholds: list[float], re
 
 def roi_within(edges: DataFrame, keys: list[str], rois: DataFrame) -> DataFrame:
     """``keys, roi, weight``: the mean weight inside a region. ``rois``: ``roi, channel``, small, may overlap."""
-    a, b = (F.broadcast(rois.select("roi", F.col("channel").alias(c))) for c in ("ch1", "ch2"))
+    a, b = (small_side(rois.select("roi", F.col("channel").alias(c))) for c in ("ch1", "ch2"))
     return edges.join(a, "ch1").join(b, ["roi", "ch2"]).groupBy(*keys, "roi").agg(F.avg("weight").alias("weight"))
 
 
@@ -317,7 +318,7 @@ def roi_between(edges: DataFrame, keys: list[str], rois: DataFrame) -> DataFrame
     """``keys, roi1, roi2, weight``: the mean over the block of two regions, roi1 < roi2, edges taken in both directions;
     a channel of both regions has no edge with itself."""
     both = symmetric(edges.select(*keys, "ch1", "ch2", "weight"), "weight")
-    a, b = (F.broadcast(rois.select(F.col("roi").alias(r), F.col("channel").alias(c))) for r, c in (("roi1", "ch1"), ("roi2", "ch2")))
+    a, b = (small_side(rois.select(F.col("roi").alias(r), F.col("channel").alias(c))) for r, c in (("roi1", "ch1"), ("roi2", "ch2")))
     return both.join(a, "ch1").join(b, "ch2").filter("roi1 < roi2").groupBy(*keys, "roi1", "roi2").agg(F.avg("weight").alias("weight"))
 
 
@@ -328,13 +329,13 @@ def node_degree(edges: DataFrame, keys: list[str]) -> DataFrame:
 
 def region_involvement(edges: DataFrame, keys: list[str], regions: DataFrame) -> DataFrame:
     """``keys, region, n_edges, pct``: edge ends in each region ('Other' if unknown) and their share of all ends."""
-    ends = edges.select(*keys, F.explode(F.array("ch1", "ch2")).alias("channel")).join(F.broadcast(regions), "channel", "left")
+    ends = edges.select(*keys, F.explode(F.array("ch1", "ch2")).alias("channel")).join(small_side(regions), "channel", "left")
     got = ends.groupBy(*keys, F.coalesce("region", F.lit("Other")).alias("region")).agg(F.count("*").alias("n_edges"))
     return got.withColumn("pct", F.col("n_edges") / F.sum("n_edges").over(Window.partitionBy(*keys)) * 100)
 
 
 def region_pair_counts(edges: DataFrame, keys: list[str], regions: DataFrame) -> DataFrame:
-    a, b = (F.broadcast(regions.select(F.col("channel").alias(c), F.col("region").alias(r))) for c, r in (("ch1", "r1"), ("ch2", "r2")))
+    a, b = (small_side(regions.select(F.col("channel").alias(c), F.col("region").alias(r))) for c, r in (("ch1", "r1"), ("ch2", "r2")))
     got = edges.join(a, "ch1", "left").join(b, "ch2", "left").na.fill("Other", ["r1", "r2"])
     return got.groupBy(*keys, F.least("r1", "r2").alias("region1"), F.greatest("r1", "r2").alias("region2")).agg(F.count("*").alias("n"))
 

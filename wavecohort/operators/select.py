@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from wavecohort.operators.placed import row_places
 
 
+#: Rows of a side that is broadcast; one of more rows is joined by a shuffle.
+MAX_SIDE = 100_000
+
+
+def small_side(df: DataFrame, most: int | None = None) -> DataFrame:
+    """A side of an equi-join that is a list of the montage or of the job, broadcast if it is counted to be small."""
+    most = MAX_SIDE if most is None else most
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def group_lookup(df: DataFrame, groups: DataFrame, key: str, group_col: str = "grp", other: str = "unknown") -> DataFrame:
     """Each row with its subject's group, ``other`` for subjects without one. ``groups``: ``key, group_col``, a row for
     each subject; Spark broadcasts it if it is small."""

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wavecohort.operators.groupstats import correlation
+from wavecohort.operators.select import small_side
 
 
 def fixed_length_epochs(df: DataFrame, keys: list[str], idx: str, value: str, length: int, endpoint: bool = False) -> DataFrame:
@@ -225,8 +226,8 @@ def regress_out(df: DataFrame, subject: list[str], time: list[str], channel: str
 def interpolate_channels(df: DataFrame, time: list[str], channel: str, value: str, weights: DataFrame) -> DataFrame:
     """Bad channels replaced by the weighted mean of good ones. ``weights``: ``bad, good, w``, a small table of the
     montage."""
-    bad = F.broadcast(weights.select(F.col("bad").alias(channel)).distinct())
-    made = df.join(F.broadcast(weights), df[channel] == weights["good"]).groupBy(*time, "bad").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
+    bad = small_side(weights.select(F.col("bad").alias(channel)).distinct())
+    made = df.join(small_side(weights), df[channel] == weights["good"]).groupBy(*time, "bad").agg((F.sum(F.col("w") * F.col(value)) / F.sum("w")).alias(value))
     return df.join(bad, channel, "left_anti").select(*time, channel, value).unionByName(made.withColumnRenamed("bad", channel))
 
 

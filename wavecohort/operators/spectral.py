@@ -12,7 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wavecohort.operators.select import range_join
+from wavecohort.operators.select import range_join, small_side
 
 
 def _spectra(df: DataFrame, power, samples: str) -> DataFrame:
@@ -99,7 +99,7 @@ def band_power(psd: DataFrame, keys: list[str], bands: list[tuple[str, float, fl
 
 def roi_band_power(psd: DataFrame, keys: list[str], bands: list[tuple[str, float, float]], rois: DataFrame, channel: str = "channel", closed: bool = False) -> DataFrame:
     """The same for regions, ``rois``: ``roi, channel``, which may overlap and name channels that are not there."""
-    rows = row_band_power(psd, bands, closed).join(F.broadcast(rois), channel)
+    rows = row_band_power(psd, bands, closed).join(small_side(rois), channel)
     return rows.groupBy(*keys, "roi", "band").agg(F.avg("power").alias("power"))
 
 

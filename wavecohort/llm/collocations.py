@@ -41,7 +41,7 @@ BUCKET = 2_000_000
 #: Bytes of text that a task takes at once, to count words and to make suffixes.
 WORDS_SLICE, SLICE = 3 << 20, 2 << 20
 #: Different words, and different suffixes, of slices that a task adds up before it sends them.
-HELD_WORDS, HELD = 600_000, 800_000
+HELD_WORDS, HELD = 600_000, 1_200_000
 #: Buckets for each shuffle partition at least, so that partitions are even.
 EACH = 2
 
@@ -230,17 +230,17 @@ def _suffixes(seed: int, max_n: int, n_buckets: int, bits: np.ndarray, hot: np.n
         both = to * len(names) + lang
         order = np.argsort(both, kind="stable")
         cuts = np.flatnonzero(np.r_[True, np.diff(both[order]) != 0, True])
-        out: list[list] = [[], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], []]
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             i = order[a:b]
             some, ref = np.unique(np.stack([x[i] for x in cols]), return_inverse=True)
             if some[0]:
                 some, ref = np.r_[0, some], ref + 1
             small = _kind(len(some))
-            for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, hashes[some[1:]].tobytes(), _squeezed(ref.astype(small).ravel()), _squeezed(c[i].astype("<u4"))), strict=True):
+            for o, v in zip(out, (int(to[i[0]]), names[lang[i[0]]], b - a, len(some) - 1, _squeezed(hashes[some[1:]]), _squeezed(ref.astype(small).ravel()), _squeezed(c[i].astype("<u4"))), strict=True):
                 o.append(v)
-        kinds = [pa.int32(), pa.string(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.record_batch([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "words", "refs", "counts"])
+        kinds = [pa.int32(), pa.string(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.record_batch([pa.array(o, t) for o, t in zip(out, kinds, strict=True)], names=["bucket", "lang", "size", "n_words", "words", "refs", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         langs: dict[str, int] = {}
@@ -278,7 +278,7 @@ def _count_bucket(max_n: int, min_count: int, hot: np.ndarray):
     def run(f: pd.DataFrame) -> pd.DataFrame:
         out = []
         for lang, g in f.groupby("lang"):
-            dicts = [np.frombuffer(x, np.uint64) for x in g["words"]]
+            dicts = [_restored(x, n, "<u8") for x, n in zip(g["words"], g["n_words"], strict=True)]
             vocab = np.unique(np.concatenate(dicts))
             ids = []
             for d, refs, size in zip(dicts, g["refs"], g["size"], strict=True):
@@ -311,7 +311,7 @@ def phrase_counts(base: DataFrame, vocabulary: DataFrame, seed: int, max_n: int,
     # Fewer than 4 * n_buckets words can have more than this share of all words.
     rows = frequent.filter(F.col("n") > total / (4 * n_buckets)).select("lang", "h").collect()
     hot = np.array([_spots(np.array([r["h"]]).view(np.uint64), _of_lang(r["lang"]))[0] for r in rows], np.uint64)
-    suffixes = base.mapInArrow(_suffixes(seed, max_n, n_buckets, _filter_table(frequent), hot), "bucket int, lang string, size int, words binary, refs binary, counts binary")
+    suffixes = base.mapInArrow(_suffixes(seed, max_n, n_buckets, _filter_table(frequent), hot), "bucket int, lang string, size int, n_words int, words binary, refs binary, counts binary")
     counted = suffixes.groupBy("bucket").applyInPandas(_count_bucket(max_n, min_count, hot), "lang string, k int, key binary, f long")
     counted = counted.groupBy("lang", "k", "key").agg(F.sum("f").alias("f")).filter(F.col("f") >= min_count)
     return written(counted, "phrases")

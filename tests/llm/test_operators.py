@@ -60,6 +60,41 @@ def test_line_dedup_matches_brute_force(spark):
     assert line_dedup.annotate_lines(documents(spark, [])).count() == 0
 
 
+def test_line_dedup_family_of_near_copies_makes_few_pairs(spark, monkeypatch):
+    """Copies that differ in common words: most pairs of them are alike, and few are made."""
+    rng = random.Random(3)
+    common, base = [f"c{i}" for i in range(40)], [f"b{i}" for i in range(30)]
+    texts = []
+    for _ in range(300):
+        line = list(base)
+        for at in rng.sample(range(30), rng.randint(1, 2)):
+            line[at] = rng.choice(common)
+        texts.append(" ".join(line))
+    texts += [" ".join(rng.sample(common, 8)) for _ in range(60)]
+    made, written = {}, line_dedup.written
+
+    def counted(df, name="step"):
+        got = written(df, name)
+        made[name] = made.get(name, 0) + got.count()
+        return got
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    got = {(r["d"], r["i"]) for r in line_dedup.later_matches(documents(spark, texts)).collect()}
+    assert got == matched_lines(list(enumerate(texts)))
+    assert len(got) > 200
+    assert made["line-pairs"] + made["candidates"] < 8 * len(texts)
+
+
+def test_line_dedup_repeats_by_place_and_line_counts(spark):
+    """Repeats within a document and across documents, rows that share an id, a null id, and numbers of lines."""
+    long = " ".join(f"x{i}" for i in range(20))
+    rows = [(3, f"{long}\n\n{long}"), (1, f"{long} y"), (2, "a b\n"), (2, "a b"), (None, long), (4, None), (5, "\n\n"), (6, ""), (7, "A  b\té")]
+    got = line_dedup.annotate_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["n_lines"], list(r["removed"])) for r in got) == [
+        (0, 1, []), (1, 1, []), (2, 1, []), (2, 2, []), (3, 3, [0, 2]), (4, 0, []), (5, 3, []), (6, 1, []), (7, 1, [])
+    ]
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------------
 
 

@@ -5,8 +5,8 @@ text are folded first, by partial aggregation, so that a line which a third of a
 join. The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
 documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, and lines meet in a posted token under the length,
 the positional and a parity filter. What a pair shares of its posted tokens bounds its overlap once more; a pair that is
-left is verified on its real tokens. Families of copies are thinned first: a line that matches the earliest line of its posted
-tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the
+left is verified on its real tokens. Families of copies are thinned first: a line that matches one of a few early lines of
+its posted tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the
 order only steers the work, so hashing tokens into buckets costs no exactness.
 """
 
@@ -23,8 +23,12 @@ BUCKETS = 1 << 20
 HOT = 48
 #: Lines of so many tokens have parities twice: two sets of this size differ in more bits than 64 parities tell.
 LONG = 64
-#: Of so many tokens at either end of its prefix a line meets the earliest line in the first pass.
+#: Of so many tokens at either end of its prefix a line meets early lines in the first pass.
 STARS = 2
+#: The early lines of a token are the earliest one of each of so many parts, dealt by a hash.
+LEADERS = 4
+#: So many of the early lines whose parities are nearest to a line's are verified.
+GUESSES = 2
 #: Rows of ids and hashes that are broadcast (about 50 bytes each); more rows are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1_000_000
 
@@ -36,8 +40,15 @@ def _few(df: DataFrame) -> DataFrame:
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``d, i, line``: lines with a token, numbered from 0 in their document."""
-    base = docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
-    return base.select("d", F.posexplode(F.split(_spaced(F.col("t")), "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    return _split(_texts(docs, id_col, text_col))
+
+
+def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
+
+
+def _split(texts: DataFrame) -> DataFrame:
+    return texts.select("d", F.posexplode(F.split(_spaced(F.col("t")), "\n")).alias("i", "line")).filter(F.trim("line") != "")
 
 
 def _spaced(text: Column) -> Column:
@@ -54,7 +65,7 @@ def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
     """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class, in the
     top byte."""
     spark = docs.sparkSession
-    words = docs.select(F.explode(_tokens(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")))).alias("w")).filter("w <> ''")
+    words = docs.select(F.explode(_tokens(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")))).alias("w"))  # the bucket of '' is no token's
     counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
@@ -78,7 +89,8 @@ def _bucket(h: Column) -> Column:
 def _keys(line: Column, classes: Column) -> Column:
     """Distinct token keys of a line, rare ones first: frequency class in the top byte, hash in the rest."""
     hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), _hash)), _hash(F.lit("")))
-    return F.sort_array(F.transform(hashes, lambda h: F.get(classes, _bucket(h)).bitwiseOR(h)))
+    cls = lambda h: F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("long"))  # noqa: E731  arrays without nulls are sorted as plain numbers
+    return F.sort_array(F.transform(hashes, lambda h: cls(h).bitwiseOR(h)))
 
 
 def _parities(keys: Column) -> Column:
@@ -120,34 +132,29 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     """
     t = float(threshold)
     spark = docs.sparkSession
-    lines = _lines(docs, id_col, text_col)
+    texts = _texts(docs, id_col, text_col)
     place = F.struct("d", "i")
-    hashed = lines.select("d", "i", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
+    hashed = _split(texts).select("d", "i", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
     again = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
     again = _few(written(again, "repeated-lines"))
     seen = hashed.join(again, ["h1", "h2"], "left")
-    same = seen.filter(F.col("first").isNotNull() & (place != F.col("first"))).select("d", "i")
 
-    # The postings of lines that are the first of their text.
-    heads = seen.filter(F.col("first").isNull() | (place == F.col("first"))).select("d", "i", "line")
+    # The postings of lines that are the first of their text; other lines have a row without a key.
+    head = F.col("first").isNull() | (place == F.col("first"))
     classes = written(_rarity(docs, text_col), "rarity")
-    keyed = heads.withColumn("classes", classes.scalar()).select("d", "i", _keys(F.col("line"), F.col("classes")).alias("keys"))
+    keyed = seen.withColumn("classes", classes.scalar()).select("d", "i", F.when(head, _keys(F.col("line"), F.col("classes"))).alias("keys"))
     marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
     # A token of class 0 occurs once in all documents, so that no line can meet another in it.
-    posts = marked.select("d", "i", "n", "b", "h", F.posexplode("pre").alias("p", "k")).filter(_class(F.col("k")) > 0)
-    posts = written(posts, "postings")
+    posts = marked.select("d", "i", "n", "b", "h", F.posexplode_outer("pre").alias("p", "k")).filter(F.col("k").isNull() | (_class(F.col("k")) > 0))
+    both = written(posts, "postings")
+    same = written(both.filter("k IS NULL").select("d", "i"), "repeats")
+    posts = both.filter("k IS NOT NULL")
     forget(spark, classes)
 
-    # First pass: against the earliest line that posts most of some of the line's tokens, the rarest and, since copies
-    # differ in rare words, the last ones of its prefix. Lines of one family of copies go here, a comparison each,
-    # however many they are; what is no copy of that line waits for the second pass.
-    rare = posts.filter((F.col("p") < STARS) | (F.col("p") >= _prefix(F.col("n"), t) - STARS)).select("k", "d", "i", "n")
-    stars = rare.groupBy("k").agg(F.count("*").alias("m"), F.min("d").alias("d0"), F.min_by("i", "d").alias("i0")).filter("m > 1").drop("m")
-    stars = rare.join(stars, "k").filter("d0 < d OR (d0 = d AND i0 < i)").groupBy("d", "i", "d0", "i0").agg(F.count("*").alias("c"), F.first("n").alias("n"))
-    stars = stars.filter(F.col("c") * 2 > F.least(F.lit(STARS), _prefix(F.col("n"), t)))
-    best = stars.groupBy("d", "i").agg(F.max(F.struct("c", "d0", "i0")).alias("s"))
-    best = best.select(F.col("s.d0").alias("d1"), F.col("s.i0").alias("i1"), F.col("d").alias("d2"), F.col("i").alias("i2"))
-    gone = _verified(best, lines, t)
+    # First pass: against a few early lines of some of the line's tokens, the rarest and, since copies differ in rare
+    # words, the last ones of its prefix. Lines of one family of copies go here, a few comparisons each, however many
+    # they are; what is no copy of those lines waits for the second pass.
+    gone = _verified(_guesses(posts, t), texts, t)
 
     # Second pass: the lines that are left, against all earlier lines, in narrow rows: size and place are one number,
     # below 0 where the line is gone. Both sides of the join on tokens that are not hot read one exchange.
@@ -164,16 +171,29 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     pairs = _unpacked(pairs)
     after = lambda x, y: F.least(F.col(f"n{x}") - _prefix(F.col(f"n{x}"), t), F.col(f"n{y}") - F.col(f"p{y}") - 1)
     pairs = written(pairs.filter(F.col("c") + F.greatest(after(1, 2), after(2, 1)) >= _least(t)).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
-    forget(spark, posts)
+    forget(spark, both)
     # The likeliest pair of each line first, then the others of the lines that are still there.
     likely = pairs.groupBy("d2", "i2").agg(F.max(F.struct("c", "d1", "i1")).alias("s")).select(F.col("s.d1").alias("d1"), F.col("s.i1").alias("i1"), "d2", "i2")
-    more = _verified(likely, lines, t)
-    rest = pairs.join(likely, ["d1", "i1", "d2", "i2"], "left_anti").join(more.select(F.col("d").alias("d2"), F.col("i").alias("i2")), ["d2", "i2"], "left_anti")
-    last = _verified(rest.select("d1", "i1", "d2", "i2"), lines, t)
+    more = _verified(likely, texts, t)
+    rest = pairs.join(more.select(F.col("d").alias("d2"), F.col("i").alias("i2")), ["d2", "i2"], "left_anti").join(likely, ["d1", "i1", "d2", "i2"], "left_anti")
+    last = _verified(rest.select("d1", "i1", "d2", "i2"), texts, t)
     forget(spark, pairs)
     return same.unionByName(gone).unionByName(more).unionByName(last).distinct()
 
 
+def _guesses(posts: DataFrame, t: float) -> DataFrame:
+    """``d1, i1, d2, i2``: for each line the early lines, ``GUESSES`` at most, that parities say are nearest to it."""
+    rare = posts.filter((F.col("p") < STARS) | (F.col("p") >= _prefix(F.col("n"), t) - STARS)).select("k", "d", "i", "n", "b").repartition("k")  # sent once, for the early lines and for all
+    part = F.pmod(F.xxhash64("d", "i"), F.lit(LEADERS)).cast("int")
+    # A line of the same document may lend its marks to another one; this costs a guess and no match.
+    leaders = rare.groupBy("k", part.alias("part")).agg(F.min("d").alias("d1"), *[F.min_by(c, "d").alias(f"{c}1") for c in ("i", "n", "b")]).drop("part")
+    two = rare.select("k", *[F.col(c).alias(f"{c}2") for c in ("d", "i", "n", "b")])
+    apart = F.bit_count(F.col("b1").bitwiseXOR(F.col("b2")))
+    near = two.join(leaders, "k").filter("d1 < d2 OR (d1 = d2 AND i1 < i2)").filter(_alike(t) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
+    near = near.groupBy("d2", "i2").agg(F.collect_set(F.struct((apart / (F.col("n1") + F.col("n2"))).alias("a"), "d1", "i1")).alias("s"))  # 2 * STARS * LEADERS at most
+    return near.select("d2", "i2", F.inline(F.slice(F.array_sort("s"), 1, GUESSES))).select("d1", "i1", "d2", "i2")
+
+
 def _class(key: Column) -> Column:
     return F.shiftrightunsigned(key, 56).cast("int")
 
@@ -192,7 +212,10 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
     """``d1, i1, np1, d2, i2, np2`` of postings that meet under the filters, the second line later and not gone."""
     one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b", "h")])
     two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b", "h")])
-    got = one.join(two, on).filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
+    got = one.join(two, on)
+    # Most pairs end here: a looser form of the last filter below, on the size of one line alone.
+    got = got.filter(F.bit_count(F.col("b1").bitwiseXOR(F.col("b2"))) <= F.shiftright(F.abs("np1"), 32) * F.lit((1 - t) / t) + 1e-6)
+    got = got.filter("d1 < d2 OR (d1 = d2 AND i1 < i2)")
     # In terms of both sides, so that it stays in the join and the two sides are alike: the second line is not gone.
     got = _unpacked(got.filter((F.col("np2") >= 0) | (F.col("d1") > F.col("d2"))))
     whole, half = F.col("b1").bitwiseXOR(F.col("b2")), F.col("h1").bitwiseXOR(F.col("h2"))
@@ -202,20 +225,22 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
     return got.select("d1", "i1", "np1", "d2", "i2", "np2")
 
 
-def _verified(pairs: DataFrame, lines: DataFrame, t: float) -> DataFrame:
+def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:
     """``d, i`` of the later lines of the pairs whose real tokens have the similarity ``t``; written."""
-    spark = lines.sparkSession
+    spark = texts.sparkSession
     pairs = written(pairs, "candidates")
     named = pairs.select(F.col("d1").alias("d"), F.col("i1").alias("i")).unionByName(pairs.select(F.col("d2").alias("d"), F.col("i2").alias("i"))).distinct()
-    texts = written(lines.join(_few(written(named, "candidate-places")), ["d", "i"], "left_semi"), "candidate-lines")
-    one = texts.select(F.col("d").alias("d1"), F.col("i").alias("i1"), F.col("line").alias("line1"))
-    two = texts.select(F.col("d").alias("d2"), F.col("i").alias("i2"), F.col("line").alias("line2"))
-    sets = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"]).select("d2", "i2", *[F.array_remove(F.array_distinct(_tokens(F.col(f"line{j}"))), "").alias(f"s{j}") for j in (1, 2)])
-    both = F.size(F.array_intersect("s1", "s2"))
-    true = sets.filter(both >= (F.size("s1") + F.size("s2") - both) * F.lit(t) - 1e-9)
+    named = written(named, "candidate-places")
+    held = texts.join(_few(named.select("d").distinct()), "d", "left_semi")  # other texts are not split
+    found = _split(held).join(_few(named), ["d", "i"], "left_semi")
+    lines = written(found.select("d", "i", F.array_remove(F.array_distinct(_tokens(F.col("line"))), "").alias("s")), "candidate-lines")
+    one, two = (lines.select(*[F.col(c).alias(f"{c}{j}") for c in ("d", "i", "s")]) for j in (1, 2))
+    sets = pairs.join(one, ["d1", "i1"]).join(two, ["d2", "i2"])
+    # both >= t * (all of the two sets), with what they share named once
+    true = sets.filter(F.size(F.array_intersect("s1", "s2")) * F.lit(1 + t) >= (F.size("s1") + F.size("s2")) * F.lit(t) - 1e-9)
     true = written(true.select(F.col("d2").alias("d"), F.col("i2").alias("i")).distinct(), "matches")
     forget(spark, pairs)
-    forget(spark, texts)
+    forget(spark, lines)
     return true
 
 
@@ -239,7 +264,8 @@ def dedup_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id",
 def annotate_lines(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id, n_lines, n_removed, removed`` (line numbers from 0, ascending)."""
     gone = _removed(docs, threshold, id_col, text_col, "d", "gone")
-    base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.size(F.split(text_col, "\n")), F.lit(0)).cast("long").alias("n"))
+    breaks = F.octet_length(text_col) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    base = docs.select(F.col(id_col).alias("id"), F.coalesce(breaks + 1, F.lit(0)).cast("long").alias("n"))
     got = base.join(gone, F.col("id") == F.col("d"), "left")
     removed = F.coalesce("gone", F.array().cast("array<int>"))
     return got.select(F.col("id").alias(id_col), F.greatest("n", F.lit(0)).alias("n_lines"), F.size(removed).cast("long").alias("n_removed"), removed.alias("removed"))

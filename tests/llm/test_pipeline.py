@@ -32,3 +32,12 @@ def test_stages(spark):
 def test_run(spark):
     got = P.run(spark, DATA).collect()
     assert got and sum(r["n_sequences"] for r in got) > 0
+
+
+def test_texts_are_not_sent_about(spark):
+    """Language ID sends a text to Python once and gets a flag; near-dedup drops few ids without a shuffle of the texts."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    plan = P.language(spark, docs, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "ArrowEvalPython" in plan and "MapInArrow" not in plan
+    plan = P.near_duplicates(spark, docs, DATA)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan

@@ -183,14 +183,12 @@ def accepted(docs: DataFrame, prototypes: dict[str, np.ndarray], languages: list
     if not prototypes:
         return docs
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = zip(*_guesses(batch.column(0).to_pylist(), prototypes), strict=True)
-            stays = [lang != "und" and (languages is None or lang in languages) and (score >= min_score or grams < EVIDENCE) for lang, score, grams in rows]
-            yield pa.record_batch(batch.columns[1:], names=docs_names).filter(pa.array(stays, pa.bool_()))
+    def stays(texts: pa.Array) -> pa.Array:
+        rows = zip(*_guesses(texts.to_pylist(), prototypes), strict=True)
+        return pa.array([lang != "und" and (languages is None or lang in languages) and (score >= min_score or grams < EVIDENCE) for lang, score, grams in rows], pa.bool_())
 
-    docs_names = docs.columns
-    return docs.select(F.col(text_col).alias(inside(docs, "text_")[0]), *docs.columns).mapInArrow(run, docs.schema)
+    # Workers get the text alone and give back a flag, so that no text goes to Python twice or comes back.
+    return docs.filter(F.arrow_udf(stays, "boolean")(F.col(text_col)))
 
 
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

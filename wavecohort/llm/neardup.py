@@ -249,7 +249,9 @@ def keep_one(docs: DataFrame, threshold: int = 75, id_col: str = "doc_id", text_
     """``docs`` with one document of each group of near duplicates, the smallest id; of repeated rows each stays. An id of
     several texts goes if one of them does."""
     gone = near_duplicates(docs, threshold, id_col, text_col).filter("NOT kept").select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    gone = written(gone, "gone")  # counted, so that texts are not sent about for a few ids
+    few = gone.limit(MAX_BROADCAST_NODES + 1).count() <= MAX_BROADCAST_NODES
+    return docs.join(F.broadcast(gone) if few else gone, docs[id_col] == gone["__gone"], "left_anti")
 
 
 def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

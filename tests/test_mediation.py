@@ -2,6 +2,7 @@
 
 import numpy as np
 import pandas as pd
+import pytest
 
 from wavecohort.operators import models as M
 
@@ -44,3 +45,17 @@ def test_resamples_with_a_covariate(spark):
         assert abs(boot[rep] - want) < 1e-9
     row = M.mediation_table(df, ["k"], "x", "m", "y", "row", 60, covariates=["c"]).first()
     assert row["low"] < row["indirect"] < row["high"] and row["p_fdr"] == row["p"]
+
+
+def test_resamples_of_few_rows_are_dealt_over_all_tasks(spark):
+    """A row costs a hash for each resample: a small file's rows do not stay in the task that reads them."""
+    df = spark.createDataFrame([(i, "a", float(i % 7), float(i % 5), float(i % 3)) for i in range(400)], "i int, k string, x double, m double, y double").coalesce(1)
+    n = spark.sparkContext.defaultParallelism
+    one = M.bootstrap_effects(df, [], "x", "m", "y", "i", 20)
+    pairs = M.bootstrap_effects(df, ["k"], "x", ["m"], ["y"], "i", 20)
+    for got in (one, pairs):
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert any("hashpartitioning(__row" in x and f", {n}), REPARTITION_BY_NUM" in x for x in plan.splitlines())
+    want = {r["rep"]: r["indirect"] for r in one.collect()}
+    rows = {r["rep"]: r for r in pairs.collect()}
+    assert rows.pop(-1)["n"] == 400 and {k: r["indirect"] for k, r in rows.items()} == pytest.approx(want, abs=1e-9)

@@ -1,10 +1,12 @@
 """The corpus operators against brute force, and on nulls, empty and repeated rows, ties and clashing column names."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -85,6 +87,22 @@ def test_line_dedup_family_of_near_copies_makes_few_pairs(spark, monkeypatch):
     assert made["line-pairs"] + made["candidates"] < 8 * len(texts)
 
 
+def test_line_dedup_meets_pairs_at_their_first_tokens_alone(spark):
+    """A pair that can reach the threshold is never lost, and equal lines meet in the tokens that leave enough behind them,
+    not in all that are posted."""
+    rng = random.Random(5)
+    sets = [set(range(0, 50)), set(range(0, 50)), *({x for x in range(30) if rng.random() < 0.9} for _ in range(60)), set(range(100, 110)), set(range(100, 108))]
+    rows = []
+    for d, s in enumerate(sets):
+        n = len(s)
+        rows += [(k, d, 0, 0, 0, n << 32 | p) for p, k in enumerate(sorted(s)[: n - math.ceil(n * 0.8 - 1e-9) + 1])]
+    posts = spark.createDataFrame(rows, "k long, d long, i int, b long, h long, np long")
+    met = Counter((r["d1"], r["d2"]) for r in line_dedup._meet(posts, posts, ["k"], 0.8).collect())
+    alike = {(a, b) for a, b in itertools.combinations(range(len(sets)), 2) if 10 * len(sets[a] & sets[b]) >= 8 * len(sets[a] | sets[b])}
+    assert len(alike) > 100 and alike <= set(met)
+    assert met[0, 1] == 50 - 45 + 1  # 45 of 50 tokens are needed; 11 are posted
+
+
 def test_line_dedup_repeats_by_place_and_line_counts(spark):
     """Repeats within a document and across documents, rows that share an id, a null id, and numbers of lines."""
     long = " ".join(f"x{i}" for i in range(20))

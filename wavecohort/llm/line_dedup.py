@@ -4,8 +4,8 @@ DataFrame functions only. A line is a set of tokens (words between white space,
 text are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the
 join. The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
 documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, and lines meet in a posted token under the length,
-the positional and a parity filter. What a pair shares of its posted tokens bounds its overlap once more; a pair that is
-left is verified on its real tokens. Families of copies are thinned first: a line that matches one of a few early lines of
+the positional and a parity filter. The positional one holds for the first token that a pair shares: all of the overlap
+lies at and after it, in either line. A pair that is left is verified on its real tokens. Families of copies are thinned first: a line that matches one of a few early lines of
 its posted tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the
 order only steers the work, so hashing tokens into buckets costs no exactness.
 """
@@ -164,13 +164,7 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     parts = F.call_function("shiftleft", F.lit(1), F.floor((_class(F.col("k")) - HOT) / 3).cast("int"))
     split = [hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))), hot.withColumn("part", F.pmod(F.xxhash64("d", "i"), parts).cast("int"))]
     pairs = _meet(cold, cold, ["k"], t).unionByName(_meet(*split, ["k", "part"], t))
-    # A pair comes with the number of posted tokens that it shares. Of the line whose prefix ends first, all shared
-    # tokens up to there are counted: it has n - prefix more at most, and the other one no more than follow its last
-    # shared place.
-    pairs = pairs.groupBy("d1", "i1", "d2", "i2").agg(F.count("*").alias("c"), *[F.max(F.abs(f"np{j}")).alias(f"np{j}") for j in (1, 2)])  # a line's size is the same in all rows
-    pairs = _unpacked(pairs)
-    after = lambda x, y: F.least(F.col(f"n{x}") - _prefix(F.col(f"n{x}"), t), F.col(f"n{y}") - F.col(f"p{y}") - 1)
-    pairs = written(pairs.filter(F.col("c") + F.greatest(after(1, 2), after(2, 1)) >= _least(t)).select("d1", "i1", "d2", "i2", "c"), "line-pairs")
+    pairs = written(pairs.groupBy("d1", "i1", "d2", "i2").agg(F.count("*").alias("c")), "line-pairs")
     forget(spark, both)
     # The likeliest pair of each line first, then the others of the lines that are still there.
     likely = pairs.groupBy("d2", "i2").agg(F.max(F.struct("c", "d1", "i1")).alias("s")).select(F.col("s.d1").alias("d1"), F.col("s.i1").alias("i1"), "d2", "i2")
@@ -209,7 +203,8 @@ def _unpacked(df: DataFrame) -> DataFrame:
 
 
 def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
-    """``d1, i1, np1, d2, i2, np2`` of postings that meet under the filters, the second line later and not gone."""
+    """``d1, i1, d2, i2`` of postings that meet under the filters, the second line later and not gone; a pair that can reach
+    ``t`` comes out at the first token that it shares, and at few others."""
     one = a.select(*on, *[F.col(c).alias(f"{c}1") for c in ("d", "i", "np", "b", "h")])
     two = b.select(*on, *[F.col(c).alias(f"{c}2") for c in ("d", "i", "np", "b", "h")])
     got = one.join(two, on)
@@ -220,9 +215,11 @@ def _meet(a: DataFrame, b: DataFrame, on: list[str], t: float) -> DataFrame:
     got = _unpacked(got.filter((F.col("np2") >= 0) | (F.col("d1") > F.col("d2"))))
     whole, half = F.col("b1").bitwiseXOR(F.col("b2")), F.col("h1").bitwiseXOR(F.col("h2"))
     apart = F.when(F.least("n1", "n2") >= LONG, F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half))).otherwise(F.bit_count(whole))
-    most = F.least("p1", "p2") + F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
-    got = got.filter(_alike(t) & (most >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
-    return got.select("d1", "i1", "np1", "d2", "i2", "np2")
+    # The first token that a pair shares has all of the overlap at and after it, in either line: later tokens that leave
+    # too few say nothing of the pair, and a pair that meets in such tokens alone is none.
+    rest = F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2"))
+    got = got.filter(_alike(t) & (rest >= _least(t)) & (apart <= F.col("n1") + F.col("n2") - 2 * _least(t)))
+    return got.select("d1", "i1", "d2", "i2")
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, t: float) -> DataFrame:

@@ -113,6 +113,24 @@ def test_line_dedup_repeats_by_place_and_line_counts(spark):
     ]
 
 
+def test_line_dedup_splits_lines_once(spark, monkeypatch):
+    """Postings and counts of tokens read one file of token hashes, made of lines with a token alone; only the texts of
+    candidates are split again. Other white space parts tokens too."""
+    texts = ["a b c d e f\n\t\r\n x\ta ", "A\tb c\x0bd e\x0cf\r\n \t\n", "\t\r", "q r q"]
+    kept, written = {}, line_dedup.written
+
+    def held(df, name="step"):
+        got = written(df, name)
+        if name == "line-tokens":
+            kept["lines"] = [(r["d"], r["i"], len(set(r["s"]))) for r in got.collect()]
+        return got
+
+    monkeypatch.setattr(line_dedup, "written", held)
+    got = {(r["d"], r["i"]) for r in line_dedup.later_matches(documents(spark, texts)).collect()}
+    assert got == matched_lines(list(enumerate(texts))) == {(1, 0)}
+    assert sorted(kept["lines"]) == [(0, 0, 6), (0, 2, 2), (1, 0, 6), (3, 0, 2)]
+
+
 # --- mixing -----------------------------------------------------------------------------------------------------------------
 
 

@@ -1,13 +1,14 @@
 """Line dedup: an exact set-similarity join over the lines of all documents; later matches go.
 
-DataFrame functions only. A line is a set of tokens (words between white space, letters lower-cased). Lines with equal
-text are folded first, by partial aggregation, so that a line which a third of all documents repeat is one row in the
-join. The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency class counted over all
-documents, every line posts its first ``n - ceil(t * n) + 1`` tokens, and lines meet in a posted token under the length,
-the positional and a parity filter. The positional one holds for the first token that a pair shares: all of the overlap
-lies at and after it, in either line. A pair that is left is verified on its real tokens. Families of copies are thinned first: a line that matches one of a few early lines of
-its posted tokens is gone and need not meet the others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the
-order only steers the work, so hashing tokens into buckets costs no exactness.
+DataFrame functions only. A line is a set of tokens (words between white space, letters lower-cased), split and hashed
+once. Lines with equal text are folded first, by partial aggregation, so that a line which a third of all documents
+repeat is one row in the join. The rest is a prefix-filter join: tokens are ordered from rare to frequent by a frequency
+class counted over all lines, every line posts its first ``n - ceil(t * n) + 1`` tokens, and lines meet in a posted token
+under the length, the positional and a parity filter. The positional one holds for the first token that a pair shares:
+all of the overlap lies at and after it, in either line. A pair that is left is verified on its real tokens. Families of
+copies are thinned first: a line that matches one of a few early lines of its posted tokens is gone and need not meet the
+others. The class table has ``BUCKETS`` numbers (8 MB) whatever the input; the order only steers the work, so hashing
+tokens into buckets costs no exactness.
 """
 
 from __future__ import annotations
@@ -38,35 +39,37 @@ def _few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``d, i, line``: lines with a token, numbered from 0 in their document."""
-    return _split(_texts(docs, id_col, text_col))
-
-
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.filter(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("d"), F.col(text_col).alias("t"))
 
 
 def _split(texts: DataFrame) -> DataFrame:
-    return texts.select("d", F.posexplode(F.split(_spaced(F.col("t")), "\n")).alias("i", "line")).filter(F.trim("line") != "")
+    """``d, i, line``: all lines as they are, numbered from 0 in their document."""
+    return texts.select("d", F.posexplode(F.split("t", "\n")).alias("i", "line"))
 
 
 def _spaced(text: Column) -> Column:
-    """White space within lines as spaces; texts with no other sort are left as they are."""
+    """White space within lines as spaces; lines with no other sort are left as they are."""
     other = text.contains("\t") | text.contains("\r") | text.contains("\x0b") | text.contains("\x0c")
     return F.when(other, F.translate(text, "\t\x0b\x0c\r", "    ")).otherwise(text)
 
 
 def _tokens(line: Column) -> Column:
-    return F.split(F.lower(line), " ")
+    return F.split(F.lower(_spaced(line)), " ")
 
 
-def _rarity(docs: DataFrame, text_col: str) -> DataFrame:
-    """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class, in the
-    top byte."""
-    spark = docs.sparkSession
-    words = docs.select(F.explode(_tokens(F.replace(_spaced(F.col(text_col)), F.lit("\n"), F.lit(" ")))).alias("w"))  # the bucket of '' is no token's
-    counts = words.groupBy(_bucket(_hash(F.col("w"))).alias("b")).agg(F.count("*").alias("n"))
+def _hashed(texts: DataFrame) -> DataFrame:
+    """``d, i, h1, h2, s``: lines with a token, two hashes of their text and those of their distinct tokens."""
+    lines = _split(texts).filter(F.trim("line", F.lit(" \t\x0b\x0c\r")) != "")
+    tokens = F.array_remove(F.array_distinct(F.transform(_tokens(F.col("line")), _hash)), _hash(F.lit("")))
+    return lines.select("d", "i", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"), tokens.alias("s"))
+
+
+def _rarity(lines: DataFrame) -> DataFrame:
+    """One row, ``classes array<bigint>`` of ``BUCKETS`` numbers: by bucket of token hashes, a frequency class (of the
+    number of lines that hold them), in the top byte."""
+    spark = lines.sparkSession
+    counts = lines.select(F.explode("s").alias("w")).groupBy(_bucket(F.col("w")).alias("b")).agg(F.count("*").alias("n"))
     every = spark.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("n"))
     counts = counts.unionByName(every).groupBy("b").agg(F.sum("n").alias("n"))
     cls = F.least(F.floor(F.log2(F.greatest("n", F.lit(1)).cast("double")) * 3), F.lit(120))
@@ -86,9 +89,8 @@ def _bucket(h: Column) -> Column:
     return h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _keys(line: Column, classes: Column) -> Column:
-    """Distinct token keys of a line, rare ones first: frequency class in the top byte, hash in the rest."""
-    hashes = F.array_remove(F.array_distinct(F.transform(_tokens(line), _hash)), _hash(F.lit("")))
+def _keys(hashes: Column, classes: Column) -> Column:
+    """Keys of distinct tokens, rare ones first: frequency class in the top byte, hash in the rest."""
     cls = lambda h: F.coalesce(F.get(classes, _bucket(h)), F.lit(0).cast("long"))  # noqa: E731  arrays without nulls are sorted as plain numbers
     return F.sort_array(F.transform(hashes, lambda h: cls(h).bitwiseOR(h)))
 
@@ -103,8 +105,9 @@ def _parities(keys: Column) -> Column:
 def _halves(keys: Column) -> Column:
     """The parities of those tokens of a long line whose hash has a further bit, else 0. With :func:`_parities` they
     give the parities of the other tokens too."""
-    odd = F.filter(keys, lambda k: k.bitwiseAND(64) != 0)
-    return F.when(F.size(keys) >= LONG, _parities(odd)).otherwise(F.lit(0).cast("long"))
+    bit = lambda k: F.call_function("shiftleft", F.shiftright(k, 6).bitwiseAND(1), k.bitwiseAND(63).cast("int"))
+    odd = F.aggregate(keys, F.lit(0).cast("long"), lambda a, k: a.bitwiseXOR(bit(k)))
+    return F.when(F.size(keys) >= LONG, odd).otherwise(F.lit(0).cast("long"))
 
 
 def _alike(t: float) -> Column:
@@ -134,19 +137,21 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
     spark = docs.sparkSession
     texts = _texts(docs, id_col, text_col)
     place = F.struct("d", "i")
-    hashed = _split(texts).select("d", "i", "line", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
-    again = hashed.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).filter("n > 1").select("h1", "h2", "first")
-    again = _few(written(again, "repeated-lines"))
-    seen = hashed.join(again, ["h1", "h2"], "left")
+    lines = written(_hashed(texts), "line-tokens")
+    hashed = lines.select("d", "i", "h1", "h2")
+    twice = written(hashed.groupBy("h1", "h2").agg(F.count("*").alias("n")).filter("n > 1").select("h1", "h2"), "repeated-lines")
+    again = _few(written(hashed.join(_few(twice), ["h1", "h2"]).groupBy("h1", "h2").agg(F.min(place).alias("first")), "first-lines"))
+    seen = lines.join(again, ["h1", "h2"], "left")
 
     # The postings of lines that are the first of their text; other lines have a row without a key.
     head = F.col("first").isNull() | (place == F.col("first"))
-    classes = written(_rarity(docs, text_col), "rarity")
-    keyed = seen.withColumn("classes", classes.scalar()).select("d", "i", F.when(head, _keys(F.col("line"), F.col("classes"))).alias("keys"))
+    classes = written(_rarity(lines), "rarity")
+    keyed = seen.withColumn("classes", classes.scalar()).select("d", "i", F.when(head, _keys(F.col("s"), F.col("classes"))).alias("keys"))
     marked = keyed.select("d", "i", F.inline(F.transform(F.array("keys"), lambda k: _marks(k, t))))
-    # A token of class 0 occurs once in all documents, so that no line can meet another in it.
+    # A token of class 0 is in one line alone, so that no line can meet another in it.
     posts = marked.select("d", "i", "n", "b", "h", F.posexplode_outer("pre").alias("p", "k")).filter(F.col("k").isNull() | (_class(F.col("k")) > 0))
     both = written(posts, "postings")
+    forget(spark, lines)
     same = written(both.filter("k IS NULL").select("d", "i"), "repeats")
     posts = both.filter("k IS NOT NULL")
     forget(spark, classes)
@@ -177,7 +182,9 @@ def later_matches(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id
 
 def _guesses(posts: DataFrame, t: float) -> DataFrame:
     """``d1, i1, d2, i2``: for each line the early lines, ``GUESSES`` at most, that parities say are nearest to it."""
-    rare = posts.filter((F.col("p") < STARS) | (F.col("p") >= _prefix(F.col("n"), t) - STARS)).select("k", "d", "i", "n", "b").repartition("k")  # sent once, for the early lines and for all
+    ends = posts.filter((F.col("p") < STARS) | (F.col("p") >= _prefix(F.col("n"), t) - STARS)).select("k", "d", "i", "n", "b")
+    # Sent once, for the early lines and for all: where no null is left, neither side gets a filter of its own.
+    rare = ends.filter(" AND ".join(f"{c} IS NOT NULL" for c in ends.columns)).repartition("k")
     part = F.pmod(F.xxhash64("d", "i"), F.lit(LEADERS)).cast("int")
     # A line of the same document may lend its marks to another one; this costs a guess and no match.
     leaders = rare.groupBy("k", part.alias("part")).agg(F.min("d").alias("d1"), *[F.min_by(c, "d").alias(f"{c}1") for c in ("i", "n", "b")]).drop("part")

@@ -207,8 +207,11 @@ def eog_regress_out(spark, sf_dir):
 @query("interpolate_bad_channels", f"""WITH {LONG} SELECT epoch_idx, sample_idx::INTEGER AS sample_idx, channel, round(value, 6) + 0.0 AS value FROM s WHERE channel <> 'c1'
 UNION ALL SELECT epoch_idx, sample_idx::INTEGER, 'c1', round((sum(value) FILTER (channel = 'c0') * 2 + sum(value) FILTER (channel = 'c2')) / 3, 6) + 0.0 FROM s GROUP BY epoch_idx, sample_idx HAVING count(*) FILTER (channel IN ('c0', 'c2')) = 2""")
 def interpolate_bad_channels(spark, sf_dir):
+    """A vector that is missing or short has its samples as nulls, as in the SQL."""
     w = spark.createDataFrame([("c1", "c0", 2.0), ("c1", "c2", 1.0)], "bad string, good string, w double")
-    got = S.interpolate_channels(_long(spark, sf_dir), ["epoch_idx", "sample_idx"], "channel", "value", w)
+    cells = F.arrays_zip(F.sequence(F.lit(0), F.lit(63)).alias("sample_idx"), F.coalesce("samples", F.array().cast("array<double>")).alias("value"))
+    long = samples(spark, sf_dir).select("epoch_idx", "channel", F.inline(cells))
+    got = S.interpolate_channels(long, ["epoch_idx", "sample_idx"], "channel", "value", w)
     return rounded(got, "value")
 
 

@@ -1,4 +1,4 @@
-"""Permutations of group labels and Poisson resamples by md5, for any number of subjects.
+"""Permutations of group labels by md5 and Poisson resamples by md5 or a stream of bits, for any number of subjects.
 
 A permutation gives the first group's number of labels to the subjects of the smallest md5 of (seed, permutation,
 subject). Its label is a comparison with the md5 of rank ``n1``, so that only cuts (16 bytes for each key and permutation)
@@ -33,6 +33,51 @@ def blocks(n: int) -> Iterator[range]:
     return (range(i, min(n, i + BLOCK)) for i in range(0, n, BLOCK))
 
 
+#: The chances of 0, 1, ... in a Poisson variable with mean 1, and how many of 2^16 numbers stand for 0 to 5: their wholes.
+#: The few numbers from ``_REST`` on stand for what the wholes leave, which 53 further bits tell apart.
+_CHANCES = np.exp(-1.0) / np.cumprod([1.0, *range(1, 20)])
+_WHOLES = np.floor(_CHANCES[:6] * 2**16).astype(int)
+_STEPS, _REST = [np.uint16(x) for x in np.cumsum(_WHOLES)[:-1]], np.uint16(_WHOLES.sum())
+_LEFT = np.cumsum(_CHANCES - np.append(_WHOLES, np.zeros(14)) / 2**16)
+_LEFT /= _LEFT[-1]
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mixed(z: np.ndarray) -> np.ndarray:
+    """The finaliser of SplitMix64, in place."""
+    t = z >> np.uint64(30)
+    for by, shift in ((_M1, np.uint64(27)), (_M2, np.uint64(31))):
+        z ^= t
+        z *= by
+        np.right_shift(z, shift, out=t)
+    z ^= t
+    return z
+
+
+def poisson_draws(seeds: np.ndarray, words: range) -> np.ndarray:
+    """Poisson numbers with mean 1: a row for each of ``seeds`` (64 bits), four columns for each of ``words``. A seed's
+    stream is that of SplitMix64, and a number takes 16 bits of it, or further bits where these do not decide."""
+    z = _mixed(seeds[:, None] + np.arange(words.start + 1, words.stop + 1, dtype=np.uint64) * _GOLDEN)
+    u = z.view("<u2")
+    w = (u >= _STEPS[0]).view(np.uint8)
+    for step in _STEPS[1:]:
+        w += (u >= step).view(np.uint8)
+    at = np.flatnonzero(u >= _REST)
+    more = _mixed(z.reshape(-1)[at // 4] + (at % 4 + 1).astype(np.uint64) * _M2)
+    w.reshape(-1)[at] = np.searchsorted(_LEFT, (more >> np.uint64(11)).astype(float) / 2.0**53, side="right")
+    return w
+
+
+def add_resampled(total: np.ndarray, seeds: np.ndarray, values: np.ndarray, rows: int = 256, words: int = 128) -> None:
+    """Adds to ``total`` (resamples by sums) the rows of ``values`` (sums by rows), each times its number of draws; a block
+    of rows by resamples that a processor's cache holds at a time."""
+    for i in range(0, len(seeds), rows):
+        for j in range(0, -(-len(total) // 4), words):
+            out = total[4 * j : 4 * (j + words)]
+            w = poisson_draws(seeds[i : i + rows], range(j, j + -(-len(out) // 4)))
+            out += (values[:, i : i + rows] @ w.astype(float)).T[: len(out)]
+
+
 def parts(f: pd.DataFrame, by: list[str]) -> list[tuple[tuple, np.ndarray]]:
     """Keys and row numbers of a batch."""
     if not by:

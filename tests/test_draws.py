@@ -60,7 +60,7 @@ def test_streamed_resamples_match_brute_force(spark):
     assert len(got[0]) == 60 * 63 and got[0] == pytest.approx(got[1], abs=1e-9)
 
 
-@pytest.mark.parametrize("name", ["bootstrap_effects_whole", "percentile_ci_whole", "bootstrap_mediation_whole", "mediation_summary"])
+@pytest.mark.parametrize("name", ["bootstrap_effects_whole", "percentile_ci_whole", "bootstrap_mediation_whole", "mediation_summary", "batch_mediation"])
 def test_whole_queries_draw_from_streams(spark, monkeypatch, name):
     asked, boot = [], M.bootstrap_effects
     monkeypatch.setattr(M, "bootstrap_effects", lambda *a, **b: asked.append((a[6], b.get("draws"))) or boot(*a, **b))

@@ -77,3 +77,13 @@ def test_two_groups_take_both_tests_and_share_a_false_discovery_rate(spark):
     assert got["normal"]["test"] == "t-test" and got["skewed"]["test"] == "Mann-Whitney"
     p = sorted((r["p"], m) for m, r in got.items())
     assert {m: got[m]["p_fdr"] for m in got} == pytest.approx({m: min(1.0, min(p[j][0] * 3 / (j + 1) for j in range(i, 3))) for i, (_, m) in enumerate(p)})
+
+
+def test_no_frame_runs_to_the_end_of_a_key(spark):
+    """Spark computes such a frame anew for every row: the square of a key's rows."""
+    v = [3.0, 1.0, None, None, 2.0, 5.0, None, 0.5, 4.0, None]
+    df = spark.createDataFrame([("a", i, x) for i, x in enumerate(v)], "k string, i int, v double")
+    got = P.lowest_from_here(df, ["k"], ["i"], "r", F.col("v"), "low", F.col("v").isNotNull())
+    assert "currentrow$(), unboundedfollowing$()" not in got._jdf.queryExecution().optimizedPlan().toString()
+    found = {r["i"]: (r["r"], r["low"]) for r in got.collect()}
+    assert found == {i: (sum(x is not None for x in v[: i + 1]), min((x for x in v[i:] if x is not None), default=None)) for i in range(len(v))}

@@ -35,6 +35,27 @@ def test_subjects_are_discovered_in_folders(spark, tmp_path):
     assert got == {("td", "001"), ("td", "002"), ("com", "007"), ("sub", "deep")}
 
 
+def test_recordings_are_files_of_their_own(spark, tmp_path):
+    """A file for each subject, not a folder of Spark's for each; a subject of more rows than a batch holds has them all."""
+    rows = [("a", f"{i}-epo.parquet", float(i)) for i in range(90)] + [("b", "7-epo.parquet", float(i)) for i in range(12_000)]
+    df = spark.createDataFrame([*rows, (None, "8-epo.parquet", 1.0), ("a", "notes.txt", 2.0), ("a", None, 3.0)], "grp string, file string, v double")
+    T.write_recordings(df.repartition(3), "grp", "file", str(tmp_path / "rec"))
+    files = [f for f in glob.glob(str(tmp_path / "rec" / "**"), recursive=True) if "." in f.rsplit("/", 1)[1]]
+    assert len(files) == 93 and all(f.count("/") == files[0].count("/") for f in files)
+    got = spark.read.parquet(str(tmp_path / "rec" / "grp=b" / "7-epo.parquet"))
+    assert sorted(r["v"] for r in got.collect()) == [float(i) for i in range(12_000)]
+    listed = T.list_files(spark, str(tmp_path / "rec"))
+    assert listed.count() == 93 and listed.rdd.getNumPartitions() <= 4 * spark.sparkContext.defaultParallelism
+    assert T.discover_subjects(listed).count() == 92
+
+
+def test_recordings_where_arrow_does_not_reach(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(T, "_arrow_reaches", lambda path: False)
+    df = spark.createDataFrame([("a", "1-epo.parquet", 1.0), ("a", "2-epo.parquet", 1.0), ("b", "3.txt", 1.0)], "grp string, file string, v double")
+    T.write_recordings(df, "grp", "file", str(tmp_path / "rec"))
+    assert {tuple(r) for r in T.discover_subjects(T.list_files(spark, str(tmp_path / "rec"))).collect()} == {("a", "1"), ("a", "2")}
+
+
 def test_sliding_stream_equals_batch_with_late_rows_and_a_restart(spark, tmp_path):
     schema = "k string, ts timestamp, v double"
     day = lambda x: dt.datetime(2024, 1, 1) + dt.timedelta(days=x)

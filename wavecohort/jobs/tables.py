@@ -58,7 +58,7 @@ def discover_subjects(spark, sf_dir):
     path = _path(spark, "recordings")
     end = F.when(F.col("s_suppkey") % 3 == 0, ".txt").otherwise("-epo.parquet")
     made = table(spark, sf_dir, "supplier").select("s_acctbal", F.col("s_nationkey").alias("grp"), F.concat(F.col("s_suppkey").cast("string"), end).alias("file"))
-    made.repartition("grp").write.partitionBy("grp", "file").parquet(path)
+    T.write_recordings(made, "grp", "file", path)
     return T.discover_subjects(T.list_files(spark, path))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -50,8 +52,58 @@ def discover_subjects(files: DataFrame, path_col: str = "path", suffix: str = "-
 
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``path`` of the files of a folder tree, without their contents."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    """``path`` of the files of a folder tree, without their contents. Spark cuts a task for each 32 files, as if it read
+    them; for a list a few tasks do."""
+    got = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
+    return got.coalesce(4 * spark.sparkContext.defaultParallelism)
+
+
+def _arrow_reaches(path: str) -> bool:
+    from pyarrow import fs
+
+    try:
+        fs.FileSystem.from_uri(path)
+    except (ValueError, OSError, NotImplementedError):  # no such kind of store, or none of its libraries here
+        return False
+    return True
+
+
+def write_recordings(df: DataFrame, group: str, file: str, folder: str) -> None:
+    """A Parquet file ``<folder>/<name of the group's column>=<group>/<file>`` for each pair of names, with its rows in the
+    other columns; rows without a file's name are left out. Tasks write the files of their rows through Arrow, since Spark's writer makes, moves and
+    commits a folder for each; it still does so in stores that Arrow does not reach."""
+    columns = [c for c in df.columns if c not in (group, file)]
+    name = F.coalesce(F.col(group).cast("string"), F.lit("__HIVE_DEFAULT_PARTITION__"))  # as Spark names it
+    rows = df.filter(F.col(file).isNotNull()).withColumn(group, name).repartition(df.sparkSession.sparkContext.defaultParallelism, group, file)
+    if not _arrow_reaches(folder):
+        rows.write.partitionBy(group, file).parquet(folder)
+        return
+
+    def put(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import Table, fs, parquet
+
+        store, root = fs.FileSystem.from_uri(folder)
+        made = set()
+
+        def write(f: pd.DataFrame) -> pd.DataFrame:
+            for (g, x), own in f.groupby([group, file], sort=False):
+                if g not in made:
+                    store.create_dir(f"{root}/{group}={g}", recursive=True)
+                    made.add(g)
+                parquet.write_table(Table.from_pandas(own[columns], preserve_index=False), f"{root}/{group}={g}/{x}", filesystem=store)
+            return pd.DataFrame({"n": [len(f)]})
+
+        held = None  # rows of the last file of a batch, which may go on in the next
+        for f in frames:
+            f = f if held is None else pd.concat([held, f], ignore_index=True)
+            if len(f):
+                last = (f[group] == f[group].iloc[-1]) & (f[file] == f[file].iloc[-1])
+                held = f[last]
+                yield write(f[~last])
+        if held is not None:
+            yield write(held)
+
+    rows.sortWithinPartitions(group, file).mapInPandas(put, "n long").agg(F.sum("n")).collect()  # one row
 
 
 def explode_samples(df: DataFrame, samples: str = "samples") -> DataFrame:
